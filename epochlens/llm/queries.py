@@ -1,9 +1,13 @@
 """Queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from epochlens.llm import sentencepiece_codec
+from epochlens.llm import media_avi, sentencepiece_codec, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op3_sentencepiece": sentencepiece_codec.op3_sentencepiece,
+    "op8_media_avi": media_avi.op8_media_avi,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": warc.OP1_SQL,
+}

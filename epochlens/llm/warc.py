@@ -181,7 +181,7 @@ def write_warc(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_co
                 for page, url, payload, refers_to in zip(*(part.column(n).to_pylist() for n in ("page", "url", "payload", "refers_to")), strict=True):
                     if out is None:
                         fs.create_dir(path.rpartition("/")[0])
-                        out = fs.open_output_stream(path)
+                        out = fs.open_output_stream(path, compression=None)
                     out.write(record_bytes("" if page is None else str(page), url.replace("\r", "%0D").replace("\n", "%0A"), payload.encode(), None if refers_to is None else str(refers_to)))
                     records += 1
         if out is not None:

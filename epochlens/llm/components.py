@@ -1,0 +1,41 @@
+"""Connected components of an edge table, by alternating large-star and small-star steps.
+
+A node's smallest neighbour comes from an aggregation and is joined back on, so that no node's neighbours are gathered in one place.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from epochlens.llm.common import materialised
+
+
+def _star(edges: DataFrame, *, large: bool) -> DataFrame:
+    """large: every larger neighbour of a node is linked to the node's smallest neighbour (or itself); small: every smaller one and the node."""
+    if large:
+        ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = ways.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        out = ways.where("b > a").join(least, "a").select(F.col("b").alias("x"), F.col("m").alias("y"))
+    else:
+        down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        out = down.join(least, "a").select(F.col("b").alias("x"), F.col("m").alias("y")).unionByName(least.select(F.col("a").alias("x"), F.col("m").alias("y")))
+    return out.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
+    """edges (a, b), any comparable type, to (node, root): every node that has an edge, and the smallest one it can reach.
+
+    Ends when a round changes nothing; each round is written under the shared folder, so that lineages stay short.
+    """
+    now = materialised(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    seen = None
+    for _ in range(max_rounds):
+        mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        if mark == seen or mark["n"] == 0:
+            # stars: every edge leads from a node to its component's smallest one
+            return now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+        seen = mark
+        now = materialised(_star(_star(now, large=True), large=False), "edges")
+    raise RuntimeError("components did not settle")

@@ -1,9 +1,10 @@
 """Queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from epochlens.llm import language_id, media_avi, pii, sentencepiece_codec, simhash_dedup, warc
+from epochlens.llm import language_id, media_avi, pii, quality, sentencepiece_codec, simhash_dedup, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_quality": quality.op2_quality,
     "op3_sentencepiece": sentencepiece_codec.op3_sentencepiece,
     "op7_pii": pii.op7_pii,
     "op8_media_avi": media_avi.op8_media_avi,

@@ -1,12 +1,13 @@
 """Queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from epochlens.llm import decontaminate, language_id, media_avi, pii, quality, sentencepiece_codec, simhash_dedup, warc
+from epochlens.llm import chat_tools, decontaminate, language_id, media_avi, pii, quality, sentencepiece_codec, simhash_dedup, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_quality": quality.op2_quality,
     "op3_sentencepiece": sentencepiece_codec.op3_sentencepiece,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_chat_tools": chat_tools.op6_chat_tools,
     "op7_pii": pii.op7_pii,
     "op8_media_avi": media_avi.op8_media_avi,
     "op9_simhash": simhash_dedup.op9_simhash,
@@ -15,4 +16,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": warc.OP1_SQL,
+    "op6_chat_tools": chat_tools.OP6_SQL,
 }

@@ -1,11 +1,12 @@
 """Queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from epochlens.llm import chat_tools, decontaminate, language_id, media_avi, pii, quality, sentencepiece_codec, simhash_dedup, warc
+from epochlens.llm import chat_tools, decontaminate, language_id, lm_scoring, media_avi, pii, quality, sentencepiece_codec, simhash_dedup, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_quality": quality.op2_quality,
     "op3_sentencepiece": sentencepiece_codec.op3_sentencepiece,
+    "op4_lm_scoring": lm_scoring.op4_lm_scoring,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_chat_tools": chat_tools.op6_chat_tools,
     "op7_pii": pii.op7_pii,

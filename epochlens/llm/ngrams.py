@@ -31,14 +31,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Tokens:
-    """Runs of word bytes and runs of marks (or of word bytes only, marks=False), a 64-bit hash each, and where they start and end in their text.
+    """Runs of word bytes and runs of marks (word bytes only: marks=False; all between white space: whole=True), a 64-bit hash each, and where they start and end in their text.
 
     first has the index of each text's first token, and the number of all tokens at the end.
     """
 
-    def __init__(self, sources: list[bytes], *, fold: bool = False, marks: bool = True):
+    def __init__(self, sources: list[bytes], *, fold: bool = False, marks: bool = True, whole: bool = False):
         flat = np.frombuffer(b" " + b"".join((s.lower() if fold else s) + b" " for s in sources), np.uint8)
         kind = _CLASS[flat]
+        if whole:
+            kind = np.where(kind == SPACE, SPACE, WORD)
         if not marks:
             kind = np.where(kind == WORD, WORD, SPACE)
         edge = np.flatnonzero(kind[1:] != kind[:-1]) + 1
@@ -73,3 +75,15 @@ def pair_hashes(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
     begins = np.logical_and.reduce([again[k : k + len(same)] for k in range(REPEATED - 1)])
     pairs = np.where(begins, np.uint64(_MULTIPLIER), mixed(t.hash[:-1] * np.uint64(0xD6E8FEB86659FD93) + t.hash[1:]))
     return pairs[same], t.text[:-1][same]
+
+
+def run_hashes(t: Tokens, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each run of so many tokens of one text, of the whole of a shorter text, and the text it is in."""
+    summed = np.zeros(len(t.hash), np.uint64)
+    ahead = np.concatenate([t.hash, np.zeros(width, np.uint64)])
+    left = np.repeat(t.first[1:], np.diff(t.first)) - np.arange(len(t.hash))
+    for k in range(width):
+        summed = summed * np.uint64(_MULTIPLIER) + np.where(left > k, ahead[k : k + len(summed)], np.uint64(0))
+    first = np.repeat(t.first[:-1], np.diff(t.first)) == np.arange(len(t.hash))
+    use = (left >= width) | first
+    return mixed(summed)[use], t.text[use]

@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,18 +103,20 @@ def log_ratios(counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def log_weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """docs (id, text, target) to id, target, log_weight: the sum of the n-grams' log ratios."""
-    shared = docs.sparkSession.sparkContext.broadcast(ratios)  # BUCKETS floats
+def log_weight(ratios: np.ndarray, spark: SparkSession, text: Column) -> Column:
+    """The sum of the n-grams' log ratios of each text."""
+    shared = spark.sparkContext.broadcast(ratios)  # BUCKETS floats
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                one, two, text = _buckets(texts(part.column(1)))
-                weight = np.bincount(text, np.maximum(shared.value[one], shared.value[two]), minlength=part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(weight, pa.float64())], ["id", "target", "log_weight"])
+    @F.pandas_udf("double")
+    def weigh(text: pd.Series) -> pd.Series:
+        out = [np.zeros(0)]
+        for at in range(0, len(text), 256):
+            some = [x.encode() if isinstance(x, str) else b"" for x in text.iloc[at : at + 256]]
+            one, two, of = _buckets(some)
+            out.append(np.bincount(of, np.maximum(shared.value[one], shared.value[two]), minlength=len(some)))
+        return pd.Series(np.concatenate(out))
 
-    return docs.select("id", "text", "target").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, target boolean, log_weight double")
+    return weigh(text.cast("string"))
 
 
 def gumbel(id_col: Column, seed: int) -> Column:
@@ -155,24 +158,41 @@ def best_cut(histogram: list[tuple[float, int, int]]) -> float:
     return float(cut)
 
 
-def resample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", target: Column | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
-    """id, log_weight, key, kept for each row of docs. labels: id_col and what ``target`` tests, the default being quality = 1 without toxic = 1."""
+def _weighed(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, target: Column | None, carry: bool) -> tuple[DataFrame, float | None]:
+    """Rows with id, target and log_weight (and all of docs as a struct, row), written down; and the weight that parts the labels best."""
     target = target if target is not None else (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) != 1)
     known = labels.select(F.col(id_col).alias("id"), F.coalesce(target, F.lit(False)).alias("target")).where("id is not null").groupBy("id").agg(F.min("target").alias("target"))
     known = F.broadcast(materialised(known.orderBy(F.xxhash64("id")).limit(MAX_LABELS), "labels"))  # 9 bytes each
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(known, "id", "left")
-    counts = count_models(plain.select("text", F.coalesce("target", F.lit(False)).alias("target")))
-    scored = materialised(log_weights(plain, log_ratios(counts)), "weights")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []))
+    rows = rows.join(known, "id", "left")
+    counts = count_models(rows.select("text", F.coalesce("target", F.lit(False)).alias("target")))
+    scored = materialised(rows.withColumn("log_weight", log_weight(log_ratios(counts), docs.sparkSession, F.col("text"))).drop("text"), "weights")
     if not counts[1].any():
-        return scored.select("id", "log_weight", F.lit(None).cast("double").alias("key"), F.lit(True).alias("kept"))
+        return scored, None
     edge = F.floor(F.greatest(F.least(F.col("log_weight"), F.lit(100.0)), F.lit(-100.0)) / WEIGHT_STEP) * WEIGHT_STEP
     histogram = scored.where("target is not null").groupBy(edge.alias("edge")).agg(F.count_if("target").alias("t"), F.count_if(~F.col("target")).alias("o")).collect()  # 4,001 rows at most
-    cut = best_cut([(float(h["edge"]), h["t"], h["o"]) for h in histogram])
+    return scored, best_cut([(float(h["edge"]), h["t"], h["o"]) for h in histogram])
+
+
+def _drawn(scored: DataFrame, cut: float | None, temperature: float, seed: int) -> DataFrame:
+    if cut is None:
+        return scored.withColumn("key", F.lit(None).cast("double")).withColumn("kept", F.lit(True))
     k = scored.where(F.col("log_weight") >= cut).count()
-    rows = scored.select("id", "log_weight", (F.col("log_weight") / temperature + gumbel(F.col("id"), seed)).alias("key"))
+    rows = scored.withColumn("key", F.col("log_weight") / temperature + gumbel(F.col("id"), seed))
     return rows.withColumn("kept", largest_keys(rows, "key", "id", k) if k else F.lit(False))
 
 
+def resample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", target: Column | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
+    """id, log_weight, key, kept for each row of docs. labels: id_col and what ``target`` tests, the default being quality = 1 without toxic = 1."""
+    return _drawn(*_weighed(docs, labels, id_col, text_col, target, False), temperature, seed).select("id", "log_weight", "key", "kept")
+
+
+def keep_drawn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", target: Column | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
+    """The rows of docs that are drawn, with docs' columns; they are written down with their weights once and never joined back."""
+    found = _drawn(*_weighed(docs, labels, id_col, text_col, target, True), temperature, seed)
+    return found.where("kept").select("row.*")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select(F.col("id").alias("doc_id"), "log_weight", "key", "kept")

@@ -174,8 +174,8 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-def encode_documents(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, ids array<int>, starts and ends array<int> (source bytes of each piece), text decoded from the ids.
+def encode_documents(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", spans: bool = True) -> DataFrame:
+    """id_col, ids array<int>, decoded text and, with spans, starts and ends array<int> (source bytes of each piece).
 
     model_path must be readable where tasks run, as an installed package's files are.
     """
@@ -187,10 +187,12 @@ def encode_documents(docs: DataFrame, model_path: str, *, id_col: str = "doc_id"
             for part in slices(batch):
                 encoded = c.encode_all(texts(part.column(1)))
                 sizes = np.concatenate([[0], np.cumsum([len(i) for i, _ in encoded])]).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(sizes, np.concatenate(x).astype(np.int32)) for x in ([i for i, _ in encoded], [s[:, 0] for _, s in encoded], [s[:, 1] for _, s in encoded])]
-                yield pa.RecordBatch.from_arrays([part.column(0), *lists, pa.array([c.decode(i) for i, _ in encoded], pa.string())], ["id", "ids", "starts", "ends", "decoded"])
+                wanted = [[i for i, _ in encoded], *([[s[:, 0] for _, s in encoded], [s[:, 1] for _, s in encoded]] if spans else [])]
+                lists = [pa.ListArray.from_arrays(sizes, np.concatenate(x).astype(np.int32)) for x in wanted]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.decode(i) for i, _ in encoded], pa.string()), *lists], ["id", "decoded", "ids", "starts", "ends"][: 2 + len(lists)])
 
-    return doc_texts(docs, id_col, text_col).mapInArrow(run, f"id {id_type}, ids array<int>, starts array<int>, ends array<int>, decoded string").withColumnRenamed("id", id_col)
+    schema = f"id {id_type}, decoded string, ids array<int>" + (", starts array<int>, ends array<int>" if spans else "")
+    return doc_texts(docs, id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def encoded_digests(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

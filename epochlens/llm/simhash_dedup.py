@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from epochlens.llm.common import doc_texts, folded_words, materialised, slices, table, texts
 from epochlens.llm.components import components
+from epochlens.llm.ngrams import Tokens, mixed, run_hashes
 
 BITS = 64
 #: Groups of one key up to this size are verified pair by pair.
@@ -208,6 +209,136 @@ def near_components(prints: DataFrame, *, k: int = 2) -> DataFrame:
     return salted.join(of_fp, ["fp", "salt"]).select("id", "fp", "component")
 
 
+# --- near-duplicate texts: wide fingerprints as candidates, shingles as the proof ---------------------------------------
+
+#: Fingerprint bits and parts: WIDE_PARTS parts with threshold 0 find all that differ in fewer bits than there are parts, and most others that are alike.
+WIDE_BITS, WIDE_PARTS = 256, 12
+SHINGLE_WORDS, LEAST_SIMILARITY = 5, 0.8
+DF_BUCKETS = 1 << 18
+#: Leaders of a large group that each of its members is compared with, by different orders of the members.
+LEADERS = 4
+
+
+def document_frequencies(texts_only: DataFrame) -> np.ndarray:
+    """In how many texts each bucket of word hashes occurs; the number of texts is the last cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(DF_BUCKETS + 1, np.int64)
+        for batch in batches:
+            for part in slices(batch):
+                t = Tokens(texts(part.column(0)), fold=True, whole=True)
+                once = np.unique((t.hash >> np.uint64(46)).astype(np.int64) + t.text * DF_BUCKETS) % DF_BUCKETS
+                held[:-1] += np.bincount(once, minlength=DF_BUCKETS)
+                held[-1] += part.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([held.astype("<i8").tobytes()], pa.binary())], ["n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([sum((np.frombuffer(n, "<i8") for b in batches for n in b.column(0).to_pylist()), np.zeros(DF_BUCKETS + 1, np.int64)).tobytes()], pa.binary())], ["n"])
+
+    sums = texts_only.mapInArrow(run, "n binary").repartition(8).mapInArrow(add, "n binary").collect()  # 8 rows
+    return sum((np.frombuffer(r["n"], "<i8") for r in sums), np.zeros(DF_BUCKETS + 1, np.int64))
+
+
+def wide_fingerprint(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """WIDE_BITS bits, each the sign of the weighted votes of all distinct words."""
+    if not len(hashes):
+        return np.zeros(WIDE_BITS, np.uint8)
+    wide = np.stack([mixed(hashes + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)) for k in range(WIDE_BITS // 64)], axis=1)
+    bits = np.unpackbits(wide.view(np.uint8).reshape(len(hashes), -1), axis=1, bitorder="little").astype(np.float32)
+    return (2 * (weights @ bits) > weights.sum()).astype(np.uint8)
+
+
+def word_prints(rows: DataFrame, frequencies: np.ndarray) -> DataFrame:
+    """rows (id, t, text) to id, t, keys: the parts of a fingerprint over distinct words, weighted by how rare they are."""
+    shared = rows.sparkSession.sparkContext.broadcast(np.log((frequencies[-1] + 1) / (frequencies[:-1] + 1)).astype(np.float32))
+    bounds = np.linspace(0, WIDE_BITS, WIDE_PARTS + 1).astype(int)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                t = Tokens(texts(part.column(2)), fold=True, whole=True)
+                keys = []
+                for a, b in zip(t.first, t.first[1:], strict=False):
+                    own = np.unique(t.hash[a:b])
+                    bits = wide_fingerprint(own, shared.value[(own >> np.uint64(46)).astype(np.int64)])
+                    keys.append([int("".join(map(str, bits[x:y])), 2) for x, y in zip(bounds, bounds[1:], strict=False)])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.list_(pa.int32()))], ["id", "t", "keys"])
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, t binary, keys array<int>")
+
+
+def candidate_pairs(prints: DataFrame) -> DataFrame:
+    """prints (t, keys), one row for each distinct text, to pairs (a, b) of t that share a part: all pairs of small groups; in large ones every member with each leader."""
+    entered = prints.select("t", F.posexplode("keys").alias("part", "key"))
+    sizes = entered.groupBy("part", "key").agg(F.count("*").alias("n"), *(F.min_by("t", F.xxhash64("t", F.lit(o))).alias(f"lead{o}") for o in range(LEADERS))).where("n > 1")
+    shared = entered.join(sizes, ["part", "key"])
+    small = shared.where(F.col("n") <= SMALL_GROUP).groupBy("part", "key").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    pairs = small.select("ts", F.posexplode("ts").alias("i", "a")).select("a", F.explode(F.slice("ts", F.col("i") + 2, F.lit(SMALL_GROUP))).alias("b"))
+    led = shared.where(F.col("n") > SMALL_GROUP).select("t", F.explode(F.array(*(f"lead{o}" for o in range(LEADERS)))).alias("lead")).where("t <> lead")
+    return pairs.unionByName(led.select(F.least("t", "lead").alias("a"), F.greatest("t", "lead").alias("b"))).distinct()
+
+
+def shingle_sets(rows: DataFrame) -> DataFrame:
+    """rows (t, text) to t, shingles: the distinct hashes of all runs of SHINGLE_WORDS words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                hashes, of = run_hashes(Tokens(texts(part.column(1)), fold=True, whole=True), SHINGLE_WORDS)
+                bounds = np.searchsorted(of, np.arange(part.num_rows + 1))
+                sets = [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(bounds, bounds[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["t", "shingles"])
+
+    return rows.mapInArrow(run, "t binary, shingles array<bigint>")
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs of which the shingle sets have a Jaccard similarity of LEAST_SIMILARITY at least; two empty sets are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                keep = []
+                for x, y in zip(part.column(2), part.column(3), strict=True):
+                    x, y = x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(both >= LEAST_SIMILARITY * (len(x) + len(y) - both))
+                yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    wide = pairs.join(sets.select(F.col("t").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("t").alias("b"), F.col("shingles").alias("y")), "b")
+    return wide.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+
+
+def first_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs less the near-duplicates: of each group the row with the smallest id stays (one of equal rows). docs' columns stay as they are.
+
+    Near-duplicates are texts of which the sets of five-word shingles have a similarity of 0.8 at least. Candidates share a part of a
+    SimHash over their words, weighted by rarity, which an edited word changes less than it changes the shingles; the shingles decide.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("t"), text.alias("text"))
+    prints = materialised(word_prints(rows, document_frequencies(rows.select("text"))), "prints")
+    distinct = materialised(prints.groupBy("t").agg(F.min(F.struct("id", "keys")).alias("x")).select("t", "x.*"), "texts")
+    pairs = materialised(candidate_pairs(distinct.select("t", "keys")), "pairs")
+    wanted = pairs.select(F.col("a").alias("t")).unionByName(pairs.select(F.col("b").alias("t"))).distinct().join(distinct.select("t", F.col("id").alias("of")), "t")
+    found = rows.join(wanted, (rows["t"] == wanted["t"]) & rows["id"].eqNullSafe(wanted["of"]), "inner").select(rows["t"], "text")
+    sets = materialised(shingle_sets(found), "shingles").dropDuplicates(["t"])
+    roots = components(similar_pairs(pairs, sets))
+    named = distinct.select("t", "id").join(roots.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
+    least = named.groupBy("root").agg(F.min(F.struct(F.col("id"), F.col("t"))).alias("stays"))
+    stays = materialised(least.select("stays.*"), "stays")
+    mark = "_t"
+    while mark in docs.columns:
+        mark += "_"
+    marked = docs.withColumn(mark, F.unhex(F.md5(text)))
+    stays = stays.select(F.col("id").alias("_stay_id"), F.col("t").alias("_stay_t"))
+    kept = marked.join(stays, marked[mark].eqNullSafe(stays["_stay_t"]) & marked[id_col].eqNullSafe(stays["_stay_id"]), "left_semi")
+    again = prints.groupBy("id", "t").count().where("count > 1").select("id", F.col("t").alias("again")).limit(1)
+    if again.count():  # equal rows: one of them stays
+        kept = kept.dropDuplicates([id_col, mark])
+    return kept.drop(mark)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = materialised(fingerprints(table(spark, sf_dir, "documents")), "prints")
     found = near_components(prints, k=2)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from epochlens.plans import measures, reads  # noqa: F401  (they register their queries)
+from epochlens.plans.registry import ORACLE_SQL, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE_SQL)

@@ -136,6 +136,15 @@ class Codec:
         self.learn([p for some in parts for p in some])
         return [self.projected(s, n, origin, some) for s, (n, origin), some in zip(sources, normal, parts, strict=True)]
 
+    def ids_all(self, sources: list[bytes]) -> list[np.ndarray]:
+        """Ids only, with begin and end."""
+        if len(self.map.units):
+            return [i for i, _ in self.encode_all(sources)]
+        parts = [self.parts(SPACE + s.decode().replace(" ", SPACE)) if s else [] for s in sources]
+        self.learn([p for some in parts for p in some])
+        begin, end = struct.pack("<I", self.model.bos_id()), struct.pack("<I", self.model.eos_id())
+        return [np.frombuffer(begin + b"".join(map(self.memo.__getitem__, some)) + end, "<u4") for some in parts]
+
     def encode(self, source: bytes) -> tuple[np.ndarray, np.ndarray]:
         return self.encode_all([source])[0]
 

@@ -116,8 +116,15 @@ class Codec:
         new = list({*parts} - self.memo.keys())
         if not new:
             return
-        # the library itself puts a space in front of what it encodes; a last lone space keeps the others' context
-        ids = np.array(self.model.encode("".join(new)[1:], num_threads=1), "<u4") if new != [SPACE] else np.array([self.model.piece_to_id(SPACE)], "<u4")
+        # spaces at the end of a text would join those of the next part, so they are segmented on their own
+        for part in new:
+            if not part.strip(SPACE):
+                self.memo[part] = struct.pack(f"<{len(x := self.model.encode(part[1:]) or [self.model.piece_to_id(SPACE)])}I", *x)
+        new = [p for p in new if p not in self.memo]
+        if not new:
+            return
+        # the library itself puts a space in front of what it encodes
+        ids = np.array(self.model.encode("".join(new)[1:], num_threads=1), "<u4")
         lengths = np.cumsum([len(p.encode()) for p in new])
         if self.width[ids].sum() == lengths[-1]:
             cuts = np.searchsorted(np.cumsum(self.width[ids]), lengths, side="left") + 1

@@ -279,17 +279,20 @@ def candidate_pairs(prints: DataFrame) -> DataFrame:
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
-    """rows (t, text) to t, shingles: the distinct hashes of all runs of SHINGLE_WORDS words."""
+    """rows (t, text) to t, shingles: the distinct 32-bit hashes of all runs of SHINGLE_WORDS words.
+
+    Two sets of n shingles share n * n / 2**32 of them by chance: one in a text of 65,000 words, of which the similarity moves by 0.00002.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 hashes, of = run_hashes(Tokens(texts(part.column(1)), fold=True, whole=True), SHINGLE_WORDS)
                 bounds = np.searchsorted(of, np.arange(part.num_rows + 1))
-                sets = [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(bounds, bounds[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["t", "shingles"])
+                sets = [np.unique((hashes[a:b] >> np.uint64(32)).astype(np.uint32)).view(np.int32) for a, b in zip(bounds, bounds[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int32()))], ["t", "shingles"])
 
-    return rows.mapInArrow(run, "t binary, shingles array<bigint>")
+    return rows.mapInArrow(run, "t binary, shingles array<int>")
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -166,8 +166,8 @@ def _keys(fps: DataFrame, plan: list[tuple[int, int]]) -> DataFrame:
     wanted = []
     for part, (mask, t) in enumerate(plan):
         for hole in [-1, *(bits_of(mask) if t else [])]:
-            kept = mask & ~(1 << hole) if hole >= 0 else mask
-            wanted.append((part, hole, kept - (1 << 64) if kept >> 63 & 1 and kept > 0 else kept))
+            kept = mask & (1 << 64) - 1 & ~(1 << hole if hole >= 0 else 0)
+            wanted.append((part, hole, kept - (1 << 64) if kept >> 63 else kept))
     return fps.select("fp", F.explode(F.array(*(F.struct(F.lit(p).alias("part"), F.lit(h).alias("hole"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for p, h, m in wanted))).alias("x")).select("fp", "x.*")
 
 

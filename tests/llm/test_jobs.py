@@ -191,6 +191,38 @@ def test_components_equal_all_pairs(spark, seed):
     assert {x["id"]: x["component"] for x in found.collect()} == simhash_dedup.brute_force_components(list(range(len(signed))), signed)
 
 
+@pytest.mark.parametrize("thresholds", [(1, -1, 0), (0, 1), (0, -1, 1)])
+def test_links_with_unequal_thresholds(spark, thresholds):
+    """Parts that hold bit 63 are searched with a threshold of 1, small groups and a large one."""
+    r = random.Random(9)
+    order = list(range(64)) if thresholds[-1] == 1 else list(range(63, -1, -1))
+    masks = simhash_dedup.cut(order, len(thresholds))
+    plan = [(m, t) for m, t in zip(masks, thresholds, strict=True) if t >= 0]
+    assert any(m < 0 and t == 1 for m, t in plan)
+    skipped = {b for m, t in zip(masks, thresholds, strict=True) if t < 0 for b in simhash_dedup.bits_of(m)}
+    k = sum(t + 1 for t in thresholds) - 1
+    centres, prints = [r.getrandbits(64) for _ in range(12)], set()
+    for n in range(300):
+        c = centres[0] if n % 3 == 0 else r.choice(centres)
+        for b in r.sample([63, 62, *range(64)], r.randint(0, 3)):
+            c ^= 1 << b
+        prints.add(c)
+    signed = [p - (1 << 64) if p >> 63 else p for p in sorted(prints)]
+    found = simhash_dedup.links(spark.createDataFrame([(p,) for p in signed], "fp long"), plan, k).collect()
+    roots = {n: n for n in signed}
+
+    def root(x):
+        while roots[x] != x:
+            x = roots[x]
+        return x
+
+    for a, b in found:
+        assert ((a ^ b) & (2**64 - 1)).bit_count() <= 2 * k
+        x, y = root(a), root(b)
+        roots[max(x, y)] = min(x, y)
+    assert {n: root(n) for n in signed} == simhash_dedup.brute_force_components(signed, signed, k)
+
+
 def test_near_duplicates_of_odd_rows(spark, odd, none):
     r = random.Random(4)
     base = [f"w{r.randint(0, 5000)}" for _ in range(300)]

@@ -153,17 +153,20 @@ def read_warc(files: DataFrame, *, split_bytes: int = SPLIT_BYTES) -> DataFrame:
 
 
 def with_first_record(pages: DataFrame, *, min_revisit_bytes: int) -> DataFrame:
-    """page, url, payload and refers_to: for each page the smallest id with its payload, null for that one itself and for small payloads.
+    """page, url, payload and refers_to: the smallest id with the row's payload, null for the rows of that id and for small payloads.
 
-    Only ids and digests are shuffled: a digest's first id and count are summed up before the shuffle, digests of one page never
-    come back, and the rows of a frequent one are dealt over salts.
+    Each row is linked by the digest of its own payload, so that an id may come with several payloads. Only ids and digests are summed
+    up; digests of one row never come back, and the rows of each are dealt over salts.
     """
-    keyed = pages.select("page", F.sha2(F.encode("payload", "utf-8"), 256).alias("digest")).where(F.octet_length("payload") >= min_revisit_bytes)
-    first = keyed.groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    digest = F.when(F.octet_length("payload") >= min_revisit_bytes, F.sha2(F.encode("payload", "utf-8"), 256))
+    first = pages.select("page", digest.alias("digest")).where("digest is not null").groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = pages.select("*", F.when(F.octet_length("payload") >= min_revisit_bytes, F.sha2(F.encode("payload", "utf-8"), 256)).alias("digest"), F.pmod(F.xxhash64("page"), F.lit(SALTS)).cast("int").alias("salt"))
-    revisits = rows.select("page", "digest", "salt").join(salted, ["digest", "salt"]).where("page <> first").groupBy("page").agg(F.min("first").alias("refers_to"))
-    return rows.drop("digest", "salt").join(revisits, "page", "left")
+    # dealt by url and place too, as one id or one row may come many times; rows without a digest have negative salts and meet nothing
+    where = F.xxhash64("page", "url", F.spark_partition_id())
+    salt = F.when(F.col("digest").isNull(), -1 - F.pmod(where, F.lit(1 << 30))).otherwise(F.pmod(where, F.lit(SALTS))).cast("int")
+    rows = pages.withColumn("digest", digest).withColumn("salt", salt)
+    refers_to = F.when(F.col("page") != F.col("first"), F.col("first"))
+    return rows.join(salted, ["digest", "salt"], "left").select("page", "url", "payload", refers_to.alias("refers_to"))
 
 
 def write_warc(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:

@@ -59,6 +59,18 @@ def test_warc_odd_pages(spark):
     assert warc.read_warc(empty).count() == 0
 
 
+def test_warc_keeps_all_payloads_of_an_id(spark):
+    a, b, c = "a" * 150, "b" * 150, "c" * 150
+    rows = [(1, "u1", a), (5, "u5", a), (5, "u5", b), (5, "u5", b), (5, "u5", "short"), (7, "u7", b), (7, "u7", c), (None, "n", c), (None, "n", "d" * 150)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = warc.read_warc(warc.write_warc(pages, work_path(spark, "warc-test"))).collect()
+    text = lambda r: None if r["payload"] is None else bytes(r["payload"]).decode()
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    got = sorted((r["record_id"], r["payload_digest"], r["refers_to"] or "", text(r) or "") for r in found)
+    kept = [(f"urn:page:{i}", digest(s), "", s) for i, s in [(1, a), (5, b), (5, b), (5, "short"), (7, c), ("", c), ("", "d" * 150)]]
+    assert got == sorted([*kept, ("urn:page:5", digest(a), "urn:page:1", ""), ("urn:page:7", digest(b), "urn:page:5", "")])
+
+
 def test_warc_equals_sql(spark):
     assert rows_of(warc.op1_warc(spark, SMALL)) == rows_of_sql(warc.OP1_SQL, SMALL)
 

@@ -1,7 +1,7 @@
 """Personal data by rules and a semi-Markov conditional random field.
 
 Rules give the base spans. The field adds spans that rules of fixed shape miss (a card number glued to another number, a phone number
-without its plus sign, an address with spaced-out signs): it scores whole candidate segments of at most ``MAX_TOKENS`` tokens by features of
+without its plus sign, an address with a space before its sign @): it scores whole candidate segments of at most ``MAX_TOKENS`` tokens by features of
 the segment as a whole, and one dynamic programme over the tokens chooses boundaries and types jointly. Its weights are fitted by
 gradient ascent on the exact conditional likelihood of generated examples (``training_regions``, a fixed seed), so that
 they depend on no corpus. An added span needs a posterior of ``LEAST_POSTERIOR`` and touches no base span.
@@ -91,25 +91,27 @@ def joined(spans: list[Span]) -> str:
 # --- the field ---------------------------------------------------------------------------------------------------------
 
 _TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|[^A-Za-z0-9]")
-#: A region longer than this is cut at white space: no entity spans so many tokens.
-REGION_TOKENS = 4096
+#: A longer region is taken in windows: so many tokens each whose segments are its own, and MARGIN tokens of the region around them.
+REGION_TOKENS, MARGIN = 4096, 2 * MAX_TOKENS
 
 
 def regions(text: str) -> Iterator[tuple[int, str]]:
-    """(start, region): words of a line that hold a digit or the sign @ and follow each other."""
+    """(start, region): words of a line that hold a digit or the sign @ and follow each other, and the word before them where the first has the sign @."""
     if "@" in text or _DIGIT.search(text):
         for chunk in re.finditer(r"\S+(?:[^\S\n]\S+)*", text):  # lines
             line = chunk[0]
             words, run, start = line.split(" "), [], 0
-            at = 0
+            at, before = 0, ""
             for w in [*words, ""]:
                 if w and (_DIGIT.search(w) or "@" in w):
-                    start = at if not run else start
+                    if not run:
+                        run = [before] if before and "@" in w else []
+                        start = at - sum(len(x) + 1 for x in run)
                     run.append(w)
                 elif run:
                     yield chunk.start() + start, " ".join(run)
                     run = []
-                at += len(w) + 1
+                at, before = at + len(w) + 1, w
 
 
 class Region:
@@ -152,18 +154,16 @@ class Region:
                     elif t[j] not in " ().-" and not (j == i and t[j] == "+"):
                         break
             if t[i] == "@":
-                lows, low = [], i
+                last = low = i - 1 if i and t[i - 1] == " " else i
                 while low > 0 and i - low < MAX_TOKENS // 2 and (numeric[low - 1] or alpha[low - 1] or t[low - 1] in "._%+-"):
                     low -= 1
-                    lows.append(low)
-                spaced = i - 2 if i >= 2 and t[i - 1] == " " and alpha[i - 2] else None
                 high = i + 1
                 while high < self.n and high - i < MAX_TOKENS // 2 and (numeric[high] or alpha[high] or t[high] in ".-"):
                     high += 1
                 while high > i + 1 and t[high - 1] in ".-":
                     high -= 1
-                if high > i + 1:
-                    found += [(low, high, "email") for low in (lows[-1:] or ([spaced] if spaced is not None else []))]
+                if high > i + 1 and low < last:
+                    found.append((low, high, "email"))
         return found
 
     def features(self, i: int, j: int, kind: str) -> list[str]:
@@ -295,21 +295,23 @@ def added_spans(text: str, base: list[Span], w: dict[str, float]) -> list[Span]:
     """What the field adds to the rules' spans."""
     found = []
     for start, piece in regions(text):
-        cuts = [0]
-        while len(piece) - cuts[-1] > REGION_TOKENS:  # at white space, or hard where there is none
-            gap = piece.rfind(" ", cuts[-1] + 1, cuts[-1] + REGION_TOKENS)
-            cuts.append(gap if gap > 0 else cuts[-1] + REGION_TOKENS)
-        for a, b in zip(cuts, [*cuts[1:], len(piece)], strict=True):
-            region = Region(piece[a:b])
+        at = [m.start() for m in _TOKEN.finditer(piece)] + [len(piece)]
+        free = 0
+        for own in range(0, len(at) - 1, REGION_TOKENS):
+            first = max(0, own - MARGIN)
+            region = Region(piece[at[first] : at[min(own + REGION_TOKENS + MARGIN, len(at) - 1)]])
             segments = _scores(region, w)
             if not segments:
                 continue
             sure = _posteriors(region.n, segments)
-            for s in best_segments(region.n, segments):
+            for s in sorted(best_segments(region.n, segments), key=lambda s: segments[s][:2]):
                 i, j, kind, *_ = segments[s]
-                lo, hi = start + a + region.at[i], start + a + region.at[j]
+                if not own <= first + i < own + REGION_TOKENS or first + i < free:
+                    continue
+                lo, hi = start + at[first + i], start + at[first + j]
                 if sure[s] >= LEAST_POSTERIOR and all(hi <= x or y <= lo for x, y, _ in base):
                     found.append((lo, hi, kind))
+                    free = first + j
     return found
 
 

@@ -189,6 +189,24 @@ def test_field_finds_held_out_layouts():
     assert wrong <= 0.25 * max(1, right)
 
 
+def test_spaced_addresses_in_sentences():
+    w = pii.weights()
+    for name in ("bob", "anna.berg", "carl7", "d_smith42"):
+        for head, tail in (("Please write to ", " before noon"), ("In 2024 ask ", ""), ("", ", thanks")):
+            text = f"{head}{name} @example.com{tail}"
+            assert pii.find(text, w)[1] == [(len(head), len(head) + len(name) + len(" @example.com"), "email")], text
+    assert pii.find("see you @noon or meet the @team there", w)[1] == []
+
+
+def test_long_regions_lose_nothing_at_cuts():
+    w, phone = pii.weights(), "(555) 123-4567"
+    for tokens_a_word, word in ((3, "11x "), (2, "7 ")):  # over each place of a cut by characters and of one by tokens
+        for n in {*range(4096 // len(word) - 10, 4096 // len(word) + 3), *range(4096 // tokens_a_word - 10, 4096 // tokens_a_word + 3)}:
+            head = "11x " * n if word != "7 " else "7 " * (n - 1) + "x1 "
+            got = [s for s in pii.added_spans(head + phone + " 33z" + " 44y" * 3000, [], w) if s[2] == "phone"]
+            assert got == [(len(head), len(head) + len(phone), "phone")], n
+
+
 # --- op8
 
 

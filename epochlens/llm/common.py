@@ -2,49 +2,34 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a batch that are held decoded at once in a Python worker.
-SLICE_ROWS = 256
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="epochlens-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found if "://" in found or found.startswith("file:") else f"file://{found}"
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
+from epochlens.session import materialised, shared_dir, work_path  # noqa: F401
 
-def materialised(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet under the shared folder and read it back; cuts the lineage and survives a lost executor."""
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Rows of a batch, and bytes of their strings, that are held decoded at once in a Python worker; a longer row stands alone.
+SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS):
-    """The batch in pieces of at most so many rows; a batch without rows gives none."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS, size: int = SLICE_BYTES):
+    """The batch in pieces of at most so many rows and bytes of strings (one row at least); a batch without rows gives none."""
+    held = np.zeros(batch.num_rows + 1, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            held[1:] += np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        until = int(np.searchsorted(held, held[at] + size, "right")) - 1
+        until = max(at + 1, min(until, at + rows, batch.num_rows))
+        yield batch.slice(at, until - at)
+        at = until
 
 
 def texts(column: pa.Array) -> list[bytes]:

@@ -30,6 +30,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def stretch_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch [first, last) of the bytes."""
+    summed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _powers_of(_MULTIPLIER, len(data)), dtype=np.uint64)])
+    return mixed((summed[last] - summed[first]) * _powers_of(_INVERSE, len(summed))[first] + (last - first).astype(np.uint64))
+
+
 class Tokens:
     """Runs of word bytes and runs of marks (word bytes only: marks=False; all between white space: whole=True), a 64-bit hash each, and where they start and end in their text.
 

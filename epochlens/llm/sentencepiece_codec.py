@@ -11,6 +11,7 @@ equal rows; texts of any length are handled whole, in one task's memory; further
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import struct
 from collections.abc import Iterator
@@ -20,64 +21,76 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from epochlens.llm.common import doc_texts, slices, table, texts
+from epochlens.llm.ngrams import stretch_hashes
 
 #: U+2581, which stands for a space within pieces.
 SPACE = "▁"
 SPACE_UTF8 = SPACE.encode()
 #: Segmented parts kept by a task; the memo starts anew beyond that.
-MEMO_PARTS = 400_000
+MEMO_PARTS = 1 << 19
 
 
 class CharMap:
     """A compiled character map: a double-array trie over source prefixes, and the replacements they point to."""
 
     def __init__(self, compiled: bytes):
-        self.units = np.zeros(0, np.uint32)
+        self.units: list[int] = []
         self.replacements = b""
         if compiled:
             (size,) = struct.unpack_from("<I", compiled)
-            self.units = np.frombuffer(compiled, "<u4", size // 4, 4)
+            self.units = np.frombuffer(compiled, "<u4", size // 4, 4).tolist()
             self.replacements = compiled[4 + size :]
+            # only characters that begin with one of these bytes can be replaced
+            firsts = bytes(b for b in range(256) if self._step(self._child(0), b) is not None)
+            self.places = re.compile(b"[" + b"".join(b"\\x%02x" % b for b in firsts) + b"]") if firsts else None
+
+    def _child(self, node: int) -> int:
+        unit = self.units[node]
+        return node ^ (unit >> 10) << ((unit & (1 << 9)) >> 6)
+
+    def _step(self, node: int, byte: int) -> int | None:
+        """The unit that this byte leads to from a node's children, if there is one."""
+        at = node ^ byte
+        return at if at < len(self.units) and self.units[at] & ((1 << 31) | 0xFF) == byte else None
 
     def longest(self, source: bytes, at: int) -> tuple[int, int]:
         """Length of the longest source prefix at this place that the map knows, and where its replacement starts; (0, -1) if none."""
-        units = self.units
-        found = (0, -1)
-        node = 0
-        unit = int(units[0])
-        node ^= (unit >> 10) << ((unit & (1 << 9)) >> 6)
+        found, node = (0, -1), self._child(0)
         for i in range(at, len(source)):
-            node ^= source[i]
-            unit = int(units[node])
-            if unit & ((1 << 31) | 0xFF) != source[i]:
+            held = self._step(node, source[i])
+            if held is None:
                 break
-            node ^= (unit >> 10) << ((unit & (1 << 9)) >> 6)
-            if (unit >> 8) & 1:
-                found = (i + 1 - at, int(units[node]) & ((1 << 31) - 1))
+            node = self._child(held)
+            if (self.units[held] >> 8) & 1:
+                found = (i + 1 - at, self.units[node] & ((1 << 31) - 1))
         return found
 
     def apply(self, source: bytes) -> tuple[bytes, np.ndarray]:
-        """The normalised bytes, and for each of them (and the end) the source byte that it starts from."""
-        if not len(self.units):
+        """The normalised bytes, and for each of them (and the end) the source byte that it starts from.
+
+        What no key of the map begins with is copied in whole stretches; a replacement's bytes all come from where its prefix starts.
+        """
+        if not self.units or self.places is None:
             return source, np.arange(len(source) + 1)
-        out, origin = bytearray(), []
-        at = 0
-        while at < len(source):
-            size, where = self.longest(source, at)
+        out, origin, copied, at = [], [], 0, 0
+        while m := self.places.search(source, at):
+            size, where = self.longest(source, m.start())
+            at = m.start() + max(size, 1)
             if size:
                 new = self.replacements[where : self.replacements.index(b"\0", where)]
-            else:
-                lead = source[at]
-                size = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-                new = source[at : at + size]
-            out += new
-            origin += [at] * len(new)
-            at += size
-        return bytes(out), np.array([*origin, len(source)])
+                out += [source[copied : m.start()], new]
+                origin += [np.arange(copied, m.start()), np.full(len(new), m.start())]
+                copied = at
+        out.append(source[copied:])
+        origin.append(np.arange(copied, len(source) + 1))
+        return b"".join(out), np.concatenate(origin)
 
 
 class Codec:
-    """One per Python worker; holds the model and the memo of segmented parts."""
+    """One per Python worker; holds the model and the memo of segmented parts.
+
+    The memo is known by 64-bit hashes of the parts (of n parts, n * n / 2**65 pairs share one: for a full memo, one in two hundred million).
+    """
 
     def __init__(self, path: str):
         import sentencepiece
@@ -91,72 +104,80 @@ class Codec:
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         if any(SPACE in p.lstrip(SPACE) for p in pieces):
             raise ValueError("a piece holds a space after another character; texts can't be cut before spaces")
-        #: Normalised bytes that each piece covers; a byte piece covers one.
-        self.width = np.array([1 if self.model.is_byte(i) else len(p.encode()) for i, p in enumerate(pieces)])
+        #: Bytes that each piece covers, with spaces as one byte; a byte piece covers one.
+        self.width = np.array([1 if self.model.is_byte(i) else len(p.replace(SPACE, " ").encode()) for i, p in enumerate(pieces)])
         self.unknown = self.model.unk_id()
-        self.part = re.compile(f"{SPACE}+[^{SPACE}]*")
-        self.memo: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = np.zeros(0, np.uint64)  # hashes of parts, in order
+        self.where = np.zeros((2, 0), np.int64)  # first place and number of each part's ids in held
+        self.held = np.zeros(0, np.uint16 if len(self.width) <= 1 << 16 else np.uint32)
 
     def normalised(self, source: bytes) -> tuple[bytes, np.ndarray]:
-        """With spaces escaped and one in front, and where each byte (and the end) comes from."""
+        """With one space in front, and where each byte (and the end) comes from. Spaces stay as they are; U+2581 is one as well."""
         if not source:
             return b"", np.zeros(1, np.int64)
         plain, origin = self.map.apply(source)
-        flat = np.frombuffer(plain, np.uint8)
-        sizes = np.where(flat == 0x20, 3, 1)
-        return SPACE_UTF8 + plain.replace(b" ", SPACE_UTF8), np.concatenate([[0, 0, 0], np.repeat(origin[:-1], sizes), origin[-1:]])
-
-    def parts(self, normal: str) -> list[str]:
-        return self.part.findall(normal)
-
-    def learn(self, parts: list[str]) -> None:
-        """Segment the parts that the memo doesn't have yet, in one call: no piece spans two of them, so the ids can be cut by their widths."""
-        if len(self.memo) > MEMO_PARTS:
-            self.memo.clear()
-        new = list({*parts} - self.memo.keys())
-        if not new:
-            return
-        # spaces at the end of a text would join those of the next part, so they are segmented on their own
-        for part in new:
-            if not part.strip(SPACE):
-                self.memo[part] = struct.pack(f"<{len(x := self.model.encode(part[1:]) or [self.model.piece_to_id(SPACE)])}I", *x)
-        new = [p for p in new if p not in self.memo]
-        if not new:
-            return
-        # the library itself puts a space in front of what it encodes
-        ids = np.array(self.model.encode("".join(new)[1:], num_threads=1), "<u4")
-        lengths = np.cumsum([len(p.encode()) for p in new])
-        if self.width[ids].sum() == lengths[-1]:
-            cuts = np.searchsorted(np.cumsum(self.width[ids]), lengths, side="left") + 1
-            packed, start = ids.tobytes(), 0
-            for part, end in zip(new, cuts.tolist(), strict=True):
-                self.memo[part] = packed[4 * start : 4 * end]
-                start = end
-        else:  # unknown pieces have no width of their own
-            for part in new:
-                self.memo[part] = struct.pack(f"<{len(x := self.model.encode(part[1:]) or [self.model.piece_to_id(SPACE)])}I", *x)
+        if SPACE_UTF8 in plain:
+            flat = np.frombuffer(plain, np.uint8)
+            mark = np.flatnonzero((flat[:-2] == SPACE_UTF8[0]) & (flat[1:-1] == SPACE_UTF8[1]) & (flat[2:] == SPACE_UTF8[2]))
+            origin = np.delete(origin, np.concatenate([mark + 1, mark + 2]))
+            plain = plain.replace(SPACE_UTF8, b" ")
+        return b" " + plain, np.concatenate([origin[:1], origin])
+
+    def learn(self, hashes: np.ndarray, parts: list[bytes]) -> None:
+        """Segment new parts, each on its own. The library puts a space in front of what it encodes, so that one is left off; but a lone space encodes to nothing then."""
+        lone = [self.model.piece_to_id(SPACE)]
+        found = [ids or lone for ids in self.model.encode([p[1:].decode() for p in parts], num_threads=1)]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        starts = len(self.held) + np.cumsum(counts) - counts
+        self.held = np.concatenate([self.held, np.fromiter(itertools.chain.from_iterable(found), self.held.dtype, int(counts.sum()))])
+        at = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, at, hashes)
+        self.where = np.insert(self.where, at, np.stack([starts, counts]), axis=1)
+
+    def segment(self, normal: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other and without begin and end, and where each text's begin (and the end of all)."""
+        flat = b"\0".join([b"", *normal, b""])  # a part begins at a space after something else, and a text starts with a space
+        data = np.frombuffer(flat, np.uint8)
+        sizes = np.array([len(n) for n in normal], np.int64)
+        begins = 1 + np.cumsum(sizes + 1) - (sizes + 1)
+        space = data == 0x20
+        first = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+        text = np.searchsorted(begins, first, side="right") - 1
+        last = np.minimum(np.concatenate([first[1:], first[:0] if not len(first) else [len(flat)]]), (begins + sizes)[text])
+        hashes = stretch_hashes(data, first, last)
+        distinct, one, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.known) > MEMO_PARTS:
+            self._forget()
+        at = np.searchsorted(self.known, distinct)
+        new = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] != distinct) if len(self.known) else np.arange(len(distinct))
+        if len(new):
+            self.learn(distinct[new], [flat[a:b] for a, b in zip(first[one[new]].tolist(), last[one[new]].tolist(), strict=True)])
+            at = np.searchsorted(self.known, distinct)
+        starts, counts = self.where[:, at[inverse]] if len(distinct) else np.zeros((2, 0), np.int64)
+        ends = np.cumsum(counts)
+        ids = self.held[np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends])[np.searchsorted(text, np.arange(len(normal) + 1))]
+        return ids, bounds
 
     def encode_all(self, sources: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text its ids with begin and end, and the (start, end) source bytes of each piece; begin and end cover nothing."""
         normal = [self.normalised(s) for s in sources]
-        parts = [self.parts(n.decode()) for n, _ in normal]
-        self.learn([p for some in parts for p in some])
-        return [self.projected(s, n, origin, some) for s, (n, origin), some in zip(sources, normal, parts, strict=True)]
-
-    def ids_all(self, sources: list[bytes]) -> list[np.ndarray]:
-        """Ids only, with begin and end."""
-        if len(self.map.units):
-            return [i for i, _ in self.encode_all(sources)]
-        parts = [self.parts(SPACE + s.decode().replace(" ", SPACE)) if s else [] for s in sources]
-        self.learn([p for some in parts for p in some])
-        begin, end = struct.pack("<I", self.model.bos_id()), struct.pack("<I", self.model.eos_id())
-        return [np.frombuffer(begin + b"".join(map(self.memo.__getitem__, some)) + end, "<u4") for some in parts]
+        ids, bounds = self.segment([n for n, _ in normal])
+        return [self.projected(s, n, origin, ids[a:b]) for s, (n, origin), a, b in zip(sources, normal, bounds, bounds[1:], strict=False)]
+
+    def flat_ids(self, sources: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts without begin and end, and where each text's begin (and the end of all)."""
+        if self.map.units:
+            return self.segment([self.normalised(s)[0] for s in sources])
+        return self.segment([b" " + s.replace(SPACE_UTF8, b" ") if s else b"" for s in sources])
 
     def encode(self, source: bytes) -> tuple[np.ndarray, np.ndarray]:
         return self.encode_all([source])[0]
 
-    def projected(self, source: bytes, normal: bytes, origin: np.ndarray, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        body = np.frombuffer(b"".join(map(self.memo.__getitem__, parts)), "<u4")
+    def projected(self, source: bytes, normal: bytes, origin: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         widths = self.width[body]
         if (unknown := body == self.unknown).any():  # such a piece covers all that no other piece does
             widths = self._unknown_widths(body, widths, normal, unknown)
@@ -171,7 +192,7 @@ class Codec:
         widths, at = widths.copy(), 0
         for i in range(len(body)):
             if unknown[i]:
-                following = self.model.id_to_piece(int(body[i + 1])).encode() if i + 1 < len(body) else b""
+                following = self.model.id_to_piece(int(body[i + 1])).replace(SPACE, " ").encode() if i + 1 < len(body) else b""
                 until = normal.index(following, at + 1) if following else len(normal)
                 widths[i] = until - at
             at += int(widths[i])

@@ -6,6 +6,7 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import pytest
 from conftest import SMALL, rows_of, rows_of_sql
 from pyspark.sql import functions as F
@@ -135,6 +136,44 @@ def test_base_scores_of_a_whole_table(spark):
         assert r["held_out"] == (zlib.crc32(str(i).encode()) % 7 == 2)
 
 
+def plain_model_scores(docs, path):
+    """score of each text, in one process: one pass over all texts a round."""
+    c = sentencepiece_codec.codec(path)
+    low = ["".join(x.lower() if x.isascii() else x for x in t or "") for _, t in docs]
+    ids = [np.array(c.model.encode(t, add_eos=True), np.int64) for t in low]
+    trained = [zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in docs]
+    classes = lm_scoring.Classes(np.bincount(np.concatenate([x for x, y in zip(ids, trained, strict=True) if y]), minlength=c.model.get_piece_size()))
+    pairs = np.zeros((classes.n + 1, classes.n))
+    for x, y in zip(ids, trained, strict=True):
+        for a, b in zip([classes.n, *classes.of[x]], classes.of[x], strict=False) if y else ():
+            pairs[a, b] += 1
+    adam = lm_scoring.Adam(lm_scoring.initial(classes, pairs))
+    for k in range(lm_scoring.ROUNDS):
+        total, n = np.zeros(lm_scoring.SIZE), 0
+        for (_, t), x, y in zip(docs, ids, trained, strict=True):
+            if y and zlib.crc32(hashlib.md5((t or "").encode()).digest()) % lm_scoring.ROUNDS == k and len(x):
+                windows = lm_scoring.training_windows(classes.of[x], np.array([0, len(x)]))
+                total += lm_scoring.gradient(lm_scoring.parts(adam.flat.astype(np.float32)), *windows)[1]
+                n += len(x)
+        if n:
+            adam.step(total / n)
+    p, log_share = lm_scoring.parts(adam.flat.astype(np.float32)), np.log10(classes.share)
+    return [float(lm_scoring.scores(p, x, np.array([0, len(x)]), classes)[0]) for x in ids], [float((classes.within[x] + log_share[classes.of[x]]).sum()) for x in ids], trained
+
+
+def test_model_scores_of_a_whole_table(spark, model):
+    """Equal to one process however the rows are dealt, and better than the ids' frequencies on texts held out."""
+    docs = table(spark, SMALL, "documents").select("doc_id", "text")
+    plain = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    wanted, frequencies, trained = plain_model_scores(plain, model)
+    held_out = [k for k, x in enumerate(trained) if not x]
+    assert sum(wanted[k] for k in held_out) > 0.97 * sum(frequencies[k] for k in held_out)
+    train = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
+    for tasks in (1, 7):
+        found = {r["doc_id"]: r["score"] for r in lm_scoring.score_texts(docs.repartition(tasks), train, model).collect()}
+        assert [found[i] for i, _ in plain] == pytest.approx(wanted, rel=1e-4, abs=1e-3)
+
+
 def test_decontamination_of_odd_rows(spark, odd, none):
     items = spark.createDataFrame([(1, "the same few words stand here"), (2, None), (3, ""), (None, "no id"), (4, "an item that nobody holds at all")], "item_id long, text string")
     kept = decontaminate.clean(odd, items)

@@ -36,63 +36,79 @@ def test_spaces_at_the_end_stay_apart():
     for k in range(40):  # in many orders, each with an empty memo
         random.Random(k).shuffle(texts)
         c = sentencepiece_codec.Codec(MODEL)
-        for t, ids in zip(texts, c.ids_all([t.encode() for t in texts]), strict=True):
-            assert ids.tolist() == c.model.encode(t, add_bos=True, add_eos=True), repr(t)
+        ids, bounds = c.flat_ids([t.encode() for t in texts])
+        for t, a, b in zip(texts, bounds, bounds[1:], strict=False):
+            assert ids[a:b].tolist() == c.model.encode(t), repr(t)
 
 
 # --- op4
 
 
-def model_and_classes():
+def model_and_classes(scale=0.1):
     rng = np.random.default_rng(3)
     classes = lm_scoring.Classes(rng.integers(0, 50, 500))
-    flat = lm_scoring.initial(classes) + (rng.standard_normal(lm_scoring.SIZE) * 0.1).astype(np.float32)
+    flat = lm_scoring.initial(classes, rng.integers(0, 40, (classes.n + 1, classes.n))) + (rng.standard_normal(lm_scoring.SIZE) * scale).astype(np.float32)
     return flat, classes
 
 
-def test_fast_scores_equal_the_model():
-    flat, classes = model_and_classes()
-    p, rng = lm_scoring.parts(flat), np.random.default_rng(4)
-    inputs, targets = rng.integers(0, classes.n, (5, 32)), rng.integers(0, classes.n, (5, 32))
-    for first in (0, 8):
-        wanted, _ = lm_scoring.log_chances(lm_scoring.forward(p, inputs, first)[0], targets[:, first:])
-        assert np.allclose(lm_scoring.log_scores(p, inputs, targets[:, first:], first), wanted, atol=1e-4)
+def plain_log_chances(flat, window, targets):
+    """Natural log of each target's probability, in double precision and one place at a time."""
+    p = {k: v.astype(np.float64) for k, v in lm_scoring.parts(flat).items()}
+    x, out = p["embed"][window] + p["place"][: len(window)], []
+    for t, target in enumerate(targets):
+        a = (x[: t + 1] @ p["key"]) @ (x[t] @ p["query"]) / np.sqrt(lm_scoring.WIDTH)
+        a = np.exp(a - a.max())
+        logits = np.concatenate([x[t], (a / a.sum()) @ (x[: t + 1] @ p["value"]), [1.0]]) @ p["out"]
+        out.append(logits[target] - logits.max() - np.log(np.exp(logits - logits.max()).sum()))
+    return np.array(out)
 
 
-def test_every_id_is_scored_once():
-    flat, classes = model_and_classes()
+@pytest.mark.parametrize("scale", [0.1, 3.0, 12.0])
+def test_scores_equal_the_plain_model(scale):
+    """With wide weights as well, whose exponentials pass single precision unless they are shifted."""
+    flat, classes = model_and_classes(scale)
     p, rng = lm_scoring.parts(flat), np.random.default_rng(5)
-    ids = [rng.integers(0, 500, n) for n in (0, 1, 31, 32, 33, 56, 57, 200)]
-    found = lm_scoring.scores(p, ids, classes)
+    ids = [rng.integers(0, 500, n) for n in (0, 1, 31, 32, 33, 60, 61, 200)]
+    found = lm_scoring.scores(p, np.concatenate(ids), np.cumsum([0, *map(len, ids)]), classes)
     for x, got in zip(ids, found, strict=True):
         c = classes.of[x]
         seen, total, at = np.concatenate([[classes.n], c[:-1]]) if len(x) else c, 0.0, 0
         scored = np.zeros(len(x), int)
         while len(x) and (at == 0 or at + lm_scoring.WINDOW - lm_scoring.STRIDE < len(x)):
             first = 0 if at == 0 else lm_scoring.WINDOW - lm_scoring.STRIDE
-            part, goal = seen[at : at + lm_scoring.WINDOW][None], c[at : at + lm_scoring.WINDOW][None, first:]
-            total += float(lm_scoring.log_chances(lm_scoring.forward(p, part, first)[0], goal)[0].sum())
+            total += plain_log_chances(flat, seen[at : at + lm_scoring.WINDOW], c[at : at + lm_scoring.WINDOW])[first:].sum()
             scored[at + first : at + lm_scoring.WINDOW] += 1
             at += lm_scoring.STRIDE
         assert (scored == 1).all()
-        assert got == pytest.approx(total / np.log(10) + classes.within[x].sum(), rel=1e-4, abs=1e-4)
+        assert got == pytest.approx(total / np.log(10) + classes.within[x].sum(), rel=1e-3, abs=1e-3)
 
 
 def test_gradient_follows_the_loss():
     flat, classes = model_and_classes()
     rng = np.random.default_rng(6)
-    inputs, targets, real = rng.integers(0, classes.n, (4, 32)), rng.integers(0, classes.n, (4, 32)), np.ones((4, 32), np.float32)
+    inputs, targets, real = rng.integers(0, classes.n, (4, 32)), rng.integers(0, classes.n, (4, 32)), (rng.random((4, 32)) < 0.8).astype(np.float32)
     _, g = lm_scoring.gradient(lm_scoring.parts(flat), inputs, targets, real)
-    way = g / np.linalg.norm(g)
-    up, down = (lm_scoring.gradient(lm_scoring.parts((flat + s * way).astype(np.float32)), inputs, targets, real)[0] for s in (1e-2, -1e-2))
-    assert (up - down) / 2e-2 == pytest.approx(float(np.linalg.norm(g)), rel=0.05)
-
-
-def test_training_lowers_the_loss():
-    _, classes = model_and_classes()
-    trainer, windows = lm_scoring.Trainer(lm_scoring.initial(classes)), lm_scoring.training_windows([np.arange(400) % 7], classes)
-    losses = [trainer.step(*windows) for _ in range(60)]
-    assert losses[-1] < losses[0] - 0.5
+    loss = lambda f: -sum((plain_log_chances(f, x, y) * r).sum() for x, y, r in zip(inputs, targets, real, strict=True))
+    at = 0
+    for name, shape in lm_scoring.SHAPES.items():  # each kind of parameter by itself
+        way = np.zeros(lm_scoring.SIZE)
+        way[at : at + shape[0] * shape[1]] = g[at : at + shape[0] * shape[1]]
+        way, at = way / np.linalg.norm(way), at + shape[0] * shape[1]
+        assert (loss(flat + 1e-4 * way) - loss(flat - 1e-4 * way)) / 2e-4 == pytest.approx(float(g @ way), rel=0.01), name
+
+
+def test_start_is_the_frequency_of_pairs():
+    """With pairs of low rank the model starts as their frequencies."""
+    rng = np.random.default_rng(8)
+    classes = lm_scoring.Classes(rng.integers(1, 50, 500))
+    kinds = rng.dirichlet(np.ones(classes.n), 3)
+    pairs = (kinds[np.arange(classes.n + 1) % 3] * 1e6).astype(int)
+    classes.share = pairs.sum(axis=0) / pairs.sum()
+    flat = lm_scoring.initial(classes, pairs)
+    lm_scoring.parts(flat)["out"][lm_scoring.WIDTH : 2 * lm_scoring.WIDTH] = 0
+    window = rng.integers(0, classes.n, 32)
+    got = plain_log_chances(flat, window, window)
+    assert np.allclose(got, np.log((pairs[window, window] + 50 * classes.share[window]) / (pairs[window].sum(axis=1) + 50)), atol=0.02)
 
 
 # --- op5

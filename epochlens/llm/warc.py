@@ -1,7 +1,8 @@
 """WARC archives: a writer with revisit records and a splittable reader.
 
 Every record is a gzip member of its own. The reader deals out byte ranges; a task looks in its range for the gzip magic, takes a place
-for a member only if inflating from there gives a WARC header, and owns exactly the records that start inside its range, reading past
+for a member only if inflating from there gives one whole record (version, type, record id, and a length that agrees) and, where it
+doesn't follow another member, if members follow it; and owns exactly the records that start inside its range, reading past
 its end where the last of them does. No index is needed, and ranges need not know of each other.
 
 The writer's tasks give every file a name of their own attempt, and the manifest that Spark commits lists those of the attempts that
@@ -15,6 +16,7 @@ null ids are written with an empty record id and read back as null; an empty tab
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -24,15 +26,20 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochlens.llm.common import slices, table, work_path
+from epochlens.llm.common import materialised, slices, table, work_path
 
 MAGIC = b"\x1f\x8b\x08"
 #: Payloads below this size are not worth a revisit record.
 MIN_REVISIT_BYTES = 100
 #: Bytes of a range, and bytes read at once.
 SPLIT_BYTES, READ_BYTES = 8 << 20, 1 << 20
-#: Salts over which the rows of one digest are dealt out when they look for its first record.
-SALTS = 16
+#: Ranges at most that each have a task of their own.
+MOST_TASKS = 100_000
+#: Members that must follow a candidate which doesn't itself follow one.
+AHEAD = 2
+#: A digest with over this share of all rows counts as frequent: there are fewer than FREQUENT of them, 40 bytes each.
+FREQUENT = 4096
+_VERSION = re.compile(r"WARC/[0-9]+\.[0-9]+")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -54,14 +61,6 @@ def record_bytes(record_id: str, url: str, payload: bytes, refers_to: str | None
     return packer.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
-def parse_record(data: bytes) -> dict:
-    """Headers of a whole inflated record, and its block."""
-    head, _, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "replace").split("\r\n")
-    found = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-    return found | {"block": rest[: int(found.get("content-length", len(rest)))]}
-
-
 class _Source:
     """Random access to a file by blocks; keeps the block at hand."""
 
@@ -77,9 +76,23 @@ class _Source:
         return self.held[at - self.at : at - self.at + n]
 
 
-def inflate_member(source: _Source, at: int) -> tuple[bytes, int] | None:
-    """The content of the gzip member at this place and its end; None if there is none that holds a WARC record."""
-    unpack, out, place = zlib.decompressobj(31), [], at
+def header_of(content: bytes) -> dict | None:
+    """Headers of an inflated member by lower-case name, and its block; None unless it is one whole WARC record."""
+    head, gap, rest = content.partition(b"\r\n\r\n")
+    lines = head.decode("utf-8", "replace").split("\r\n")
+    if not gap or not _VERSION.fullmatch(lines[0]) or not all(":" in x for x in lines[1:]):
+        return None
+    found = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    length = found.get("content-length", "")
+    if not {"warc-type", "warc-record-id"} <= found.keys() or not (length.isascii() and length.isdigit()):
+        return None
+    block, tail = rest[: int(length)], rest[int(length) :]
+    return found | {"block": block} if len(block) == int(length) and tail in (b"", b"\r\n", b"\r\n\r\n") else None
+
+
+def inflate_member(source: _Source, at: int) -> tuple[dict, int] | None:
+    """The record in the gzip member at this place, and the member's end; None if there is no member with a whole record."""
+    unpack, out, place, lead = zlib.decompressobj(31), [], at, b""
     try:
         while not unpack.eof:
             data = source.read(place, 1 << 16)
@@ -87,17 +100,34 @@ def inflate_member(source: _Source, at: int) -> tuple[bytes, int] | None:
                 return None
             out.append(unpack.decompress(data))
             place += len(data) - len(unpack.unused_data)
-            if sum(map(len, out[:2])) >= 5 and not (out[0] + b"".join(out[1:2])).startswith(b"WARC/"):
+            lead += out[-1][:5] if len(lead) < 5 else b""
+            if len(lead) >= 5 and not lead.startswith(b"WARC/"):
                 return None
     except zlib.error:
         return None
-    content = b"".join(out)
-    return (content, place) if content.startswith(b"WARC/") else None
+    found = header_of(b"".join(out))
+    return None if found is None else (found, place)
+
+
+def _followed(source: _Source, at: int, ahead: int) -> bool:
+    """Whether so many members, or all up to the file's end, lie here one after the other."""
+    for _ in range(ahead):
+        if at >= source.size:
+            return True
+        if (found := inflate_member(source, at)) is None:
+            return False
+        at = found[1]
+    return True
+
 
+def records_in(uri: str, start: int, end: int) -> Iterator[tuple[int, dict]]:
+    """(place, record) of each record that starts in [start, end).
 
-def records_in(uri: str, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(place, inflated record) of each record that starts in [start, end)."""
+    A member at the file's start, or right after another, is taken as it is. Another candidate must be followed by AHEAD members (or as many as
+    the file has left): one that was stored inside a larger member's data is not.
+    """
     source, at = _Source(uri), start
+    sure = 0
     while at < min(end, source.size):
         window = source.read(at, min(READ_BYTES, source.size - at))
         hit = window.find(MAGIC)
@@ -107,11 +137,11 @@ def records_in(uri: str, start: int, end: int) -> Iterator[tuple[int, bytes]]:
         at += hit
         if at >= end:
             return
-        if (found := inflate_member(source, at)) is None:
+        if (found := inflate_member(source, at)) is None or not (at == sure or _followed(source, found[1], AHEAD)):
             at += 1
         else:
             yield at, found[0]
-            at = found[1]
+            at = sure = found[1]
 
 
 def read_warc(files: DataFrame, *, split_bytes: int = SPLIT_BYTES) -> DataFrame:
@@ -120,12 +150,13 @@ def read_warc(files: DataFrame, *, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     payload is null in revisits; payload_bytes is then the full payload's, from the HTTP head that they keep.
     """
     ranges = files.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)).cast("long"), F.lit(split_bytes).cast("long"))).alias("start"))
-    ranges = ranges.select("path", "start", (F.col("start") + split_bytes).alias("end")).repartition("path", "start")
+    # so many tasks as there are ranges: a number that is given isn't coalesced, however few bytes the ranges themselves have
+    tasks = files.agg(F.coalesce(F.sum(F.ceil(F.col("size") / split_bytes)), F.lit(1))).first()[0]
+    ranges = ranges.select("path", "start", (F.col("start") + split_bytes).alias("end")).repartition(max(1, min(int(tasks), MOST_TASKS)))
 
-    def row(path: str, at: int, data: bytes) -> tuple:
-        r = parse_record(data)
+    def row(path: str, at: int, r: dict) -> tuple:
         http, _, payload = r["block"].partition(b"\r\n\r\n")
-        lengths = [int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+        lengths = [int(x.split(b":")[1]) for x in http.split(b"\r\n") if re.fullmatch(rb"(?i)content-length:\s*[0-9]+\s*", x)]
         revisit = r.get("warc-type") == "revisit"
         bare = lambda x: x and x.strip("<>")
         digest = r.get("warc-payload-digest", "").removeprefix("sha256:")
@@ -141,11 +172,13 @@ def read_warc(files: DataFrame, *, split_bytes: int = SPLIT_BYTES) -> DataFrame:
         for batch in batches:
             for path, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows = []
-                for at, data in records_in(path, start, end):
-                    rows.append(row(path, at, data))
-                    if len(rows) == 128:
+                held = 0
+                for at, record in records_in(path, start, end):
+                    rows.append(row(path, at, record))
+                    held += len(record["block"])
+                    if len(rows) == 128 or held > READ_BYTES:
                         yield give(rows)
-                        rows = []
+                        rows, held = [], 0
                 if rows:
                     yield give(rows)
 
@@ -156,17 +189,20 @@ def with_first_record(pages: DataFrame, *, min_revisit_bytes: int) -> DataFrame:
     """page, url, payload and refers_to: the smallest id with the row's payload, null for the rows of that id and for small payloads.
 
     Each row is linked by the digest of its own payload, so that an id may come with several payloads. Only ids and digests are summed
-    up; digests of one row never come back, and the rows of each are dealt over salts.
+    up. Frequent digests are few and are looked up where the rows are; the rows of the others are joined by digest, and all rows that have
+    nothing to look up are spread evenly.
     """
-    digest = F.when(F.octet_length("payload") >= min_revisit_bytes, F.sha2(F.encode("payload", "utf-8"), 256))
-    first = pages.select("page", digest.alias("digest")).where("digest is not null").groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    # dealt by url and place too, as one id or one row may come many times; rows without a digest have negative salts and meet nothing
-    where = F.xxhash64("page", "url", F.spark_partition_id())
-    salt = F.when(F.col("digest").isNull(), -1 - F.pmod(where, F.lit(1 << 30))).otherwise(F.pmod(where, F.lit(SALTS))).cast("int")
-    rows = pages.withColumn("digest", digest).withColumn("salt", salt)
-    refers_to = F.when(F.col("page") != F.col("first"), F.col("first"))
-    return rows.join(salted, ["digest", "salt"], "left").select("page", "url", "payload", refers_to.alias("refers_to"))
+    digest = F.when(F.octet_length("payload") >= min_revisit_bytes, F.unhex(F.sha2(F.encode("payload", "utf-8"), 256)))
+    grouped = pages.select("page", digest.alias("digest")).where("digest is not null").groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = materialised(grouped, "first-records")
+    bound = pages.count() // FREQUENT
+    frequent = first.where(F.col("n") > bound).select("digest", F.col("first").alias("frequent"))
+    rare = first.where(F.col("n") <= bound).select(F.col("digest").alias("key"), "first")
+    rows = pages.withColumn("digest", digest).join(F.broadcast(frequent), "digest", "left")
+    spread = F.encode(F.concat(F.lit("-"), F.xxhash64("page", "url", F.monotonically_increasing_id()).cast("string")), "utf-8")
+    rows = rows.withColumn("key", F.when(F.col("digest").isNull() | F.col("frequent").isNotNull(), spread).otherwise(F.col("digest")))
+    found = F.coalesce("frequent", "first")
+    return rows.join(rare, "key", "left").select("page", "url", "payload", F.when(F.col("page") != found, found).alias("refers_to"))
 
 
 def write_warc(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:

@@ -72,6 +72,24 @@ def test_warc_keeps_all_payloads_of_an_id(spark):
     assert got == sorted([*kept, ("urn:page:5", digest(a), "urn:page:1", ""), ("urn:page:7", digest(b), "urn:page:5", "")])
 
 
+def test_a_record_inside_a_record_is_no_record(spark, tmp_path):
+    """A member stored uncompressed inside another one's data, read in ranges that start between the two."""
+    inner = warc.record_bytes("inner", "u", b"x" * 50, None)
+    body = b"HTTP/1.1 200 OK\r\n\r\n" + random.Random(1).randbytes(300) + inner + random.Random(2).randbytes(300)
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <outer>\r\nContent-Length: %d\r\n\r\n" % len(body)
+    packer = zlib.compressobj(0, zlib.DEFLATED, 31)
+    outer = packer.compress(head + body + b"\r\n\r\n") + packer.flush()
+    assert inner in outer
+    for tail in (b"", warc.record_bytes("last", "u", b"y" * 500, None)):
+        (tmp_path / "a.warc.gz").write_bytes(warc.record_bytes("first", "u", b"z" * 500, None) + outer + tail)
+        files = spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz", (tmp_path / "a.warc.gz").stat().st_size)], "path string, size long")
+        for split in (64, 200, 300, 1 << 20):
+            found = warc.read_warc(files, split_bytes=split)
+            assert sorted(r["record_id"] for r in found.collect()) == sorted(["urn:page:first", "outer", *(["urn:page:last"] if tail else [])])
+    assert warc.header_of(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\nContent-Length: 9\r\n\r\nshort") is None
+    assert warc.header_of(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 0\r\n\r\n") is None
+
+
 def test_warc_equals_sql(spark):
     assert rows_of(warc.op1_warc(spark, SMALL)) == rows_of_sql(warc.OP1_SQL, SMALL)
 

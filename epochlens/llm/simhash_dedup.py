@@ -10,6 +10,8 @@ verified pair by pair. In a large one, of many near copies, its members are link
 fingerprints are within two bits exactly if they share a fingerprint that is within one bit of both, and at most 65 distinct
 fingerprints are within one bit of any, so that every group made that way is bounded and no pair is lost.
 
+``first_of_each`` drops near-duplicate texts by the same search over fingerprints of smallest shingle hashes.
+
 Equal fingerprints count once in all of this; copies come back at the end by a join on the fingerprint.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any other; repeated rows and ties fall in one
@@ -18,24 +20,25 @@ component, named by its smallest id; an empty table gives no rows; texts of any
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochlens.llm.common import doc_texts, folded_words, materialised, slices, table, texts
-from epochlens.llm.components import components
 from epochlens.llm.ngrams import Tokens, mixed, run_hashes
+from epochlens.operators.graph import components
 
 BITS = 64
 #: Groups of one key up to this size are verified pair by pair.
 SMALL_GROUP = 32
-#: Salts over which the rows of one fingerprint are dealt out when they fetch their component.
-SALTS = 16
+#: A fingerprint of over this share of all rows counts as frequent: there are fewer than FREQUENT of them, 16 bytes each.
+FREQUENT = 4096
 
 
 def shingle_hashes(words: list[bytes], width: int, seed: int) -> np.ndarray:
@@ -144,7 +147,7 @@ KEY_COST = 20.0
 
 
 def plan_parts(fps: DataFrame, k: int) -> list[tuple[int, int]]:
-    """(mask, threshold) of the parts to search; every split into 1 to k + 1 parts is weighed."""
+    """(mask, threshold) of the parts to search; splits into (k + 2) // 2 to k + 1 parts of almost equal size are weighed, as a threshold is 1 at most."""
     n, both = bit_statistics(fps)
     order = correlated_order(n, both)
     p = np.diag(both) / max(n, 1)
@@ -198,112 +201,114 @@ def links(fps: DataFrame, plan: list[tuple[int, int]], k: int) -> DataFrame:
 
 def near_components(prints: DataFrame, *, k: int = 2) -> DataFrame:
     """id, fp to id, fp, component: the smallest id that can be reached over fingerprints within k bits."""
-    first = materialised(prints.groupBy("fp").agg(F.min("id").alias("first")), "fingerprints")
+    first = materialised(prints.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "fingerprints")
     fps = first.select("fp")
     plan = plan_parts(fps, k)
     roots = components(links(fps, plan, k))  # of fingerprints
     named = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("first").alias("component"))
-    of_fp = named.join(least, "root").select("fp", "component", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = prints.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    return salted.join(of_fp, ["fp", "salt"]).select("id", "fp", "component")
+    of_fp = materialised(named.join(least, "root").select("fp", "component", "n"), "components")
+    bound = prints.count() // FREQUENT
+    frequent = of_fp.where(F.col("n") > bound).select("fp", F.col("component").alias("frequent"))
+    rare = of_fp.where(F.col("n") <= bound).select(F.col("fp").alias("key"), "component")
+    rows = prints.join(F.broadcast(frequent), "fp", "left")
+    # rows of frequent fingerprints have nothing to look up any more: they get keys of their own, and spread
+    key = F.when(F.col("frequent").isNull(), F.col("fp").cast("decimal(20,0)")).otherwise(F.xxhash64("id").cast("decimal(20,0)") + F.lit("20000000000000000000").cast("decimal(20,0)"))
+    found = rows.withColumn("key", key).join(rare.withColumn("key", F.col("key").cast("decimal(20,0)")), "key", "left")
+    return found.select("id", "fp", F.coalesce("frequent", "component").alias("component"))
 
 
-# --- near-duplicate texts: wide fingerprints as candidates, shingles as the proof ---------------------------------------
+# --- near-duplicate texts: fingerprints of smallest hashes as candidates, shingles as the proof -----------------------------
 
-#: Fingerprint bits and parts: WIDE_PARTS parts with threshold 0 find all that differ in fewer bits than there are parts, and most others that are alike.
-WIDE_BITS, WIDE_PARTS = 256, 12
 SHINGLE_WORDS, LEAST_SIMILARITY = 5, 0.8
-DF_BUCKETS = 1 << 18
+#: Parts of a fingerprint and components of a part. Two texts of similarity s agree in a part with odds s ** PART_SIZE, and in one of all parts, at
+#: the least similarity, with odds of 0.9994; a part must agree in all its components, as a threshold of 0 says.
+PARTS, PART_SIZE = 14, 4
+#: Bits of the components (one each, of BITS components) in which two alike texts may differ: at the least similarity 6.4 do on average, 2.4 the
+#: standard deviation, so that one pair in 100,000 has more.
+MOST_BITS = 17
 #: Leaders of a large group that each of its members is compared with, by different orders of the members.
 LEADERS = 4
 
 
-def document_frequencies(texts_only: DataFrame) -> np.ndarray:
-    """In how many texts each bucket of word hashes occurs; the number of texts is the last cell."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(DF_BUCKETS + 1, np.int64)
-        for batch in batches:
-            for part in slices(batch):
-                t = Tokens(texts(part.column(0)), fold=True, whole=True)
-                once = np.unique((t.hash >> np.uint64(46)).astype(np.int64) + t.text * DF_BUCKETS) % DF_BUCKETS
-                held[:-1] += np.bincount(once, minlength=DF_BUCKETS)
-                held[-1] += part.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([held.astype("<i8").tobytes()], pa.binary())], ["n"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([pa.array([sum((np.frombuffer(n, "<i8") for b in batches for n in b.column(0).to_pylist()), np.zeros(DF_BUCKETS + 1, np.int64)).tobytes()], pa.binary())], ["n"])
-
-    sums = texts_only.mapInArrow(run, "n binary").repartition(8).mapInArrow(add, "n binary").collect()  # 8 rows
-    return sum((np.frombuffer(r["n"], "<i8") for r in sums), np.zeros(DF_BUCKETS + 1, np.int64))
+def _multipliers() -> np.ndarray:
+    return np.random.default_rng(20240707).integers(0, 1 << 63, BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def wide_fingerprint(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """WIDE_BITS bits, each the sign of the weighted votes of all distinct words."""
-    if not len(hashes):
-        return np.zeros(WIDE_BITS, np.uint8)
-    wide = np.stack([mixed(hashes + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)) for k in range(WIDE_BITS // 64)], axis=1)
-    bits = np.unpackbits(wide.view(np.uint8).reshape(len(hashes), -1), axis=1, bitorder="little").astype(np.float32)
-    return (2 * (weights @ bits) > weights.sum()).astype(np.uint8)
+def smallest_hashes(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """texts x BITS: the smallest value of each text's shingles under each of BITS hash functions; the same greatest value for texts without any."""
+    out = np.full((len(bounds) - 1, BITS), np.uint64(2**64 - 1))
+    some = np.flatnonzero(np.diff(bounds) > 0)
+    if len(some):
+        for j, m in enumerate(_multipliers()):
+            out[some, j] = np.minimum.reduceat(mixed(hashes * m), bounds[:-1][some])
+    return out
 
 
-def word_prints(rows: DataFrame, frequencies: np.ndarray) -> DataFrame:
-    """rows (id, t, text) to id, t, keys: the parts of a fingerprint over distinct words, weighted by how rare they are."""
-    shared = rows.sparkSession.sparkContext.broadcast(np.log((frequencies[-1] + 1) / (frequencies[:-1] + 1)).astype(np.float32))
-    bounds = np.linspace(0, WIDE_BITS, WIDE_PARTS + 1).astype(int)
+def shingle_prints(rows: DataFrame) -> DataFrame:
+    """rows (id, text) to id, t (digest of the text), n (distinct shingles), bits (one of each component) and keys (one of each part)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                t = Tokens(texts(part.column(2)), fold=True, whole=True)
-                keys = []
-                for a, b in zip(t.first, t.first[1:], strict=False):
-                    own = np.unique(t.hash[a:b])
-                    bits = wide_fingerprint(own, shared.value[(own >> np.uint64(46)).astype(np.int64)])
-                    keys.append([int("".join(map(str, bits[x:y])), 2) for x, y in zip(bounds, bounds[1:], strict=False)])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.list_(pa.int32()))], ["id", "t", "keys"])
-
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, t binary, keys array<int>")
-
-
-def candidate_pairs(prints: DataFrame) -> DataFrame:
-    """prints (t, keys), one row for each distinct text, to pairs (a, b) of t that share a part: all pairs of small groups; in large ones every member with each leader."""
-    entered = prints.select("t", F.posexplode("keys").alias("part", "key"))
-    sizes = entered.groupBy("part", "key").agg(F.count("*").alias("n"), *(F.min_by("t", F.xxhash64("t", F.lit(o))).alias(f"lead{o}") for o in range(LEADERS))).where("n > 1")
-    shared = entered.join(sizes, ["part", "key"])
-    small = shared.where(F.col("n") <= SMALL_GROUP).groupBy("part", "key").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    pairs = small.select("ts", F.posexplode("ts").alias("i", "a")).select("a", F.explode(F.slice("ts", F.col("i") + 2, F.lit(SMALL_GROUP))).alias("b"))
-    led = shared.where(F.col("n") > SMALL_GROUP).select("t", F.explode(F.array(*(f"lead{o}" for o in range(LEADERS)))).alias("lead")).where("t <> lead")
-    return pairs.unionByName(led.select(F.least("t", "lead").alias("a"), F.greatest("t", "lead").alias("b"))).distinct()
-
-
-def shingle_sets(rows: DataFrame) -> DataFrame:
-    """rows (t, text) to t, shingles: the distinct 32-bit hashes of all runs of SHINGLE_WORDS words.
-
-    Two sets of n shingles share n * n / 2**32 of them by chance: one in a text of 65,000 words, of which the similarity moves by 0.00002.
+                sources = texts(part.column(1))
+                hashes, bounds, n = distinct_shingles(sources)
+                least = smallest_hashes(hashes, bounds)
+                bits = np.packbits((least & np.uint64(1)).astype(np.uint8), axis=1, bitorder="little").view("<i8")[:, 0]
+                keys = np.zeros((len(sources), PARTS), np.uint64)
+                for k in range(PART_SIZE):
+                    keys = mixed(keys * np.uint64(0xD6E8FEB86659FD93) + least[:, k * PARTS : (k + 1) * PARTS])
+                flat = pa.array(keys.ravel().view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([hashlib.md5(s).digest() for s in sources], pa.binary()), pa.array(n), pa.array(bits), pa.ListArray.from_arrays(np.arange(len(sources) + 1, dtype=np.int32) * PARTS, flat)], ["id", "t", "n", "bits", "keys"]
+                )
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, t binary, n long, bits long, keys array<long>")
+
+
+def distinct_shingles(sources: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's distinct shingles as sorted 64-bit hashes, one text after the other; where each text's begin; their numbers."""
+    hashes, of = run_hashes(Tokens(sources, fold=True, whole=True), SHINGLE_WORDS)
+    order = np.lexsort((hashes, of))
+    hashes, of = hashes[order], of[order]
+    once = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])]) if len(hashes) else np.zeros(0, bool)
+    hashes, of = hashes[once], of[once]
+    bounds = np.searchsorted(of, np.arange(len(sources) + 1))
+    return hashes, bounds, np.diff(bounds)
+
+
+def _plausible(a: str, b: str) -> Column:
+    """Sizes that a similarity of LEAST_SIMILARITY allows, and bits that agree well enough."""
+    small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
+    return (small >= F.lit(LEAST_SIMILARITY) * large) & (F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= MOST_BITS)
+
+
+def _pairs_within(entered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """entered (g, x: struct t, n, bits and maybe root; members of a group g once each) to plausible pairs (a, b) of t, and the large groups with their leaders.
+
+    All pairs of small groups are given; in large ones each member meets LEADERS members only, and what is left is for the caller. Members of
+    one root, where roots are given, need not meet.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                hashes, of = run_hashes(Tokens(texts(part.column(1)), fold=True, whole=True), SHINGLE_WORDS)
-                bounds = np.searchsorted(of, np.arange(part.num_rows + 1))
-                sets = [np.unique((hashes[a:b] >> np.uint64(32)).astype(np.uint32)).view(np.int32) for a, b in zip(bounds, bounds[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int32()))], ["t", "shingles"])
-
-    return rows.mapInArrow(run, "t binary, shingles array<int>")
+    sizes = entered.groupBy("g").agg(F.count("*").alias("members"), *(F.min_by("x", F.xxhash64("x.t", F.lit(o))).alias(f"lead{o}") for o in range(LEADERS))).where("members > 1")
+    sizes = materialised(sizes, "groups")
+    apart = F.col("a.root") != F.col("b.root") if "root" in entered.schema["x"].dataType.names else F.lit(True)
+    small = entered.join(sizes.where(F.col("members") <= SMALL_GROUP).select("g"), "g").groupBy("g").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    pairs = small.select("xs", F.posexplode("xs").alias("i", "a")).select("a", F.explode(F.slice("xs", F.col("i") + 2, F.lit(SMALL_GROUP))).alias("b"))
+    large = sizes.where(F.col("members") > SMALL_GROUP)
+    led = entered.join(large, "g").select(F.col("x").alias("a"), F.explode(F.array(*(f"lead{o}" for o in range(LEADERS)))).alias("b")).where("a.t <> b.t")
+    both = pairs.unionByName(led).where(apart & _plausible("a", "b"))
+    return both.select(F.least("a.t", "b.t").alias("a"), F.greatest("a.t", "b.t").alias("b")).distinct(), large.select("g")
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs of which the shingle sets have a Jaccard similarity of LEAST_SIMILARITY at least; two empty sets are alike."""
+    """The pairs (a, b) of which the sets (t, shingles) have a Jaccard similarity of LEAST_SIMILARITY at least; two empty sets are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 keep = []
                 for x, y in zip(part.column(2), part.column(3), strict=True):
-                    x, y = x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)
+                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(both >= LEAST_SIMILARITY * (len(x) + len(y) - both))
                 yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -312,21 +317,66 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return wide.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
+def shingle_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows (id, t, text), wanted (t, id: the row that stands for t) to t, shingles: the distinct 64-bit hashes of all runs of SHINGLE_WORDS words, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                hashes, bounds, _ = distinct_shingles(texts(part.column(1)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([hashes[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())], ["t", "shingles"])
+
+    wanted = wanted.select(F.col("t").alias("_t"), F.col("id").alias("_id"))
+    found = rows.join(wanted, (rows["t"] == wanted["_t"]) & rows["id"].eqNullSafe(wanted["_id"]), "left_semi").select("t", "text")
+    return materialised(found.mapInArrow(run, "t binary, shingles binary"), "shingles").dropDuplicates(["t"])
+
+
+def near_duplicate_roots(rows: DataFrame, distinct: DataFrame) -> DataFrame:
+    """rows (id, t, text), distinct (t, id, n, bits, keys) to (node, root) of t, for every text that is near another.
+
+    Texts meet in the groups of their parts' keys. Members of a group of over SMALL_GROUP are first compared with LEADERS of them, which links
+    the copies of one text. Members of one large group that this leaves apart are then held against each other where they share two such groups, which texts of the
+    least similarity do with odds of 0.993; groups of two keys that are still large give every pair of their members that lies apart.
+    """
+    x = F.struct("t", "n", "bits")
+    entered = materialised(distinct.select(F.posexplode("keys").alias("part", "key"), x.alias("x")).select(F.xxhash64("part", "key").alias("g"), "x"), "entered")
+    pairs, large = _pairs_within(entered)
+    pairs = materialised(pairs, "pairs")
+    wanted = pairs.select(F.col("a").alias("t")).unionByName(pairs.select(F.col("b").alias("t"))).distinct()
+    sets = shingle_sets(rows, distinct.join(wanted, "t", "left_semi").select("t", "id"))
+    links = materialised(similar_pairs(pairs, sets), "links")
+    roots = components(links)
+    # large groups that hold several families
+    crowd = entered.join(large, "g").join(roots.withColumnRenamed("node", "_t"), F.col("x.t") == F.col("_t"), "left").select("g", F.struct("x.*", F.coalesce("root", "x.t").alias("root")).alias("x"))
+    crowd = materialised(crowd, "crowd")
+    mixed_groups = crowd.groupBy("g").agg(F.min("x.root").alias("lo"), F.max("x.root").alias("hi")).where("lo <> hi").select("g")
+    left = crowd.join(mixed_groups, "g")
+    held = left.groupBy("x").agg(F.sort_array(F.collect_list("g")).alias("gs")).where("size(gs) > 1")  # PARTS groups at most
+    twice = held.select("x", "gs", F.posexplode("gs").alias("i", "g1")).select("x", "g1", F.explode(F.slice("gs", F.col("i") + 2, F.lit(PARTS))).alias("g2")).select(F.xxhash64("g1", "g2").alias("g"), "x")
+    twice = materialised(twice, "twice")
+    more, large = _pairs_within(twice)
+    crowded = twice.join(large, "g")
+    rest = crowded.select("g", F.col("x").alias("a")).join(crowded.select("g", F.col("x").alias("b")), "g").where((F.col("a.t") < F.col("b.t")) & (F.col("a.root") != F.col("b.root")) & _plausible("a", "b"))
+    more = materialised(more.unionByName(rest.select("a.t", "b.t").toDF("a", "b")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    if more.limit(1).count() == 0:
+        return roots
+    wanted = more.select(F.col("a").alias("t")).unionByName(more.select(F.col("b").alias("t"))).distinct()
+    sets = shingle_sets(rows, distinct.join(wanted, "t", "left_semi").select("t", "id"))
+    return components(links.unionByName(similar_pairs(more, sets)))
+
+
 def first_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs less the near-duplicates: of each group the row with the smallest id stays (one of equal rows). docs' columns stay as they are.
 
-    Near-duplicates are texts of which the sets of five-word shingles have a similarity of 0.8 at least. Candidates share a part of a
-    SimHash over their words, weighted by rarity, which an edited word changes less than it changes the shingles; the shingles decide.
+    Near-duplicates are texts of which the sets of five-word shingles have a similarity of 0.8 at least, and what is linked through them. A
+    fingerprint of 64 bits over shingles doesn't tell such texts from others (it differs in ten bits on average), so here
+    the fingerprint's components are smallest hashes, parts are searched as above, and the shingles themselves decide.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("t"), text.alias("text"))
-    prints = materialised(word_prints(rows, document_frequencies(rows.select("text"))), "prints")
-    distinct = materialised(prints.groupBy("t").agg(F.min(F.struct("id", "keys")).alias("x")).select("t", "x.*"), "texts")
-    pairs = materialised(candidate_pairs(distinct.select("t", "keys")), "pairs")
-    wanted = pairs.select(F.col("a").alias("t")).unionByName(pairs.select(F.col("b").alias("t"))).distinct().join(distinct.select("t", F.col("id").alias("of")), "t")
-    found = rows.join(wanted, (rows["t"] == wanted["t"]) & rows["id"].eqNullSafe(wanted["of"]), "inner").select(rows["t"], "text")
-    sets = materialised(shingle_sets(found), "shingles").dropDuplicates(["t"])
-    roots = components(similar_pairs(pairs, sets))
+    prints = materialised(shingle_prints(rows.select("id", "text")), "prints")
+    distinct = materialised(prints.groupBy("t").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys")), "texts")
+    roots = near_duplicate_roots(rows, distinct)
     named = distinct.select("t", "id").join(roots.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
     least = named.groupBy("root").agg(F.min(F.struct(F.col("id"), F.col("t"))).alias("stays"))
     stays = materialised(least.select("stays.*"), "stays")

@@ -306,6 +306,65 @@ def test_near_duplicates_of_odd_rows(spark, odd, none):
     assert simhash_dedup.first_of_each(none).count() == 0
 
 
+def plain_near_duplicates(docs):
+    """Ids that stay, by comparing every pair of texts that share a shingle."""
+    sets = {}
+    for _, t in docs:
+        words = (t or "").encode().lower().split()
+        sets[t or ""] = {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or ({tuple(words)} if words else set())
+    names, holders = list(sets), {}
+    root = {n: n for n in names}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for n in names:
+        for s in sets[n] or {None}:
+            holders.setdefault(s, []).append(n)
+    for pair in {(a, b) for held in holders.values() for k, a in enumerate(held) for b in held[:k]}:
+        a, b = (sets[x] for x in pair)
+        if len(a & b) >= 0.8 * len(a | b):
+            x, y = map(find, pair)
+            root[x] = y
+    least = {}
+    for i, t in docs:
+        least[find(t or "")] = min(least.get(find(t or ""), i), i)
+    return sorted(least.values())
+
+
+def test_near_duplicates_equal_all_pairs(spark):
+    """Families of every similarity, one of them over SMALL_GROUP and one large group that mixes families over shared words."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    texts, shared = [], [word() for _ in range(160)]
+    for family in range(60):
+        base = [word() for _ in range(r.randint(8, 220))] if family % 3 else [*shared, *(word() for _ in range(r.randint(20, 60)))]
+        for _ in range(60 if family == 1 else 4):
+            copy = list(base)
+            for _ in range(r.randint(0, max(1, len(copy) // 45))):
+                copy.insert(r.randrange(len(copy) + 1), word())
+            texts.append(" ".join([*(word() for _ in range(r.choice([0, 0, len(base) // 12]))), *copy]))
+    docs = [(k, t) for k, t in enumerate(texts + texts[:20] + ["", None, " ", "one two"])]
+    kept = sorted(x["doc_id"] for x in simhash_dedup.first_of_each(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect())
+    assert kept == plain_near_duplicates(docs)
+    some = [(x["doc_id"], x["text"]) for x in table(spark, SMALL, "documents").collect()]
+    assert sorted(x["doc_id"] for x in simhash_dedup.first_of_each(table(spark, SMALL, "documents")).collect()) == plain_near_duplicates(some)
+
+
+def test_parts_find_alike_texts():
+    """Recall of the parts and of the bits over pairs at the least similarity."""
+    r, found, plausible = np.random.default_rng(3), 0, 0
+    for _ in range(400):
+        both, a, b = r.integers(0, 1 << 63, 240, dtype=np.uint64), r.integers(0, 1 << 63, 30, dtype=np.uint64), r.integers(0, 1 << 63, 30, dtype=np.uint64)
+        least = simhash_dedup.smallest_hashes(np.concatenate([both, a, both, b]), np.array([0, 270, 540]))
+        same = least[0] == least[1]
+        found += any(same[[p + k * simhash_dedup.PARTS for k in range(simhash_dedup.PART_SIZE)]].all() for p in range(simhash_dedup.PARTS))
+        plausible += int(((least[0] ^ least[1]) & np.uint64(1)).sum()) <= simhash_dedup.MOST_BITS
+    assert found >= 396 and plausible >= 399
+
+
 def test_languages(spark, odd, none):
     model = language_id.learn(odd.where("false"))
     assert {r["lang_pred"] for r in language_id.predict_spans(odd, model).collect()} == {"und"}

@@ -5,32 +5,40 @@ CGK embedding: a walk over a window writes down the word under its pointer at ea
 whether the pointer moves on, so that windows of small edit distance get outputs of small Hamming distance. Several tables, each
 sampling a few steps, of several independent walks hash these outputs; windows that share a key with an item are aligned to it exactly.
 
-Windows are of the items' sizes: items are grouped into classes by length, a class's windows start at every ``stride``-th word of a
-document, and an item is entered at every shift of a stride, so that one of its windows always starts where a document's does.
+Windows are of the items' sizes: items are grouped into classes by length, a class's windows are half as long as its shortest item and start
+at every ``stride``-th word of a document, and an item is entered at every place, so that one of its windows always starts where a document's does.
 
-Recall of near copies depends on the edits that they have (see the tests); copies without edits are always found, as equal windows have equal keys.
+Copies without edits are always found, as equal windows have equal keys. For copies with edits walks are repeated, for each class of items, until the odds
+of finding one at ``ERROR_RATE``, measured on random items, are ``TARGET_RECALL``.
 
 Items are sent to the tasks in blocks of at most ``BLOCK_ITEMS`` items and ``BLOCK_WORDS`` words, one pass over the documents for each block.
 
 Defined results: words are runs of letters, digits and non-ASCII characters, in lower case; null, empty and blank texts match nothing; items without a
-word match nothing; repeated items each match; a document shorter than an item can match it within the error rate; an empty benchmark
+word match nothing; repeated items each match, repeated rows give equal rows; a document shorter than an item can match it within the error rate; an empty benchmark
 leaves all documents clean; texts of any length are handled whole; further columns stay as they are.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochlens.llm.common import table
+from epochlens.llm.common import materialised, slices, table
 from epochlens.llm.ngrams import Tokens, mixed
 
 ERROR_RATE = 0.2
-WALKS, TABLES, SAMPLED = 3, 6, 4
+#: Tables of a walk, and steps that each samples. Walks are repeated until the odds of finding a copy at ERROR_RATE are TARGET_RECALL.
+TABLES, SAMPLED = 6, 4
+TARGET_RECALL, TRIALS, MOST_WALKS = 0.95, 200, 24
 BLOCK_ITEMS, BLOCK_WORDS = 5_000, 2_000_000
 SEED = 99
 #: Steps of a walk for each word of a window: its pointer moves on at every second step, and so stays within the window.
@@ -69,6 +77,48 @@ def walk_keys(words: np.ndarray, starts: np.ndarray, steps: int, walk: int) -> n
     return mixed(keys)
 
 
+def edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
+    """words after so many insertions, deletions and replacements at random places."""
+    out = words.tolist()
+    for _ in range(edits):
+        at, new = int(rng.integers(0, len(out) + 1)), int(rng.integers(0, 1 << 62))
+        kind = rng.integers(0, 3)
+        if kind == 0 or not out:
+            out.insert(at, new)
+        else:
+            out[min(at, len(out) - 1) : min(at, len(out) - 1) + 1] = [new] if kind == 1 else []
+    return np.array(out, np.uint64)
+
+
+def shape_of(least: int) -> tuple[int, int, int]:
+    """Stride, size of a window and steps of its walk, for items of at least so many words."""
+    stride = max(1, least // 4)
+    size = max(min(3, least), least // 2)
+    return stride, size, max(1, int(STEPS_PER_WORD * size))
+
+
+@functools.cache
+def walks_for(least: int) -> int:
+    """Walks that items of at least so many words need to be found at ERROR_RATE with odds of TARGET_RECALL.
+
+    Measured: TRIALS random items are edited as far as ERROR_RATE allows and stand at random places; walks are added until so many are met.
+    """
+    stride, size, steps = shape_of(least)
+    rng = np.random.default_rng([SEED, least])
+    left = []
+    for _ in range(TRIALS):
+        item = rng.integers(0, 1 << 62, least, dtype=np.uint64)
+        copy = edited(item, int(ERROR_RATE * least), rng)
+        text = np.concatenate([rng.integers(0, 1 << 62, int(rng.integers(0, stride)), dtype=np.uint64), copy, rng.integers(0, 1 << 62, stride, dtype=np.uint64)])
+        pad = np.full(2 * size, _PAD)
+        left.append((np.concatenate([item, pad]), np.arange(max(1, least - size + 1)), np.concatenate([text, pad]), np.arange(0, max(1, len(text)), stride)))
+    for walk in range(MOST_WALKS):
+        left = [x for x in left if not any(np.intersect1d(a, b).size for a, b in zip(walk_keys(x[0], x[1], steps, walk), walk_keys(x[2], x[3], steps, walk), strict=True))]
+        if len(left) <= (1 - TARGET_RECALL) * TRIALS:
+            return walk + 1
+    return MOST_WALKS
+
+
 class Index:
     """Keys of a block of items."""
 
@@ -84,23 +134,23 @@ class Index:
                 by_class[int(np.log(len(w)) / np.log(CLASS_FACTOR) + 1e-9)].append(k)
         for members in by_class.values():
             least = min(len(self.words[k]) for k in members)
-            stride = max(1, least // 4)
-            size = least - stride + 1
+            stride, size, steps = shape_of(least)
             starts, flat, owner, at = [], [], [], 0
             for k in members:
                 w = self.words[k]
-                for shift in range(min(stride, len(w))):
+                for shift in range(len(w) - size + 1):  # every window of the item, as the copy may be clean in any part
                     starts.append(at + shift)
                     owner.append((k, shift))
                 flat += [w, np.full(2 * size, _PAD)]
                 at += len(w) + 2 * size
             words = np.concatenate(flat)
-            c = {"stride": stride, "size": size, "steps": max(1, int(STEPS_PER_WORD * size)), "owner": owner, "slack": int(ERROR_RATE * max(len(self.words[k]) for k in members)), "tables": []}
-            for walk in range(WALKS):
-                for keys in walk_keys(words, np.array(starts), c["steps"], walk):
+            bits = int(np.ceil(np.log2(len(owner)))) + 6
+            c = {"stride": stride, "size": size, "steps": steps, "walks": walks_for(least), "mask": np.uint64((1 << bits) - 1), "owner": owner, "tables": []}
+            for walk in range(c["walks"]):
+                for keys in walk_keys(words, np.array(starts), steps, walk):
                     order = np.argsort(keys, kind="stable")
-                    seen = np.zeros(1 << 20, bool)
-                    seen[(keys & np.uint64(0xFFFFF)).astype(np.int64)] = True
+                    seen = np.zeros(1 << bits, bool)
+                    seen[(keys & c["mask"]).astype(np.int64)] = True
                     c["tables"].append((keys[order], order, seen))
             self.classes.append(c)
 
@@ -110,13 +160,14 @@ class Index:
         counts = np.diff(t.first)
         words = np.concatenate([t.hash, np.full(2 * max((c["size"] for c in self.classes), default=1), _PAD)])
         for c in self.classes:
-            per_text = np.where(counts > 0, (np.maximum(counts - c["size"] + c["slack"], 0)) // c["stride"] + 1, 0)
+            # a window may reach into the next text, where an edited copy ends before it does
+            per_text = -(-counts // c["stride"])
             text = np.repeat(np.arange(len(counts)), per_text)
             nth = np.arange(len(text)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-            starts = t.first[:-1][text] + np.minimum(nth * c["stride"], np.maximum(counts[text] - 1, 0))
-            for walk in range(WALKS):
+            starts = t.first[:-1][text] + nth * c["stride"]
+            for walk in range(c["walks"]):
                 for keys, (known, order, seen) in zip(walk_keys(words, starts, c["steps"], walk), c["tables"][walk * TABLES : (walk + 1) * TABLES], strict=True):
-                    hit = np.flatnonzero(seen[(keys & np.uint64(0xFFFFF)).astype(np.int64)])
+                    hit = np.flatnonzero(seen[(keys & c["mask"]).astype(np.int64)])
                     lo, hi = np.searchsorted(known, keys[hit], "left"), np.searchsorted(known, keys[hit], "right")
                     for h, a, b in zip(hit[hi > lo], lo[hi > lo], hi[hi > lo], strict=True):
                         for o in order[a:b]:
@@ -125,28 +176,35 @@ class Index:
         return found
 
     def matches(self, texts: list[str | None]) -> list[list[dict]]:
-        """For each text the items that it holds: item, start and end among its words, distance; the best place of each item."""
+        """For each text the items that it holds: item, start and end among its words, distance; the best place of each item, the first of equals."""
         sources = folded(texts)
         t = Tokens(sources, fold=True, marks=False)
         best: list[dict[int, tuple]] = [{} for _ in texts]
-        done: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for text, k, at in sorted(self.candidates(t)):
+        for (text, k), places in itertools.groupby(sorted(self.candidates(t)), key=lambda c: c[:2]):
             item = self.words[k]
             most = int(ERROR_RATE * len(item))
-            tried = done[text, k]
-            if any(abs(at - x) <= most // 2 for x in tried):
-                continue
-            tried.append(at)
             words = t.hash[t.first[text] : t.first[text + 1]]
-            lo, hi = max(0, at - most - 1), min(len(words), at + len(item) + most + 1)
-            if len(self.distinct[k].difference(words[lo:hi].tolist())) > most:  # each word that isn't there costs an edit
-                continue
-            distance, a, b = aligned(item, words[lo:hi])
-            if distance <= most and (k not in best[text] or distance < best[text][k][0]):
-                best[text][k] = (distance, lo + a, lo + b)
+            for first, last in stretches([at for _, _, at in places], most):
+                lo, hi = max(0, first - most - 1), min(len(words), last + len(item) + most + 1)
+                if len(self.distinct[k].difference(words[lo:hi].tolist())) > most:  # each word that isn't there costs an edit
+                    continue
+                distance, a, b = aligned(item, words[lo:hi])
+                if distance <= most and (k not in best[text] or distance < best[text][k][0]):
+                    best[text][k] = (distance, lo + a, lo + b)
         return [sorted(({"item": self.ids[k], "start": a, "end": b, "distance": d} for k, (d, a, b) in found.items()), key=lambda m: (m["item"], m["start"])) for found in best]
 
 
+def stretches(places: list[int], gap: int) -> Iterator[tuple[int, int]]:
+    """First and last of the sorted places that follow each other within the gap, which are aligned together."""
+    first = last = places[0]
+    for at in places[1:]:
+        if at - last > max(1, gap):
+            yield first, last
+            first = at
+        last = at
+    yield first, last
+
+
 def aligned(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     """(distance, start, end) of the stretch of words that is nearest to the item in edit distance: exact, row by row."""
     n = len(words)
@@ -165,31 +223,40 @@ def aligned(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     return int(row[end]), int(came[end]), end
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str) -> list[Index]:
-    """One index for each block of items; a block is bounded in items and words."""
+def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
+    """One index after the other, each for a block of items that is bounded in items and words."""
     plain = items.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     size = plain.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     blocks = max(-(-size["n"] // BLOCK_ITEMS), -(-size["bytes"] // (4 * BLOCK_WORDS)))
-    return [Index([r["id"] for r in rows], [r["text"] for r in rows]) for b in range(blocks) if (rows := plain.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id", "text").collect())]
+    for b in range(blocks):
+        if rows := plain.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).orderBy("id", "text").collect():
+            yield Index([r["id"] for r in rows], [r["text"] for r in rows])
 
 
 def with_matches(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", out_col: str = "matches") -> DataFrame:
-    """docs with one more column, the array of (item, start, end, distance) that each text holds; start and end count words."""
+    """docs with one more column, the array of (item, start, end, distance) that each text holds; start and end count words.
 
-    def column(index: Index) -> Column:
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    A block's index is sent out and gone before the next one is made; with several blocks docs are written down after each.
+    """
 
+    def column(shared: Broadcast) -> Column:
         @F.pandas_udf(MATCHES)
         def find(text: pd.Series) -> pd.Series:
-            out: list[list[dict]] = []
-            for at in range(0, len(text), 256):
-                out += shared.value.matches([x if isinstance(x, str) else None for x in text.iloc[at : at + 256]])
-            return pd.Series(out, dtype=object)
+            found: list[list[dict]] = []
+            for some in slices(pa.RecordBatch.from_arrays([pa.array(text, pa.string(), from_pandas=True)], ["text"])):
+                found += shared.value.matches(some.column(0).to_pylist())
+            return pd.Series(found, dtype=object)
 
         return find(F.col(text_col).cast("string"))
 
-    found = [column(x) for x in item_blocks(items, item_id_col, item_text_col)]
-    return docs.withColumn(out_col, F.concat(*found) if found else F.lit(None).cast(MATCHES)) if len(found) != 1 else docs.withColumn(out_col, found[0])
+    out, sent = docs.withColumn(out_col, F.array().cast(MATCHES)), None
+    for index in item_blocks(items, item_id_col, item_text_col):
+        if sent is not None:
+            out = materialised(out, "matches")
+            sent.unpersist()
+        sent = docs.sparkSession.sparkContext.broadcast(index)
+        out = out.withColumn(out_col, F.concat(out_col, column(sent)))
+    return out
 
 
 def clean(docs: DataFrame, items: DataFrame, **names: str) -> DataFrame:

@@ -1,20 +1,21 @@
 """Quality selection by importance resampling.
 
-Two generative models of hashed n-grams (tokens, pairs of tokens, and stems of tokens) are counted, of target texts and of all raw texts; a text's importance weight is the ratio
-of its probabilities under them. Texts are then drawn without replacement by Gumbel top-k: those with the k largest sums of log weight
-and Gumbel noise, the noise drawn from a hash of the id, so that a run can be repeated.
+Two generative models of hashed n-grams (tokens and pairs of tokens) are counted over all their occurrences, of target texts and of all raw texts; a
+text's importance weight is the ratio of its probabilities under them. Texts are drawn without replacement by Gumbel top-k: those with
+the k largest sums of log weight (over a temperature, 1 by default) and Gumbel noise, the noise drawn from a hash of the id, so that a run
+can be repeated. The target model's prior is the raw model, so that n-grams of which targets say nothing add nothing.
 
-Each n-gram's log ratio is taken at the end of its confidence interval that is nearer to zero, and counts only where even that is below
-``-EFFECT``: n-grams of which the counts say little, or that targets hold only a little less often, add nothing, however long the text; and no
-text makes up for others by repeating what targets like. Every n-gram is counted in two buckets and takes the ratio nearer to zero, so that it
-takes two collisions to blame it for others. k is the number of texts over the weight that best parts the labelled targets from the other
-labelled rows, and the temperature sets how far chance may go against the weights.
+The ratio says which texts are like targets as a whole: a long text makes up for a few bad words by many good ones. Whether a text is
+rejected outright is decided by a second sum over the same kind of counts, its ``penalty``: each n-gram that the text holds (tokens, pairs and stems, once
+each) counts with its log ratio at the end of its confidence interval that is nearer to zero, and only where even that is below ``-EFFECT``.
+Every n-gram is counted in two buckets there and takes the ratio nearer to zero, so that it takes two collisions to blame it for others.
+Rejected are texts below the penalty that best parts the labelled targets from the other labelled rows; of the others k are drawn.
 
 The labels are used up to ``MAX_LABELS`` rows, those with the smallest hashes of their ids; every count and weight covers all rows.
 
-Defined results: null, empty and blank texts have no n-gram and weight 0; rows with a null id, and repeated rows, are weighed like any other (the same
-id has the same noise); without labelled targets nothing is known and all rows are kept; of equal keys at the cut the smaller
-ids are kept, and of equal ids at the cut all; an empty table gives no rows; texts of any length are handled whole.
+Defined results: null, empty and blank texts have no n-gram, and weight and penalty 0; rows with a null id, and repeated rows, are weighed like any other (the same
+id has the same noise); without labelled targets nothing is known, weights are 0 and no row is rejected; keys are compared in steps of ``KEY_STEP``, and rows in the
+step of the cut are all drawn; an empty table gives no rows; texts of any length are handled whole; further columns are left behind (``keep_drawn`` keeps them all).
 """
 
 from __future__ import annotations
@@ -36,15 +37,18 @@ BUCKETS = 2 * KINDS << BITS
 MAX_LABELS = 200_000
 #: Counts added to both sides, standard errors off the log ratio, and what it must be below then.
 PRIOR, ERRORS, EFFECT = 4.0, 3.0, 0.7
+#: Cells of the generative models: tokens, then pairs; and how many occurrences of each cell the target model's prior weighs, on average.
+GENERATIVE, SMOOTHING = 2 << BITS, 1.0
+TOTAL = BUCKETS + GENERATIVE
 #: Log weights are divided by this before the noise is added.
-TEMPERATURE = 0.05
+TEMPERATURE = 1.0
 SEED = 20240601
-#: Steps of log weight in the calibration's histogram, and of keys in the search for the cut.
-WEIGHT_STEP, KEY_STEP = 0.05, 2.0**-16
+#: Steps of penalty in the calibration's histogram; steps of keys that count as one, and into how many parts the search for the cut divides.
+WEIGHT_STEP, KEY_STEP, KEY_PARTS = 0.05, 2.0**-16, 1024
 
 
-def _buckets(sources: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Both buckets, and the text, of every distinct n-gram of a text: one that a text repeats a thousand times says no more than once."""
+def _buckets(sources: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Both buckets, and the text, of every distinct n-gram of a text; the cell, and the text, of every occurrence of a token or pair."""
     t = Tokens(sources)
     pairs, of = pair_hashes(t)
     kinds = [(t.hash, t.text), (pairs, of), *((t.stems(n), t.text) for n in STEMS)]
@@ -52,21 +56,22 @@ def _buckets(sources: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     code = np.concatenate([(h >> np.uint64(64 - wide)).astype(np.int64) + (k << wide) + text * (KINDS << wide) for k, (h, text) in enumerate(kinds)])
     code = np.unique(code)
     kind, mask = (code >> wide) % KINDS << BITS, (1 << BITS) - 1
-    return kind + (code >> BITS & mask), (KINDS << BITS) + kind + (code & mask), code // (KINDS << wide)
+    cells = np.concatenate([(h >> np.uint64(64 - BITS)).astype(np.int64) + (k << BITS) for k, (h, _) in enumerate(kinds[:2])])
+    return kind + (code >> BITS & mask), (KINDS << BITS) + kind + (code & mask), code // (KINDS << wide), cells, np.concatenate([t.text, of])
 
 
 def count_models(docs: DataFrame) -> np.ndarray:
-    """docs (text, target) to 2 x BUCKETS: n-grams of all texts, and of the target ones."""
+    """docs (text, target) to 2 x TOTAL: n-grams of all texts, and of the target ones; the buckets, then the cells of the generative models."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((2, BUCKETS), np.int64)
+        held = np.zeros((2, TOTAL), np.int64)
         for batch in batches:
             for part in slices(batch):
-                *buckets, text = _buckets(texts(part.column(0)))
-                target = np.array(part.column(1).to_pylist(), bool)[text]
-                for bucket in buckets:
-                    held[0] += np.bincount(bucket, minlength=BUCKETS)
-                    held[1] += np.bincount(bucket[target], minlength=BUCKETS)
+                one, two, text, cells, of = _buckets(texts(part.column(0)))
+                is_target = np.array(part.column(1).to_pylist(), bool)
+                for cell, own in ((one, text), (two, text), (cells + BUCKETS, of)):
+                    held[0] += np.bincount(cell, minlength=TOTAL)
+                    held[1] += np.bincount(cell[is_target[own]], minlength=TOTAL)
         blocks = held.reshape(-1, BLOCK)
         some = np.flatnonzero(blocks.any(axis=1))
         for k in some:
@@ -82,10 +87,22 @@ def count_models(docs: DataFrame) -> np.ndarray:
 
     schema = "block int, n binary"
     parts = docs.mapInArrow(run, schema).repartition("block").mapInArrow(add, schema)
-    out = np.zeros((2 * BUCKETS // BLOCK, BLOCK), np.int64)
+    out = np.zeros((2 * TOTAL // BLOCK, BLOCK), np.int64)
     for r in parts.toLocalIterator():  # as many rows as there are blocks, whatever the number of texts
         out[r["block"]] += np.frombuffer(r["n"], "<i8")
-    return out.reshape(2, BUCKETS)
+    return out.reshape(2, TOTAL)
+
+
+def generative_ratios(counts: np.ndarray) -> np.ndarray:
+    """Per cell the log of its probability in the target model over that in the raw model; tokens and pairs are a model each."""
+    out = np.zeros(GENERATIVE, np.float32)
+    for at in range(0, GENERATIVE, 1 << BITS):
+        raw, target = (counts[k, BUCKETS + at : BUCKETS + at + (1 << BITS)].astype(float) for k in (0, 1))
+        if target.sum():
+            p_raw = (raw + SMOOTHING) / (raw.sum() + SMOOTHING * len(raw))
+            prior = SMOOTHING * len(raw)
+            out[at : at + (1 << BITS)] = np.log((target + prior * p_raw) / (target.sum() + prior) / p_raw)
+    return out
 
 
 def log_ratios(counts: np.ndarray) -> np.ndarray:
@@ -103,18 +120,18 @@ def log_ratios(counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def log_weight(ratios: np.ndarray, spark: SparkSession, text: Column) -> Column:
-    """The sum of the n-grams' log ratios of each text."""
-    shared = spark.sparkContext.broadcast(ratios)  # BUCKETS floats
+def weights_of(ratios: np.ndarray, generative: np.ndarray, spark: SparkSession, text: Column) -> Column:
+    """log_weight, the sum of all occurrences' log ratios, and penalty, that of the distinct n-grams' bounded ones."""
+    shared = spark.sparkContext.broadcast((ratios, generative))  # TOTAL floats
 
-    @F.pandas_udf("double")
-    def weigh(text: pd.Series) -> pd.Series:
-        out = [np.zeros(0)]
-        for at in range(0, len(text), 256):
-            some = [x.encode() if isinstance(x, str) else b"" for x in text.iloc[at : at + 256]]
-            one, two, of = _buckets(some)
-            out.append(np.bincount(of, np.maximum(shared.value[one], shared.value[two]), minlength=len(some)))
-        return pd.Series(np.concatenate(out))
+    @F.pandas_udf("log_weight double, penalty double")
+    def weigh(text: pd.Series) -> pd.DataFrame:
+        ratios, generative = shared.value
+        out = [np.zeros((0, 2))]
+        for some in slices(pa.RecordBatch.from_arrays([pa.array(text, pa.string(), from_pandas=True)], ["text"])):
+            one, two, own, cells, of = _buckets(texts(some.column(0)))
+            out.append(np.stack([np.bincount(of, generative[cells], some.num_rows), np.bincount(own, np.maximum(ratios[one], ratios[two]), some.num_rows)], axis=1))
+        return pd.DataFrame(np.concatenate(out), columns=["log_weight", "penalty"])
 
     return weigh(text.cast("string"))
 
@@ -125,24 +142,22 @@ def gumbel(id_col: Column, seed: int) -> Column:
     return -F.log(-F.log(u))
 
 
-def largest_keys(rows: DataFrame, key: str, id_col: str, k: int) -> Column:
-    """Which rows have the k largest keys, found by three passes of counting over ever finer steps; no row is sorted or moved.
-
-    Keys are compared in steps of KEY_STEP; within the last step the rows of the smallest ids are taken.
-    """
-    step = F.floor(F.col(key) / KEY_STEP).cast("long")
-    within, need, lo = rows.select(F.col(id_col), step.alias("step")), k, 0
-    for width in (1 << 24, 1 << 12, 1):
-        counts = within.groupBy(F.floor(F.col("step") / width).cast("long").alias("b")).count().orderBy(F.desc("b")).collect()  # keys span few wide steps; a step holds 4,096 finer ones
-        for c in counts:
-            lo = c["b"] * width
-            if need <= c["count"]:
+def least_key(rows: DataFrame, key: str, k: int) -> float:
+    """The key from which on the k largest lie, at most KEY_STEP below the k-th one: found by counting in ever finer parts, KEY_PARTS rows each time; no row is sorted or moved."""
+    ends = rows.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(key).alias("n")).first()
+    if k >= ends["n"]:
+        return float("-inf")
+    lo, hi, need = ends["lo"], ends["hi"], k
+    while hi - lo > KEY_STEP:
+        width = (hi - lo) / KEY_PARTS
+        part = F.least(F.floor((F.col(key) - lo) / width), F.lit(KEY_PARTS - 1)).cast("int")
+        counts = {c["part"]: c["count"] for c in rows.where((F.col(key) >= lo) & (F.col(key) <= hi)).groupBy(part.alias("part")).count().collect()}
+        for p in sorted(counts, reverse=True):
+            if need <= counts[p]:
                 break
-            need -= c["count"]
-        within = within.where((F.col("step") >= lo) & (F.col("step") < lo + width))
-    bound = within.orderBy(F.col(id_col).asc_nulls_first()).limit(need).agg(F.max(id_col)).first()[0]
-    at_cut = F.col(id_col).isNull() | F.coalesce(F.col(id_col) <= F.lit(bound), F.lit(False))
-    return (step > lo) | ((step == lo) & at_cut)
+            need -= counts[p]
+        lo, hi = lo + p * width, (hi if p == KEY_PARTS - 1 else lo + (p + 1) * width)
+    return lo
 
 
 def best_cut(histogram: list[tuple[float, int, int]]) -> float:
@@ -158,41 +173,46 @@ def best_cut(histogram: list[tuple[float, int, int]]) -> float:
     return float(cut)
 
 
-def _weighed(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, target: Column | None, carry: bool) -> tuple[DataFrame, float | None]:
-    """Rows with id, target and log_weight (and all of docs as a struct, row), written down; and the weight that parts the labels best."""
+def _weighed(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, target: Column | None, carry: bool) -> tuple[DataFrame, float]:
+    """Rows with id, target, log_weight and penalty (and all of docs as a struct, row), written down; and the penalty that parts the labels best."""
     target = target if target is not None else (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) != 1)
     known = labels.select(F.col(id_col).alias("id"), F.coalesce(target, F.lit(False)).alias("target")).where("id is not null").groupBy("id").agg(F.min("target").alias("target"))
     known = F.broadcast(materialised(known.orderBy(F.xxhash64("id")).limit(MAX_LABELS), "labels"))  # 9 bytes each
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []))
     rows = rows.join(known, "id", "left")
     counts = count_models(rows.select("text", F.coalesce("target", F.lit(False)).alias("target")))
-    scored = materialised(rows.withColumn("log_weight", log_weight(log_ratios(counts), docs.sparkSession, F.col("text"))).drop("text"), "weights")
+    scored = rows.withColumn("w", weights_of(log_ratios(counts), generative_ratios(counts), docs.sparkSession, F.col("text"))).drop("text")
+    scored = materialised(scored.select("*", "w.*").drop("w"), "weights")
     if not counts[1].any():
-        return scored, None
-    edge = F.floor(F.greatest(F.least(F.col("log_weight"), F.lit(100.0)), F.lit(-100.0)) / WEIGHT_STEP) * WEIGHT_STEP
+        return scored, float("-inf")
+    edge = F.floor(F.greatest(F.least(F.col("penalty"), F.lit(100.0)), F.lit(-100.0)) / WEIGHT_STEP) * WEIGHT_STEP
     histogram = scored.where("target is not null").groupBy(edge.alias("edge")).agg(F.count_if("target").alias("t"), F.count_if(~F.col("target")).alias("o")).collect()  # 4,001 rows at most
     return scored, best_cut([(float(h["edge"]), h["t"], h["o"]) for h in histogram])
 
 
-def _drawn(scored: DataFrame, cut: float | None, temperature: float, seed: int) -> DataFrame:
-    if cut is None:
-        return scored.withColumn("key", F.lit(None).cast("double")).withColumn("kept", F.lit(True))
-    k = scored.where(F.col("log_weight") >= cut).count()
-    rows = scored.withColumn("key", F.col("log_weight") / temperature + gumbel(F.col("id"), seed))
-    return rows.withColumn("kept", largest_keys(rows, "key", "id", k) if k else F.lit(False))
+def _drawn(scored: DataFrame, cut: float, share: float | None, temperature: float, seed: int) -> DataFrame:
+    """With key, kept (not rejected) and drawn: of the rows kept the given share, by Gumbel top-k; all of them without a share."""
+    rows = scored.withColumn("key", F.col("log_weight") / temperature + gumbel(F.col("id"), seed)).withColumn("kept", F.col("penalty") >= cut)
+    if share is None:
+        return rows.withColumn("drawn", F.col("kept"))
+    kept = rows.where("kept")
+    return rows.withColumn("drawn", F.col("kept") & (F.col("key") >= least_key(kept, "key", round(share * kept.count()))))
+
+
+def resample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", target: Column | None = None, share: float | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
+    """id, log_weight, penalty, key, kept, drawn for each row of docs. labels: id_col and what ``target`` tests, the default being quality = 1 without toxic = 1."""
+    return _drawn(*_weighed(docs, labels, id_col, text_col, target, False), share, temperature, seed).select("id", "log_weight", "penalty", "key", "kept", "drawn")
 
 
-def resample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", target: Column | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
-    """id, log_weight, key, kept for each row of docs. labels: id_col and what ``target`` tests, the default being quality = 1 without toxic = 1."""
-    return _drawn(*_weighed(docs, labels, id_col, text_col, target, False), temperature, seed).select("id", "log_weight", "key", "kept")
+def keep_drawn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", target: Column | None = None, share: float | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
+    """The rows of docs that are drawn (without a share: all that aren't rejected), with docs' columns; they are written down with their weights once and never joined back."""
+    return _drawn(*_weighed(docs, labels, id_col, text_col, target, True), share, temperature, seed).where("drawn").select("row.*")
 
 
-def keep_drawn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", target: Column | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
-    """The rows of docs that are drawn, with docs' columns; they are written down with their weights once and never joined back."""
-    found = _drawn(*_weighed(docs, labels, id_col, text_col, target, True), temperature, seed)
-    return found.where("kept").select("row.*")
+#: Share of the rows kept that the query draws.
+DRAWN_SHARE = 0.5
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return found.select(F.col("id").alias("doc_id"), "log_weight", "key", "kept")
+    found = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), share=DRAWN_SHARE)
+    return found.select(F.col("id").alias("doc_id"), "log_weight", "penalty", "key", "kept", "drawn")

@@ -110,15 +110,45 @@ def test_quality_parts_junk(spark):
     assert sum(found[k] == (k % 4 != 0) for k, _ in docs) >= 1980
 
 
-def test_largest_keys_are_the_top(spark):
+def test_least_key_has_the_top_above_it(spark):
     r = random.Random(3)
-    rows = [(k, r.choice([0.5, 1.5, r.uniform(-50, 50)])) for k in range(500)]
+    rows = [(k, r.choice([0.5, 1.5, r.uniform(-50, 5000)])) for k in range(500)]
     df = spark.createDataFrame(rows, "id long, key double")
     for k in (1, 77, 499, 500):
-        kept = df.where(quality.largest_keys(df, "key", "id", k)).collect()
-        step = lambda x: int(x // quality.KEY_STEP)
-        wanted = sorted(rows, key=lambda x: (-step(x[1]), x[0]))[:k]
-        assert sorted(x["id"] for x in kept) == sorted(x[0] for x in wanted)
+        cut, top = quality.least_key(df, "key", k), sorted((x for _, x in rows), reverse=True)[k - 1]
+        assert top - 2 * quality.KEY_STEP <= cut <= top or (k == 500 and cut == float("-inf"))
+
+
+def test_weights_equal_plain_counting(spark):
+    """log_weight is the ratio of two probabilities over every occurrence; kept and drawn follow from penalty and key."""
+    docs = [(x["doc_id"], x["text"]) for x in table(spark, SMALL, "documents").collect()][:120] + [(None, "a a a b"), (7000, None), (7001, "")]
+    labels = [(x["doc_id"], x["quality"], x["toxic"]) for x in table(spark, SMALL, "labels").collect()]
+    is_target = {i: q == 1 and (t or 0) != 1 for i, q, t in labels}
+    raw, target = ({}, {}), ({}, {})
+    held = []
+    for i, t in docs:
+        *_, cells, _ = quality._buckets([(t or "").encode()])
+        kinds = [[c for c in cells.tolist() if c >> quality.BITS == k] for k in (0, 1)]
+        held.append(kinds)
+        for k in (0, 1):
+            for c in kinds[k]:
+                raw[k][c] = raw[k].get(c, 0) + 1
+                target[k][c] = target[k].get(c, 0) + bool(is_target.get(i))
+    n, totals = 1 << quality.BITS, [(sum(raw[k].values()), sum(target[k].values())) for k in (0, 1)]
+
+    def ratio(k, c):
+        p = (raw[k].get(c, 0) + 1) / (totals[k][0] + n)
+        return float(np.log((target[k].get(c, 0) + n * p) / (totals[k][1] + n) / p))
+
+    wanted = [sum(ratio(k, c) for k in (0, 1) for c in kinds[k]) for kinds in held]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = quality.resample(rows, table(spark, SMALL, "labels"), share=0.5).collect()
+    by_id = {x["id"]: x for x in found}
+    assert [by_id[i]["log_weight"] for i, _ in docs] == pytest.approx(wanted, rel=1e-4, abs=1e-4)
+    kept = sorted((x["key"] for x in found if x["kept"]), reverse=True)
+    assert sorted((x["key"] for x in found if x["drawn"]), reverse=True) == kept[: round(0.5 * len(kept))]
+    assert not any(x["drawn"] and not x["kept"] for x in found)
+    assert quality.resample(rows.where("false"), table(spark, SMALL, "labels"), share=0.5).count() == 0
 
 
 def test_encoding_of_odd_rows(spark, odd, none, model):

@@ -69,7 +69,10 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
     """
     calls = calls.select("conv_id", "call_id", "after", "turn", "name", "arguments")
     answered = results.where("call_id is not null").groupBy("call_id").agg(F.min(F.struct("turn", "content")).alias("r"))
-    placed = calls.join(levels(calls).hint("shuffle_hash"), "call_id", "left").join(answered.hint("shuffle_hash"), "call_id", "left")
+    named = calls.where("call_id is not null").join(levels(calls).hint("shuffle_hash"), "call_id", "left").join(answered.hint("shuffle_hash"), "call_id", "left")
+    # calls without an identifier have nothing to look up, and would all meet in one task
+    nameless = calls.where("call_id is null").select(*calls.columns, F.lit(None).cast("int").alias("level"), F.lit(None).cast(answered.schema["r"].dataType).alias("r"))
+    placed = named.unionByName(nameless)
     parsed = F.try_parse_json("arguments")
     rows = placed.withColumn("parsed", parsed).withColumn("errors", argument_errors(F.col("name"), F.col("parsed"), schemas))
     is_object = F.coalesce(F.schema_of_variant("parsed").startswith("OBJECT"), F.lit(False))
@@ -80,7 +83,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
     )
     status = F.when(F.col("call_id").isNotNull() & F.col("level").isNull(), "cycle").when(F.col("r").isNull(), "unanswered").otherwise("linked")
     linked = rows.select("conv_id", "call_id", "turn", "level", status.alias("status"), (F.size("errors") == 0).alias("valid"), F.array_join(F.array_sort("errors"), "; ").alias("errors"), canonical.alias("canonical"))
-    lone = results.join(calls.select("call_id").distinct(), "call_id", "left_anti")
+    lone = results.where("call_id is not null").join(calls.select("call_id").distinct(), "call_id", "left_anti").unionByName(results.where("call_id is null").select("call_id", *(c for c in results.columns if c != "call_id")))
     orphans = lone.select("conv_id", "call_id", "turn", F.lit(None).cast("int").alias("level"), F.lit("orphan").alias("status"), F.lit(False).alias("valid"), F.lit("call").alias("errors"), F.concat(F.lit("{"), F.coalesce(F.concat(F.lit('"id":'), _json(F.col("call_id")), F.lit(",")), F.lit("")), F.lit('"result":'), F.coalesce(_json(F.col("content")), F.lit("null")), F.lit("}")).alias("canonical"))
     return linked.unionByName(orphans)
 

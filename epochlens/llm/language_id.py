@@ -8,8 +8,9 @@ What is learned: trigram counts in a fixed number of buckets for each language,
 across them; the model's size depends on the number of languages only, which is checked against ``MAX_LANGUAGES``.
 
 Defined results: null texts and those without a letter are ``und`` with score 0 and no spans; rows without a language, or with a blank one, are not
-learned from; where nothing was learned every text is ``und``; ties go to the language first in order; texts of any length are handled
-whole; further columns are left behind.
+learned from; where nothing was learned every text is ``und``; ties go to the language first in order; repeated rows give equal rows; an empty table gives no rows; a null id is in no
+fold, so that such a row isn't learned from and its ``held_out`` is null; texts of any length are handled whole, each in memory of some 7 bytes a word and language;
+further columns are left behind.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ MAX_LANGUAGES = 256
 SWITCH_PENALTY = 12.0
 #: A script counts as a language's own from this share of its letters on.
 SCRIPT_SHARE = 0.001
-VITERBI_ROWS = 2048
+#: Texts that take their steps together, and scores (words or bytes by languages) that are held at once; a longer text is taken alone.
+VITERBI_ROWS, CELLS = 2048, 1 << 25
 UNDETERMINED = "und"
 
 # fixed values: first and last code point of each script's main ranges
@@ -135,9 +137,16 @@ def word_scores(w: Words, model: dict) -> np.ndarray:
     n, k = len(w.starts), len(model["langs"])
     if not n:
         return np.zeros((0, k), np.float32)
-    per_byte = model["log"][w.bucket]
-    per_byte[~w.letter] = 0
-    scores = np.add.reduceat(per_byte, w.starts, axis=0)  # white space after a word adds nothing
+    scores, width = np.zeros((n, k), np.float32), max(1, CELLS // k)
+    ends = np.append(w.starts[1:], len(w.bucket))  # white space after a word adds nothing
+    at = 0
+    while at < n:
+        until = max(at + 1, int(np.searchsorted(ends, w.starts[at] + width, "right")))
+        some = slice(w.starts[at], ends[until - 1])
+        per_byte = model["log"][w.bucket[some]]
+        per_byte[~w.letter[some]] = 0
+        scores[at:until] = np.add.reduceat(per_byte, w.starts[at:until] - w.starts[at], axis=0)
+        at = until
     shares = (w.scripts[:, None] & model["scripts"][None, :]) != 0
     shares[~shares.any(axis=1)] = True
     return np.where(shares, scores, scores - 1e4)
@@ -206,7 +215,7 @@ def predict_spans(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
         for batch in batches:
-            for part in slices(batch, VITERBI_ROWS):
+            for part in slices(batch, VITERBI_ROWS, CELLS // max(1, len(shared.value["langs"]))):
                 sources = [None if x is None else x.encode() for x in part.column(1).to_pylist()]
                 rows = label(sources) if shared.value["langs"] else [(UNDETERMINED, 0.0, [])] * len(sources)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.float64(), span)))], ["id", "lang_pred", "score", "spans"])

@@ -10,7 +10,12 @@ no coefficient depends on another block. All of these coefficients fall in one s
 codes each in exactly 16 bits.
 
 Defined results: null and empty texts are stored as 64 zero bytes; equal texts give equal files and features; null or broken media
-give no clip rows, and null features in ``avi_features``; texts of any length are handled whole; further columns are left behind.
+give no clip rows, and null features in ``avi_features``; repeated rows give equal rows; an empty table gives no rows; of equal differences the first passes a bound as the
+others do, no order being asked for; texts are handled whole, up to the 4 GB that RIFF's sizes can say (1.9 GB of text, about what a row of Spark can hold);
+further columns are left behind.
+
+The features of stored texts describe the samples that their coefficients give, many of which lie beyond 8 bits and are clipped: equal texts
+have equal features, but shots of stored texts mean nothing more. Those of real clips are what the decoder is for.
 """
 
 from __future__ import annotations
@@ -138,12 +143,13 @@ def read_avi(data: bytes) -> dict:
     for name, start, end in _chunks(data, movi[0] + 4, movi[1]):
         if name[:2] == b"ix":
             standard.append(start)
-        elif not old and not standard and name[2:] in (b"dc", b"db"):
+        elif name[2:] in (b"dc", b"db"):
             found["frames"].append((start, end - start))
     if old:
         base = movi[0] if data[movi[0] + old[0][2] : movi[0] + old[0][2] + 4] == old[0][0] else 0
         found["frames"] = [(base + at + 8, size) for _, _, at, size in old]
     elif standard:
+        found["frames"] = []
         for start in standard:
             _, _, _, n, _, base, _ = struct.unpack_from("<HBBI4sQI", data, start)
             found["frames"] += [(base + at, size & 0x7FFFFFFF) for at, size in struct.iter_unpack("<II", data[start + 24 : start + 24 + 8 * n])]
@@ -188,33 +194,42 @@ def parse_jpeg(data: bytes) -> dict:
     return out
 
 
-def _code_lookup(counts: bytes, symbols: bytes) -> dict[tuple[int, int], int]:
-    found, code, k = {}, 0, 0
+def _code_lookup(counts: bytes, symbols: bytes) -> list[tuple[int, int] | None]:
+    """(length, symbol) of the code that the next 16 bits begin with."""
+    found: list[tuple[int, int] | None] = [None] * (1 << 16)
+    code, k = 0, 0
     for length, n in enumerate(counts, 1):
         for _ in range(n):
-            found[length, code] = symbols[k]
+            width = 1 << (16 - length)
+            found[code * width : (code + 1) * width] = [(length, symbols[k])] * width
             code, k = code + 1, k + 1
         code <<= 1
     return found
 
 
 class _Bits:
+    """A reader over entropy-coded bytes; every read touches the bytes around it only."""
+
     def __init__(self, data: bytes):
-        self.bits, self.left = int.from_bytes(data, "big"), 8 * len(data)
+        self.data, self.at, self.end = data + bytes(4), 0, 8 * len(data)
+
+    def peek(self, n: int) -> int:
+        first, last = self.at >> 3, (self.at + n + 7) >> 3
+        return int.from_bytes(self.data[first:last], "big") >> (8 * last - self.at - n) & ((1 << n) - 1)
 
     def take(self, n: int) -> int:
-        if n > self.left:
+        value = self.peek(n)
+        self.at += n
+        if self.at > self.end:
             raise ValueError("the scan ends early")
-        self.left -= n
-        return (self.bits >> self.left) & ((1 << n) - 1)
-
-    def symbol(self, codes: dict[tuple[int, int], int]) -> int:
-        code = 0
-        for length in range(1, 17):
-            code = code << 1 | self.take(1)
-            if (length, code) in codes:
-                return codes[length, code]
-        raise ValueError("no such code")
+        return value
+
+    def symbol(self, codes: list[tuple[int, int] | None]) -> int:
+        found = codes[self.peek(16)]
+        if found is None or self.at + found[0] > self.end:
+            raise ValueError("no such code")
+        self.at += found[0]
+        return found[1]
 
     def signed(self, size: int) -> int:
         value = self.take(size) if size else 0

@@ -27,7 +27,7 @@ from epochlens.llm.ngrams import stretch_hashes
 SPACE = "▁"
 SPACE_UTF8 = SPACE.encode()
 #: Segmented parts kept by a task; the memo starts anew beyond that.
-MEMO_PARTS = 1 << 19
+MEMO_PARTS = 1 << 20
 
 
 class CharMap:

@@ -6,6 +6,8 @@ import hashlib
 import itertools
 import random
 import re
+import struct
+import time
 import zlib
 
 import numpy as np
@@ -41,6 +43,63 @@ def test_spaces_at_the_end_stay_apart():
             assert ids[a:b].tolist() == c.model.encode(t), repr(t)
 
 
+def compiled_map(pairs):
+    """A compiled character map with these replacements, laid out as a double array."""
+    tree = {}
+    for k, v in pairs.items():
+        node = tree
+        for b in k.encode():
+            node = node.setdefault(b, {})
+        node[None] = v
+    blob, units, used, bases = b"", {0: 0}, {0}, set()
+
+    def place(node, at, label):
+        nonlocal blob
+        base = next(b for b in range(1, 1 << 20) if b not in bases and all(b ^ (x or 0) not in used for x in node))
+        bases.add(base)
+        used.update(base ^ (x or 0) for x in node)
+        units[at] = label | (None in node) << 8 | (at ^ base) << 10
+        for x, child in node.items():
+            if x is None:
+                units[base] = 1 << 31 | len(blob)
+                blob += child.encode() + b"\0"
+            else:
+                place(child, base ^ x, x)
+
+    place(tree, 0, 0)
+    flat = np.zeros(max(units) + 257, "<u4")
+    for k, v in units.items():
+        flat[k] = v
+    return struct.pack("<I", flat.nbytes) + flat.tobytes() + blob
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_offsets_through_replacements(seed):
+    """Longest prefixes win; replacements that grow, shrink and delete; each piece's span covers the prefix that it comes from."""
+    known = {"ﬁ": "fi", "ﬁx": "FIX", "Ａ": "A", "e\u0301": "é", "\u200b": "", "½": "1/2", "ab": "b", "abc": "xyz", "\u3000": " "}
+    r = random.Random(seed)
+    text = "".join(r.choice([*known, "a", "b", "c", "é", "日", " ", "x", "\n"]) for _ in range(60))
+    c = sentencepiece_codec.Codec(MODEL)
+    c.map = sentencepiece_codec.CharMap(compiled_map(known))
+    plain, origin, at = "", [], 0
+    while at < len(text):
+        size = next((n for n in (3, 2, 1) if text[at : at + n] in known), 0)
+        new = known[text[at : at + size]] if size else text[at]
+        start = len(text[:at].encode())
+        plain += new
+        origin += [start] * len(new.encode()) if size else list(range(start, start + len(new.encode())))
+        at += size or 1
+    got, places = c.map.apply(text.encode())
+    assert got.decode() == plain and places.tolist() == [*origin, len(text.encode())]
+    ids, spans = c.encode(text.encode())
+    assert ids.tolist() == c.model.encode(plain, add_bos=True, add_eos=True)
+    starts, at = [*origin, len(text.encode())], 0
+    for n, ((a, b), i) in enumerate(zip(spans[1:-1].tolist(), ids[1:-1].tolist(), strict=True)):
+        width = int(c.width[i]) - (n == 0)  # the space in front comes from nothing
+        assert (a, b) == (starts[max(0, at)], starts[at + width])
+        at += width
+
+
 # --- op4
 
 
@@ -280,6 +339,84 @@ def test_a_cut_is_found():
     assert media_avi.shots(np.zeros((0, media_avi.BINS))) == []
 
 
+def coded_jpeg(blocks, factors, wide, high, restart):
+    """A baseline JPEG of these quantised coefficients: blocks[c][row][column], scan order; every symbol has a code of nine bits."""
+    bits, out, last, unit = "", b"", [0] * len(factors), 0
+
+    def flush(bits):
+        data = int(bits + "1" * (-len(bits) % 8), 2).to_bytes((len(bits) + 7) // 8, "big") if bits else b""
+        return data.replace(b"\xff", b"\xff\0")
+
+    number = lambda v: f"{v if v > 0 else v + (1 << abs(v).bit_length()) - 1:0{abs(v).bit_length()}b}" if v else ""
+    for y in range(high):
+        for x in range(wide):
+            for c, (h, v) in enumerate(factors):
+                for b in range(h * v):
+                    block = blocks[c][y * v + b // h][x * h + b % h]
+                    step, last[c] = block[0] - last[c], block[0]
+                    bits += f"{abs(step).bit_length():09b}" + number(step)
+                    run = 0
+                    for k in range(1, 64):
+                        if not block[k]:
+                            run += 1
+                            continue
+                        bits += f"{0xF0:09b}" * (run // 16) + f"{run % 16 << 4 | abs(block[k]).bit_length():09b}" + number(block[k])
+                        run = 0
+                    bits += f"{0:09b}" if run else ""
+            unit += 1
+            if restart and unit % restart == 0 and unit < wide * high:
+                out, bits, last = out + flush(bits) + bytes([0xFF, 0xD0 + (unit // restart - 1) % 8]), "", [0] * len(factors)
+    counts = bytes([0] * 8 + [0xF1 + 0] + [0] * 7)
+    code = lambda kind: bytes([kind]) + counts + bytes(range(0xF1))
+    across, down = max(h for h, _ in factors), max(v for _, v in factors)
+    parts = b"".join(bytes([c + 1, h << 4 | v, 0]) for c, (h, v) in enumerate(factors))
+    scan = bytes([len(factors)]) + b"".join(bytes([c + 1, 0]) for c in range(len(factors))) + bytes([0, 63, 0])
+    head = [(0xDB, bytes([0]) + bytes([3]) * 64), (0xC0, struct.pack(">BHHB", 8, 8 * down * high, 8 * across * wide, len(factors)) + parts), (0xC4, code(0) + code(16)), (0xDD, struct.pack(">H", restart)), (0xDA, scan)]
+    return b"\xff\xd8" + b"".join(media_avi._segment(m, b) for m, b in head) + out + flush(bits) + b"\xff\xd9"
+
+
+@pytest.mark.parametrize(("factors", "restart"), [([(1, 1)], 0), ([(1, 1)], 2), ([(2, 2), (1, 1), (1, 1)], 0), ([(2, 1), (1, 1), (1, 1)], 3)])
+def test_coefficients_of_coded_frames(factors, restart):
+    """Prediction, runs, runs over 16, ends of blocks, stuffed bytes, chroma and its subsampling, restarts."""
+    r = random.Random(restart)
+    wide, high = 3, 2
+    block = lambda: [r.randint(-900, 900) if k == 0 else r.choice([0] * r.choice([1, 3, 30]) + [r.randint(-255, 255), -1, 1023]) for k in range(64)]
+    blocks = [[[block() for _ in range(wide * h)] for _ in range(high * v)] for h, v in factors]
+    data = coded_jpeg(blocks, factors, wide, high, restart)
+    assert b"\xff\0" in data
+    found = media_avi.luma_coefficients(media_avi.parse_jpeg(data))
+    assert found.tolist() == [b for row in blocks[0] for b in row]
+
+
+def test_long_scan_takes_linear_time():
+    block = [5] + [7, 0, -3] * 21
+    took = []
+    for wide in (40, 400):
+        data = coded_jpeg([[[block] * wide]], [(1, 1)], wide, 1, 0)
+        began = time.process_time()
+        assert len(media_avi.luma_coefficients(media_avi.parse_jpeg(data))) == wide
+        took.append(time.process_time() - began)
+    assert took[1] < 40 * max(took[0], 0.01)
+
+
+def test_frames_by_any_index():
+    """The old index, the OpenDML one inside the frames' list, and none at all."""
+    frames = [media_avi.store_frames(bytes([k]) * 1024)[0] for k in range(3)]
+    data = media_avi.write_avi(frames, 32, 32)
+    body = lambda d: [d[a : a + n] for a, n in media_avi.read_avi(d)["frames"]]
+    assert body(data) == frames
+    cut = data.index(b"idx1")
+    plain = data[:4] + struct.pack("<I", cut - 8) + data[8:cut]
+    assert body(plain) == frames
+    movi = plain.index(b"movi")
+    entries = b"".join(struct.pack("<II", a - movi, n) for a, n in media_avi.read_avi(plain)["frames"])
+    index = media_avi._chunk(b"ix00", struct.pack("<HBBI4sQI", 2, 0, 1, len(frames), b"00dc", movi, 0) + entries)
+    size = struct.unpack_from("<I", plain, movi - 4)[0]
+    whole = plain[: movi - 4] + struct.pack("<I", size + len(index)) + plain[movi:] + index
+    whole = whole[:4] + struct.pack("<I", len(whole) - 8) + whole[8:]
+    assert body(whole) == frames
+
+
 # --- op9
 
 
@@ -319,6 +456,15 @@ def test_viterbi_by_enumeration(seed):
             assert value(got[a:b].tolist(), a) == pytest.approx(max(value(p, a) for p in itertools.product(range(3), repeat=int(b - a))), abs=1e-5)
 
 
+def test_scores_in_pieces(monkeypatch):
+    rng = np.random.default_rng(2)
+    model = {"langs": ["a", "b", "c"], "log": rng.standard_normal((language_id.BUCKETS, 3)).astype(np.float32), "scripts": np.array([1, 1, 2], np.int32)}
+    w = language_id.Words([b"some words here", b"", "und straße".encode() * 9, b"x" * 500])
+    whole = language_id.word_scores(w, model)
+    monkeypatch.setattr(language_id, "CELLS", 40)
+    assert np.allclose(language_id.word_scores(w, model), whole, rtol=1e-5)
+
+
 # --- shared
 
 

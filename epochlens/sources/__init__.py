@@ -1 +1 @@
-"""Sources of the engine."""
+"""Payloads to rows: files and replies as they arrive, read into typed DataFrames."""

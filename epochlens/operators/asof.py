@@ -28,28 +28,34 @@ def asof_join(left: DataFrame, right: DataFrame, *, by: list[str], left_ts: str,
     return found.select(*by, "_l.*", F.col("_m._at").alias(f"{right_ts}_matched"), *(F.col(f"_m.{c}").alias(c) for c in take))
 
 
+def _in_windows(rows: DataFrame, windows: DataFrame, by: list[str], at: str, known_at: str | None, found: list[Column]) -> DataFrame:
+    """rows with aggregates over the windows [valid_from, valid_to) that hold their instant; each distinct question is asked once, so that repeated rows stay."""
+    asked = [*by, at, *([known_at] if known_at else [])]
+    on = (F.col("w.valid_from") <= F.col(f"l.{at}")) & (F.col("w.valid_to").isNull() | (F.col(f"l.{at}") < F.col("w.valid_to")))
+    if known_at:
+        on &= F.col("w.available_at") <= F.col(f"l.{known_at}")
+    for c in by:
+        on &= F.col(f"l.{c}") == F.col(f"w.{c}")
+    hits = rows.select(*asked).distinct().alias("l").join(windows.alias("w"), on).groupBy(*(F.col(f"l.{c}").alias(f"_{c}") for c in asked)).agg(*found)
+    same = F.lit(True)
+    for c in asked:
+        same &= F.col(c) == F.col(f"_{c}")
+    return rows.join(hits, same, "left")
+
+
 def resolve_identifier(rows: DataFrame, windows: DataFrame, *, by: list[str], at: str, target: str, known_at: str | None = None) -> DataFrame:
     """Each row with the one target whose window [valid_from, valid_to) holds the instant; null unless exactly one distinct target does.
 
     known_at: a column of rows; windows learned of after it (by their available_at) don't count.
     """
-    hit = (F.col("w.valid_from") <= F.col(f"l.{at}")) & (F.col("w.valid_to").isNull() | (F.col(f"l.{at}") < F.col("w.valid_to")))
-    if known_at:
-        hit &= F.col("w.available_at") <= F.col(f"l.{known_at}")
-    on = hit
-    for c in by:
-        on &= F.col(f"l.{c}") == F.col(f"w.{c}")
-    joined = rows.alias("l").join(windows.alias("w"), on, "left")
-    return joined.groupBy(*(F.col(f"l.{c}") for c in rows.columns)).agg(F.min(f"w.{target}").alias("_lo"), F.max(f"w.{target}").alias("_hi")).select(*rows.columns, F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).alias(target))
+    found = _in_windows(rows, windows, by, at, known_at, [F.min(f"w.{target}").alias("_lo"), F.max(f"w.{target}").alias("_hi")])
+    return found.select(*(rows[c] for c in rows.columns), F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).alias(target))
 
 
 def identifier_of(rows: DataFrame, windows: DataFrame, *, by: list[str], at: str, value: str) -> DataFrame:
     """The reverse: null unless exactly one window (not one distinct value) holds the instant."""
-    on = (F.col("w.valid_from") <= F.col(f"l.{at}")) & (F.col("w.valid_to").isNull() | (F.col(f"l.{at}") < F.col("w.valid_to")))
-    for c in by:
-        on &= F.col(f"l.{c}") == F.col(f"w.{c}")
-    joined = rows.alias("l").join(windows.alias("w"), on, "left")
-    return joined.groupBy(*(F.col(f"l.{c}") for c in rows.columns)).agg(F.count(F.col("w.valid_from")).alias("_n"), F.min(f"w.{value}").alias("_v")).select(*rows.columns, F.when(F.col("_n") == 1, F.col("_v")).alias(value))
+    found = _in_windows(rows, windows, by, at, None, [F.count("*").alias("_n"), F.min(f"w.{value}").alias("_v")])
+    return found.select(*(rows[c] for c in rows.columns), F.when(F.col("_n") == 1, F.col("_v")).alias(value))
 
 
 def contained(rows: DataFrame, spans: DataFrame, *, day: Column, at: str, span_day: str, open_ts: str, close_ts: str, take: str) -> DataFrame:

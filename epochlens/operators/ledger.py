@@ -30,12 +30,47 @@ def fifo_trades(fills: DataFrame, key: list[str], order: list[str], side: str, q
     return out.withColumn("pnl", (F.col("sell_price") - F.col("buy_price")) * F.col("quantity") - F.col("charges"))
 
 
-def open_lots(fills: DataFrame, key: list[str], side: str, quantity: str) -> DataFrame:
+def covered(fills: DataFrame, key: list[str], order: list[str], side: str, quantity: str) -> DataFrame:
+    """The same fills; reading them raises if a sell goes beyond what its key holds at that moment."""
+    held = F.sum(F.when(F.col(side) == "buy", F.col(quantity)).otherwise(-F.col(quantity))).over(W.partitionBy(*key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    refused = F.raise_error(F.concat(F.lit("sold more than held: "), F.concat_ws("/", *(F.col(k).cast("string") for k in key))))
+    return fills.withColumn("_held", held).withColumn(quantity, F.when(F.col("_held") < 0, refused.cast(fills.schema[quantity].dataType)).otherwise(F.col(quantity))).drop("_held")
+
+
+def oversold(fills: DataFrame, key: list[str], order: list[str], side: str, quantity: str) -> DataFrame:
+    """Keys that were sold short, the first moment of it and how far it went."""
+    held = F.sum(F.when(F.col(side) == "buy", F.col(quantity)).otherwise(-F.col(quantity))).over(W.partitionBy(*key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    short = fills.withColumn("_held", held).where("_held < 0")
+    return short.groupBy(*key).agg(F.min(F.struct(*order)).alias("first"), (-F.min("_held")).alias("most"))
+
+
+def open_lots(fills: DataFrame, key: list[str], order: list[str], side: str, quantity: str, price: str, charges: str | None = None) -> DataFrame:
+    """What is left of each buy after all sells have met the oldest ones: key, buy_at, open_quantity, price, and the pro-rata share of the buy's charges."""
+    buys, sells = fills.where(F.col(side) == "buy"), fills.where(F.col(side) == "sell")
+    sold = sells.groupBy(*key).agg(F.sum(quantity).alias("_sold"))
+    line = W.partitionBy(*key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    laid = buys.withColumn("_end", F.sum(quantity).over(line)).join(sold, key, "left")
+    left = F.least(F.col(quantity), F.col("_end") - F.coalesce("_sold", F.lit(0)))
+    cost = F.col(charges) * F.col("open_quantity") / F.col(quantity) if charges else F.lit(0.0)
+    return laid.withColumn("open_quantity", left).where("open_quantity > 0").select(*key, F.struct(*order).alias("buy_at"), "open_quantity", F.col(price).alias("price"), cost.alias("charges"))
+
+
+def net_positions(fills: DataFrame, key: list[str], side: str, quantity: str) -> DataFrame:
     """Net open quantity of each key; negative where more was sold than bought."""
     signed = F.sum(F.when(F.col(side) == "buy", F.col(quantity)).otherwise(-F.col(quantity)))
     return fills.groupBy(*key).agg(signed.alias("open_quantity"))
 
 
+def cash_check(fills: DataFrame, trades: DataFrame, lots: DataFrame, key: list[str], side: str, quantity: str, price: str, charges: str) -> DataFrame:
+    """Per key the cash that the fills moved, what closed trades and open lots say that it should be, and the gap between the two."""
+    signed = F.when(F.col(side) == "buy", -F.col(price) * F.col(quantity)).otherwise(F.col(price) * F.col(quantity)) - F.col(charges)
+    moved = fills.groupBy(*key).agg(F.sum(signed).alias("cash"))
+    earned = trades.groupBy(*key).agg(F.sum("pnl").alias("pnl"))
+    held = lots.groupBy(*key).agg(F.sum(F.col("price") * F.col("open_quantity") + F.col("charges")).alias("cost"))
+    both = moved.join(earned, key, "left").join(held, key, "left").withColumn("said", F.coalesce("pnl", F.lit(0.0)) - F.coalesce("cost", F.lit(0.0)))
+    return both.select(*key, "cash", "said", (F.col("cash") - F.col("said")).alias("gap"))
+
+
 def reconcile(ours: DataFrame, theirs: DataFrame, key: list[str], quantity: str) -> DataFrame:
     """Keys where the two books differ; a missing one counts as zero."""
     o, t = ours.select(*key, F.col(quantity).alias("ours")), theirs.select(*key, F.col(quantity).alias("theirs"))

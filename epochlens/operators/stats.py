@@ -13,28 +13,29 @@ from pyspark.sql import Window as W
 
 
 def student_tail(t: float, df: float) -> float:
-    """P(T > t), by the regularised incomplete beta function's continued fraction (Lentz's algorithm)."""
-    if math.isnan(t) or df <= 0:
+    """P(T > t) for a whole or an infinite number of degrees of freedom.
+
+    The chance of lying within t is a finite sum over powers of the cosine of atan(t / sqrt(df)); for infinite degrees it is the normal law's.
+    """
+    if math.isnan(t) or math.isnan(df) or df < 1:
         return math.nan
-    x = df / (df + t * t)
-    a, b = df / 2, 0.5
-
-    def fraction(a: float, b: float, x: float) -> float:
-        tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
-        d = 1 / (d if abs(d) > tiny else tiny)
-        h = d
-        for m in range(1, 400):
-            for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-                d, c = 1 + num * d, 1 + num / c
-                d, c = 1 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
-                h *= d * c
-            if abs(d * c - 1) < 1e-15:
-                break
-        return h
-
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) if 0 < x < 1 else 0.0
-    beta = (1.0 if x >= 1 else 0.0) if front == 0 else front * fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(b, a, 1 - x) / b
-    return beta / 2 if t > 0 else 1 - beta / 2
+    if math.isinf(t):
+        return 0.0 if t > 0 else 1.0
+    if math.isinf(df):
+        return math.erfc(t / math.sqrt(2)) / 2
+    if df != int(df):
+        raise ValueError("whole degrees of freedom are handled")
+    n, angle = int(df), math.atan2(abs(t), math.sqrt(df))
+    cosine = math.cos(angle)
+    term = total = cosine if n % 2 else 1.0
+    for k in range(3 if n % 2 else 2, n - 1, 2):
+        term *= cosine * cosine * (k - 1) / k
+        total += term
+    within = math.sin(angle) * total
+    if n % 2:
+        within = 2 / math.pi * (angle + (within if n > 1 else 0.0))
+    upper = (1 - within) / 2
+    return upper if t >= 0 else 1 - upper
 
 
 def t_tail(t: Column, df: Column) -> Column:
@@ -70,22 +71,33 @@ def bh_adjust(rows: DataFrame, family: list[str], p: str, order: list[str], out:
     return ranked.withColumn(out, F.when(real, lowest)).drop("_m", "_rank")
 
 
+#: A prime below 2 ** 31, so that squares fit into a long.
+PRIME = 2147483647
+
+
+def scrambled(seed: int, *numbers: Column) -> Column:
+    """A whole number below PRIME that looks random, from whole numbers; two squarings, so that it isn't linear in any of them."""
+    u = F.lit(seed).cast("long")
+    for n in numbers:
+        u = (u * 48271 + n.cast("long") * 104729 + 7919) % PRIME
+        u = (u * u + 12345) % PRIME
+    return (u * u + 69621) % PRIME
+
+
 def bootstrap_means(rows: DataFrame, by: list[str], cluster: str, value: str, resamples: int, seed: int) -> DataFrame:
-    """Means of ``resamples`` draws of a group's clusters with replacement: by, draw, mean.
+    """Means of ``resamples`` draws of a group's clusters: by, draw, mean. A draw takes as many clusters as the group has, with replacement.
 
-    Each cluster gets, for each draw, a Poisson(1) number of copies from a hash of (seed, cluster, draw): draws of the group's size in expectation, without
-    gathering the clusters of a group.
+    The clusters of a group, and the groups, are numbered in order; which cluster the j-th pick of a draw takes is scrambled from the seed, the group, the
+    draw and j, so that groups don't share their draws and any run gives the same.
     """
     sums = rows.where(F.col(value).isNotNull()).groupBy(*by, cluster).agg(F.count("*").alias("n"), F.sum(value).alias("s"))
-    draws = sums.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(cluster).cast("string"), F.col("draw")), 12).cast("double") + 0.5) / float(1 << 52)
-    steps, total = [], 0.0
-    for k in range(9):
-        total += math.exp(-1) / math.factorial(k)
-        steps.append(F.when(u > total, 1).otherwise(0))
-    copies = sum(steps[1:], steps[0])
-    picked = draws.withColumn("_c", copies).groupBy(*by, "draw").agg(F.sum(F.col("_c") * F.col("s")).alias("_s"), F.sum(F.col("_c") * F.col("n")).alias("_n"))
-    return picked.where("_n > 0").select(*by, "draw", (F.col("_s") / F.col("_n")).alias("mean"))
+    number = W.partitionBy(*by)
+    sums = sums.withColumn("_i", F.row_number().over(number.orderBy(cluster)) - 1)  # dates of a group
+    groups = sums.groupBy(*by).agg(F.count("*").alias("_size")).withColumn("_g", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*by)))  # a row for each group of a report
+    picks = groups.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_size") - 1)))
+    picks = picks.withColumn("_i", (scrambled(seed, F.col("_g"), F.col("draw"), F.col("_j")) % F.col("_size")).cast("int"))
+    found = picks.join(sums, [*by, "_i"]).groupBy(*by, "draw").agg(F.sum("s").alias("_s"), F.sum("n").alias("_n"))
+    return found.select(*by, "draw", (F.col("_s") / F.col("_n")).alias("mean"))
 
 
 def bootstrap_interval(rows: DataFrame, by: list[str], cluster: str, value: str, resamples: int, seed: int, confidence: float = 0.95) -> DataFrame:
@@ -94,9 +106,28 @@ def bootstrap_interval(rows: DataFrame, by: list[str], cluster: str, value: str,
     return means.groupBy(*by).agg(F.percentile("mean", F.lit(tail)).alias("low"), F.percentile("mean", F.lit(1 - tail)).alias("high"))
 
 
-def fcr_bound(means: DataFrame, by: list[str], selected: int, family: int, q: float) -> DataFrame:
-    """Lower bound at the false-coverage level max(selected, 1) q / family."""
-    return means.groupBy(*by).agg(F.percentile("mean", F.lit(max(selected, 1) * q / family)).alias("fcr_lower"))
+def fcr_bounds(cells: DataFrame, means: DataFrame, by: list[str], family: list[str], q: float) -> DataFrame:
+    """cells (by, p_adjusted) with fcr_lower: each one's lower bound at the false-coverage level max(R, 1) q / m, R and m being how many of its family
+    are selected and how many have a p-value. means: by, draw, mean."""
+    w = W.partitionBy(*family) if family else W.partitionBy(F.lit(0))  # cells of a report
+    level = F.greatest(F.count_if(F.col("p_adjusted") <= q).over(w), F.lit(1)) * q / F.greatest(F.count("p_adjusted").over(w), F.lit(1))
+    levelled = cells.withColumn("_level", F.least(level, F.lit(1.0)))
+    # linear interpolation between the two draws around the level
+    v = W.partitionBy(*by)
+    ranked = means.withColumn("_k", F.row_number().over(v.orderBy("mean", "draw")) - 1).withColumn("_n", F.count(F.lit(1)).over(v))
+    at = F.col("_level") * (F.col("_n") - 1)
+    near = ranked.join(levelled.select(*by, "_level"), by).where((F.col("_k") == F.floor(at)) | (F.col("_k") == F.ceil(at)))
+    bound = near.groupBy(*by).agg((F.min("mean") + (F.max("mean") - F.min("mean")) * (F.first(at) - F.floor(F.first(at)))).alias("fcr_lower"))
+    return levelled.drop("_level").join(bound, by, "left")
+
+
+def report_cells(rows: DataFrame, by: list[str], family: list[str], cluster: str, value: str, *, resamples: int, seed: int, q: float) -> DataFrame:
+    """Cells of a report: the clustered mean, its one-sided p and that adjusted within its family, the bootstrap interval and the false-coverage bound."""
+    means = bootstrap_means(rows, by, cluster, value, resamples, seed)
+    interval = means.groupBy(*by).agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
+    cells = clustered_mean(rows, by, cluster, value)
+    cells = cells.withColumn("p", t_tail(F.col("t"), F.col("clusters").cast("double") - 1)).withColumn("p", F.when(~F.isnan("p"), F.col("p")))
+    return fcr_bounds(bh_adjust(cells, family, "p", by), means, by, family, q).join(interval, by, "left")
 
 
 def gate(cells: DataFrame, least_n: int, q: float) -> DataFrame:

@@ -23,39 +23,43 @@ def rolling_median_sessions(rows: DataFrame, sessions: DataFrame, by: list[str],
 
 
 def cooldown(rows: DataFrame, by: list[str], order: list[str], place: str, k: int, out: str = "kept") -> DataFrame:
-    """Drops a row that is within k places of the last one kept of its key: a fold over the key's rows in order, as a lag can't tell.
+    """Drops a row that is within k places of the last one kept of its key: a fold over the key's places in order, as a lag can't tell.
 
-    The rows of one key and 1 of many spans are folded together: a span ends where two neighbours are over k places apart, as the row after is then
-    kept whatever came before; so a hot key is folded in pieces.
+    Only the distinct places of a key (days, of which there are some thousands, however many rows it has) are folded together; of a place that is
+    kept its first row by order stays, order putting no two rows level.
     """
-    w = W.partitionBy(*by).orderBy(*order)
-    gap = F.coalesce(F.col(place) - F.lag(place).over(w) > k, F.lit(True)).cast("int")
-    pieces = rows.withColumn("_piece", F.sum(gap).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    rest = [c for c in rows.columns if c not in by]
-    item = F.struct(*(F.col(c) for c in order), F.struct(*rest).alias("_row"), F.col(place).cast("double").alias("_at"))
-    grouped = pieces.groupBy(*by, "_piece").agg(F.sort_array(F.collect_list(item)).alias("_rows"))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<boolean>").alias("flags"))
-
-    def step(acc: Column, x: Column) -> Column:
-        keep = acc["last"].isNull() | (x["_at"] - acc["last"] > k)
-        return F.struct(F.when(keep, x["_at"]).otherwise(acc["last"]).alias("last"), F.concat(acc["flags"], F.array(keep)).alias("flags"))
-
-    folded = grouped.withColumn("_flags", F.aggregate("_rows", start, step)["flags"])
-    return folded.select(*by, F.explode(F.arrays_zip("_rows", "_flags")).alias("_z")).select(*by, "_z._rows._row.*", F.col("_z._flags").alias(out)).select(*rows.columns, out)
+    first = rows.groupBy(*by, place).agg(F.min(F.struct(*order)).alias("_first"))
+    places = first.groupBy(*by).agg(F.sort_array(F.collect_list(place)).alias("_places"))
+    none = F.slice("_places", 1, 0)
+    kept = F.aggregate("_places", none, lambda acc, x: F.when(F.size(acc) == 0, F.array(x)).when(x - F.element_at(acc, -1) > k, F.concat(acc, F.array(x))).otherwise(acc))
+    marks = places.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.explode(kept).alias("_place"))
+    on = F.col(place) == F.col("_place")
+    for c in by:
+        on &= F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    marked = first.join(marks, on, "left_semi").select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col(place).alias("_place"), "_first")
+    found = rows.join(marked, on & F.struct(*order).eqNullSafe(F.col("_first")), "left")
+    return found.select(*rows.columns, F.col("_first").isNotNull().alias(out))
+
+
+def _asked(rows: DataFrame, events: DataFrame, key: str, start: str, end: str, inside: Column, value: Column, out: str) -> DataFrame:
+    """rows with ``out``, the value over the events (_k, _d, …) inside each row's range; each distinct range is asked for once, so that repeated rows stay as they are."""
+    asked = rows.select(F.col(key).alias("_key"), F.col(start).alias("_a"), F.col(end).alias("_b")).distinct()
+    found = asked.join(events, (F.col("_key") == F.col("_k")) & inside).groupBy("_key", "_a", "_b").agg(value.alias(out))
+    return rows.join(found, (F.col(key) == F.col("_key")) & (F.col(start) == F.col("_a")) & (F.col(end) == F.col("_b")), "left").drop("_key", "_a", "_b")
 
 
 def product_between(rows: DataFrame, factors: DataFrame, key: str, start: str, end: str, day: str, factor: str, out: str = "multiplier") -> DataFrame:
     """Product of a key's factors with day in (start, end]; 1 without any."""
     f = factors.select(F.col(key).alias("_k"), F.col(day).alias("_d"), F.col(factor).alias("_f"))
-    joined = rows.join(f, (F.col(key) == F.col("_k")) & (F.col("_d") > F.col(start)) & (F.col("_d") <= F.col(end)), "left")
-    return joined.groupBy(*rows.columns).agg(F.coalesce(F.product("_f"), F.lit(1.0)).alias(out))
+    found = _asked(rows, f, key, start, end, (F.col("_d") > F.col("_a")) & (F.col("_d") <= F.col("_b")), F.product("_f"), out)
+    return found.withColumn(out, F.coalesce(out, F.lit(1.0)))
 
 
 def any_between(rows: DataFrame, flags: DataFrame, key: str, start: str, end: str, day: str, out: str = "flagged") -> DataFrame:
     """Whether a key has a flagged day in [start, end]."""
-    f = flags.select(F.col(key).alias("_k"), F.col(day).alias("_d"))
-    hit = rows.join(f, (F.col(key) == F.col("_k")) & F.col("_d").between(F.col(start), F.col(end)), "left_semi").withColumn(out, F.lit(True))
-    return hit.unionByName(rows.join(f, (F.col(key) == F.col("_k")) & F.col("_d").between(F.col(start), F.col(end)), "left_anti").withColumn(out, F.lit(False)))
+    f = flags.select(F.col(key).alias("_k"), F.col(day).alias("_d")).distinct()
+    found = _asked(rows, f, key, start, end, F.col("_d").between(F.col("_a"), F.col("_b")), F.lit(True), out)
+    return found.withColumn(out, F.coalesce(out, F.lit(False)))
 
 
 def running_max_before(rows: DataFrame, by: list[str], order: list[str], value: str, out: str = "high_so_far") -> DataFrame:

@@ -91,13 +91,13 @@ def bars_per_day(spark, d):
 
 @query("""
 WITH b AS (SELECT user_id, CAST(ts AS DATE) AS day, max(value) AS high, min(value) AS low, sum(value) AS volume FROM events GROUP BY ALL),
-e AS (SELECT user_id, CAST(ts AS DATE) AS day, max(value) FILTER (event_id % 20 <> 0) AS high, min(value) AS low, sum(value) FILTER (event_id % 25 <> 0) AS volume FROM events GROUP BY ALL)
-SELECT b.user_id, b.day::VARCHAR AS day, coalesce(abs(b.high - e.high) <= 0.005, false) AS high_ok, abs(b.low - e.low) <= 0.005 AS low_ok, coalesce(abs(b.volume - e.volume) <= 0.02 * e.volume, false) AS volume_ok FROM b JOIN e USING (user_id, day)""")
+e AS (SELECT user_id, CAST(ts AS DATE) AS day, max(value) FILTER (event_id % 20 <> 0) AS high, min(value) FILTER (event_id % 15 <> 0) AS low, sum(value) FILTER (event_id % 25 <> 0) AS volume FROM events GROUP BY ALL)
+SELECT b.user_id, b.day::VARCHAR AS day, coalesce(abs(b.high - e.high) <= 0.005, false) AS high_ok, coalesce(abs(b.low - e.low) <= 0.005, false) AS low_ok, coalesce(abs(b.volume - e.volume) <= 0.02 * e.volume, false) AS volume_ok FROM b JOIN e USING (user_id, day)""")
 def eod_check(spark, d):
     e = table(spark, d, "events").withColumn("day", F.to_date("ts"))
-    g = e.groupBy("user_id", "day").agg(F.max("value").alias("h"), F.min("value").alias("l"), F.sum("value").alias("v"), F.max(F.when(F.col("event_id") % 20 != 0, F.col("value"))).alias("eh"), F.sum(F.when(F.col("event_id") % 25 != 0, F.col("value"))).alias("ev"))
+    g = e.groupBy("user_id", "day").agg(F.max("value").alias("h"), F.min("value").alias("l"), F.sum("value").alias("v"), F.max(F.when(F.col("event_id") % 20 != 0, F.col("value"))).alias("eh"), F.min(F.when(F.col("event_id") % 15 != 0, F.col("value"))).alias("el"), F.sum(F.when(F.col("event_id") % 25 != 0, F.col("value"))).alias("ev"))
     ok = lambda c: F.coalesce(c, F.lit(False))
-    return g.select("user_id", F.col("day").cast("string"), ok(F.abs(F.col("h") - F.col("eh")) <= 0.005).alias("high_ok"), ok(F.abs(F.col("l") - F.col("l")) <= 0.005).alias("low_ok"), ok(F.abs(F.col("v") - F.col("ev")) <= 0.02 * F.col("ev")).alias("volume_ok"))
+    return g.select("user_id", F.col("day").cast("string"), ok(F.abs(F.col("h") - F.col("eh")) <= 0.005).alias("high_ok"), ok(F.abs(F.col("l") - F.col("el")) <= 0.005).alias("low_ok"), ok(F.abs(F.col("v") - F.col("ev")) <= 0.02 * F.col("ev")).alias("volume_ok"))
 
 
 _EQUITY = "q AS (SELECT o_orderpriority AS k, CAST(o_orderdate AS DATE) AS day, 1e7 + sum(sum(CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE -o_totalprice END)) OVER (PARTITION BY o_orderpriority ORDER BY CAST(o_orderdate AS DATE)) AS equity FROM orders GROUP BY 1, 2)"
@@ -160,10 +160,45 @@ def bh_adjust(spark, d):
     return stats.bh_adjust(p, [], "p", ["user_id"]).select("user_id", r6(F.col("p_adjusted")).alias("p_adjusted"))
 
 
-@query(f"WITH {_CLUSTERED} SELECT event_type, array_to_string(list_filter([CASE WHEN n < 100 THEN 'n' END, CASE WHEN NOT mean > 0 THEN 'mean' END, CASE WHEN NOT hit <= 0.05 THEN 'selection' END, CASE WHEN NOT mean - 2 * se > 0 THEN 'bound' END], lambda x: x IS NOT NULL), ',') AS reasons, n >= 100 AND mean > 0 AND hit <= 0.05 AND mean - 2 * se > 0 AS passed FROM cm")
+#: SQL of one-sided p-values: the finite sum for whole degrees of freedom.
+_P = """
+pv AS (SELECT *, atan2(abs(mean / se), sqrt(g - 1)) AS th, g - 1 AS df, mean / se AS t FROM cm),
+pw AS (SELECT *, CASE WHEN df % 2 = 0 THEN sin(th) * (1 + coalesce(list_sum(list_transform(range(2, df - 1, 2), lambda k: list_product(list_transform(range(2, k + 1, 2), lambda j: (j - 1) / j)) * pow(cos(th), k))), 0))
+  ELSE 2 / pi() * (th + CASE WHEN df > 1 THEN sin(th) * cos(th) * (1 + coalesce(list_sum(list_transform(range(3, df - 1, 2), lambda k: list_product(list_transform(range(3, k + 1, 2), lambda j: (j - 1) / j)) * pow(cos(th), k - 1))), 0)) ELSE 0 END) END AS within FROM pv),
+pp AS (SELECT *, CASE WHEN t >= 0 THEN (1 - within) / 2 ELSE 1 - (1 - within) / 2 END AS p FROM pw)"""
+
+
+def _draws_sql(clusters: str, resamples: int, seed: int) -> str:
+    """SQL of the means of draws of a table ``clusters`` (event_type, c, n, s): bm (event_type, draw, mean)."""
+    step = lambda u, n: f"(({u} * 48271 + {n} * 104729 + 7919) % 2147483647)"
+    return f"""
+bc AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY c) - 1 AS i FROM {clusters}), bg AS (SELECT event_type, count(*) AS size, row_number() OVER (ORDER BY event_type) AS g FROM bc GROUP BY 1),
+b0 AS (SELECT event_type, size, g, unnest(range(1, {resamples} + 1)) AS draw FROM bg), b1 AS (SELECT *, unnest(range(0, size)) AS j FROM b0),
+b2 AS (SELECT *, {step(seed, 'g')} AS u FROM b1), b3 AS (SELECT *, (u * u + 12345) % 2147483647 AS v FROM b2), b4 AS (SELECT *, {step('v', 'draw')} AS w FROM b3), b5 AS (SELECT *, (w * w + 12345) % 2147483647 AS x FROM b4),
+b6 AS (SELECT *, {step('x', 'j')} AS y FROM b5), b7 AS (SELECT *, (y * y + 12345) % 2147483647 AS z FROM b6), b8 AS (SELECT event_type, draw, ((z * z + 69621) % 2147483647) % size AS i FROM b7),
+bm AS (SELECT event_type, draw, sum(s) / sum(n) AS mean FROM b8 JOIN bc USING (event_type, i) GROUP BY ALL)"""
+
+
+@query(f"""WITH {_CLUSTERED}, {_P}, {_draws_sql('i', 300, 11)},
+q0 AS (SELECT event_type, p, count(*) OVER () AS m, row_number() OVER (ORDER BY p, event_type) AS k FROM pp), q AS (SELECT event_type, m, min(least(1, p * m / k)) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS adjusted FROM q0),
+lv AS (SELECT *, least(1.0, greatest(count(*) FILTER (adjusted <= 0.05) OVER (), 1) * 0.05 / m) AS level FROM q), rk AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY mean, draw) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM bm),
+bd AS (SELECT event_type, min(mean) + (max(mean) - min(mean)) * (any_value(level * (n - 1)) - floor(any_value(level * (n - 1)))) AS bound FROM rk JOIN lv USING (event_type) WHERE k = floor(level * (n - 1)) OR k = ceil(level * (n - 1)) GROUP BY 1)
+SELECT event_type, floor(bound * 1e6 + 0.5) / 1e6 AS fcr_lower, array_to_string(list_filter([CASE WHEN n < 100 THEN 'n' END, CASE WHEN NOT mean > 0 THEN 'mean' END, CASE WHEN NOT adjusted <= 0.05 THEN 'selection' END, CASE WHEN NOT bound > 0 THEN 'bound' END], lambda x: x IS NOT NULL), ',') AS reasons,
+  n >= 100 AND mean > 0 AND adjusted <= 0.05 AND bound > 0 AS passed FROM cm JOIN lv USING (event_type) JOIN bd USING (event_type)""")
 def gate_cells(spark, d):
-    cells = _cells(spark, d).withColumn("p_adjusted", F.col("hit_rate")).withColumn("fcr_lower", F.col("mean") - 2 * F.col("se"))
-    return stats.gate(cells, 100, 0.05).select("event_type", "reasons", "passed")
+    """The gate over a report's cells: enough rows, a positive mean, selected among its family, and a positive false-coverage bound."""
+    return stats.gate(_report(spark, d), 100, 0.05).select("event_type", r6(F.col("fcr_lower")).alias("fcr_lower"), "reasons", "passed")
+
+
+def _report(spark, d):
+    e = table(spark, d, "events").select("event_type", F.to_date("ts").alias("c"), (F.col("value") - 50).alias("x"))
+    return stats.report_cells(e, ["event_type"], [], "c", "x", resamples=300, seed=11, q=0.05)
+
+
+@query(f"""WITH {_CLUSTERED}, {_draws_sql('i', 300, 11)}
+SELECT cm.event_type, n::BIGINT AS n, floor(cm.mean * 1e6 + 0.5) / 1e6 AS mean, floor(b.low * 1e6 + 0.5) / 1e6 AS low, floor(b.high * 1e6 + 0.5) / 1e6 AS high FROM cm JOIN (SELECT event_type, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM bm GROUP BY 1) b USING (event_type)""")
+def report_cells(spark, d):
+    return _report(spark, d).select("event_type", "n", *(r6(F.col(c)).alias(c) for c in ("mean", "low", "high")))
 
 
 @query("""
@@ -177,16 +212,17 @@ def wilson_interval(spark, d):
     return g.select("toxic", "n", "k", r6(low).alias("low"), r6(high).alias("high"))
 
 
-@query()
+@query(f"""WITH k AS (SELECT event_type, CAST(ts AS DATE) AS c, count(*) AS n, sum(value) AS s FROM events GROUP BY ALL), {_draws_sql('k', 500, 7)}
+SELECT event_type, floor(quantile_cont(mean, 0.025) * 1e6 + 0.5) / 1e6 AS low, floor(quantile_cont(mean, 0.975) * 1e6 + 0.5) / 1e6 AS high FROM bm GROUP BY 1""")
 def bootstrap_ci(spark, d):
     e = table(spark, d, "events").select("event_type", F.to_date("ts").alias("c"), "value")
-    return stats.bootstrap_interval(e, ["event_type"], "c", "value", 500, 7)
+    return stats.bootstrap_interval(e, ["event_type"], "c", "value", 500, 7).select("event_type", r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"))
 
 
-@query()
+@query(f"WITH {_CLUSTERED}, {_P} SELECT event_type, floor(t * 1e6 + 0.5) / 1e6 AS t, floor(p * 1e9 + 0.5) / 1e9 AS p FROM pp")
 def cell_p_values(spark, d):
-    c = _cells(spark, d)
-    return c.withColumn("p", stats.t_tail(F.col("t"), (F.col("clusters") - 1).cast("double"))).select("event_type", "t", "p")
+    c = _cells(spark, d).withColumn("p", stats.t_tail(F.col("t"), (F.col("clusters") - 1).cast("double")))
+    return c.select("event_type", r6(F.col("t")).alias("t"), (F.floor(F.col("p") * 1e9 + 0.5) / 1e9).alias("p"))
 
 
 _FILLS = "x AS (SELECT l_suppkey AS k, l_shipdate AS d, l_orderkey AS o, l_linenumber AS l, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_shipdate, l_extendedprice) AS id, CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side, l_quantity AS q, l_extendedprice / l_quantity AS price FROM lineitem)"
@@ -209,8 +245,45 @@ def fifo_trades(spark, d):
 
 
 @query("SELECT l_suppkey AS k, sum(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END) AS open_quantity FROM lineitem GROUP BY 1")
+def net_positions(spark, d):
+    return ledger.net_positions(_fills(spark, d), ["k"], "side", "q")
+
+
+_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice"]
+
+
+@query("""
+WITH b AS (SELECT l_suppkey AS k, l_orderkey, l_linenumber, l_quantity AS q, l_extendedprice AS v, l_tax AS c, sum(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_extendedprice ROWS UNBOUNDED PRECEDING) AS e FROM lineitem WHERE l_returnflag <> 'R'),
+s AS (SELECT l_suppkey AS k, sum(l_quantity) AS sold FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), o AS (SELECT *, least(q, e - coalesce(sold, 0)) AS open FROM b LEFT JOIN s USING (k))
+SELECT k, l_orderkey, l_linenumber, open AS open_quantity, floor(v / q * 1e6 + 0.5) / 1e6 AS price, floor(c * open / q * 1e6 + 0.5) / 1e6 AS charges FROM o WHERE open > 0""")
 def open_lots(spark, d):
-    return ledger.open_lots(_fills(spark, d), ["k"], "side", "q")
+    """What is left of each buy, with its price and its share of the charges."""
+    fills = _fills(spark, d).join(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice", F.col("l_suppkey").alias("k"), F.col("l_tax").alias("c")).distinct(), ["k", *_ORDER])
+    lots = ledger.open_lots(fills, ["k"], _ORDER, "side", "q", "price", "c")
+    return lots.select("k", "buy_at.l_orderkey", "buy_at.l_linenumber", "open_quantity", r6(F.col("price")).alias("price"), r6(F.col("charges")).alias("charges"))
+
+
+@query("""
+WITH r AS (SELECT l_suppkey AS k, l_orderkey, sum(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END) OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_extendedprice ROWS UNBOUNDED PRECEDING) AS held FROM lineitem)
+SELECT k, -min(held) AS most FROM r WHERE held < 0 GROUP BY 1""")
+def oversold_keys(spark, d):
+    """Keys that at some moment sold more than they held."""
+    return ledger.oversold(_fills(spark, d), ["k"], _ORDER, "side", "q").select("k", "most")
+
+
+@query("""
+WITH f AS (SELECT l_suppkey AS k, l_quantity AS q, l_extendedprice AS v, l_tax AS c, CASE WHEN l_returnflag = 'R' AND false THEN 'sell' ELSE 'buy' END AS side FROM lineitem)
+SELECT k, floor(sum(-v - c) * 100 + 0.5) / 100 AS cash, 0.0 AS gap FROM f GROUP BY 1""")
+def cash_reconciliation(spark, d):
+    """Cash moved by fills against what closed trades and open lots say; each buy is followed by a sell of half of it and a later sell of the rest at the same price."""
+    li = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k"), *_ORDER).agg(F.sum("l_quantity").alias("q"), F.sum("l_extendedprice").alias("v"), F.sum("l_tax").alias("c"))
+    fills = li.select("k", *_ORDER, F.explode(F.array(*(F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), (F.col("q") * part).alias("q"), (F.col("v") / F.col("q")).alias("price"), (F.col("c") * cost).alias("c")) for side, n, part, cost in (("buy", 0, 1.0, 0.5), ("sell", 1, 0.5, 0.25), ("buy", 2, 0.5, 0.25))))).alias("x")).select("k", *_ORDER, "x.*")
+    order = [*_ORDER, "n"]
+    checked = ledger.covered(fills, ["k"], order, "side", "q")
+    trades = ledger.fifo_trades(checked, ["k"], order, "side", "q", "price", "c")
+    found = ledger.cash_check(checked, trades, ledger.open_lots(checked, ["k"], order, "side", "q", "price", "c"), ["k"], "side", "q", "price", "c")
+    fixed = lambda c: (F.floor(F.col(c) * 100 + 0.5) / 100).alias(c)
+    return found.select("k", fixed("cash"), F.abs(fixed("gap")).alias("gap"))
 
 
 @query("""

@@ -102,3 +102,15 @@ def event_group_ids(rows: DataFrame, matched: DataFrame, key: str, left: str, ri
     """The smaller id of its pair, or a row's own."""
     pairs = matched.select(F.explode(F.array(left, right)).alias(key), F.least(left, right).alias("_g"))
     return rows.join(pairs, key, "left").withColumn("event_group_id", F.coalesce("_g", key)).drop("_g")
+
+
+def group_range(rows: DataFrame, *, key: str, by: list[str], ts: str, source: str, sources: tuple[str, str], start: Column, end: Column, halo_s: int = 21_600) -> DataFrame:
+    """key and event_group_id of the rows in [start, end): filings of one security on two sources within the halo are matched one to one, the closest first.
+
+    Rows up to a halo outside the range take part in the matching, so that pairs over its edges are found whichever range is asked for.
+    """
+    around = rows.where((F.col(ts) >= start - F.make_dt_interval(secs=F.lit(halo_s))) & (F.col(ts) < end + F.make_dt_interval(secs=F.lit(halo_s))))
+    pairs = band_pairs(around.where(F.col(source) == sources[0]).select(key, *by, ts), around.where(F.col(source) == sources[1]).select(key, *by, ts), by=by, ts=ts, max_gap_s=float(halo_s))
+    matched = greedy_pairs(pairs, f"l_{key}", f"r_{key}", [F.col("gap_s"), F.col(f"l_{key}"), F.col(f"r_{key}")])
+    inside = rows.where((F.col(ts) >= start) & (F.col(ts) < end)).select(key)
+    return event_group_ids(inside, matched, key, f"l_{key}", f"r_{key}")

@@ -283,21 +283,39 @@ def _plausible(a: str, b: str) -> Column:
     return (small >= F.lit(LEAST_SIMILARITY) * large) & (F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= MOST_BITS)
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Plausible pairs of structs (a, b) that lie apart, as pairs of t, each once."""
+    apart = F.col("a.root") != F.col("b.root") if "root" in pairs.schema["a"].dataType.names else F.col("a.t") != F.col("b.t")
+    return pairs.where(apart & _plausible("a", "b")).select(F.least("a.t", "b.t").alias("a"), F.greatest("a.t", "b.t").alias("b")).distinct()
+
+
+def _pairs_with_first(entered: DataFrame) -> DataFrame:
+    """entered (g, x), members of a group g once each: each member with its group's first one. The order is one for all groups, so that copies of
+    a text, which share most of their groups, mostly meet the same first one in them."""
+    first = entered.groupBy("g").agg(F.count("*").alias("members"), F.min_by("x", F.xxhash64("x.t")).alias("a")).where("members > 1")
+    return _ordered(entered.join(first, "g").select("a", F.col("x").alias("b")))
+
+
 def _pairs_within(entered: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """entered (g, x: struct t, n, bits and maybe root; members of a group g once each) to plausible pairs (a, b) of t, and the large groups with their leaders.
+    """entered (g, x with root) to pairs of members that lie apart, and the large groups.
 
-    All pairs of small groups are given; in large ones each member meets LEADERS members only, and what is left is for the caller. Members of
-    one root, where roots are given, need not meet.
+    All such pairs of small groups are given; in large ones each member meets LEADERS members only, and what is left is for the caller.
     """
     sizes = entered.groupBy("g").agg(F.count("*").alias("members"), *(F.min_by("x", F.xxhash64("x.t", F.lit(o))).alias(f"lead{o}") for o in range(LEADERS))).where("members > 1")
     sizes = materialised(sizes, "groups")
-    apart = F.col("a.root") != F.col("b.root") if "root" in entered.schema["x"].dataType.names else F.lit(True)
     small = entered.join(sizes.where(F.col("members") <= SMALL_GROUP).select("g"), "g").groupBy("g").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     pairs = small.select("xs", F.posexplode("xs").alias("i", "a")).select("a", F.explode(F.slice("xs", F.col("i") + 2, F.lit(SMALL_GROUP))).alias("b"))
     large = sizes.where(F.col("members") > SMALL_GROUP)
-    led = entered.join(large, "g").select(F.col("x").alias("a"), F.explode(F.array(*(f"lead{o}" for o in range(LEADERS)))).alias("b")).where("a.t <> b.t")
-    both = pairs.unionByName(led).where(apart & _plausible("a", "b"))
-    return both.select(F.least("a.t", "b.t").alias("a"), F.greatest("a.t", "b.t").alias("b")).distinct(), large.select("g")
+    led = entered.join(large, "g").select(F.col("x").alias("a"), F.explode(F.array(*(f"lead{o}" for o in range(LEADERS)))).alias("b"))
+    return _ordered(pairs.unionByName(led)), large.select("g")
+
+
+def _of_several_families(entered: DataFrame, roots: DataFrame) -> DataFrame:
+    """entered with each member's root, of the groups only whose members have several."""
+    named = entered.select("g", F.col("x.t").alias("t"), "x.n", "x.bits").join(roots.withColumnRenamed("node", "t"), "t", "left").select("g", F.struct("t", "n", "bits", F.coalesce("root", "t").alias("root")).alias("x"))
+    named = materialised(named, "named")
+    several = named.groupBy("g").agg(F.min("x.root").alias("lo"), F.max("x.root").alias("hi")).where("lo <> hi").select("g")
+    return named.join(several, "g")
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -334,35 +352,42 @@ def shingle_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 def near_duplicate_roots(rows: DataFrame, distinct: DataFrame) -> DataFrame:
     """rows (id, t, text), distinct (t, id, n, bits, keys) to (node, root) of t, for every text that is near another.
 
-    Texts meet in the groups of their parts' keys. Members of a group of over SMALL_GROUP are first compared with LEADERS of them, which links
-    the copies of one text. Members of one large group that this leaves apart are then held against each other where they share two such groups, which texts of the
-    least similarity do with odds of 0.993; groups of two keys that are still large give every pair of their members that lies apart.
+    Texts meet in the groups of their parts' keys. First each member of a group is compared with the group's first one, which links the copies of
+    one text however many there are. Where this leaves members of a group apart, they are held against each other: all of them in a group of up to
+    SMALL_GROUP, with LEADERS of them in a larger one, whose members that are still apart then meet where they share two such groups, which texts of
+    the least similarity do with odds of 0.993; groups of two keys that are still large give every pair of their members that lies apart.
     """
-    x = F.struct("t", "n", "bits")
-    entered = materialised(distinct.select(F.posexplode("keys").alias("part", "key"), x.alias("x")).select(F.xxhash64("part", "key").alias("g"), "x"), "entered")
-    pairs, large = _pairs_within(entered)
-    pairs = materialised(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("t")).unionByName(pairs.select(F.col("b").alias("t"))).distinct()
-    sets = shingle_sets(rows, distinct.join(wanted, "t", "left_semi").select("t", "id"))
-    links = materialised(similar_pairs(pairs, sets), "links")
+    entered = distinct.select(F.posexplode("keys").alias("part", "key"), F.struct("t", "n", "bits").alias("x")).select(F.xxhash64("part", "key").alias("g"), "x")
+    entered = materialised(entered, "entered")
+    tried = links = None
+
+    def verified(pairs: DataFrame) -> bool:
+        """Adds the links among pairs not tried before; False if there was none to try."""
+        nonlocal tried, links
+        new = materialised(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not new.limit(1).count():
+            return False
+        wanted = new.select(F.col("a").alias("t")).unionByName(new.select(F.col("b").alias("t"))).distinct()
+        found = materialised(similar_pairs(new, shingle_sets(rows, distinct.join(wanted, "t", "left_semi").select("t", "id"))), "links")
+        tried, links = (new, found) if tried is None else (tried.unionByName(new), links.unionByName(found))
+        return True
+
+    if not verified(_pairs_with_first(entered)):
+        return distinct.select(F.col("t").alias("node"), F.col("t").alias("root")).where("false")
     roots = components(links)
-    # large groups that hold several families
-    crowd = entered.join(large, "g").join(roots.withColumnRenamed("node", "_t"), F.col("x.t") == F.col("_t"), "left").select("g", F.struct("x.*", F.coalesce("root", "x.t").alias("root")).alias("x"))
-    crowd = materialised(crowd, "crowd")
-    mixed_groups = crowd.groupBy("g").agg(F.min("x.root").alias("lo"), F.max("x.root").alias("hi")).where("lo <> hi").select("g")
-    left = crowd.join(mixed_groups, "g")
-    held = left.groupBy("x").agg(F.sort_array(F.collect_list("g")).alias("gs")).where("size(gs) > 1")  # PARTS groups at most
+    pairs, large = _pairs_within(_of_several_families(entered, roots))
+    if verified(pairs):
+        roots = components(links)
+    crowd = entered.join(large, "g", "left_semi")
+    if not crowd.limit(1).count():
+        return roots
+    held = _of_several_families(crowd, roots).groupBy("x").agg(F.sort_array(F.collect_list("g")).alias("gs")).where("size(gs) > 1")  # PARTS groups at most
     twice = held.select("x", "gs", F.posexplode("gs").alias("i", "g1")).select("x", "g1", F.explode(F.slice("gs", F.col("i") + 2, F.lit(PARTS))).alias("g2")).select(F.xxhash64("g1", "g2").alias("g"), "x")
     twice = materialised(twice, "twice")
-    more, large = _pairs_within(twice)
-    crowded = twice.join(large, "g")
-    rest = crowded.select("g", F.col("x").alias("a")).join(crowded.select("g", F.col("x").alias("b")), "g").where((F.col("a.t") < F.col("b.t")) & (F.col("a.root") != F.col("b.root")) & _plausible("a", "b"))
-    more = materialised(more.unionByName(rest.select("a.t", "b.t").toDF("a", "b")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if more.limit(1).count() == 0:
-        return roots
-    wanted = more.select(F.col("a").alias("t")).unionByName(more.select(F.col("b").alias("t"))).distinct()
-    sets = shingle_sets(rows, distinct.join(wanted, "t", "left_semi").select("t", "id"))
-    return components(links.unionByName(similar_pairs(more, sets)))
+    pairs, large = _pairs_within(twice)
+    rest = twice.join(large, "g")
+    rest = rest.select("g", F.col("x").alias("a")).join(rest.select("g", F.col("x").alias("b")), "g").where(F.col("a.t") < F.col("b.t"))
+    return components(links) if verified(pairs.unionByName(_ordered(rest)).distinct()) else roots
 
 
 def first_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

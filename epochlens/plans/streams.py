@@ -68,7 +68,7 @@ def stream_hand_off(spark, d):
 
 @query("""
 SELECT event_type, epoch_us(date_trunc('minute', ts)) AS minute_us, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS ticks
-FROM events GROUP BY ALL HAVING epoch_us(date_trunc('minute', ts)) + 60000000 <= (SELECT epoch_us(max(ts)) // 1000 * 1000 - 3000000 FROM events)""")
+FROM events WHERE epoch_us(date_trunc('minute', ts)) + 60000000 <= (SELECT epoch_us(max(ts)) // 1000 * 1000 - 3000000 FROM events) GROUP BY event_type, date_trunc('minute', ts)""")
 def stream_minute_bars(spark, d):
     """Only minutes that have ended, and their margin, are given out."""
     stream, e = _landing(spark, d, ["true"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from epochlens.plans import feeds, measures, reads, state, streams, studies, texts  # noqa: F401  (they register their queries)
+from epochlens.plans import extracts, feeds, measures, reads, state, streams, studies, texts  # noqa: F401  (they register their queries)
 from epochlens.plans.registry import ORACLE_SQL, QUERIES
 
 

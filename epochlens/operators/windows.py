@@ -110,7 +110,8 @@ def allocate(rows: DataFrame, stratum: str, n: int) -> DataFrame:
 
 def stratified_draw(rows: DataFrame, stratum: str, key: str, n: int, seed: int) -> DataFrame:
     """The allocated number of rows of each stratum, those with the smallest hashes of their key."""
-    drawn = rows.join(F.broadcast(allocate(rows, stratum, n).select(stratum, "draws")), stratum)  # a row for each stratum
+    sizes = F.broadcast(allocate(rows, stratum, n).select(F.col(stratum).alias("_s"), "draws"))  # a row for each stratum
+    drawn = rows.join(sizes, F.col(stratum).eqNullSafe(F.col("_s"))).drop("_s")
     rank = F.row_number().over(W.partitionBy(stratum).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
     return drawn.withColumn("_rank", rank).where("_rank <= draws").drop("_rank", "draws")
 

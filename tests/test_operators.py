@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from datetime import date, datetime, timedelta, timezone
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from epochlens.functions import scalars, taxonomy
-from epochlens.operators import asof, calendar, graph, identity, merge, pit, stats, windows
+from epochlens.operators import asof, calendar, graph, identity, ledger, merge, pit, stats, windows
 
 
 def test_clock_never_goes_back(spark):
@@ -110,8 +111,65 @@ def test_benjamini_hochberg(spark):
 
 
 def test_rename_chain(spark):
-    changes = spark.createDataFrame([("A", "B", date(2020, 1, 1)), ("B", "C", date(2021, 1, 1))], "old string, new string, effective date")
-    assert identity.rename_windows(changes).count() >= 2
+    """A name that is used again starts when its earlier holder left it."""
+    changes = spark.createDataFrame([("A", "B", date(2020, 1, 1)), ("B", "C", date(2021, 1, 1)), ("X", "B", date(2022, 1, 1))], "old string, new string, effective date")
+    found = {(r["name"], r["holder"]): (r["valid_from"], r["valid_to"]) for r in identity.rename_windows(changes).collect()}
+    assert found == {("A", "C"): (None, date(2020, 1, 1)), ("B", "C"): (date(2020, 1, 1), date(2021, 1, 1)), ("C", "C"): (date(2021, 1, 1), None), ("X", "B"): (None, date(2022, 1, 1)), ("B", "B"): (date(2022, 1, 1), None)}
+
+
+# fixed values: one-sided critical values of Student's t
+CRITICAL = [(6.314, 1, 0.05), (2.920, 2, 0.05), (2.015, 5, 0.05), (3.365, 5, 0.01), (1.812, 10, 0.05), (2.764, 10, 0.01), (1.697, 30, 0.05), (2.423, 40, 0.01), (1.960, math.inf, 0.025), (2.326, math.inf, 0.01)]
+
+
+@pytest.mark.parametrize(("t", "df", "p"), CRITICAL)
+def test_student_tail(t, df, p):
+    assert stats.student_tail(t, df) == pytest.approx(p, abs=1.5e-4)
+    assert stats.student_tail(-t, df) == pytest.approx(1 - p, abs=1.5e-4)
+
+
+def test_student_tail_at_the_ends():
+    assert stats.student_tail(0.0, 7) == 0.5 and stats.student_tail(math.inf, 3) == 0.0
+    assert math.isnan(stats.student_tail(math.nan, 3)) and math.isnan(stats.student_tail(1.0, 0))
+    assert stats.student_tail(1.0, 1) == pytest.approx(0.25)
+
+
+def test_lots_and_oversell(spark):
+    """Pro-rata charges of what is left, and no sell beyond what is held."""
+    fills = [("a", 1, "buy", 10.0, 100.0, 1.0), ("a", 2, "buy", 10.0, 110.0, 2.0), ("a", 3, "sell", 15.0, 120.0, 3.0)]
+    df = spark.createDataFrame(fills, "k string, n int, side string, q double, price double, c double")
+    lots = ledger.open_lots(df, ["k"], ["n"], "side", "q", "price", "c").collect()
+    assert [(r["buy_at"]["n"], r["open_quantity"], r["price"], r["charges"]) for r in lots] == [(2, 5.0, 110.0, 1.0)]
+    trades = ledger.fifo_trades(ledger.covered(df, ["k"], ["n"], "side", "q"), ["k"], ["n"], "side", "q", "price", "c").orderBy("buy_at").collect()
+    assert [(r["quantity"], r["pnl"]) for r in trades] == [(10.0, 200.0 - 1.0 - 2.0), (5.0, 50.0 - 1.0 - 1.0)]
+    short = spark.createDataFrame([("a", 1, "sell", 5.0, 100.0, 0.0), ("a", 2, "buy", 5.0, 90.0, 0.0)], df.schema)
+    assert [(r["k"], r["most"]) for r in ledger.oversold(short, ["k"], ["n"], "side", "q").collect()] == [("a", 5.0)]
+    with pytest.raises(Exception, match="sold more than held"):
+        ledger.fifo_trades(ledger.covered(short, ["k"], ["n"], "side", "q"), ["k"], ["n"], "side", "q", "price").collect()
+
+
+def test_repeated_rows_stay(spark):
+    rows = spark.createDataFrame([("a", date(2024, 1, 2), date(2024, 1, 9))] * 2 + [(None, None, None)], "k string, s date, e date")
+    days = spark.createDataFrame([("a", date(2024, 1, 5), 2.0), ("a", date(2024, 1, 2), 3.0)], "k string, d date, f double")
+    assert sorted(r["multiplier"] for r in windows.product_between(rows, days, "k", "s", "e", "d", "f").collect()) == [1.0, 2.0, 2.0]
+    assert sorted(r["flagged"] for r in windows.any_between(rows, days, "k", "s", "e", "d").collect()) == [False, True, True]
+    names = spark.createDataFrame([("a", date(2024, 1, 1), None, 7)], "k string, valid_from date, valid_to date, t int")
+    assert sorted(str(r["t"]) for r in asof.resolve_identifier(rows, names, by=["k"], at="s", target="t").collect()) == ["7", "7", "None"]
+
+
+def test_workbook_is_read_as_a_table():
+    """An .xlsx under any name: shared and inline texts, numbers, gaps and blank rows."""
+    import io
+    import zipfile
+
+    from epochlens.sources import tabular
+
+    body = io.BytesIO()
+    with zipfile.ZipFile(body, "w") as z:
+        z.writestr("xl/sharedStrings.xml", '<sst xmlns="s"><si><t>Symbol</t></si><si><r><t>AB</t></r><r><t>C</t></r></si></sst>')
+        z.writestr("xl/worksheets/sheet1.xml", '<worksheet xmlns="s"><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t> close </t></is></c></row><row/><row><c r="A3" t="s"><v>1</v></c><c r="C3"><v>12.5</v></c><c r="D3"><v>9</v></c></row></sheetData></worksheet>')
+    assert tabular.records_of(body.getvalue()) == [{"SYMBOL": "ABC", "": "", "CLOSE": "12.5"}]
+    assert tabular.records_of("\ufeffa, B\n1,2,3\n,\n".encode()) == [{"A": "1", "B": "2"}]
+    assert tabular.records_of("é\n1".encode("latin-1")) == [{"É": "1"}]
 
 
 def test_scalars(spark):

@@ -408,6 +408,26 @@ def test_languages(spark, odd, none):
     assert language_id.predict_spans(none, learned).count() == 0
 
 
+def test_language_spans(spark):
+    """Mixed, very long and repeated texts: spans lie one after the other, and each part has its language."""
+    docs = table(spark, SMALL, "documents").where("text is not null and lang is not null")
+    model = language_id.learn(docs)
+    whole = {x["lang"]: x["text"] for x in docs.orderBy("n_chars").collect()}
+    a, b = sorted(whole)[:2]
+    one, two = (" ".join(whole[x].split()[:80]) for x in (a, b))
+    rows = [(1, f"{one} {two}"), (2, f"{one} {two}"), (3, f"{one} " * 2000), (4, two), (None, two)]
+    found = {x["doc_id"]: x for x in language_id.predict_spans(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    texts = {i: t.encode() for i, t in rows}
+    for i, x in found.items():
+        spans = [(s["start"], s["end"], s["lang"]) for s in x["spans"]]
+        assert all(s < e for s, e, _ in spans) and all(p[1] < q[0] and p[2] != q[2] for p, q in zip(spans, spans[1:], strict=False))
+        assert spans[0][0] == 0 and spans[-1][1] == len(texts[i].rstrip())
+    assert {s["lang"] for s in found[1]["spans"]} >= {a, b} and found[1]["spans"] == found[2]["spans"]
+    assert found[3]["lang_pred"] == a and found[4]["lang_pred"] == b and found[4]["spans"] == found[None]["spans"]
+    cut = next(s["end"] for s in found[1]["spans"] if s["lang"] == a)
+    assert abs(cut - len(one.encode())) < 80
+
+
 def test_pipeline_stages_equal_plain_versions(spark, model):
     """Each stage on its own input, in order, on a whole table."""
     import corpus_pipeline

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from epochlens.session import materialised, shared_dir, work_path  # noqa: F401
 
 #: Rows of a batch, and bytes of their strings, that are held decoded at once in a Python worker; a longer row stands alone.
-SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
+SLICE_ROWS, SLICE_BYTES = 256, 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +34,21 @@ def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS, size: int = SLICE_BYTE
         at = until
 
 
+def series_slices(series: Iterable) -> Iterator[list[str | None]]:
+    """The same of a series of texts, whose other values count as null; nothing is copied as a whole."""
+    held: list[str | None] = []
+    size = 0
+    for x in series:
+        x = x if isinstance(x, str) else None
+        if held and (len(held) == SLICE_ROWS or size + len(x or "") > SLICE_BYTES):
+            yield held
+            held, size = [], 0
+        held.append(x)
+        size += len(x or "")
+    if held:
+        yield held
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [b"" if x is None else x.encode("utf-8") for x in column.to_pylist()]

@@ -27,12 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochlens.llm.common import materialised, slices, table
+from epochlens.llm.common import materialised, series_slices, table
 from epochlens.llm.ngrams import Tokens, mixed
 
 ERROR_RATE = 0.2
@@ -243,8 +242,8 @@ def with_matches(docs: DataFrame, items: DataFrame, *, text_col: str = "text", i
         @F.pandas_udf(MATCHES)
         def find(text: pd.Series) -> pd.Series:
             found: list[list[dict]] = []
-            for some in slices(pa.RecordBatch.from_arrays([pa.array(text, pa.string(), from_pandas=True)], ["text"])):
-                found += shared.value.matches(some.column(0).to_pylist())
+            for some in series_slices(text):
+                found += shared.value.matches(some)
             return pd.Series(found, dtype=object)
 
         return find(F.col(text_col).cast("string"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochlens.llm.common import materialised, slices, table, texts
+from epochlens.llm.common import materialised, series_slices, slices, table, texts
 from epochlens.llm.ngrams import Tokens, pair_hashes
 
 #: Bits of a bucket, bytes of the stems, kinds of n-grams, buckets (each kind has two tables) and bucket numbers that travel in one row.
@@ -128,9 +128,9 @@ def weights_of(ratios: np.ndarray, generative: np.ndarray, spark: SparkSession,
     def weigh(text: pd.Series) -> pd.DataFrame:
         ratios, generative = shared.value
         out = [np.zeros((0, 2))]
-        for some in slices(pa.RecordBatch.from_arrays([pa.array(text, pa.string(), from_pandas=True)], ["text"])):
-            one, two, own, cells, of = _buckets(texts(some.column(0)))
-            out.append(np.stack([np.bincount(of, generative[cells], some.num_rows), np.bincount(own, np.maximum(ratios[one], ratios[two]), some.num_rows)], axis=1))
+        for some in series_slices(text):
+            one, two, own, cells, of = _buckets([(x or "").encode() for x in some])
+            out.append(np.stack([np.bincount(of, generative[cells], len(some)), np.bincount(own, np.maximum(ratios[one], ratios[two]), len(some))], axis=1))
         return pd.DataFrame(np.concatenate(out), columns=["log_weight", "penalty"])
 
     return weigh(text.cast("string"))

@@ -1,6 +1,6 @@
 """Queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from epochlens.llm import chat_tools, conversation_repair, decontaminate, language_id, lm_scoring, media_avi, pii, quality, ranked_search, sentencepiece_codec, simhash_dedup, warc
+from epochlens.llm import chat_tools, conversation_repair, decontaminate, language_id, lm_scoring, media_avi, pii, quality, ranked_search, sentencepiece_codec, simhash_dedup, substring_dedup, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_media_avi": media_avi.op8_media_avi,
     "op9_simhash": simhash_dedup.op9_simhash,
     "op10_language_id": language_id.op10_language_id,
+    "op11_substring_dedup": substring_dedup.op11_substring_dedup,
     "op12_conversation_repair": conversation_repair.op12_conversation_repair,
     "op13_ranked_search": ranked_search.op13_ranked_search,
 }
@@ -20,6 +21,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": warc.OP1_SQL,
     "op6_chat_tools": chat_tools.OP6_SQL,
+    "op11_substring_dedup": substring_dedup.OP11_SQL,
     "op12_conversation_repair": conversation_repair.OP12_SQL,
     "op13_ranked_search": ranked_search.OP13_SQL,
 }

@@ -16,8 +16,8 @@ def classify(subject: Column) -> Column:
     """struct(kind, multiplier, cash, review): a bonus of a for b multiplies by (a + b) / b, a split by old over new face value; dividends are added up."""
     number = lambda p, k: F.regexp_extract(subject, p, k).try_cast("double")
     review = subject.rlike(_REVIEW)
-    bonus = F.when(subject.rlike(_BONUS) & ~review, (number(_BONUS, 1) + number(_BONUS, 2)) / number(_BONUS, 2))
-    split = F.when(subject.rlike(_SPLIT), number(_SPLIT, 1) / number(_SPLIT, 2))
+    bonus = F.when(subject.rlike(_BONUS) & ~review, F.try_divide(number(_BONUS, 1) + number(_BONUS, 2), number(_BONUS, 2)))
+    split = F.when(subject.rlike(_SPLIT), F.try_divide(number(_SPLIT, 1), number(_SPLIT, 2)))
     cash = F.aggregate(F.transform(F.regexp_extract_all(subject, F.lit(_CASH), F.lit(1)), lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x)
     kind = F.when(review, "review").when(bonus.isNotNull() & split.isNotNull(), "bonus_split").when(bonus.isNotNull(), "bonus").when(split.isNotNull(), "split").when(cash > 0, "dividend").otherwise("other")
     return F.struct(kind.alias("kind"), (F.coalesce(bonus, F.lit(1.0)) * F.coalesce(split, F.lit(1.0))).alias("multiplier"), cash.alias("cash"), review.alias("review"))
@@ -30,4 +30,4 @@ def adjustments(actions: DataFrame, symbol: str, ex_date: str, subject: str) ->
 
 
 def split_safe_return(close: Column, previous: Column, multiplier: Column) -> Column:
-    return F.when(previous > 0, close * F.coalesce(multiplier, F.lit(1.0)) / previous - 1)
+    return F.when(previous > 0, F.try_divide(close * F.coalesce(multiplier, F.lit(1.0)), previous) - 1)

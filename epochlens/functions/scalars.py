@@ -110,7 +110,8 @@ def wants_attachment(texts: Column, include: list[str], exclude: list[str]) -> C
 
 def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
     """Interval of a share."""
-    p, zz = k / n, z * z
+    p, zz = F.try_divide(k, n), z * z  # of nothing no share is known
+    n = F.nullif(n, F.lit(0))
     middle, half = (p + zz / (2 * n)) / (1 + zz / n), z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n)) / (1 + zz / n)
     return F.greatest(middle - half, F.lit(0.0)), F.least(middle + half, F.lit(1.0))
 

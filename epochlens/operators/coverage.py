@@ -73,6 +73,6 @@ def flattened(rows: DataFrame, keys: list[str], name: str, values: list[str], ex
 def overnight_split(days: DataFrame, by: list[str], *, opens: str, close: str, previous: str, weight: str) -> DataFrame:
     """Per group the mean overnight, intraday and whole return, each stock alike and by weight; days without a previous close say nothing."""
     known = days.where((F.col(previous) > 0) & (F.col(opens) > 0))
-    night, day, whole = F.col(opens) / F.col(previous) - 1, F.col(close) / F.col(opens) - 1, F.col(close) / F.col(previous) - 1
-    weighed = lambda x: F.sum(x * F.col(weight)) / F.sum(weight)
+    night, day, whole = F.try_divide(opens, previous) - 1, F.try_divide(close, opens) - 1, F.try_divide(close, previous) - 1
+    weighed = lambda x: F.try_divide(F.sum(x * F.col(weight)), F.sum(weight))
     return known.groupBy(*by).agg(F.count("*").alias("n"), *(f(x).alias(f"{n}_{k}") for n, x in (("overnight", night), ("intraday", day), ("whole", whole)) for k, f in (("equal", F.avg), ("weighted", weighed))))

@@ -18,7 +18,7 @@ def fifo_trades(fills: DataFrame, key: list[str], order: list[str], side: str, q
     line = W.partitionBy(*key, side).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     cost = F.col(charges).cast("double") if charges else F.lit(0.0)
     laid = fills.withColumn("_end", F.sum(quantity).over(line)).withColumn("_start", F.col("_end") - F.col(quantity))
-    piece = F.struct(at.alias("at"), F.col(price).cast("double").alias("price"), (cost / F.col(quantity)).alias("cost"), F.col("_end").alias("end"))
+    piece = F.struct(at.alias("at"), F.col(price).cast("double").alias("price"), F.try_divide(cost, F.col(quantity)).alias("cost"), F.col("_end").alias("end"))
     cuts = laid.where(F.col(quantity) > 0).select(*key, F.col("_start").alias("_at"), F.when(F.col(side) == "buy", piece).alias("_buy"), F.when(F.col(side) == "sell", piece).alias("_sell"))
     at_cut = cuts.groupBy(*key, "_at").agg(F.max("_buy").alias("_buy"), F.max("_sell").alias("_sell"))
     sweep = W.partitionBy(*key).orderBy("_at")
@@ -51,7 +51,7 @@ def open_lots(fills: DataFrame, key: list[str], order: list[str], side: str, qua
     line = W.partitionBy(*key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     laid = buys.withColumn("_end", F.sum(quantity).over(line)).join(sold, key, "left")
     left = F.least(F.col(quantity), F.col("_end") - F.coalesce("_sold", F.lit(0)))
-    cost = F.col(charges) * F.col("open_quantity") / F.col(quantity) if charges else F.lit(0.0)
+    cost = F.try_divide(F.col(charges) * F.col("open_quantity"), F.col(quantity)) if charges else F.lit(0.0)
     return laid.withColumn("open_quantity", left).where("open_quantity > 0").select(*key, F.struct(*order).alias("buy_at"), "open_quantity", F.col(price).alias("price"), cost.alias("charges"))
 
 
@@ -80,7 +80,7 @@ def reconcile(ours: DataFrame, theirs: DataFrame, key: list[str], quantity: str)
 
 def capacity(fills: DataFrame, by: list[str], volume: str, quantity: str, participation: float) -> DataFrame:
     """Nearest-rank lower quartile of how many times the size could have been traded within a share of the volume."""
-    sized = fills.where(F.col(quantity) > 0).withColumn("_multiple", participation * F.col(volume) / F.col(quantity))
+    sized = fills.where(F.col(quantity) > 0).withColumn("_multiple", F.try_divide(participation * F.col(volume), F.col(quantity)))
     return sized.groupBy(*by).agg(F.expr("percentile_disc(0.25) WITHIN GROUP (ORDER BY _multiple)").alias("capacity"))
 
 
@@ -118,10 +118,10 @@ def charges(value: Column, product: Column, side: Column, first_sell: Column, ra
 
 def round_trip_fraction(entry: Column, exit_: Column, notional: float, product: Column, rates: dict, slip_bp: float = 0.0) -> Column:
     """Charges and slippage of buying and selling a position of about the notional, as a fraction of its value at entry."""
-    quantity = F.greatest(F.lit(1.0), F.floor(F.lit(notional) / entry))
+    quantity = F.greatest(F.lit(1.0), F.floor(F.try_divide(F.lit(notional), entry)))
     buy = charges(quantity * entry, product, F.lit("buy"), F.lit(True), rates)["total"]
     sell = charges(quantity * exit_, product, F.lit("sell"), F.lit(True), rates)["total"]
-    return (buy + sell) / (quantity * entry) + 2 * slip_bp / 1e4
+    return F.try_divide(buy + sell, quantity * entry) + 2 * slip_bp / 1e4
 
 
 # fixed values: the latest rates of the cost model, fractions of traded value

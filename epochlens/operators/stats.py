@@ -56,7 +56,7 @@ def clustered_mean(rows: DataFrame, by: list[str], cluster: str, value: str) ->
     outer = inner.groupBy(*by).agg(F.sum("n").alias("n"), F.count("*").alias("clusters"), F.sum("s").alias("_s"), F.sum("hits").alias("_hits"), F.sum(F.col("s") * F.col("s")).alias("_ss"), F.sum(F.col("s") * F.col("n")).alias("_sn"), F.sum(F.col("n").cast("double") * F.col("n")).alias("_nn"))
     mean = F.col("_s") / F.col("n")
     spread = F.greatest(F.col("_ss") - 2 * mean * F.col("_sn") + mean * mean * F.col("_nn"), F.lit(0.0))
-    se = F.when(F.col("clusters") > 1, F.sqrt(F.col("clusters") / (F.col("clusters") - 1) * spread) / F.col("n"))
+    se = F.when(F.col("clusters") > 1, F.sqrt(F.try_divide(F.col("clusters"), F.col("clusters") - 1) * spread) / F.col("n"))
     return outer.select(*by, "n", "clusters", mean.alias("mean"), (F.col("_hits") / F.col("n")).alias("hit_rate"), se.alias("se"), (mean / F.nullif(se, F.lit(0.0))).alias("t"))
 
 

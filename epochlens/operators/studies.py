@@ -5,26 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epochlens.operators import asof, windows
-from epochlens.operators.calendar import next_open, shift_session
-
-
-def security_bars(prices: DataFrame, names: DataFrame) -> DataFrame:
-    """Bars of each security across its symbols, each inside its window only. prices: symbol, day, …; names: security_id, symbol, valid_from, valid_to."""
-    inside = (F.col("day") >= F.coalesce("valid_from", F.col("day"))) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to")))
-    return prices.join(names, "symbol").where(inside).drop("valid_from", "valid_to")
-
-
-def median_before(rows: DataFrame, bars: DataFrame, sessions: DataFrame, *, by: str, day: str, value: str, n: int, out: str) -> DataFrame:
-    """Median of the n regular sessions before each row's day, days without a bar counting as zero; each (key, day) is asked for once."""
-    asked = rows.select(by, day).where(F.col(day).isNotNull()).distinct()
-    no = sessions.select(F.col("day").alias(day), "session_no")
-    back = asked.join(F.broadcast(no), day).withColumn("_n", F.explode(F.sequence(F.col("session_no") - n, F.col("session_no") - 1)))  # a row for each session of the calendar
-    when = F.broadcast(sessions.select(F.col("session_no").alias("_n"), F.col("day").alias("_d")))
-    held = bars.select(F.col(by).alias("_k"), F.col("day").alias("_bd"), F.col(value).alias("_v"))
-    seen = back.join(when, "_n", "left").join(held, (F.col(by) == F.col("_k")) & (F.col("_d") == F.col("_bd")), "left")
-    medians = seen.groupBy(by, day).agg(F.percentile(F.coalesce("_v", F.lit(0.0)), F.lit(0.5)).alias(out))
-    return rows.join(medians, [by, day], "left")
+from epochlens.operators import windows
+from epochlens.operators.calendar import next_open
+from epochlens.session import materialised
 
 
 def first_of(*reasons: tuple[str, Column]) -> Column:
@@ -35,6 +18,46 @@ def first_of(*reasons: tuple[str, Column]) -> Column:
     return out
 
 
+def _symbol_on(names: Column, day: Column) -> Column:
+    """The symbol of the one window of a security's names that holds the day; null unless exactly one does."""
+    held = F.filter(names, lambda w: F.coalesce(w["valid_from"] <= day, F.lit(True)) & F.coalesce(day < w["valid_to"], F.lit(True)))
+    return F.when(F.size(held) == 1, held[0]["symbol"])
+
+
+def study_answers(asked: DataFrame, names: DataFrame, prices: DataFrame, actions: DataFrame, sessions: DataFrame, *, exits: dict[str, int], lookback: int) -> DataFrame:
+    """All that a study asks of a (security_id, entry_day, entry_no), each asked once: prices of all sessions concerned by one join, corporate actions by another.
+
+    A security's names and a symbol's actions are short lists (some tens over years) that travel with the question. Gives listed, symbol, open, high, low, prev_close,
+    median_turnover over the sessions before (days without a bar count as zero), last_exit, the entry day's multiplier, review and for each exit close_ and mult_.
+    """
+    last = max(exits.values())
+    lists = names.groupBy("security_id").agg(F.collect_list(F.struct("symbol", "valid_from", "valid_to")).alias("_names"))
+    named = asked.join(lists, "security_id", "left")
+    offsets = sorted({*range(-lookback, 1), *exits.values()})
+    at = F.broadcast(sessions.select(F.col("session_no").alias("_no"), F.col("day").alias("_day")))  # a row for each session of the calendar
+    wanted = named.withColumn("_off", F.explode(F.array(*map(F.lit, offsets)))).withColumn("_no", F.col("entry_no") + F.col("_off")).join(at, "_no", "left")
+    wanted = wanted.select("security_id", "entry_day", F.col("_names").isNotNull().alias("listed"), "_off", "_day", _symbol_on(F.col("_names"), F.col("_day")).alias("_symbol"))
+    bars = prices.select(F.col("symbol").alias("_symbol"), F.col("day").alias("_day"), "open", "high", "low", "close", "prev_close", "turnover")
+    seen = wanted.join(bars, ["_symbol", "_day"], "left")
+    on = lambda n, c: F.max(F.when(F.col("_off") == n, F.col(c)))
+    facts = seen.groupBy("security_id", "entry_day").agg(
+        F.max("listed").alias("listed"), on(0, "_symbol").alias("symbol"), *(on(0, c).alias(c) for c in ("open", "high", "low", "prev_close")),
+        F.percentile(F.when(F.col("_off") < 0, F.coalesce("turnover", F.lit(0.0))), F.lit(0.5)).alias("median_turnover"), on(last, "_day").alias("last_exit"),
+        *(x for name, n in exits.items() for x in (on(n, "_day").alias(f"exit_{name}"), on(n, "close").alias(f"close_{name}"))),
+    )
+    listed_actions = actions.groupBy("symbol").agg(F.collect_list(F.struct("day", "multiplier", "review")).alias("_actions"))
+    facts = facts.join(listed_actions, "symbol", "left").withColumn("_actions", F.coalesce("_actions", F.slice(F.array(F.struct(F.lit(None).cast("date").alias("day"), F.lit(None).cast("double").alias("multiplier"), F.lit(None).cast("boolean").alias("review"))), 1, 0)))
+
+    def product(holds) -> Column:
+        return F.aggregate(F.filter("_actions", lambda a: F.coalesce(holds(a) & a["multiplier"].isNotNull(), F.lit(False))), F.lit(1.0), lambda x, a: x * a["multiplier"])
+
+    entry = F.col("entry_day")
+    facts = facts.withColumn("entry_multiplier", product(lambda a: a["day"] == entry)).withColumn("review", F.exists("_actions", lambda a: F.coalesce(a["review"] & a["day"].between(entry, F.col("last_exit")), F.lit(False))))
+    for name in exits:
+        facts = facts.withColumn(f"mult_{name}", product(lambda a, name=name: (a["day"] > entry) & (a["day"] <= F.col(f"exit_{name}"))))
+    return facts.drop("_actions")
+
+
 def daily_study(
     filings: DataFrame, names: DataFrame, prices: DataFrame, bench: DataFrame, actions: DataFrame, cal: DataFrame, *, first: str, last: str, exits: dict[str, int], excluded: list[str], lookback: int, least_turnover: float, least_price: float, most_gap: float, cooldown: int, round_trip: float, keep: Column | None = None
 ) -> DataFrame:
@@ -44,50 +67,44 @@ def daily_study(
     actions: symbol, day, multiplier, review. keep: a reason of a registered filter of one's own (null keeps), looked at before any price. Reasons in
     order: excluded_category, outside_window, unlinked, keep's own, no_nse_listing, no_entry_price, low_price, illiquid, locked_entry, circuit_gap, review_action,
     duplicate. Gives ret_, bench_, abnormal_ and net_ of each exit; a stock's return is kept right over splits by their multipliers after the entry day.
+    Each (security, entry day) is asked for once (study_answers), however many filings enter there; filings that are out before any price is looked at take no part in joins.
     """
     sessions = cal.where("session_no is not null").select("day", "session_no")
     entered = next_open(filings, cal, "available_at")
     entered = entered.join(F.broadcast(sessions.select(F.col("day").alias("entry_day"), F.col("session_no").alias("entry_no"))), "entry_day", "left")  # a row for each session
-    listed = names.select("security_id").distinct().withColumn("_listed", F.lit(True))
     early = first_of(
         ("excluded_category", F.lower("category").isin([c.lower() for c in excluded])), ("outside_window", F.col("entry_day").isNull() | ~F.col("entry_day").between(F.lit(first).cast("date"), F.lit(last).cast("date"))), ("unlinked", F.col("security_id").isNull())
     )
-    rows = entered.join(listed, "security_id", "left").withColumn("reason", F.coalesce(early, keep if keep is not None else F.lit(None).cast("string"), F.when(F.col("_listed").isNull(), "no_nse_listing"))).drop("_listed")
+    rows = entered.withColumn("reason", F.coalesce(early, keep if keep is not None else F.lit(None).cast("string")))
+    rows = rows.select("filing_id", "event_type", "security_id", "available_at", "entry_day", "entry_no", "reason")
     out, live = rows.where("reason is not null"), rows.where("reason is null")
-    live = asof.identifier_of(live, names, by=["security_id"], at="entry_day", value="symbol")
-    bars = security_bars(prices, names)
-    live = live.join(bars.select("security_id", F.col("day").alias("entry_day"), "open", "high", "low", "prev_close"), ["security_id", "entry_day"], "left")
-    live = median_before(live, bars, sessions, by="security_id", day="entry_day", value="turnover", n=lookback, out="median_turnover")
-    today = actions.select("symbol", F.col("day").alias("entry_day"), F.col("multiplier").alias("_m"))
-    live = live.join(today, ["symbol", "entry_day"], "left")
-    live = shift_session(live, cal, "entry_day", max(exits.values()), "last_exit")
-    live = windows.any_between(live, actions.where("review"), "symbol", "entry_day", "last_exit", "day", "_review")
-    gap = F.col("open") * F.coalesce("_m", F.lit(1.0)) / F.col("prev_close") - 1
+    answers = study_answers(live.select("security_id", "entry_day", "entry_no").distinct(), names, prices, actions, sessions, exits=exits, lookback=lookback)
+    live = live.drop("reason").join(answers, ["security_id", "entry_day"], "left")
+    gap = F.try_divide(F.col("open") * F.col("entry_multiplier"), F.col("prev_close")) - 1
     live = live.withColumn("reason", first_of(
-        ("no_entry_price", F.col("symbol").isNull() | F.col("open").isNull() | F.col("prev_close").isNull() | (F.col("open") <= 0)), ("low_price", F.col("prev_close") < least_price), ("illiquid", F.col("median_turnover") < least_turnover),
-        ("locked_entry", F.col("high") == F.col("low")), ("circuit_gap", F.abs(gap) >= most_gap), ("review_action", F.col("_review")),
+        ("no_nse_listing", ~F.col("listed")), ("no_entry_price", F.col("symbol").isNull() | F.col("open").isNull() | F.col("prev_close").isNull() | (F.col("open") <= 0)), ("low_price", F.col("prev_close") < least_price), ("illiquid", F.col("median_turnover") < least_turnover),
+        ("locked_entry", F.col("high") == F.col("low")), ("circuit_gap", F.abs(gap) >= most_gap), ("review_action", F.col("review")),
     ))
+    live = materialised(live, "study")
     held = windows.cooldown(live.where("reason is null"), ["security_id", "event_type"], ["available_at", "filing_id"], "entry_no", cooldown)
-    done = live.where("reason is not null").unionByName(held.withColumn("reason", F.when(~F.col("kept"), "duplicate")).drop("kept"))
-    done = done.unionByName(out, allowMissingColumns=True)
-    counted = F.col("reason").isNull()
-    columns = ["filing_id", "event_type", "security_id", "symbol", "entry_day", "reason"]
-    for name, n in exits.items():
-        done = shift_session(done, cal, "entry_day", n, f"exit_{name}")
-        close = bars.select("security_id", F.col("day").alias(f"exit_{name}"), F.col("close").alias("_close"))
-        done = done.join(close, ["security_id", f"exit_{name}"], "left")
-        done = windows.product_between(done, actions, "symbol", "entry_day", f"exit_{name}", "day", "multiplier", "_mult")
-        index = F.broadcast(bench.select(F.col("day").alias("entry_day"), F.col("open").alias("_bo"))), F.broadcast(bench.select(F.col("day").alias(f"exit_{name}"), F.col("close").alias("_bc")))  # a row for each session
-        done = done.join(index[0], "entry_day", "left").join(index[1], f"exit_{name}", "left")
-        done = done.withColumn(f"ret_{name}", F.when(counted, F.col("_close") * F.col("_mult") / F.col("open") - 1)).withColumn(f"bench_{name}", F.when(counted & (F.col("_bo") > 0), F.col("_bc") / F.col("_bo") - 1))
-        done = done.withColumn(f"abnormal_{name}", F.col(f"ret_{name}") - F.col(f"bench_{name}")).withColumn(f"net_{name}", F.col(f"abnormal_{name}") - round_trip).drop("_close", "_mult", "_bo", "_bc")
-        columns += [f"ret_{name}", f"bench_{name}", f"abnormal_{name}", f"net_{name}"]
-    return done.select(*columns)
+    counted = held.where("kept").drop("kept")
+    opened = F.broadcast(bench.select(F.col("day").alias("entry_day"), F.col("open").alias("_bo")))  # a row for each session
+    counted = counted.join(opened, "entry_day", "left")
+    results = []
+    for name in exits:
+        closed = F.broadcast(bench.select(F.col("day").alias(f"exit_{name}"), F.col("close").alias(f"_bc_{name}")))
+        counted = counted.join(closed, f"exit_{name}", "left")
+        ret, index = F.try_divide(F.col(f"close_{name}") * F.col(f"mult_{name}"), F.col("open")) - 1, F.when(F.col("_bo") > 0, F.try_divide(F.col(f"_bc_{name}"), F.col("_bo")) - 1)
+        results += [ret.alias(f"ret_{name}"), index.alias(f"bench_{name}"), (ret - index).alias(f"abnormal_{name}"), (ret - index - round_trip).alias(f"net_{name}")]
+    shape = ["filing_id", "event_type", "security_id", "symbol", "entry_day", "reason"]
+    rest = live.where("reason is not null").select(shape).unionByName(held.where("not kept").withColumn("reason", F.lit("duplicate")).select(shape))
+    rest = rest.unionByName(out.select(*(c for c in shape if c != "symbol")), allowMissingColumns=True)
+    return counted.select(*shape, *results).unionByName(rest, allowMissingColumns=True)
 
 
 def size_filter(amount: Column, revenue: Column, least: float) -> Column:
     """Reason of the magnitude re-test: an amount that is unknown, a revenue that is unknown, or a share of it that is too small."""
-    return F.when(amount.isNull(), "no_amount").when(revenue.isNull() | (revenue <= 0), "no_revenue").when(amount / revenue < least, "below_magnitude")
+    return F.when(amount.isNull(), "no_amount").when(revenue.isNull() | (revenue <= 0), "no_revenue").when(F.try_divide(amount, revenue) < least, "below_magnitude")
 
 
 def gap_days(prices: DataFrame, ex_dates: DataFrame, bands: DataFrame, *, lookback: int, least_turnover: float, least_price: float, gap_edges: list[float], liquidity_edges: list[float], band_margin: float) -> DataFrame:
@@ -102,12 +119,12 @@ def gap_days(prices: DataFrame, ex_dates: DataFrame, bands: DataFrame, *, lookba
     whole = F.lit(True)
     for c in ("open", "close", "prev_close", "high", "low"):
         whole &= F.coalesce(F.col(c) != 0, F.lit(False))
-    gap = F.col("open") / F.col("prev_close") - 1
+    gap = F.when(whole, F.try_divide(F.col("open"), F.col("prev_close")) - 1)  # no price, no gap, no bin, no gain
     reason = first_of(
         ("no_price", ~whole), ("ex_date", F.col("_ex")), ("low_price", F.col("prev_close") < least_price), ("illiquid", F.col("median_turnover").isNull() | (F.col("median_turnover") < least_turnover)), ("locked", F.col("high") == F.col("low")),
         ("no_gap_up", gap < gap_edges[0]), ("circuit_gap", gap >= gap_edges[-1]), ("near_band", gap >= F.col("band") - band_margin),
     )
-    return p.select("symbol", "day", reason.alias("day_reason"), gap.alias("gap"), bucket(F.col("median_turnover"), liquidity_edges).alias("liquidity"), bucket(gap, gap_edges).alias("gap_bin"), (1 - F.col("close") / F.col("open")).alias("short_gross"))
+    return p.select("symbol", "day", reason.alias("day_reason"), gap.alias("gap"), bucket(F.col("median_turnover"), liquidity_edges).alias("liquidity"), bucket(gap, gap_edges).alias("gap_bin"), F.when(whole, 1 - F.try_divide(F.col("close"), F.col("open"))).alias("short_gross"))
 
 
 def gap_fade(events: DataFrame, days: DataFrame, filed: DataFrame) -> DataFrame:

@@ -79,7 +79,7 @@ def daily_returns(equity: DataFrame, sessions: DataFrame, by: list[str], day: st
     dense = keys.join(F.broadcast(sessions.select(F.col("day").alias(day))), F.col(day).between(F.col("_a"), F.col("_b"))).drop("_a", "_b")  # some thousands of days
     w = W.partitionBy(*by).orderBy(day)
     filled = dense.join(equity.select(*by, day, value), [*by, day], "left").withColumn("_v", F.last(value, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return filled.withColumn("ret", F.col("_v") / F.lag("_v").over(w) - 1).select(*by, day, F.col("_v").alias(value), "ret")
+    return filled.withColumn("ret", F.try_divide(F.col("_v"), F.lag("_v").over(w)) - 1).select(*by, day, F.col("_v").alias(value), "ret")
 
 
 def spaced_sample(rows: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame:

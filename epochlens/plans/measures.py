@@ -10,6 +10,7 @@ from epochlens.operators import calendar as cal_ops
 from epochlens.operators import ledger, stats, windows
 from epochlens.plans.reads import events_calendar
 from epochlens.plans.registry import CALENDAR_SQL, micros, query, table
+from epochlens.session import materialised
 
 R = "floor(({}) * 1e6 + 0.5) / 1e6"
 
@@ -277,9 +278,9 @@ SELECT k, floor(sum(-v - c) * 100 + 0.5) / 100 AS cash, 0.0 AS gap FROM f GROUP
 def cash_reconciliation(spark, d):
     """Cash moved by fills against what closed trades and open lots say; each buy is followed by a sell of half of it and a later sell of the rest at the same price."""
     li = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k"), *_ORDER).agg(F.sum("l_quantity").alias("q"), F.sum("l_extendedprice").alias("v"), F.sum("l_tax").alias("c"))
-    fills = li.select("k", *_ORDER, F.explode(F.array(*(F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), (F.col("q") * part).alias("q"), (F.col("v") / F.col("q")).alias("price"), (F.col("c") * cost).alias("c")) for side, n, part, cost in (("buy", 0, 1.0, 0.5), ("sell", 1, 0.5, 0.25), ("buy", 2, 0.5, 0.25))))).alias("x")).select("k", *_ORDER, "x.*")
+    fills = li.select("k", *_ORDER, F.explode(F.array(*(F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), (F.col("q") * part).alias("q"), F.try_divide("v", "q").alias("price"), (F.col("c") * cost).alias("c")) for side, n, part, cost in (("buy", 0, 1.0, 0.5), ("sell", 1, 0.5, 0.25), ("buy", 2, 0.5, 0.25))))).alias("x")).select("k", *_ORDER, "x.*")
     order = [*_ORDER, "n"]
-    checked = ledger.covered(fills, ["k"], order, "side", "q")
+    checked = materialised(ledger.covered(fills, ["k"], order, "side", "q"), "fills")  # it is asked three times
     trades = ledger.fifo_trades(checked, ["k"], order, "side", "q", "price", "c")
     found = ledger.cash_check(checked, trades, ledger.open_lots(checked, ["k"], order, "side", "q", "price", "c"), ["k"], "side", "q", "price", "c")
     fixed = lambda c: (F.floor(F.col(c) * 100 + 0.5) / 100).alias(c)
@@ -384,8 +385,8 @@ def regression_and_weights(spark, d):
 WITH f AS (SELECT l_orderkey, floor(sum(l_extendedprice) / sum(l_quantity) * 1e6 + 0.5) / 1e6 AS price, min(l_extendedprice / l_quantity) AS decision FROM lineitem GROUP BY 1)
 SELECT l_orderkey, price, floor((price / decision - 1) * 1e4 * 1e4 + 0.5) / 1e4 AS slippage_bp FROM f""")
 def fill_slippage(spark, d):
-    f = table(spark, d, "lineitem").groupBy("l_orderkey").agg(r6(F.sum("l_extendedprice") / F.sum("l_quantity")).alias("price"), F.min(F.col("l_extendedprice") / F.col("l_quantity")).alias("decision"))
-    return f.select("l_orderkey", "price", (F.floor((F.col("price") / F.col("decision") - 1) * 1e4 * 1e4 + 0.5) / 1e4).alias("slippage_bp"))
+    f = table(spark, d, "lineitem").groupBy("l_orderkey").agg(r6(F.try_divide(F.sum("l_extendedprice"), F.sum("l_quantity"))).alias("price"), F.min(F.try_divide("l_extendedprice", "l_quantity")).alias("decision"))
+    return f.select("l_orderkey", "price", (F.floor((F.try_divide("price", "decision") - 1) * 1e4 * 1e4 + 0.5) / 1e4).alias("slippage_bp"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'speculative' WHEN CAST(o_orderdate AS DATE) + CAST(o_custkey % 800 AS INTEGER) > CAST(CAST(o_orderdate AS DATE) + INTERVAL 12 MONTH AS DATE) THEN 'long_term' ELSE 'short_term' END AS category FROM orders")
@@ -417,7 +418,7 @@ def _study(spark, d):
     priced = entered.join(px.select("user_id", F.col("day").alias("entry_day"), F.col("price").alias("entry")), ["user_id", "entry_day"], "left")
     priced = priced.join(px.select("user_id", F.col("day").alias("exit_day"), F.col("price").alias("exit")), ["user_id", "exit_day"], "left")
     reason = F.when(F.col("entry_day").isNull(), "outside_window").when(F.col("entry").isNull(), "no_entry_price").when(F.col("entry") < 10, "low_price").when(F.col("exit").isNull(), "no_exit_price")
-    return priced.withColumn("filter_reason", reason).withColumn("ret", F.when(reason.isNull(), F.col("exit") / F.col("entry") - 1))
+    return priced.withColumn("filter_reason", reason).withColumn("ret", F.when(reason.isNull(), F.try_divide("exit", "entry") - 1))
 
 
 @query(f"WITH {_STUDY} SELECT event_id, entry_day::VARCHAR AS entry_day, reason AS filter_reason, floor(CASE WHEN reason IS NULL THEN exit / entry - 1 END * 1e6 + 0.5) / 1e6 AS ret FROM st")
@@ -453,7 +454,7 @@ def reaction_returns(spark, d):
     live = asof_join(a.where("due is not null"), bars.select("user_id", F.col("ts").alias("exit_ts"), F.col("value").alias("exit")), by=["user_id"], left_ts="due", right_ts="exit_ts", take=["exit"], direction="forward")
     x = live.unionByName(a.where("due is null"), allowMissingColumns=True)
     reason = F.when(F.col("entry_ts_matched").isNull(), "no_entry_bar").when(F.col("entry") <= 0, "no_price").when(F.col("exit_ts_matched").isNull(), "no_exit_bar")
-    return x.select("event_id", F.unix_micros("entry_ts_matched").alias("entry_us"), reason.alias("reason"), r6(F.when(F.col("entry") > 0, F.col("exit") / F.col("entry") - 1)).alias("ret"))
+    return x.select("event_id", F.unix_micros("entry_ts_matched").alias("entry_us"), reason.alias("reason"), r6(F.when(F.col("entry") > 0, F.try_divide("exit", "entry") - 1)).alias("ret"))
 
 
 @query("""
@@ -466,9 +467,9 @@ def gap_fade_effect(spark, d):
     at = F.struct("ts", "event_id")
     p = table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.min_by("value", at).alias("o"), F.max_by("value", at).alias("c"), F.sum("value").alias("t"), F.bool_or(F.col("event_type") == "signup").alias("filed"))
     h = windows.rolling_median_rows(p, ["user_id"], ["day"], "t", 5, "med").withColumn("pc", F.lag("c").over(W.partitionBy("user_id").orderBy("day")))
-    gap = F.col("o") / F.col("pc") - 1
+    gap = F.try_divide("o", "pc") - 1
     bad_price = F.col("pc").isNull() | (F.col("pc") <= 0) | (F.col("o") <= 0)
     reason = F.when(F.col("med").isNull(), "no_history").when(bad_price, "no_price").when(F.col("med") < 50, "illiquid").when(gap < 0.01, "no_gap")
-    k = h.where(reason.isNull()).select("user_id", "day", "filed", bucket(F.col("med"), [0.0, 100.0, 200.0]).alias("b"), F.when(gap < 0.5, 0).otherwise(1).alias("g"), (1 - F.col("c") / F.col("o")).alias("short"))
+    k = h.where(reason.isNull()).select("user_id", "day", "filed", bucket(F.col("med"), [0.0, 100.0, 200.0]).alias("b"), F.when(gap < 0.5, 0).otherwise(1).alias("g"), (1 - F.try_divide("c", "o")).alias("short"))
     controls = k.where("not filed").groupBy("day", "b", "g").agg(F.avg("short").alias("cs"), F.count("*").alias("controls"))
     return k.where("filed").join(controls, ["day", "b", "g"], "left").select("user_id", F.col("day").cast("string"), r6(F.col("short")).alias("short_gross"), "controls", r6(F.col("short") - F.col("cs")).alias("effect"))

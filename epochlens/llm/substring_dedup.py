@@ -3,7 +3,7 @@
 The corpus is its own reference: a word goes if it lies in a window of n words that a document with a smaller doc_id holds too. No bound on the whole reference can be
 proven, so that it isn't sent to all tasks; an automaton is sent to where the documents are that could match it:
 
-1. Anchors. Each window names its smallest k-gram (by hash) as its anchor; equal windows name equal anchors, and neighbours mostly share theirs. An anchor's owner is the smallest
+1. Anchors. Each window names its smallest k-gram (by hash) as its anchor; equal windows name equal anchors, and neighbours mostly share theirs (a fifth of all places). An anchor's owner is the smallest
    document that has it (partial aggregation, then a join that Spark may split).
 2. Shards. An owner's stretches around its own anchors are a reference shard; other documents' stretches go to the shards of their anchors' owners. An anchor that many documents have
    has its shard sent to one task for each ``PER_PART`` of its occurrences.
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +38,8 @@ WINDOW, ANCHOR = 13, 5
 PER_PART = 4096
 #: Words of the reference of one broadcast automaton, and automata of one pass over the documents.
 SHARD_WORDS, SHARDS = 200_000, 8
-#: Words whose hashes are kept at hand, and rows of a batch that is given back.
-AT_HAND, ROWS = 500_000, 100_000
+#: Bytes whose polynomials are summed at once, and rows of a batch that is given back.
+SUMMED, ROWS = 1 << 20, 100_000
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -102,37 +102,74 @@ class Automaton:
             yield length
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= AT_HAND:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
-
-
-_HASHES = _Hashes()
-_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-
-
-def anchors(words: list[bytes], k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the k-gram at each word, and for each window the word where its anchor begins (the leftmost of equal ones)."""
-    n = len(words)
+_BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2 ** 64, n of each at least."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS[:] = [np.cumprod(np.append(np.uint64(1), np.full(n, x, np.uint64))) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _POWERS[0], _POWERS[1]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _MIX
+    return x ^ (x >> np.uint64(29))
+
+
+class Words:
+    """Where the words of a column of texts are, and their hashes: all rows at once. row: the row of each word; starts, ends: its bytes in data."""
+
+    def __init__(self, column: pa.Array):
+        column = pc.fill_null(column.cast(pa.binary()), b"").cast(pa.large_binary())
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        self.data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        self.offsets = offsets - offsets[0]
+        word = ~_SPACE[self.data]
+        first = np.zeros(len(word) + 1, bool)  # a word ends with its row
+        first[self.offsets[:-1]] = True
+        first[-1] = True
+        before, behind = np.append(False, word[:-1]), np.append(word[1:], False)
+        self.starts = np.flatnonzero(word & (~before | first[:-1]))
+        self.ends = np.flatnonzero(word & (~behind | first[1:])) + 1
+        self.row = np.searchsorted(self.offsets, self.starts, "right") - 1
+
+    def hashes(self) -> np.ndarray:
+        """A polynomial of each word's bytes, by sums of prefixes of some bytes at a time."""
+        out = np.zeros(len(self.starts), np.uint64)
+        i = 0
+        while i < len(out):
+            j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + SUMMED, "right")))
+            low, high = int(self.starts[i]), int(self.ends[j - 1])
+            power, inverse = _powers(high - low)
+            sums = np.append(np.uint64(0), np.cumsum(self.data[low:high].astype(np.uint64) * power[: high - low]))
+            out[i:j] = (sums[self.ends[i:j] - low] - sums[self.starts[i:j] - low]) * inverse[self.starts[i:j] - low]
+            i = j
+        return _mixed(out)
+
+    def text(self, first: int, last: int) -> bytes:
+        """The words from first to before last, with what is between them."""
+        return self.data[self.starts[first] : self.ends[last - 1]].tobytes()
+
+
+def anchors(words: Words, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each word that begins a window inside its row the least hash of the window's k-grams, and whether one begins there."""
+    n = len(words.row)
     if n < window:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    one = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n)
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    one = words.hashes()
     gram = np.zeros(n - k + 1, np.uint64)
     for j in range(k):
-        gram = gram * _BASE + one[j : n - k + 1 + j]
-    gram ^= gram >> np.uint64(32)
-    gram *= _MIX
-    gram ^= gram >> np.uint64(29)
-    least, at = gram[: n - window + 1].copy(), np.arange(n - window + 1)
-    for j in range(1, window - k + 1):
-        here = gram[j : j + n - window + 1]
-        less = here < least
-        least[less] = here[less]
-        at[less] = np.flatnonzero(less) + j
-    return gram, at
+        gram = gram * np.uint64(_BASE) + one[j : n - k + 1 + j]
+    least, span, width = _mixed(gram), 1, window - k + 1
+    while span * 2 <= width:
+        least = np.minimum(least[:-span], least[span:])
+        span *= 2
+    if span < width:
+        least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
+    return least.view(np.int64), words.row[: n - window + 1] == words.row[window - 1 :]
 
 
 def _bytes(column: pa.Array) -> list[bytes | None]:
@@ -140,32 +177,19 @@ def _bytes(column: pa.Array) -> list[bytes | None]:
 
 
 def _anchor_rows(batches, k: int, window: int, whole: bool):
-    """Stretches (doc, rid, start, text) to anchors: anchor, doc and, if whole, rid, start and pos."""
-    names = ["anchor", "doc", "rid", "start", "pos"] if whole else ["anchor", "doc"]
-    held: list[list[np.ndarray]] = [[] for _ in names]
-    size = 0
-
-    def flush():
-        columns = [np.concatenate([np.zeros(0, np.int64), *x]) for x in held]
-        for x in held:
-            x.clear()
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
-
+    """Stretches (doc, rid, start, text) to their distinct anchors: anchor, doc and, if whole, rid and start."""
+    names = ["doc", "rid", "start"] if whole else ["doc"]
     for batch in batches:
         for part in slices(batch):
-            own = [part.column(n).to_pylist() for n in ("doc", "rid", "start")]
-            for doc, rid, start, text in zip(*own, _bytes(part.column("text")), strict=True):
-                gram, at = anchors((text or b"").split(), k, window)
-                pos = at[np.append(True, at[1:] != at[:-1])] if len(at) else at  # they never go back
-                if len(pos):
-                    values = (gram[pos].view(np.int64), doc, rid, start, pos)
-                    for x, v in zip(held, values, strict=False):
-                        x.append(np.full(len(pos), v) if isinstance(v, int) else v)
-                    size += len(pos)
-                if size >= ROWS:
-                    yield flush()
-                    size = 0
-    yield flush()
+            words = Words(part.column("text"))
+            least, inside = anchors(words, k, window)
+            value, row = least[inside], words.row[: len(least)][inside]
+            if len(value):
+                order = np.lexsort((value, row))
+                value, row = value[order], row[order]
+                fresh = np.append(True, (value[1:] != value[:-1]) | (row[1:] != row[:-1]))
+                value, row = value[fresh], row[fresh]
+            yield pa.RecordBatch.from_arrays([pa.array(value, pa.int64()), *(part.column(n).take(pa.array(row)) for n in names)], names=["anchor", *names])
 
 
 _CUT = pa.schema([("kind", pa.string()), ("doc", pa.int64()), ("rid", pa.int64()), ("start", pa.int64()), ("owner", pa.int64()), ("parts", pa.int64()), ("salt", pa.int64()), ("text", pa.binary()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string())])
@@ -178,40 +202,47 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _cut(batches, k: int, window: int, whole: bool):
-    """Stretches with their links (pos, owner, parts), to stretches of reference (kind ref) and stretches to be matched (kind ask). whole: they are documents, of which those without links are done (kind done), others are kept (kind text)."""
+    """Stretches with their links (anchor, owner, parts), to stretches of reference (kind ref) and stretches to be matched (kind ask). whole: they are documents, of which those without links are done (kind done), others are kept (kind text)."""
     rows: list[tuple] = []
     size = 0
     for batch in batches:
         for part in slices(batch):
-            own = [part.column(n).to_pylist() for n in ("doc", "rid", "start", "links", "doc_id" if whole else "doc")]
-            for doc, rid, start, links, doc_id, text in zip(*own, _bytes(part.column("text")), strict=True):
-                words = (text or b"").split()
-                if whole and not links:
-                    kept = hashlib.sha256(b" ".join(words)).hexdigest()
-                    rows.append(("done", doc, rid, None, None, None, None, None, doc_id, len(words), kept))
-                elif links:
+            words = Words(part.column("text"))
+            least, _ = anchors(words, k, window)
+            own = [part.column(n).to_pylist() for n in ("doc", "rid", "start", "doc_id" if whole else "doc")]
+            links, texts = part.column("links"), _bytes(part.column("text")) if whole else None
+            borders = np.searchsorted(words.row, np.arange(part.num_rows + 1))
+            for r, (doc, rid, start, doc_id) in enumerate(zip(*own, strict=True)):
+                low, high = int(borders[r]), int(borders[r + 1])
+                if not links[r].is_valid:
                     if whole:
-                        rows.append(("text", doc, rid, None, None, None, None, text, doc_id, None, None))
-                    led = {x["pos"]: (x["owner"], x["parts"]) for x in links}
-                    _, at = anchors(words, k, window)
-                    keys = [led.get(p) for p in at.tolist()]
-                    i = 0
-                    while i < len(keys):
-                        j = i + 1
-                        while j < len(keys) and keys[j] == keys[i]:
-                            j += 1
-                        if keys[i] is not None:
-                            (owner, parts), stretch = keys[i], b" ".join(words[i : j + window - 1])
-                            size += len(stretch)
-                            if owner == doc:
-                                rows += [("ref", doc, rid, start + i, owner, parts, s, stretch, None, None, None) for s in range(parts)]
-                            else:
-                                rows.append(("ask", doc, rid, start + i, owner, parts, (doc ^ rid) % parts, stretch, None, None, None))
-                        i = j
-                size += len(text or b"")
-                if size > 8 << 20 or len(rows) > ROWS:
-                    yield _batch(rows, _CUT)
-                    rows, size = [], 0
+                        kept = hashlib.sha256(b" ".join((texts[r] or b"").split())).hexdigest()
+                        rows.append(("done", doc, rid, None, None, None, None, None, doc_id, high - low, kept))
+                    continue
+                if whole:
+                    rows.append(("text", doc, rid, None, None, None, None, texts[r], doc_id, None, None))
+                    size += len(texts[r])
+                led = links[r].values
+                anchor, owner, parts = (led.field(n).to_numpy(zero_copy_only=False) for n in ("anchor", "owner", "parts"))
+                order = np.argsort(anchor)
+                at = np.minimum(np.searchsorted(anchor[order], least[low : high - window + 1]), len(anchor) - 1)
+                link = order[at]
+                known = anchor[link] == least[low : high - window + 1]
+                change = np.append(True, (known[1:] != known[:-1]) | (known[1:] & ((owner[link[1:]] != owner[link[:-1]]) | (parts[link[1:]] != parts[link[:-1]]))))
+                runs = np.append(np.flatnonzero(change), len(known)).tolist()
+                for i, j in zip(runs, runs[1:], strict=False):
+                    if not known[i]:
+                        continue
+                    of, n = int(owner[link[i]]), int(parts[link[i]])
+                    stretch = words.text(low + i, low + j + window - 1)
+                    size += len(stretch)
+                    if of == doc:
+                        rows += [("ref", doc, rid, start + i, of, n, s, stretch, None, None, None) for s in range(n)]
+                    else:
+                        rows.append(("ask", doc, rid, start + i, of, n, (doc ^ rid) % n, stretch, None, None, None))
+            if size > 4 << 20 or len(rows) > ROWS:
+                yield _batch(rows, _CUT)
+                rows, size = [], 0
     yield _batch(rows, _CUT)
 
 
@@ -251,18 +282,24 @@ def _match(batches, window: int):
     yield _batch(rows, _MATCHED)
 
 
+def _released(df: DataFrame) -> DataFrame:
+    """df, after Spark's cleaner was called for: what finished plans have shuffled stays on the executors' disks until the driver happens to collect its garbage."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def _round(stretches: DataFrame, k: int, window: int, whole: bool) -> tuple[DataFrame, DataFrame]:
     """What _cut gives of the stretches, and of these what _match gives."""
     mapped = lambda all_of_it, ddl: stretches.select("doc", "rid", "start", "text").mapInArrow(lambda b: _anchor_rows(b, k, window, all_of_it), ddl)
-    seen = mapped(False, "anchor long, doc long").groupBy("anchor").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), F.count("*").alias("n"))
-    shared = seen.where("owner < last").select("anchor", "owner", (1 + F.floor(F.col("n") / PER_PART)).alias("parts"))
-    found = mapped(True, "anchor long, doc long, rid long, start long, pos long").join(shared, "anchor")
-    links = found.groupBy("doc", "rid", "start").agg(F.collect_list(F.struct("pos", "owner", "parts")).alias("links"))
+    seen = mapped(False, "anchor long, doc long").groupBy("anchor").agg(F.min("doc").alias("owner"), F.count("*").alias("n"))
+    shared = _released(materialised(seen.where("n > 1").select("anchor", "owner", (1 + F.floor(F.col("n") / PER_PART)).alias("parts")), "anchors"))
+    found = mapped(True, "anchor long, doc long, rid long, start long").join(shared, "anchor")
+    links = _released(materialised(found.groupBy("doc", "rid", "start").agg(F.collect_list(F.struct("anchor", "owner", "parts")).alias("links")), "links"))
     led = stretches.join(links, ["doc", "rid", "start"], "left" if whole else "inner")
-    cut = materialised(led.mapInArrow(lambda b: _cut(b, k, window, whole), _CUT_DDL), "stretches")
+    cut = _released(materialised(led.mapInArrow(lambda b: _cut(b, k, window, whole), _CUT_DDL), "stretches"))
     to_match = cut.where("kind in ('ref', 'ask')").select("owner", "parts", "salt", "kind", "doc", "rid", "start", "text")
     dealt = to_match.repartition("owner", "parts", "salt").sortWithinPartitions("owner", "parts", "salt", F.desc("kind"))
-    return cut, materialised(dealt.mapInArrow(lambda b: _match(b, window), "doc long, rid long, start long, words long, text binary"), "matched")
+    return cut, _released(materialised(dealt.mapInArrow(lambda b: _match(b, window), "doc long, rid long, start long, words long, text binary"), "matched"))
 
 
 def _rest(batches, texts: bool):

@@ -34,29 +34,37 @@ def reparse(target: DataFrame, parsed: DataFrame, keys: list[str], lineage: str,
     return kept.select(*target.columns).unionByName(parsed.join(target.select(*keys), keys, "left_anti").select(*target.columns))
 
 
-def scd2_apply(versions: DataFrame, snapshot: DataFrame, *, keys: list[str], attrs: list[str], as_of: Column, least_share: float = 0.95) -> DataFrame:
+def scd2_apply(versions: DataFrame, snapshot: DataFrame, *, keys: list[str], attrs: list[str], as_of: Column, least_share: float = 0.95, scope: Column | None = None) -> DataFrame:
     """A snapshot applied to versions [valid_from, valid_to): unchanged, rewritten the same day, closed and opened, inserted, or closed as missing.
 
-    Missing keys are closed only if the snapshot isn't empty and has least_share of the open versions at least, else it counts as cut short.
+    It may come late: it meets the versions that held on its day, a changed one ends where the met one did, and one that is new then ends where its key's next known one begins.
+    scope (a condition on versions): those that the snapshot speaks for; others of the table stay as they are. Missing keys are closed only if the snapshot isn't empty and
+    has least_share of the versions that held on its day at least, else it counts as cut short. snapshot has one row a key.
     """
-    open_ = versions.where("valid_to is null")
-    sizes = open_.agg(F.count("*").alias("_open")).crossJoin(snapshot.agg(F.count("*").alias("_snap")))
+    speaks = F.coalesce(scope, F.lit(False)) if scope is not None else F.lit(True)
+    touched = speaks & (F.col("valid_to").isNull() | (F.col("valid_to") > as_of))
+    met = versions.where(touched & (F.col("valid_from") <= as_of))
+    rest = versions.where(~(touched & (F.col("valid_from") <= as_of)))
+    following = versions.where(touched & (F.col("valid_from") > as_of)).groupBy(*keys).agg(F.min("valid_from").alias("_next"))
+    taken = rest.where(F.col("valid_from") == as_of).select(*keys).distinct().withColumn("_taken", F.lit(True))
+    sizes = met.agg(F.count("*").alias("_open")).crossJoin(snapshot.agg(F.count("*").alias("_snap")))
     whole = (F.col("_snap") > 0) & (F.col("_snap") >= least_share * F.col("_open"))
-    s = snapshot.select(*keys, F.struct(*attrs).alias("_new"), F.lit(True).alias("_s"))
-    joined = open_.select(*keys, F.struct(*attrs).alias("_old"), "valid_from", F.lit(True).alias("_o")).join(s, keys, "full_outer").crossJoin(F.broadcast(sizes))  # one row
+    s = snapshot.select(*keys, F.struct(*attrs).alias("_new"), F.lit(True).alias("_s")).join(following, keys, "left").join(taken, keys, "left")
+    joined = met.select(*keys, F.struct(*attrs).alias("_old"), "valid_from", "valid_to", F.lit(True).alias("_o")).join(s, keys, "full_outer").crossJoin(F.broadcast(sizes))  # one row
     same = F.col("_old").eqNullSafe(F.col("_new"))
     today = F.col("valid_from") == as_of
     piece = lambda attrs_of, start, end: F.struct(F.col(attrs_of).alias("a"), start.alias("valid_from"), end.cast("date").alias("valid_to"))
-    never = F.lit(None).cast("date")
+    start, end = F.col("valid_from"), F.col("valid_to")
+    nothing = F.slice(F.array(piece("_new", as_of, end)), 1, 0)
     out = (
-        F.when(F.col("_o").isNull(), F.array(piece("_new", as_of, never)))
-        .when(F.col("_s").isNull(), F.array(piece("_old", F.col("valid_from"), F.when(whole, as_of))))
-        .when(same, F.array(piece("_old", F.col("valid_from"), never)))
-        .when(today, F.array(piece("_new", as_of, never)))
-        .otherwise(F.array(piece("_old", F.col("valid_from"), as_of), piece("_new", as_of, never)))
+        F.when(F.col("_o").isNull(), F.when(F.col("_taken"), nothing).otherwise(F.array(piece("_new", as_of, F.col("_next")))))
+        .when(F.col("_s").isNull(), F.array(piece("_old", start, F.when(whole, as_of).otherwise(end))))
+        .when(same, F.array(piece("_old", start, end)))
+        .when(today, F.array(piece("_new", as_of, end)))
+        .otherwise(F.array(piece("_old", start, as_of), piece("_new", as_of, end)))
     )
     now = joined.select(*keys, F.explode(out).alias("v")).select(*keys, "v.a.*", "v.valid_from", "v.valid_to")
-    return versions.where("valid_to is not null").select(*now.columns).unionByName(now)
+    return rest.select(*now.columns).unionByName(now)
 
 
 def newer_wins(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

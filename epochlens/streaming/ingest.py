@@ -1,7 +1,8 @@
 """Streams over landing folders, written batch by batch with foreachBatch.
 
-Every batch owns one folder of its target, named by the batch's number and overwritten if the batch is tried again; what the others hold is read
-from their folders. So a batch that fails half-way, or that Spark runs twice, leaves the same rows.
+Every batch owns its own folders of its target, overwritten if the batch is tried again; what the others hold is read from theirs. So a batch that fails half-way, or
+that Spark runs twice, leaves the same rows. A target is cut by day, and a batch reads the days of its own rows only, however long the history is: a key's rows all have one
+event time. What goes on from batch to batch (an instrument's last instant, filings that still wait) is a small table of its own, one folder a batch.
 """
 
 from __future__ import annotations
@@ -14,23 +15,37 @@ from pyspark.sql import types as T
 
 from epochlens.operators.merge import keep_first
 
-BATCH = "batch"
+BATCH, DAY = "batch", "_day"
 
 
-def landing(spark: SparkSession, folder: str, schema: T.StructType, *, kind: str = "parquet", files: int = 1) -> DataFrame:
-    """A stream of the files that come into a folder, oldest first, so many a batch."""
-    return spark.readStream.schema(schema).format(kind).option("maxFilesPerTrigger", files).load(folder)
+def landing(spark: SparkSession, folder: str, schema: T.StructType, *, kind: str = "parquet", files: int | None = None) -> DataFrame:
+    """A stream of the files that come into a folder, oldest first, so many a batch (all that have come, if not said)."""
+    reader = spark.readStream.schema(schema).format(kind)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).load(folder)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _files(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    system, p = _files(spark, path)
+    return system.exists(p)
 
 
-def read_target(spark: SparkSession, target: str, schema: T.StructType) -> DataFrame:
-    """All batches' rows with their batch's number."""
-    whole = T.StructType([*(f for f in schema.fields if f.name != BATCH), T.StructField(BATCH, T.LongType())])
-    return spark.read.schema(whole).option("basePath", target).parquet(target) if _exists(spark, target) else spark.createDataFrame([], whole)
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    system, p = _files(spark, path)
+    return [x.getPath().getName() for x in system.listStatus(p)] if system.exists(p) else []
+
+
+def read_target(spark: SparkSession, target: str, schema: T.StructType, days: list[str] | None = None) -> DataFrame:
+    """Rows with their batch's number: all, or those of some days, whose folders alone are listed."""
+    whole = T.StructType([*(f for f in schema.fields if f.name not in (BATCH, DAY)), T.StructField(DAY, T.StringType()), T.StructField(BATCH, T.LongType())])
+    found = [target] if days is None else [f"{target}/{DAY}={x}" for x in days]
+    found = [x for x in found if _exists(spark, x)]
+    read = spark.read.schema(whole).option("basePath", target).parquet(*found) if found else spark.createDataFrame([], whole)
+    return read.drop(DAY)
 
 
 def wider(schema: T.StructType, **more: T.DataType) -> T.StructType:
@@ -38,8 +53,24 @@ def wider(schema: T.StructType, **more: T.DataType) -> T.StructType:
     return T.StructType([*schema.fields, *(T.StructField(n, t) for n, t in more.items() if n not in schema.names)])
 
 
-def _write(rows: DataFrame, target: str, batch: int | str) -> None:
-    rows.drop(BATCH).write.mode("overwrite").parquet(f"{target}/{BATCH}={batch}")
+def _day(ts: str | None) -> Column:
+    """The folder of a row: its day in UTC; one folder for all if rows have no event time."""
+    return F.coalesce(F.to_date(ts).cast("string"), F.lit("none")) if ts else F.lit("all")
+
+
+def _days(batch: DataFrame, ts: str | None) -> list[str]:
+    return sorted(r[0] for r in batch.select(_day(ts)).distinct().collect())  # as many as a batch has days
+
+
+def _write(rows: DataFrame, target: str, number: int, ts: str | None) -> None:
+    """The rows as the batch's own folder of each day; a batch that is tried again has the same days."""
+    rows.drop(BATCH).withColumn(DAY, _day(ts)).withColumn(BATCH, F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY, BATCH).parquet(target)
+
+
+def _carried(spark: SparkSession, folder: str, number: int, schema: T.StructType) -> DataFrame:
+    """The small table that the batch before has left."""
+    before = [n for n in (int(x.split("=")[1]) for x in _folders(spark, folder) if x.startswith(f"{BATCH}=")) if n < number]
+    return spark.read.schema(schema).parquet(f"{folder}/{BATCH}={max(before)}") if before else spark.createDataFrame([], schema)
 
 
 def run(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> None:
@@ -47,54 +78,66 @@ def run(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], Non
     stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def ingest(stream: DataFrame, target: str, checkpoint: str, *, keys: list[str], order: list[str]) -> None:
+def ingest(stream: DataFrame, target: str, checkpoint: str, *, keys: list[str], order: list[str], ts: str | None = None) -> None:
     """Rows with new natural keys are added, the first write of a key wins, and rows polled again change nothing. The first batch is ``catchup``, later ones ``live``."""
     spark, schema = stream.sparkSession, stream.schema
 
     def each(batch: DataFrame, number: int) -> None:
-        known = read_target(spark, target, wider(schema, mode=T.StringType())).where(F.col(BATCH) != number)
+        known = read_target(spark, target, wider(schema, mode=T.StringType()), _days(batch, ts)).where(F.col(BATCH) != number)
         fresh = keep_first(batch, keys, order).join(known.select(*keys), keys, "left_anti")
-        _write(fresh.withColumn("mode", F.lit("catchup" if number == 0 else "live")), target, number)
+        _write(fresh.withColumn("mode", F.lit("catchup" if number == 0 else "live")), target, number, ts)
 
     run(stream, checkpoint, each)
 
 
-def reconcile(target: str, collected: DataFrame, *, keys: list[str], order: list[str], ts: str, now: Column, days: int = 7, number: int = 1_000_000) -> None:
-    """What a second collection of the last days has and the stream hadn't, labelled ``backfill``; late rows are never dropped for being late."""
+def reconcile(target: str, collected: DataFrame, *, keys: list[str], order: list[str], ts: str, now: Column, days: int = 7) -> int:
+    """What a second collection of the last days has and the stream hadn't, labelled ``backfill``; late rows are never dropped for being late.
+
+    Every call has a number of its own, counted down from -1 in a folder beside the target, so that it meets neither the stream's batches nor an earlier call; one that fails half-way is simply made again. Gives the number.
+    """
     spark = collected.sparkSession
     schema = wider(collected.schema, mode=T.StringType())
-    known = read_target(spark, target, schema).where(F.col(BATCH) != number)
     recent = keep_first(collected.where(F.col(ts) >= now - F.make_dt_interval(days=F.lit(days))), keys, order)
-    _write(recent.join(known.select(*keys), keys, "left_anti").withColumn("mode", F.lit("backfill")), target, number)
+    number = -1 - len(_folders(spark, f"{target}-calls"))
+    system, p = _files(spark, f"{target}-calls/{-number}")
+    system.mkdirs(p)
+    known = read_target(spark, target, schema, _days(recent, ts))
+    _write(recent.join(known.select(*keys), keys, "left_anti").withColumn("mode", F.lit("backfill")), target, number, ts)
+    return number
 
 
 def newer_bars(stream: DataFrame, target: str, checkpoint: str, *, key: str, ts: str, order: list[str]) -> None:
-    """Bars of each instrument that are newer than the last one it has; one for each instant."""
-    spark, schema = stream.sparkSession, stream.schema
+    """Bars of each instrument that are newer than the last one it has; one for each instant. Each instrument's last instant goes on from batch to batch."""
+    spark = stream.sparkSession
+    carried = T.StructType([stream.schema[key], T.StructField("_last", stream.schema[ts].dataType)])
 
     def each(batch: DataFrame, number: int) -> None:
-        last = read_target(spark, target, schema).where(F.col(BATCH) < number).groupBy(key).agg(F.max(ts).alias("_last"))
+        last = _carried(spark, f"{target}-last", number, carried)
         fresh = keep_first(batch, [key, ts], order).join(last, key, "left").where(F.col("_last").isNull() | (F.col(ts) > F.col("_last"))).drop("_last")
-        _write(fresh, target, number)
+        _write(fresh, target, number, ts)
+        now = last.unionByName(batch.select(key, F.col(ts).alias("_last"))).groupBy(key).agg(F.max("_last").alias("_last"))
+        now.write.mode("overwrite").parquet(f"{target}-last/{BATCH}={number}")
 
     run(stream, checkpoint, each)
 
 
-def hand_off(stream: DataFrame, target: str, checkpoint: str, *, key: str, classify: Column, link: Callable[[DataFrame, int], DataFrame], most: int = 3) -> None:
+def hand_off(stream: DataFrame, target: str, checkpoint: str, *, key: str, classify: Column, link: Callable[[DataFrame, int], DataFrame], most: int = 3, ts: str | None = None) -> None:
     """New rows are classified and linked in the batch that brings them; those that no link is known for yet come along in later batches, ``most`` times in all.
 
-    link(rows, batch) adds security_id. target holds a row for each try: event_type, security_id, tries.
+    link(rows, batch) adds security_id. target holds a row for each try: event_type, security_id, tries. Rows that still wait go on from batch to batch.
     """
     spark = stream.sparkSession
     schema = wider(stream.schema, security_id=T.LongType(), event_type=T.StringType(), tries=T.IntegerType())
 
     def each(batch: DataFrame, number: int) -> None:
-        before = read_target(spark, target, schema).where(F.col(BATCH) < number)
-        latest = before.groupBy(key).agg(F.max_by(F.struct(*(c for c in schema.names if c != key)), "tries").alias("r")).select(key, "r.*")
-        again = latest.where(F.col("security_id").isNull() & (F.col("tries") < most)).drop("security_id")
-        new = batch.join(latest.select(key), key, "left_anti").dropDuplicates([key]).withColumn("event_type", classify).withColumn("tries", F.lit(0))
+        again = _carried(spark, f"{target}-waiting", number, schema).drop("security_id")
+        known = read_target(spark, target, schema, _days(batch, ts)).where(F.col(BATCH) != number).select(key)
+        new = batch.join(known, key, "left_anti").dropDuplicates([key]).withColumn("event_type", classify).withColumn("tries", F.lit(0))
         linked = link(new.select(*again.columns).unionByName(again), number)
-        _write(linked.withColumn("tries", F.col("tries") + 1).select(*schema.names), target, number)
+        _write(linked.withColumn("tries", F.col("tries") + 1).select(*schema.names), target, number, ts)
+        own = [x for x in (f"{target}/{day}/{BATCH}={number}" for day in _folders(spark, target)) if _exists(spark, x)]
+        tried = spark.read.schema(schema).option("basePath", target).parquet(*own) if own else spark.createDataFrame([], schema)
+        tried.where(F.col("security_id").isNull() & (F.col("tries") < most)).select(*schema.names).write.mode("overwrite").parquet(f"{target}-waiting/{BATCH}={number}")
 
     run(stream, checkpoint, each)
 

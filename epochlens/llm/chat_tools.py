@@ -1,13 +1,14 @@
 """Tool-call linking for chat data, with DataFrame functions only.
 
-Calls and their results are hash-joined by identifier. Calls are put into topological levels by the calls that they come after: each call's
-chain of predecessors is followed by pointer doubling, so that a chain of n calls takes log2(n) joins. Arguments are parsed and held against
-the tools' schemas, and each call is serialised as canonical JSON: keys in order, no white space, absent members left out.
-
-Defined results: of several results of one call the first by turn and then content counts; a result without a call is an ``orphan`` row, a call
-without a result ``unanswered``; a null identifier links to nothing; repeated calls each give a row; a predecessor that doesn't exist, or that the
-call itself is, counts as none; calls that come after each other in a circle have a null level and status ``cycle``; arguments that are no JSON
-object are invalid (``arguments``) and serialised as null; an unknown tool is invalid (``tool``); empty tables give no rows; of further columns none is read.
+Calls and their results are hash-joined by conversation and identifier (identifiers such as call_1 come again in every conversation). Calls are put into topological levels: a call's level is the
+length of the longest way to it from a call that comes after none. Every round puts known levels into those that come after them, and lets calls that still wait for one other call alone look past it,
+so that a chain of n calls takes log2(n) rounds; only calls that wait for several unknown ones take a round each. Arguments are parsed and held against the tools' schemas, and each call is
+serialised as canonical JSON: keys in order, no white space, absent members left out.
+
+Defined results: of several results of one call the first by turn and then content counts; a result without a call in its conversation is an ``orphan`` row, a call without a result ``unanswered``; a null identifier links to nothing;
+rows without a conversation are one conversation; repeated calls each give a row and come after all that any of them does; a predecessor that doesn't exist in the conversation, or that the call itself is, counts as none; calls in a circle,
+and calls after these, have a null level and status ``cycle``; arguments that are no JSON object are invalid (``arguments``) and serialised as null; an unknown tool is invalid (``tool``); empty tables give no rows;
+of further columns none is read.
 """
 
 from __future__ import annotations
@@ -23,23 +24,41 @@ Schemas = dict[str, dict[str, tuple[str, bool, int | None]]]
 _TYPES = {"string": ["STRING"], "integer": ["BIGINT"], "boolean": ["BOOLEAN"], "number": ["BIGINT", "DOUBLE"]}
 
 
+def _conversation(conv_id: str) -> Column:
+    """A key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(conv_id).cast("string")), F.lit("none"))
+
+
 def levels(calls: DataFrame) -> DataFrame:
-    """calls (call_id, after) to call_id, level: 0 for calls that come after none, null for those in or behind a circle."""
-    known = calls.where("call_id is not null").groupBy("call_id").agg(F.min("after").alias("after"))
-    real = known.select(F.col("call_id").alias("after"))
-    first = known.where("after is null or after = call_id").select("call_id", F.lit(None).cast("string").alias("up"), F.lit(0).alias("steps"))
-    linked = known.where("after <> call_id").join(real.withColumn("exists", F.lit(True)), "after", "left")
-    linked = linked.select("call_id", F.when(F.col("exists"), F.col("after")).alias("up"), F.when(F.col("exists"), 1).otherwise(0).alias("steps"))
-    now, rounds = materialised(first.unionByName(linked), "levels"), 0
-    total = now.count()
-    while now.where("up is not null").limit(1).count():
-        if 2**rounds > total:
+    """calls (c, call_id, after: array) to c, call_id, level: null for calls in a circle or after one.
+
+    An edge (v, u, s) says that v's level is that of u plus s at least, least says the same of a number. Edges go once u is known, or turn to what u waits for if that is one call.
+    A way longer than its conversation has calls runs in a circle.
+    """
+    known = calls.where("call_id is not null").groupBy("c", "call_id").agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce("after", F.array().cast("array<string>"))))).alias("after"))
+    sizes = known.groupBy("c").agg(F.count("*").alias("n"))
+    edges = known.select("c", F.col("call_id").alias("v"), F.explode("after").alias("u")).where("u <> v")
+    edges = edges.join(known.select("c", F.col("call_id").alias("u")), ["c", "u"], "left_semi").select("c", "v", "u", F.lit(1).cast("long").alias("s")).join(sizes, "c")
+    nodes = known.select("c", F.col("call_id").alias("v"), F.lit(0).cast("long").alias("least"), F.lit(False).alias("circle"))
+    edges, nodes = materialised(edges, "edges"), materialised(nodes, "nodes")
+    while edges.limit(1).count():
+        waits = edges.groupBy("c", "v").agg(F.count("*").alias("open"), F.first("u").alias("to"), F.first("s").alias("more"))
+        ups = nodes.join(waits, ["c", "v"], "left").select("c", F.col("v").alias("u"), F.col("least").alias("u_least"), F.col("circle").alias("u_circle"), F.coalesce("open", F.lit(0)).alias("open"), "to", "more")
+        met = materialised(edges.join(ups, ["c", "u"]), "met")
+        # what u says of v's level whatever u waits for, and whether v is in a circle or after one
+        told = met.groupBy("c", "v").agg(F.max(F.when(F.col("open") <= 1, F.col("u_least") + F.col("s"))).alias("told"), F.max(F.col("u_circle") | (F.col("s") > F.col("n"))).alias("bad"))
+        new = nodes.join(told, ["c", "v"], "left").select("c", "v", F.greatest("least", F.coalesce("told", F.lit(0))).alias("least"), (F.col("circle") | F.coalesce("bad", F.lit(False))).alias("circle"))
+        open_ = met.where((F.col("open") > 0) & ~F.col("u_circle") & (F.col("s") <= F.col("n")))
+        jumped = open_.select("c", "v", F.when(F.col("open") == 1, F.col("to")).otherwise(F.col("u")).alias("u"), (F.col("s") + F.when(F.col("open") == 1, F.col("more")).otherwise(0)).alias("s"), "n")
+        new = materialised(new, "nodes")
+        left = jumped.groupBy("c", "v", "u").agg(F.max("s").alias("s"), F.first("n").alias("n")).join(new.where("not circle").select("c", "v"), ["c", "v"], "left_semi").select("c", "v", "u", "s", "n")
+        left = materialised(left, "edges")
+        if not met.where("open <= 1 or u_circle or s > n").limit(1).count():  # nothing has moved: all that is left waits in circles
+            stuck = left.select("c", "v").distinct().withColumn("_stuck", F.lit(True))
+            nodes = new.join(stuck, ["c", "v"], "left").select("c", "v", "least", (F.col("circle") | F.coalesce("_stuck", F.lit(False))).alias("circle"))
             break
-        ups = now.select(F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"))
-        done = now.where("up is null")
-        moved = now.where("up is not null").join(ups, "up").select("call_id", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"))
-        now, rounds = materialised(done.unionByName(moved), "levels"), rounds + 1
-    return now.select("call_id", F.when(F.col("up").isNull(), F.col("steps")).alias("level"))
+        edges, nodes = left, new
+    return nodes.select("c", F.col("v").alias("call_id"), F.when(~F.col("circle"), F.col("least")).cast("int").alias("level"))
 
 
 def argument_errors(name: Column, parsed: Column, schemas: Schemas) -> Column:
@@ -64,14 +83,17 @@ def argument_errors(name: Column, parsed: Column, schemas: Schemas) -> Column:
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     """A row for each call, and for each result without one.
 
-    calls: conv_id, call_id, after, turn, name, arguments (JSON text). results: conv_id, call_id, turn, content.
+    calls: conv_id, call_id, after (an identifier, or an array of them), turn, name, arguments (JSON text). results: conv_id, call_id, turn, content.
     Gives conv_id, call_id, turn, level, status, valid, errors, canonical; (conv_id, level, turn) is a topological order.
     """
-    calls = calls.select("conv_id", "call_id", "after", "turn", "name", "arguments")
-    answered = results.where("call_id is not null").groupBy("call_id").agg(F.min(F.struct("turn", "content")).alias("r"))
-    named = calls.where("call_id is not null").join(levels(calls).hint("shuffle_hash"), "call_id", "left").join(answered.hint("shuffle_hash"), "call_id", "left")
+    after = F.col("after") if calls.schema["after"].dataType.typeName() == "array" else F.when(F.col("after").isNotNull(), F.array("after"))
+    calls = calls.select("conv_id", "call_id", after.alias("after"), "turn", "name", "arguments", _conversation("conv_id").alias("c"))
+    results = results.select("conv_id", "call_id", "turn", "content", _conversation("conv_id").alias("c"))
+    answered = results.where("call_id is not null").groupBy("c", "call_id").agg(F.min(F.struct("turn", "content")).alias("r"))
+    on = ["c", "call_id"]
+    named = calls.where("call_id is not null").join(levels(calls).hint("shuffle_hash"), on, "left").join(answered.hint("shuffle_hash"), on, "left")
     # calls without an identifier have nothing to look up, and would all meet in one task
-    nameless = calls.where("call_id is null").select(*calls.columns, F.lit(None).cast("int").alias("level"), F.lit(None).cast(answered.schema["r"].dataType).alias("r"))
+    nameless = calls.where("call_id is null").withColumn("level", F.lit(None).cast("int")).withColumn("r", F.lit(None).cast(answered.schema["r"].dataType))
     placed = named.unionByName(nameless)
     parsed = F.try_parse_json("arguments")
     rows = placed.withColumn("parsed", parsed).withColumn("errors", argument_errors(F.col("name"), F.col("parsed"), schemas))
@@ -83,7 +105,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
     )
     status = F.when(F.col("call_id").isNotNull() & F.col("level").isNull(), "cycle").when(F.col("r").isNull(), "unanswered").otherwise("linked")
     linked = rows.select("conv_id", "call_id", "turn", "level", status.alias("status"), (F.size("errors") == 0).alias("valid"), F.array_join(F.array_sort("errors"), "; ").alias("errors"), canonical.alias("canonical"))
-    lone = results.where("call_id is not null").join(calls.select("call_id").distinct(), "call_id", "left_anti").unionByName(results.where("call_id is null").select("call_id", *(c for c in results.columns if c != "call_id")))
+    lone = results.where("call_id is not null").join(calls.select(*on).distinct(), on, "left_anti").unionByName(results.where("call_id is null"))
     orphans = lone.select("conv_id", "call_id", "turn", F.lit(None).cast("int").alias("level"), F.lit("orphan").alias("status"), F.lit(False).alias("valid"), F.lit("call").alias("errors"), F.concat(F.lit("{"), F.coalesce(F.concat(F.lit('"id":'), _json(F.col("call_id")), F.lit(",")), F.lit("")), F.lit('"result":'), F.coalesce(_json(F.col("content")), F.lit("null")), F.lit("}")).alias("canonical"))
     return linked.unionByName(orphans)
 
@@ -103,12 +125,13 @@ REPLY: Schemas = {"reply": {"text": ("string", True, None), "chars": ("integer",
 
 
 def turns_as_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A conversation's user turns as calls of ``reply``, each after the user turn two before, and its assistant turns as their results."""
-    key = lambda turn: F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), turn)
+    """A conversation's user turns as calls of ``reply``, each after the user turn two before (some also after that four before), and its assistant turns as their results. Identifiers come again in every conversation."""
+    key = lambda turn: F.concat(F.lit("call_"), turn)
     user = messages.where("role = 'user'")
     arguments = F.to_json(F.struct("turn", "text", F.length("text").alias("chars")))
-    calls = user.select("conv_id", key(F.col("turn")).alias("call_id"), F.when(F.col("turn") >= 2, key(F.col("turn") - 2)).alias("after"), "turn", F.lit("reply").alias("name"), arguments.alias("arguments"))
-    results = messages.where("role = 'assistant'").select("conv_id", key(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    turn = F.col("turn")
+    calls = user.select("conv_id", key(turn).alias("call_id"), F.array_compact(F.array(F.when(turn >= 2, key(turn - 2)), F.when(turn % 6 == 4, key(turn - 4)))).alias("after"), "turn", F.lit("reply").alias("name"), arguments.alias("arguments"))
+    results = messages.where("role = 'assistant'").select("conv_id", key(turn - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     return calls, results
 
 
@@ -119,19 +142,18 @@ def op6_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = """
 WITH RECURSIVE calls AS (
-  SELECT conv_id, turn, text, 'c' || conv_id || '-' || turn AS call_id,
-    CASE WHEN turn >= 2 THEN 'c' || conv_id || '-' || (turn - 2) END AS after
-  FROM conversations WHERE role = 'user'
-), parents AS (
-  SELECT call_id, min(after) AS after FROM calls WHERE call_id IS NOT NULL GROUP BY 1
-), walk AS (
-  SELECT call_id, 0 AS level FROM parents WHERE after IS NULL OR after NOT IN (SELECT call_id FROM parents)
-  UNION ALL
-  SELECT p.call_id, w.level + 1 FROM parents p JOIN walk w ON p.after = w.call_id
-), results AS (
-  SELECT conv_id, turn, text, 'c' || conv_id || '-' || (turn - 1) AS call_id FROM conversations WHERE role = 'assistant'
+  SELECT conv_id, turn, text, 'call_' || turn AS call_id FROM conversations WHERE role = 'user'
+), edges AS (
+  SELECT DISTINCT c.conv_id, c.turn AS v, u.turn AS u FROM calls c JOIN calls u ON u.conv_id = c.conv_id AND (u.turn = c.turn - 2 OR c.turn % 6 = 4 AND u.turn = c.turn - 4)
+), ways AS (
+  SELECT DISTINCT conv_id, turn AS v, 0 AS level FROM calls
+  UNION
+  SELECT e.conv_id, e.v, w.level + 1 FROM edges e JOIN ways w ON w.conv_id = e.conv_id AND w.v = e.u
+), walk AS (SELECT conv_id, v, max(level) AS level FROM ways GROUP BY ALL),
+results AS (
+  SELECT conv_id, turn, text, 'call_' || (turn - 1) AS call_id FROM conversations WHERE role = 'assistant'
 ), answered AS (
-  SELECT call_id, arg_min(text, (turn, text)) AS content, true AS have FROM results GROUP BY 1
+  SELECT conv_id, call_id, arg_min(text, (turn, text)) AS content, true AS have FROM results GROUP BY ALL
 ), linked AS (
   SELECT c.conv_id, c.call_id, c.turn, w.level,
     CASE WHEN a.have THEN 'linked' ELSE 'unanswered' END AS status,
@@ -140,10 +162,10 @@ WITH RECURSIVE calls AS (
     '{"arguments":' || json_object('chars', length(c.text), 'text', c.text, 'turn', c.turn)::VARCHAR
       || ',"id":' || to_json(c.call_id)::VARCHAR || ',"name":"reply"'
       || coalesce(',"result":' || to_json(a.content)::VARCHAR, '') || '}' AS canonical
-  FROM calls c LEFT JOIN walk w USING (call_id) LEFT JOIN answered a USING (call_id)
+  FROM calls c LEFT JOIN walk w ON w.conv_id = c.conv_id AND w.v = c.turn LEFT JOIN answered a ON a.conv_id = c.conv_id AND a.call_id = c.call_id
   UNION ALL
   SELECT conv_id, call_id, turn, NULL, 'orphan', false, 'call', '{"id":' || to_json(call_id)::VARCHAR || ',"result":' || to_json(text)::VARCHAR || '}'
-  FROM results r WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.call_id = r.call_id)
+  FROM results r WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.conv_id = r.conv_id AND c.call_id = r.call_id)
 )
 SELECT *, row_number() OVER (PARTITION BY conv_id, level ORDER BY turn, call_id, canonical) AS place FROM linked
 """

@@ -2,9 +2,9 @@
 
 Documents are cut into shards, as they lie in the tasks; a shard holds the postings of the queries' terms with each posting's part of the score. A term's list
 is cut into blocks of unequal length by dynamic programming: the bound error (what the block's greatest part promises beyond what its postings hold) plus
-a price for each block is least. A query's blocks are then laid over each other: between two block borders the sum of the blocks' maxima bounds every document's score. Only stretches
-whose bound reaches the score that the query's last place has so far (its pivots) are looked into, greatest bound first, and all others are skipped unread; the
-threshold goes on from shard to shard of a task. Each task gives a query at most k rows, from which Spark takes the k best. The result is exact.
+a price for each block is least. A query takes its lists with the greatest promise first. A document that is in none of the lists before can have what a list's block promises and what the blocks of later
+lists promise over the same documents, no more: blocks whose sum doesn't reach the score that the query's last place has so far are skipped unread, and so are all lists from the pivot on, where what is left doesn't reach it
+at all. It is the pivot rule, taken a list at a time instead of a document at a time, so that numpy goes through whole blocks. The threshold goes on from shard to shard of a task. Each task gives a query at most k rows, from which Spark takes the k best. The result is exact.
 
 Queries are taken in blocks of at most ``BLOCK_BYTES`` of text, the only thing that is broadcast or goes through the driver, with a number for each of their terms.
 Counts of documents, of terms and of each term's documents are over all documents.
@@ -29,7 +29,9 @@ from epochlens.llm.common import slices, table
 
 #: Bytes of the texts of queries that are searched for at once; postings of a shard; longest block; a block's price in mean parts of its list.
 BLOCK_BYTES, SHARD_POSTINGS, LONGEST, PRICE = 1 << 20, 1 << 20, 64, 4
-#: Documents that a query's first look takes; each further one takes twice as many.
+#: Following lists whose blocks are asked for what they promise over a block; of those behind them the list's own promise counts.
+NEAR = 8
+#: Postings that a query's first look into a list takes; each further one takes twice as many.
 FIRST_LOOK = 64
 #: Counts a null doc_id as the greatest.
 NO_ID = np.iinfo(np.int64).max
@@ -114,45 +116,68 @@ class Shard:
                 lists.append((i, times))
         if not lists:
             return so_far
-        edges, steps = [], []
+        firsts, lasts, promised = [], [], []
         for i, times in lists:
             a, b = self.first_block[i], self.first_block[i + 1]
-            promised = self.maxima[a:b] * times
-            edges += [self.at[self.blocks[a:b]], self.at[self.blocks[a + 1 : b + 1] - 1] + 1]
-            steps += [promised, -promised]
-        edge, step = np.concatenate(edges), np.concatenate(steps)
-        order = np.argsort(edge, kind="stable")
-        edge, bound = edge[order], np.cumsum(step[order])
-        last = np.append(edge[1:] != edge[:-1], False)  # nothing is left behind the last border
-        low, bound, high = edge[last], bound[last], edge[1:][last[:-1]]
-        pivots = np.argsort(-bound, kind="stable")
+            firsts.append(self.at[self.blocks[a:b]])
+            lasts.append(self.at[self.blocks[a + 1 : b + 1] - 1])
+            promised.append(self.maxima[a:b] * times)
+        order = sorted(range(len(lists)), key=lambda x: -int(promised[x].max()))
+        lists, firsts, lasts, promised = ([x[o] for o in order] for x in (lists, firsts, lasts, promised))
+        left = np.append(np.cumsum([int(x.max()) for x in promised][::-1])[::-1], 0)  # what a list and all behind it promise
         scores, ids = so_far
-        done, look = 0, FIRST_LOOK
-        while done < len(pivots):
-            threshold = scores[-1] if len(scores) == k else 1
-            most = int(np.searchsorted(-bound[pivots], -threshold, "right"))  # equal ones may hold a smaller id
-            if done >= most:
-                break
-            some = pivots[done:most]
-            some = some[: 1 + int(np.searchsorted(np.cumsum(high[some] - low[some]), look))]
-            done, look = done + len(some), look * 2
-            some = np.sort(some)
-            width = high[some] - low[some]
-            docs = np.repeat(low[some] - np.append(0, np.cumsum(width)[:-1]), width) + np.arange(int(width.sum()))
-            self.looked += len(docs)
-            got = np.zeros(len(docs), np.int64)
-            for i, times in lists:
-                a, b = self.starts[i], self.starts[i + 1]
-                at = np.searchsorted(self.at[a:b], docs)
-                at[at == b - a] = 0
-                hit = self.at[a:b][at] == docs
-                got[hit] += times * self.parts[a:b][at[hit]]
-            good = got >= max(1, threshold)
-            scores, ids = np.append(scores, got[good]), np.append(ids, self.ids[docs[good]])
-            order = np.lexsort((ids, -scores))[:k]
-            scores, ids = scores[order], ids[order]
+        threshold = lambda: int(scores[-1]) if len(scores) == k else 1
+        seen = np.zeros(len(self.ids), bool)
+        for i in range(len(lists)):
+            if left[i] < threshold():
+                break  # the pivot: documents that are in none of the lists before have too little
+            bound = promised[i] + left[i + 1]
+            some = np.flatnonzero(bound >= threshold())
+            behind = min(len(lists), i + 1 + NEAR)
+            bound = promised[i][some] + left[behind]
+            for j in range(i + 1, behind):
+                bound += self._most(firsts[j], lasts[j], promised[j], firsts[i][some], lasts[i][some])
+            order = np.argsort(-bound, kind="stable")
+            some, bound = some[order], bound[order]
+            done, look = 0, FIRST_LOOK
+            begin = self.first_block[lists[i][0]]
+            while done < len(some):
+                most = int(np.searchsorted(-bound, -threshold(), "right"))  # equal ones may hold a smaller id
+                if done >= most:
+                    break
+                blocks = begin + some[done:most]
+                sizes = self.blocks[blocks + 1] - self.blocks[blocks]
+                n = 1 + int(np.searchsorted(np.cumsum(sizes), look))
+                blocks, sizes = blocks[:n], sizes[:n]
+                done, look = done + len(blocks), look * 2
+                postings = np.repeat(self.blocks[blocks] - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(int(sizes.sum()))
+                postings = np.sort(postings[~seen[self.at[postings]]])
+                docs, got = self.at[postings], self.parts[postings] * lists[i][1]
+                seen[docs] = True
+                self.looked += len(docs)
+                for j in range(i + 1, len(lists)):
+                    good = got + left[j] >= threshold()
+                    docs, got = docs[good], got[good]
+                    if not len(docs):
+                        break
+                    a, b = self.starts[lists[j][0]], self.starts[lists[j][0] + 1]
+                    at = np.searchsorted(self.at[a:b], docs)
+                    at[at == b - a] = 0
+                    hit = self.at[a:b][at] == docs
+                    got[hit] += lists[j][1] * self.parts[a:b][at[hit]]
+                good = got >= threshold()
+                scores, ids = np.append(scores, got[good]), np.append(ids, self.ids[docs[good]])
+                best = np.lexsort((ids, -scores))[:k]
+                scores, ids = scores[best], ids[best]
         return scores, ids
 
+    @staticmethod
+    def _most(firsts: np.ndarray, lasts: np.ndarray, promised: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The greatest promise of the blocks [firsts, lasts] that meet each of the stretches [low, high]; 0 where none does."""
+        a, b = np.searchsorted(lasts, low), np.searchsorted(firsts, high, "right")
+        out = np.maximum.reduceat(np.append(promised, 0), np.column_stack([a, np.maximum(a + 1, b)]).ravel().clip(max=len(promised)))[::2] if len(low) else np.zeros(0, np.int64)
+        return np.where(b > a, out, 0)
+
 
 def _shards(batches, known: dict[bytes, int], weights: np.ndarray, n: int, total: int) -> Iterator[Shard]:
     ids: list[int] = []

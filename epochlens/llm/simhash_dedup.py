@@ -20,6 +20,7 @@ component, named by its smallest id; an empty table gives no rows; texts of any
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import itertools
 from collections.abc import Iterator
@@ -229,6 +230,8 @@ PARTS, PART_SIZE = 14, 4
 MOST_BITS = 17
 #: Leaders of a large group that each of its members is compared with, by different orders of the members.
 LEADERS = 4
+#: Bytes of a batch for Python workers.
+BATCH_BYTES = 4 << 20
 
 
 def _multipliers() -> np.ndarray:
@@ -318,6 +321,18 @@ def _of_several_families(entered: DataFrame, roots: DataFrame) -> DataFrame:
     return named.join(several, "g")
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is written down inside goes to Python in batches of BATCH_BYTES: a batch stands in the executor and in its worker, and pairs of sets are wide rows."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of which the sets (t, shingles) have a Jaccard similarity of LEAST_SIMILARITY at least; two empty sets are alike."""
 
@@ -399,9 +414,10 @@ def first_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("t"), text.alias("text"))
-    prints = materialised(shingle_prints(rows.select("id", "text")), "prints")
-    distinct = materialised(prints.groupBy("t").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys")), "texts")
-    roots = near_duplicate_roots(rows, distinct)
+    with small_batches(docs.sparkSession):
+        prints = materialised(shingle_prints(rows.select("id", "text")), "prints")
+        distinct = materialised(prints.groupBy("t").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys")), "texts")
+        roots = near_duplicate_roots(rows, distinct)
     named = distinct.select("t", "id").join(roots.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
     least = named.groupBy("root").agg(F.min(F.struct(F.col("id"), F.col("t"))).alias("stays"))
     stays = materialised(least.select("stays.*"), "stays")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from epochlens.operators import merge, versions
+from epochlens.operators import merge, symbols, versions
 from epochlens.plans.registry import query, table
 
 #: Six snapshots of customers, ten days apart, of three lists (by custkey % 3); each lacks some keys, and the fourth of list 1 is cut short.
@@ -72,3 +73,64 @@ def scd2_late(spark, d):
     late = rows.where("i = 1 and list = 0").select("list", "k", "seg")
     out = merge.scd2_apply(now, late, keys=["list", "k"], attrs=["seg"], as_of=day(1), scope=F.col("list") == 0)
     return out.select("k", "seg", F.col("valid_from").cast("string"), F.col("valid_to").cast("string"))
+
+
+#: Renames made of customers among 200 symbols, which are used again and again; a fifth are learned of only weeks after their day. One change a symbol, direction and day.
+_RENAMES_SQL = """
+r0 AS (SELECT c_custkey AS k, 'S' || (c_custkey % 200) AS o, 'S' || ((c_custkey * 7 + 3) % 200) AS n, DATE '2024-01-01' + ((c_custkey * 11) % 360)::INTEGER AS d FROM customer),
+r1 AS (SELECT * FROM (SELECT *, min(k) OVER (PARTITION BY o, d) AS a, min(k) OVER (PARTITION BY n, d) AS b FROM r0) WHERE k = a AND k = b AND o <> n AND k % 5 <> 0),
+q AS (SELECT event_id, 'S' || (user_id % 200) AS symbol, ts::DATE + (event_id % 150)::INTEGER AS known_on, ts::DATE + (event_id % 360)::INTEGER - 60 AS target FROM events)"""
+
+
+def _renames(spark, d):
+    k = F.col("c_custkey")
+    start = F.lit("2024-01-01").cast("date")
+    c = table(spark, d, "customer").select(k, F.concat(F.lit("S"), k % 200).alias("old"), F.concat(F.lit("S"), (k * 7 + 3) % 200).alias("new"), F.date_add(start, ((k * 11) % 360).cast("int")).alias("effective"))
+    first = lambda c: F.min("c_custkey").over(W.partitionBy(c, "effective"))
+    c = c.withColumn("_a", first("old")).withColumn("_b", first("new")).where("c_custkey = _a and c_custkey = _b")
+    # seen before their day, but for a fifth that came after all else
+    store = c.select("old", "new", "effective").limit(0).withColumn("available_at", F.lit(None).cast("timestamp"))
+    for late, fetched in ((False, "2023-12-01"), (True, "2026-01-01")):
+        part = c.where((k % 5 == 0) == F.lit(late)).drop("c_custkey", "_a", "_b")
+        store = symbols.record_changes(store, part, F.lit(fetched).cast("timestamp")) if not late else store.unionByName(part.withColumn("available_at", F.lit(fetched).cast("timestamp")))
+    e = table(spark, d, "events")
+    i, day = F.col("event_id"), F.to_date("ts")
+    asked = e.select(i, F.concat(F.lit("S"), F.col("user_id") % 200).alias("symbol"), F.date_add(day, (i % 150).cast("int")).alias("known_on"), F.date_add(day, (i % 360 - 60).cast("int")).alias("target"))
+    return asked, store, F.lit("2025-12-31").cast("timestamp")
+
+
+@query(f"""WITH RECURSIVE {_RENAMES_SQL},
+w AS (
+  SELECT event_id, symbol, known_on AS day, target, target < known_on AS back, 0 AS step FROM q
+  UNION ALL
+  SELECT w.event_id, CASE WHEN back THEN arg_max(c.o, c.d) ELSE arg_min(c.n, c.d) END, CASE WHEN back THEN max(c.d) - 1 ELSE min(c.d) END, target, back, step + 1
+  FROM w JOIN r1 c ON CASE WHEN back THEN c.n = w.symbol AND c.d > target AND c.d <= w.day ELSE c.o = w.symbol AND c.d > w.day AND c.d <= target END GROUP BY w.event_id, target, back, step
+)
+SELECT event_id, arg_max(symbol, step) AS symbol_then FROM w GROUP BY event_id""")
+def symbol_chain(spark, d):
+    """The symbol on another day of what was a symbol on one day, by the changes known at the end of 2025."""
+    asked, store, as_of = _renames(spark, d)
+    return symbols.symbol_on(asked, store, known_on="known_on", target="target", as_of=as_of).select("event_id", "symbol_then")
+
+
+@query(f"""WITH RECURSIVE {_RENAMES_SQL}, a AS (SELECT DISTINCT symbol, known_on FROM q WHERE event_id % 4 = 0),
+b AS (
+  SELECT symbol AS s, known_on AS k, symbol AS name, known_on AS day, NULL::DATE AS start, 0 AS step FROM a
+  UNION ALL
+  SELECT b.s, b.k, arg_max(c.o, c.d), max(c.d) - 1, max(c.d), step - 1 FROM b JOIN r1 c ON c.n = b.name AND c.d <= b.day GROUP BY b.s, b.k, step
+), f AS (
+  SELECT symbol AS s, known_on AS k, symbol AS name, known_on AS day, 0 AS step FROM a
+  UNION ALL
+  SELECT f.s, f.k, arg_min(c.n, c.d), min(c.d), step + 1 FROM f JOIN r1 c ON c.o = f.name AND c.d > f.day GROUP BY f.s, f.k, step
+), bs AS (SELECT s, k, name, step, lead(start) OVER (PARTITION BY s, k ORDER BY step DESC) AS start, day, step = min(step) OVER (PARTITION BY s, k) AS oldest FROM b),
+ch AS (
+  SELECT s, k, name, step, CASE WHEN oldest THEN (SELECT max(c.d) FROM r1 c WHERE c.o = bs.name AND c.d <= bs.day) ELSE start END AS start FROM bs
+  UNION ALL SELECT s, k, name, step, day FROM f WHERE step > 0
+)
+SELECT s AS symbol, k::VARCHAR AS known_on, name, start::VARCHAR AS valid_from, (lead(start) OVER (PARTITION BY s, k ORDER BY step))::VARCHAR AS valid_to FROM ch""")
+def symbol_chain_windows(spark, d):
+    """All symbols of a listing with their windows; a symbol that is used again starts when its earlier holder left it."""
+    asked, store, as_of = _renames(spark, d)
+    asked = asked.where("event_id % 4 = 0").select("symbol", "known_on").distinct()
+    found = symbols.symbol_windows(asked, store, known_on="known_on", as_of=as_of)
+    return found.select("symbol", F.col("known_on").cast("string"), "name", F.col("valid_from").cast("string"), F.col("valid_to").cast("string"))

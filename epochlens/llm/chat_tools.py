@@ -40,7 +40,9 @@ def levels(calls: DataFrame) -> DataFrame:
     edges = known.select("c", F.col("call_id").alias("v"), F.explode("after").alias("u")).where("u <> v")
     edges = edges.join(known.select("c", F.col("call_id").alias("u")), ["c", "u"], "left_semi").select("c", "v", "u", F.lit(1).cast("long").alias("s")).join(sizes, "c")
     nodes = known.select("c", F.col("call_id").alias("v"), F.lit(0).cast("long").alias("least"), F.lit(False).alias("circle"))
-    edges, nodes = materialised(edges, "edges"), materialised(nodes, "nodes")
+    edges = materialised(edges, "edges")
+    nodes, done = _parted(nodes, edges)
+    out = [done]
     while edges.limit(1).count():
         waits = edges.groupBy("c", "v").agg(F.count("*").alias("open"), F.first("u").alias("to"), F.first("s").alias("more"))
         ups = nodes.join(waits, ["c", "v"], "left").select("c", F.col("v").alias("u"), F.col("least").alias("u_least"), F.col("circle").alias("u_circle"), F.coalesce("open", F.lit(0)).alias("open"), "to", "more")
@@ -50,15 +52,26 @@ def levels(calls: DataFrame) -> DataFrame:
         new = nodes.join(told, ["c", "v"], "left").select("c", "v", F.greatest("least", F.coalesce("told", F.lit(0))).alias("least"), (F.col("circle") | F.coalesce("bad", F.lit(False))).alias("circle"))
         open_ = met.where((F.col("open") > 0) & ~F.col("u_circle") & (F.col("s") <= F.col("n")))
         jumped = open_.select("c", "v", F.when(F.col("open") == 1, F.col("to")).otherwise(F.col("u")).alias("u"), (F.col("s") + F.when(F.col("open") == 1, F.col("more")).otherwise(0)).alias("s"), "n")
-        new = materialised(new, "nodes")
         left = jumped.groupBy("c", "v", "u").agg(F.max("s").alias("s"), F.first("n").alias("n")).join(new.where("not circle").select("c", "v"), ["c", "v"], "left_semi").select("c", "v", "u", "s", "n")
         left = materialised(left, "edges")
         if not met.where("open <= 1 or u_circle or s > n").limit(1).count():  # nothing has moved: all that is left waits in circles
             stuck = left.select("c", "v").distinct().withColumn("_stuck", F.lit(True))
-            nodes = new.join(stuck, ["c", "v"], "left").select("c", "v", "least", (F.col("circle") | F.coalesce("_stuck", F.lit(False))).alias("circle"))
-            break
-        edges, nodes = left, new
-    return nodes.select("c", F.col("v").alias("call_id"), F.when(~F.col("circle"), F.col("least")).cast("int").alias("level"))
+            new = new.join(stuck, ["c", "v"], "left").select("c", "v", "least", (F.col("circle") | F.coalesce("_stuck", F.lit(False))).alias("circle"))
+            left = left.limit(0)
+        nodes, done = _parted(new, left)
+        edges = left
+        out.append(done)
+    whole = out[0]
+    for part in out[1:]:
+        whole = whole.unionByName(part)
+    return whole.select("c", F.col("v").alias("call_id"), F.when(~F.col("circle"), F.col("least")).cast("int").alias("level"))
+
+
+def _parted(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes that edges speak of, and the others, which are settled and take no part in further rounds."""
+    named = edges.select("c", "v").unionByName(edges.select("c", F.col("u").alias("v"))).distinct().withColumn("_named", F.lit(True))
+    marked = materialised(nodes.join(named, ["c", "v"], "left"), "nodes")
+    return marked.where("_named").drop("_named"), marked.where("_named is null").drop("_named")
 
 
 def argument_errors(name: Column, parsed: Column, schemas: Schemas) -> Column:

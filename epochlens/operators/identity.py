@@ -114,3 +114,38 @@ def group_range(rows: DataFrame, *, key: str, by: list[str], ts: str, source: st
     matched = greedy_pairs(pairs, f"l_{key}", f"r_{key}", [F.col("gap_s"), F.col(f"l_{key}"), F.col(f"r_{key}")])
     inside = rows.where((F.col(ts) >= start) & (F.col(ts) < end)).select(key)
     return event_group_ids(inside, matched, key, f"l_{key}", f"r_{key}")
+
+
+def redirects(merges: DataFrame, rounds: int = 64) -> DataFrame:
+    """old, security_id: where every id that ever gave way leads now, through all later merges (doubling: log2 of the longest way rounds; a way that comes round raises).
+
+    merges: build, security_id, merged (ids that gave way to it in that build), as stable_ids gives them build by build. An id gives way once; of several records of it the last build's counts.
+    """
+    steps = merges.select("build", "security_id", F.explode("merged").alias("old")).where(F.col("old").isNotNull() & (F.col("old") != F.col("security_id")))
+    now = materialised(steps.groupBy("old").agg(F.max_by("security_id", "build").alias("security_id")), "redirects")
+    for _ in range(rounds):
+        onward = now.select(F.col("old").alias("security_id"), F.col("security_id").alias("_on"))
+        moved = materialised(now.join(onward, "security_id", "left").select("old", F.coalesce("_on", "security_id").alias("security_id"), F.col("_on").isNotNull().alias("_moved")), "redirects")
+        now = moved.drop("_moved")
+        if not moved.where("_moved").limit(1).count():
+            return now
+    raise RuntimeError("merged ids lead round in a circle")
+
+
+def resolve_ids(rows: DataFrame, merged: DataFrame, splits: DataFrame, id_col: str) -> DataFrame:
+    """rows of which an id made under an older build is the one that it leads to now, with id_status: same, redirected, or split (several securities came of it: the id is null, nothing is guessed).
+
+    merged: redirects' rows; splits: security_id of ids whose members are in several securities now (split_ids).
+    """
+    m = merged.select(F.col("old").alias("_old"), F.col("security_id").alias("_new"))
+    s = splits.select(F.col("security_id").alias("_split")).distinct()
+    joined = rows.join(m, F.col(id_col) == F.col("_old"), "left")
+    now = F.coalesce("_new", F.col(id_col))
+    joined = joined.withColumn("_now", now).join(s, F.col("_now") == F.col("_split"), "left")
+    status = F.when(F.col("_split").isNotNull(), "split").when(F.col("_new").isNotNull(), "redirected").when(F.col(id_col).isNotNull(), "same")
+    return joined.withColumn(id_col, F.when(F.col("_split").isNull(), F.col("_now"))).withColumn("id_status", status).select(*rows.columns, "id_status")
+
+
+def split_ids(roots: DataFrame, previous: DataFrame) -> DataFrame:
+    """security_id, securities: ids of the build before whose members (node) lie in several components now."""
+    return previous.join(roots, "node").groupBy("security_id").agg(F.countDistinct("root").alias("securities")).where("securities > 1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from epochlens.plans import extracts, feeds, history, measures, orders, reactions, reads, state, stores, streams, studies, texts  # noqa: F401  (they register their queries)
+from epochlens.plans import extracts, feeds, history, leaks, measures, orders, reactions, reads, state, stores, streams, studies, texts  # noqa: F401  (they register their queries)
 from epochlens.plans.registry import ORACLE_SQL, QUERIES
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from epochlens.operators import merge, symbols, versions
+from epochlens.operators import identity, merge, symbols, versions
 from epochlens.plans.registry import query, table
 
 #: Six snapshots of customers, ten days apart, of three lists (by custkey % 3); each lacks some keys, and the fourth of list 1 is cut short.
@@ -134,3 +134,21 @@ def symbol_chain_windows(spark, d):
     asked = asked.where("event_id % 4 = 0").select("symbol", "known_on").distinct()
     found = symbols.symbol_windows(asked, store, known_on="known_on", as_of=as_of)
     return found.select("symbol", F.col("known_on").cast("string"), "name", F.col("valid_from").cast("string"), F.col("valid_to").cast("string"))
+
+
+@query("""
+WITH RECURSIVE g AS (SELECT c_custkey AS old, CASE WHEN c_custkey % 7 = 1 THEN 1 ELSE 2 END AS build, c_custkey // 3 AS new FROM customer WHERE c_custkey % 3 = 1 AND c_custkey > 3),
+w AS (SELECT c_custkey AS id, c_custkey AS now, 0 AS step FROM customer UNION ALL SELECT w.id, g.new, step + 1 FROM w JOIN g ON g.old = w.now),
+e AS (SELECT id, arg_max(now, step) AS now, max(step) AS steps FROM w GROUP BY id)
+SELECT id AS label, CASE WHEN now % 11 <> 0 THEN now END AS security_id, CASE WHEN now % 11 = 0 THEN 'split' WHEN steps > 0 THEN 'redirected' ELSE 'same' END AS id_status FROM e""")
+def resolved_labels(spark, d):
+    """Labels made under ids that have given way since, some of them several times; ids that were split say so."""
+    c = table(spark, d, "customer")
+    k = F.col("c_custkey")
+    gone = c.where("c_custkey % 3 = 1 and c_custkey > 3").select(F.when(k % 7 == 1, 1).otherwise(2).alias("build"), F.floor(k / 3).alias("security_id"), k.alias("old"))
+    merges = gone.groupBy("build", "security_id").agg(F.collect_list("old").alias("merged"))
+    # ids divisible by 11 have members in two securities now
+    previous = c.select(k.alias("security_id"), F.explode(F.array(F.concat(F.lit("a"), k), F.concat(F.lit("b"), k))).alias("node"))
+    roots = previous.select("node", F.when(F.col("security_id") % 11 == 0, F.col("node")).otherwise(F.col("security_id").cast("string")).alias("root"))
+    labels = c.select(k.alias("label"), k.alias("security_id"))
+    return identity.resolve_ids(labels, identity.redirects(merges), identity.split_ids(roots, previous), "security_id")

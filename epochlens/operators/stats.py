@@ -84,6 +84,10 @@ def scrambled(seed: int, *numbers: Column) -> Column:
     return (u * u + 69621) % PRIME
 
 
+#: Draws of a bootstrap that one task makes together.
+DRAWS = 100
+
+
 def bootstrap_means(rows: DataFrame, by: list[str], cluster: str, value: str, resamples: int, seed: int) -> DataFrame:
     """Means of ``resamples`` draws of a group's clusters: by, draw, mean. A draw takes as many clusters as the group has, with replacement.
 
@@ -94,7 +98,10 @@ def bootstrap_means(rows: DataFrame, by: list[str], cluster: str, value: str, re
     number = W.partitionBy(*by)
     sums = sums.withColumn("_i", F.row_number().over(number.orderBy(cluster)) - 1)  # dates of a group
     groups = sums.groupBy(*by).agg(F.count("*").alias("_size")).withColumn("_g", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*by)))  # a row for each group of a report
-    picks = groups.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_size") - 1)))
+    # a group's draws are made by as many tasks as it has blocks of them
+    blocks = groups.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // DRAWS)))).repartition(*by, "_b")
+    drawn = blocks.withColumn("draw", F.explode(F.sequence(F.col("_b") * DRAWS + 1, F.least((F.col("_b") + 1) * DRAWS, F.lit(resamples)))))
+    picks = drawn.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_size") - 1)))
     picks = picks.withColumn("_i", (scrambled(seed, F.col("_g"), F.col("draw"), F.col("_j")) % F.col("_size")).cast("int"))
     found = picks.join(sums, [*by, "_i"]).groupBy(*by, "draw").agg(F.sum("s").alias("_s"), F.sum("n").alias("_n"))
     return found.select(*by, "draw", (F.col("_s") / F.col("_n")).alias("mean"))
@@ -163,6 +170,14 @@ def deflated_sharpe(returns: DataFrame, ret: str, trials: int, variance: float)
     return probabilistic_sharpe(m[1] / m[2], expected_max_sharpe(trials, variance), m[0], m[3], m[4] + 3)
 
 
+def recent_expectancy(trades: DataFrame, by: list[str], order: list[str], net: str, last: int) -> DataFrame:
+    """Of each key's last so many closed trades: trades, expectancy (mean net) and lowest running total; what a rule that stops a strategy looks at. Fewer trades than that have no expectancy yet."""
+    w = W.partitionBy(*by)
+    tail = trades.where(F.col(net).isNotNull()).withColumn("_back", F.row_number().over(w.orderBy(*(F.col(c).desc() for c in order)))).where(F.col("_back") <= last)
+    total = tail.withColumn("_total", F.sum(net).over(w.orderBy(F.col("_back").desc()).rowsBetween(W.unboundedPreceding, 0)))
+    return total.groupBy(*by).agg(F.count("*").alias("trades"), F.when(F.count("*") >= last, F.avg(net)).alias("expectancy"), F.min("_total").alias("lowest"))
+
+
 def losing_beyond_chance(nets: np.ndarray, confidence: float = 0.95) -> bool:
     """The mean's t interval is wholly below zero."""
     if len(nets) < 2 or not np.std(nets, ddof=1):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from epochlens.functions import extract
+from epochlens.functions import extract, money
 from epochlens.functions.scalars import r6, wilson
 from epochlens.operators import asof
 from epochlens.plans.registry import query, table
@@ -105,3 +105,13 @@ def measured_delay(spark, d):
     """The delay of live rows, from a floor of zero; nothing is said of fewer than a hundred."""
     live = table(spark, d, "events").where("event_id % 3 > 0").select((F.col("event_id") % 300 - 20).alias("d"))
     return live.agg(r6(F.greatest(F.percentile("d", F.lit(0.95)), F.lit(0.0))).alias("delay_s"), F.count("*").alias("n")).where("n >= 100")
+
+
+@query("""
+SELECT o_orderkey, i, CASE i WHEN 0 THEN right('Order ' || o_orderkey || ' is worth ', 12) ELSE right('Order ' || o_orderkey || ' is worth Rs. ' || (o_orderkey % 97 + 1) || ' crore, of which ', 12) END AS before,
+  CASE i WHEN 0 THEN 'Rs. ' || (o_orderkey % 97 + 1) || ' crore' ELSE 'USD ' || (o_orderkey % 11 + 1) || ' million' END AS amount, CASE i WHEN 0 THEN ', of which U' ELSE ' came at onc' END AS after FROM orders, (VALUES (0), (1)) v(i)""")
+def amounts_in_context(spark, d):
+    """Each amount with the twelve characters before and after it."""
+    k = F.col("o_orderkey")
+    text = F.concat(F.lit("Order "), k, F.lit(" is worth Rs. "), k % 97 + 1, F.lit(" crore, of which USD "), k % 11 + 1, F.lit(" million came at once."))
+    return table(spark, d, "orders").select("o_orderkey", F.posexplode(money.amounts_in_context(text, 12)).alias("i", "x")).select("o_orderkey", "i", "x.*")

@@ -473,3 +473,22 @@ def gap_fade_effect(spark, d):
     k = h.where(reason.isNull()).select("user_id", "day", "filed", bucket(F.col("med"), [0.0, 100.0, 200.0]).alias("b"), F.when(gap < 0.5, 0).otherwise(1).alias("g"), (1 - F.try_divide("c", "o")).alias("short"))
     controls = k.where("not filed").groupBy("day", "b", "g").agg(F.avg("short").alias("cs"), F.count("*").alias("controls"))
     return k.where("filed").join(controls, ["day", "b", "g"], "left").select("user_id", F.col("day").cast("string"), r6(F.col("short")).alias("short_gross"), "controls", r6(F.col("short") - F.col("cs")).alias("effect"))
+
+
+@query("""
+WITH t AS (SELECT l_suppkey, l_extendedprice * (l_discount - 0.05) AS net, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_extendedprice DESC) AS back FROM lineitem),
+r AS (SELECT *, sum(net) OVER (PARTITION BY l_suppkey ORDER BY back DESC ROWS UNBOUNDED PRECEDING) AS total FROM t WHERE back <= 60)
+SELECT l_suppkey, count(*) AS trades, floor(CASE WHEN count(*) >= 60 THEN avg(net) END * 100 + 0.5) / 100 AS expectancy, floor(min(total) * 100 + 0.5) / 100 AS lowest FROM r GROUP BY 1""")
+def recent_expectancy(spark, d):
+    """What each key's last sixty trades earned on the average, and how low they had run."""
+    li = table(spark, d, "lineitem").withColumn("net", F.col("l_extendedprice") * (F.col("l_discount") - 0.05))
+    found = stats.recent_expectancy(li, ["l_suppkey"], ["l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice"], "net", 60)
+    fixed = lambda c: (F.floor(F.col(c) * 100 + 0.5) / 100).alias(c)
+    return found.select("l_suppkey", "trades", fixed("expectancy"), fixed("lowest"))
+
+
+@query("""
+SELECT event_id FROM (SELECT event_id FROM events ORDER BY ts, event_id LIMIT 50) UNION SELECT arg_min(event_id, (ts, event_id)) FROM events GROUP BY event_type UNION SELECT arg_min(event_id, (ts, event_id)) FROM events GROUP BY user_id""")
+def cover_sample(spark, d):
+    """The first fifty rows, and the first one of every type and user."""
+    return windows.cover_sample(table(spark, d, "events").select("event_id", "ts", "event_type", "user_id"), ["ts", "event_id"], 50, ["event_type", "user_id"]).select("event_id")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from epochlens.plans.registry import micros, query, table
 from epochlens.session import work_path
-from epochlens.sources import bars, polled
+from epochlens.sources import bars, polled, tables
 from epochlens.streaming import ingest
 
 
@@ -44,3 +44,21 @@ def stream_polled_store(spark, d):
     polled._commit(damaged, folder)
     follow()
     return spark.read.parquet(target).select("doc_id", "poll", F.octet_length("content").cast("long").alias("bytes"), "error")
+
+
+@query("""
+SELECT c_custkey AS k, c_name AS name, CASE c_custkey % 3 WHEN 0 THEN c_acctbal WHEN 1 THEN 0.0 ELSE 0.0 END AS balance, CASE WHEN c_custkey % 3 = 2 THEN 'seen' ELSE 'none' END AS status, CASE c_custkey % 3 WHEN 2 THEN 'x' ELSE upper(c_name) END AS label FROM customer WHERE c_custkey % 3 <> 0
+UNION ALL SELECT c_custkey, c_name, c_acctbal, 'none', 'own' FROM customer WHERE c_custkey % 3 = 0""")
+def schema_versions(spark, d):
+    """Rows written by three versions of a table's schema, read in the newest one's shape."""
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    first = {"k": "bigint", "name": "string"}
+    second = {"balance": ("double", "0.0"), "status": ("string", "'none'")}
+    third = {"label": ("string", "CASE WHEN status = 'none' THEN upper(name) ELSE 'x' END")}
+    folder = work_path(spark, "versions")
+    rows = c.select(k.alias("k"), F.col("c_name").alias("name"))
+    tables.save(rows.where("k % 3 = 1"), folder, tables.Table("customers", first))
+    tables.save(rows.where("k % 3 = 2").withColumns({"balance": F.lit(0.0), "status": F.lit("seen")}), folder, tables.Table("customers", first, [second]))
+    newest = tables.Table("customers", first, [second, third])
+    tables.save(c.where(k % 3 == 0).select(k.alias("k"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.lit("none").alias("status"), F.lit("own").alias("label")), folder, newest)
+    return tables.load(spark, folder, newest)

@@ -1,9 +1,9 @@
 """WARC archives: a writer with revisit records and a splittable reader.
 
 Every record is a gzip member of its own. The reader deals out byte ranges; a task looks in its range for the gzip magic, takes a place
-for a member only if inflating from there gives one whole record (version, type, record id, and a length that agrees) and, where it
-doesn't follow another member, if members follow it; and owns exactly the records that start inside its range, reading past
-its end where the last of them does. No index is needed, and ranges need not know of each other.
+for a member only if inflating from there gives one whole record (version, type, record id, and a length that agrees), goes on behind it, and owns exactly the records that start inside its range, reading past
+its end where the last of them does. Ranges are gone through twice: first each tells how far its last record reaches, of which only that number is kept; then each begins where the records before it end. So the records are those that one
+scan of the whole file finds, however it is cut: what lies inside a record's data is none, and what is damaged or cut off takes nothing else with it.
 
 The writer's tasks give every file a name of their own attempt, and the manifest that Spark commits lists those of the attempts that
 counted, so that a lost executor leaves unlisted files at most.
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from epochlens.llm.common import materialised, slices, table, work_path
@@ -35,8 +36,6 @@ MIN_REVISIT_BYTES = 100
 SPLIT_BYTES, READ_BYTES = 8 << 20, 1 << 20
 #: Ranges at most that each have a task of their own.
 MOST_TASKS = 100_000
-#: Members that must follow a candidate which doesn't itself follow one.
-AHEAD = 2
 #: A digest with over this share of all rows counts as frequent: there are fewer than FREQUENT of them, 40 bytes each.
 FREQUENT = 4096
 _VERSION = re.compile(r"WARC/[0-9]+\.[0-9]+")
@@ -109,25 +108,9 @@ def inflate_member(source: _Source, at: int) -> tuple[dict, int] | None:
     return None if found is None else (found, place)
 
 
-def _followed(source: _Source, at: int, ahead: int) -> bool:
-    """Whether so many members, or all up to the file's end, lie here one after the other."""
-    for _ in range(ahead):
-        if at >= source.size:
-            return True
-        if (found := inflate_member(source, at)) is None:
-            return False
-        at = found[1]
-    return True
-
-
-def records_in(uri: str, start: int, end: int) -> Iterator[tuple[int, dict]]:
-    """(place, record) of each record that starts in [start, end).
-
-    A member at the file's start, or right after another, is taken as it is. Another candidate must be followed by AHEAD members (or as many as
-    the file has left): one that was stored inside a larger member's data is not.
-    """
+def records_in(uri: str, start: int, end: int) -> Iterator[tuple[int, dict, int]]:
+    """(place, record, its end) of each record that a scan from start meets before end: the next whole record, then the next one behind that."""
     source, at = _Source(uri), start
-    sure = 0
     while at < min(end, source.size):
         window = source.read(at, min(READ_BYTES, source.size - at))
         hit = window.find(MAGIC)
@@ -137,22 +120,41 @@ def records_in(uri: str, start: int, end: int) -> Iterator[tuple[int, dict]]:
         at += hit
         if at >= end:
             return
-        if (found := inflate_member(source, at)) is None or not (at == sure or _followed(source, found[1], AHEAD)):
+        if (found := inflate_member(source, at)) is None:
             at += 1
         else:
-            yield at, found[0]
-            at = sure = found[1]
+            yield at, found[0], found[1]
+            at = found[1]
+
+
+def _begun(ranges: DataFrame, tasks: int) -> DataFrame:
+    """ranges (path, start, end) that begin where all records that start before them end; those that lie wholly inside one are left out.
+
+    A range that begins inside a record may take what that holds for records, but these end where it ends at the latest, so that the farthest reach is right.
+    """
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, starts, ends = (c.to_pylist() for c in batch.columns)
+            reached = [max((e for _, _, e in records_in(*x)), default=0) for x in zip(paths, starts, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(reached, pa.int64())], ["path", "start", "end", "reach"])
+
+    told = materialised(ranges.repartition(tasks).mapInArrow(reach, "path string, start long, end long, reach long"), "reach")
+    before = F.max("reach").over(W.partitionBy("path").orderBy("start").rowsBetween(W.unboundedPreceding, -1))  # a row for each range of a file
+    begun = told.withColumn("start", F.greatest("start", F.coalesce(before, F.lit(0))))
+    return begun.where("reach > 0 and start < end").select("path", "start", "end")
 
 
 def read_warc(files: DataFrame, *, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Records of the archives in ``files`` (path, size): path, offset, record_type, record_id, url, refers_to, payload_digest, payload_bytes, payload.
+    """Records of the archives in ``files`` (path, size), the same for every split_bytes: path, offset, record_type, record_id, url, refers_to, payload_digest, payload_bytes, payload.
 
     payload is null in revisits; payload_bytes is then the full payload's, from the HTTP head that they keep.
     """
     ranges = files.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)).cast("long"), F.lit(split_bytes).cast("long"))).alias("start"))
     # so many tasks as there are ranges: a number that is given isn't coalesced, however few bytes the ranges themselves have
     tasks = files.agg(F.coalesce(F.sum(F.ceil(F.col("size") / split_bytes)), F.lit(1))).first()[0]
-    ranges = ranges.select("path", "start", (F.col("start") + split_bytes).alias("end")).repartition(max(1, min(int(tasks), MOST_TASKS)))
+    tasks = max(1, min(int(tasks), MOST_TASKS))
+    ranges = _begun(ranges.select("path", "start", (F.col("start") + split_bytes).alias("end")), tasks).repartition(tasks)
 
     def row(path: str, at: int, r: dict) -> tuple:
         http, _, payload = r["block"].partition(b"\r\n\r\n")
@@ -173,7 +175,7 @@ def read_warc(files: DataFrame, *, split_bytes: int = SPLIT_BYTES) -> DataFrame:
             for path, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows = []
                 held = 0
-                for at, record in records_in(path, start, end):
+                for at, record, _ in records_in(path, start, end):
                     rows.append(row(path, at, record))
                     held += len(record["block"])
                     if len(rows) == 128 or held > READ_BYTES:

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from epochlens.llm.common import doc_texts, folded_words, materialised, slices, table, texts
@@ -293,10 +294,14 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _pairs_with_first(entered: DataFrame) -> DataFrame:
-    """entered (g, x), members of a group g once each: each member with its group's first one. The order is one for all groups, so that copies of
-    a text, which share most of their groups, mostly meet the same first one in them."""
-    first = entered.groupBy("g").agg(F.count("*").alias("members"), F.min_by("x", F.xxhash64("x.t")).alias("a")).where("members > 1")
-    return _ordered(entered.join(first, "g").select("a", F.col("x").alias("b")))
+    """entered (g, x), members of a group g once each: each member with its group's first one, that of which the groups have the most members together. Of the copies of a text it is the one nearest
+    to what they have in common (the text itself, if it is there), so that one comparison links most of them; the order is one for all groups."""
+    sizes = entered.groupBy("g").agg(F.count("*").alias("members")).where("members > 1")
+    met = materialised(entered.join(sizes, "g"), "met")
+    central = met.groupBy(F.col("x.t").alias("t")).agg(F.sum("members").alias("central"))
+    ranked = met.select("g", "x", F.col("x.t").alias("t")).join(central, "t")
+    first = ranked.groupBy("g").agg(F.min_by("x", F.struct(-F.col("central"), F.xxhash64("t"))).alias("a"))
+    return _ordered(met.join(first, "g").select("a", F.col("x").alias("b")))
 
 
 def _pairs_within(entered: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -364,13 +369,47 @@ def shingle_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return materialised(found.mapInArrow(run, "t binary, shingles binary"), "shingles").dropDuplicates(["t"])
 
 
+def _prefix_groups(crowd: DataFrame, sets: DataFrame) -> DataFrame:
+    """crowd (x, once each), sets (t, shingles) to (g, x): each text under the rarest of its shingles, so many that texts of LEAST_SIMILARITY share one of them at least, whatever else they share.
+
+    Of n shingles n - ceil(LEAST_SIMILARITY n) + 1 are enough if all texts take theirs in one order, here by how many texts of the crowd have them; those that only one text has lead to no other.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                held = [np.frombuffer(x.as_buffer(), "<i8") for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(len(held)), [len(h) for h in held]))), pa.array(np.concatenate([np.zeros(0, np.int64), *held]))], ["t", "g"])
+
+    tokens = materialised(sets.select("t", "shingles").mapInArrow(run, "t binary, g long"), "tokens")
+    shared = tokens.join(tokens.groupBy("g").agg(F.count("*").alias("texts")).where("texts > 1"), "g")
+    own = W.partitionBy("t")
+    placed = shared.withColumn("behind", F.count(F.lit(1)).over(own) - F.row_number().over(own.orderBy("texts", "g")))
+    # as many shingles as lie behind one in the order, and itself, must be left to reach the least share
+    met = placed.join(crowd.select("x", F.col("x.t").alias("t")), "t").where(F.col("behind") + 1 >= F.ceil(F.lit(LEAST_SIMILARITY) * F.col("x.n") - 1e-6))
+    return met.select("g", "x")
+
+
+def _across_families(entered: DataFrame) -> DataFrame:
+    """entered (g, x with root) to pairs of members that lie apart: all of them where SMALL_GROUP members at most lie outside a group's largest family, be that as large as it may; else those with the leaders."""
+    families = entered.groupBy("g", F.col("x.root").alias("root")).agg(F.count("*").alias("n"))
+    tops = families.groupBy("g").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("members"))
+    tops = materialised(tops.where(F.col("members") > F.col("top.n")), "families")
+    few = tops.where(F.col("members") - F.col("top.n") <= SMALL_GROUP).select("g", F.col("top.root").alias("top"))
+    held = entered.join(few, "g")
+    outside = held.where(F.col("x.root") != F.col("top")).select("g", F.col("x").alias("a"))
+    pairs = _ordered(held.select("g", F.col("x").alias("b")).join(outside, "g").select("a", "b"))
+    led, _ = _pairs_within(entered.join(tops.where(F.col("members") - F.col("top.n") > SMALL_GROUP).select("g"), "g", "left_semi"))
+    return pairs.unionByName(led).distinct()
+
+
 def near_duplicate_roots(rows: DataFrame, distinct: DataFrame) -> DataFrame:
     """rows (id, t, text), distinct (t, id, n, bits, keys) to (node, root) of t, for every text that is near another.
 
     Texts meet in the groups of their parts' keys. First each member of a group is compared with the group's first one, which links the copies of
     one text however many there are. Where this leaves members of a group apart, they are held against each other: all of them in a group of up to
-    SMALL_GROUP, with LEADERS of them in a larger one, whose members that are still apart then meet where they share two such groups, which texts of
-    the least similarity do with odds of 0.993; groups of two keys that are still large give every pair of their members that lies apart.
+    SMALL_GROUP, with LEADERS of them in a larger one. What is still apart in larger groups meets by the rarest of its shingles, which no two texts of the least similarity have all apart;
+    each of them outside the largest family that shares one of these is held against all that do. Only where more than SMALL_GROUP are outside it do members again meet LEADERS of them alone.
     """
     entered = distinct.select(F.posexplode("keys").alias("part", "key"), F.struct("t", "n", "bits").alias("x")).select(F.xxhash64("part", "key").alias("g"), "x")
     entered = materialised(entered, "entered")
@@ -396,13 +435,11 @@ def near_duplicate_roots(rows: DataFrame, distinct: DataFrame) -> DataFrame:
     crowd = entered.join(large, "g", "left_semi")
     if not crowd.limit(1).count():
         return roots
-    held = _of_several_families(crowd, roots).groupBy("x").agg(F.sort_array(F.collect_list("g")).alias("gs")).where("size(gs) > 1")  # PARTS groups at most
-    twice = held.select("x", "gs", F.posexplode("gs").alias("i", "g1")).select("x", "g1", F.explode(F.slice("gs", F.col("i") + 2, F.lit(PARTS))).alias("g2")).select(F.xxhash64("g1", "g2").alias("g"), "x")
-    twice = materialised(twice, "twice")
-    pairs, large = _pairs_within(twice)
-    rest = twice.join(large, "g")
-    rest = rest.select("g", F.col("x").alias("a")).join(rest.select("g", F.col("x").alias("b")), "g").where(F.col("a.t") < F.col("b.t"))
-    return components(links) if verified(pairs.unionByName(_ordered(rest)).distinct()) else roots
+    apart = materialised(_of_several_families(crowd, roots).select("x").distinct(), "crowd")
+    if not apart.limit(1).count():
+        return roots
+    sets = shingle_sets(rows, distinct.join(apart.select(F.col("x.t").alias("t")), "t", "left_semi").select("t", "id"))
+    return components(links) if verified(_across_families(materialised(_prefix_groups(apart, sets), "rare"))) else roots
 
 
 def first_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

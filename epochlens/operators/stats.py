@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from epochlens.session import materialised
+
 
 def student_tail(t: float, df: float) -> float:
     """P(T > t) for a whole or an infinite number of degrees of freedom.
@@ -61,14 +63,33 @@ def clustered_mean(rows: DataFrame, by: list[str], cluster: str, value: str) ->
 
 
 def bh_adjust(rows: DataFrame, family: list[str], p: str, order: list[str], out: str = "p_adjusted") -> DataFrame:
-    """Benjamini-Hochberg: the running minimum, from the largest p on, of p m / rank; null and NaN are not counted and stay null."""
+    """Benjamini-Hochberg: the running minimum, from the largest p on, of p m / rank; null and NaN are not counted and stay null.
+
+    A family of any size is cut into ranges of p: ranks and minima are made within each and carried over from range to range, of which there are as many as the shuffle has partitions.
+    """
     real = F.col(p).isNotNull() & ~F.isnan(p)
-    parts = [*family, real.cast("int")] if family else [real.cast("int")]
-    w = W.partitionBy(*parts)
-    ranked = rows.withColumn("_m", F.count(F.lit(1)).over(w)).withColumn("_rank", F.row_number().over(w.orderBy(p, *order)))
-    value = F.least(F.lit(1.0), F.col(p) * F.col("_m") / F.col("_rank"))
-    lowest = F.min(value).over(w.orderBy("_rank").rowsBetween(0, W.unboundedFollowing))
-    return ranked.withColumn(out, F.when(real, lowest)).drop("_m", "_rank")
+    live = materialised(rows.where(real).repartitionByRange(*family, p, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    cut = [*family, "_part"]
+    whole = W.partitionBy(*family) if family else W.partitionBy(F.lit(0))  # ranges
+
+    def told(left: DataFrame, ranges: DataFrame) -> DataFrame:
+        right = ranges.withColumnsRenamed({c: f"_r_{c}" for c in cut})
+        on = F.lit(True)
+        for c in cut:
+            on &= F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+        return left.join(right, on).drop(*(f"_r_{c}" for c in cut))
+
+    sizes = live.groupBy(*cut).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*cut, before.alias("_before"), F.sum("_n").over(whole).alias("_m"))
+    ranked = told(live, sizes).withColumn("_rank", F.col("_before") + F.row_number().over(W.partitionBy(*cut).orderBy(p, *order)))
+    ranked = ranked.withColumn("_value", F.least(F.lit(1.0), F.col(p) * F.col("_m") / F.col("_rank")))
+    later = F.min("_value").over(whole.orderBy(F.desc("_part")).rowsBetween(W.unboundedPreceding, -1))
+    later = ranked.groupBy(*cut).agg(F.min("_value").alias("_value")).select(*cut, later.alias("_later"))
+    # from the end of a range, so that each row looks at one more only
+    lowest = F.min("_value").over(W.partitionBy(*cut).orderBy(F.desc("_rank")).rowsBetween(W.unboundedPreceding, 0))
+    found = told(ranked.withColumn("_own", lowest), later).withColumn(out, F.least("_own", "_later"))
+    return found.select(*rows.columns, out).unionByName(rows.where(~real).withColumn(out, F.lit(None).cast("double")))
 
 
 #: A prime below 2 ** 31, so that squares fit into a long.

@@ -6,6 +6,9 @@ parsed into maps from name to text inside the plan; fields are picked whatever t
 
 from __future__ import annotations
 
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -200,13 +203,37 @@ def results_index(payloads: DataFrame) -> DataFrame:
     return first.unionByName(second).where("symbol is not null and period_end is not null")
 
 
+def first_facts(text: str | None, context: str, names: list[str], bounds: list[str]) -> list[str | None]:
+    """Text of the first fact of each name in a context, and of the first element of each bound within the contexts of that id; a file is parsed once. Null for an empty file; one that is no XML raises."""
+    if not text:
+        return [None] * (len(names) + len(bounds))
+    found: dict[str, str] = {}
+    local = lambda e: e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
+    for e in ElementTree.fromstring(text.encode("utf-8")).iter():
+        name = local(e)
+        if e.get("contextRef") == context and name in names and name not in found:
+            found[name] = "".join(e.itertext())
+        if name == "context" and e.get("id") == context:
+            for x in e.iter():
+                if x is not e and local(x) in bounds and local(x) not in found:
+                    found[local(x)] = "".join(x.itertext())
+    return [found.get(n) for n in (*names, *bounds)]
+
+
 def xbrl_facts(payloads: DataFrame, *, context: str = "OneD") -> DataFrame:
     """What a results file states for its reporting quarter: the first fact of each name in the context."""
-    fact = lambda name: clean_text(F.expr(f"xpath_string(payload, \"//*[local-name()='{name}' and @contextRef='{context}']\")"))
-    bound = lambda name: clean_text(F.expr(f"xpath_string(payload, \"//*[local-name()='context' and @id='{context}']//*[local-name()='{name}']\")"))
+    names = ["Symbol", "ISIN", "DateOfStartOfReportingPeriod", "DateOfEndOfReportingPeriod", "NatureOfReportStandaloneConsolidated", "RevenueFromOperations"]
+    bounds = ["startDate", "endDate"]
+
+    @F.pandas_udf(", ".join(f"{n} string" for n in [*names, *bounds]))
+    def parse(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([first_facts(t, context, names, bounds) for t in texts], columns=[*names, *bounds], dtype=object)
+
+    carried, parsed = _carried(payloads), payloads.withColumn("_x", parse("payload"))
+    fact = bound = lambda name: clean_text(F.col(f"_x.{name}"))
     nature = F.lower(fact("NatureOfReportStandaloneConsolidated"))
-    return payloads.select(
-        *_carried(payloads), fact("Symbol").alias("symbol"), fact("ISIN").alias("isin"), parse_date(F.coalesce(fact("DateOfStartOfReportingPeriod"), bound("startDate"))).alias("period_start"),
+    return parsed.select(
+        *carried, fact("Symbol").alias("symbol"), fact("ISIN").alias("isin"), parse_date(F.coalesce(fact("DateOfStartOfReportingPeriod"), bound("startDate"))).alias("period_start"),
         parse_date(F.coalesce(fact("DateOfEndOfReportingPeriod"), bound("endDate"))).alias("period_end"), (nature == "consolidated").alias("consolidated"), to_number(fact("RevenueFromOperations")).alias("revenue"),
     )
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from epochlens.operators import stats
+from epochlens.sources import feeds
 
 
 def plan_of(df) -> str:
@@ -32,3 +35,15 @@ def test_adjusted_p_values_over_several_ranges(spark):
             assert len(found) == len(rows) and found == wanted
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_results_files_are_parsed_once(spark):
+    """First facts of a context by local name, whatever the prefix and depth; no further parse for each name."""
+    text = "<r xmlns:a='x'><a:context id='Two'><a:period><a:endDate>2020-01-01</a:endDate></a:period></a:context><a:context id='OneD'><a:period><a:startDate>2024-01-01</a:startDate><a:endDate>2024-03-31</a:endDate></a:period></a:context><g><a:Symbol contextRef='Two'>NO</a:Symbol><a:Symbol contextRef='OneD'> A<!-- c --><b>B</b> </a:Symbol></g><Symbol contextRef='OneD'>LATER</Symbol><a:RevenueFromOperations contextRef='OneD'>1,234.5</a:RevenueFromOperations></r>"
+    out = feeds.xbrl_facts(spark.createDataFrame([(1, text), (2, None), (3, "<r/>"), (4, "")], "doc int, payload string"))
+    assert "xpath" not in plan_of(out).lower()
+    found = {r["doc"]: (r["symbol"], r["isin"], str(r["period_start"]), str(r["period_end"]), r["consolidated"], r["revenue"]) for r in out.collect()}
+    nothing = (None, None, "None", "None", None, None)
+    assert found == {1: ("AB", None, "2024-01-01", "2024-03-31", None, 1234.5), 2: nothing, 3: nothing, 4: nothing}
+    with pytest.raises(Exception, match="(?i)xml|not well-formed|parse"):
+        feeds.xbrl_facts(spark.createDataFrame([(1, "<r>")], "doc int, payload string")).collect()

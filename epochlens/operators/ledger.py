@@ -14,6 +14,7 @@ def fifo_trades(fills: DataFrame, key: list[str], order: list[str], side: str, q
     all: the two lines' cuts are swept together, and each stretch between two cuts belongs to the buy and the sell begun last.
     Gives key, buy_at, sell_at, quantity, buy_price, sell_price, pnl and, with charges, the pro-rata share of both sides'.
     """
+    fills = fills.repartition(*key)  # once: sides, cuts and the sweep all lie within a key
     at = F.struct(*order)
     line = W.partitionBy(*key, side).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     cost = F.col(charges).cast("double") if charges else F.lit(0.0)

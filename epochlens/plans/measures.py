@@ -277,7 +277,8 @@ WITH f AS (SELECT l_suppkey AS k, l_quantity AS q, l_extendedprice AS v, l_tax A
 SELECT k, floor(sum(-v - c) * 100 + 0.5) / 100 AS cash, 0.0 AS gap FROM f GROUP BY 1""")
 def cash_reconciliation(spark, d):
     """Cash moved by fills against what closed trades and open lots say; each buy is followed by a sell of half of it and a later sell of the rest at the same price."""
-    li = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k"), *_ORDER).agg(F.sum("l_quantity").alias("q"), F.sum("l_extendedprice").alias("v"), F.sum("l_tax").alias("c"))
+    # dealt out by key first: lines, fills and what they leave held are made where the rows lie
+    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), *_ORDER, "l_quantity", "l_tax").repartition("k").groupBy("k", *_ORDER).agg(F.sum("l_quantity").alias("q"), F.sum("l_extendedprice").alias("v"), F.sum("l_tax").alias("c"))
     fills = li.select("k", *_ORDER, F.explode(F.array(*(F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), (F.col("q") * part).alias("q"), F.try_divide("v", "q").alias("price"), (F.col("c") * cost).alias("c")) for side, n, part, cost in (("buy", 0, 1.0, 0.5), ("sell", 1, 0.5, 0.25), ("buy", 2, 0.5, 0.25))))).alias("x")).select("k", *_ORDER, "x.*")
     order = [*_ORDER, "n"]
     checked = materialised(ledger.covered(fills, ["k"], order, "side", "q"), "fills")  # it is asked three times

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from epochlens.operators import stats
+from epochlens.operators import ledger, stats
 from epochlens.sources import feeds, tabular
 
 
@@ -65,3 +65,12 @@ def test_files_are_read_piece_by_piece(spark):
     # as quarantine says of the same files whole
     whole = spark.createDataFrame([(i, None if x is None else x.encode()) for i, x in files], "file int, content binary").withColumn("records", tabular.table_records(F.col("content")))
     assert sorted(map(tuple, tabular.quarantine(whole, "records", ["SYMBOL", "SERIES", "BAND"])[1].select("file", "error").collect())) == sorted(map(tuple, tabular.sort_out(read, ["SYMBOL", "SERIES", "BAND"])[1].select("file", "error").collect()))
+
+
+def test_fills_are_dealt_out_once(spark):
+    """One shuffle by key serves a trade's sides, cuts and sweep."""
+    fills = spark.createDataFrame([("a", i, "sell" if i % 3 == 2 else "buy", 2.0, 10.0 + i, 0.1) for i in range(9)], "k string, n int, side string, q double, price double, c double")
+    trades = ledger.fifo_trades(fills, ["k"], ["n"], "side", "q", "price", "c")
+    assert trades._jdf.queryExecution().sparkPlan().toString().count("Exchange") <= 1
+    assert trades._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert [(r["buy_at"]["n"], r["sell_at"]["n"], r["quantity"]) for r in trades.orderBy("sell_at").collect()] == [(0, 2, 2.0), (1, 5, 2.0), (3, 8, 2.0)]

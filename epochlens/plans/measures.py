@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from epochlens.functions.scalars import bucket, exchange_date, r6, size_agreement, tax_category, wilson
+from epochlens.functions.scalars import bucket, exchange_date, ordered_sum, r6, size_agreement, tax_category, wilson
 from epochlens.operators import calendar as cal_ops
 from epochlens.operators import ledger, stats, windows
 from epochlens.plans.reads import events_calendar
@@ -414,7 +414,7 @@ def _study(spark, d):
     """Every event with its entry session, its prices, its return, and the one reason why it doesn't count."""
     e = table(spark, d, "events").select("event_id", "event_type", "user_id", "ts", "value")
     cal = events_calendar(spark, d)
-    px = e.groupBy("user_id", exchange_date(F.col("ts")).alias("day")).agg(F.avg("value").alias("price"))
+    px = e.groupBy("user_id", exchange_date(F.col("ts")).alias("day")).agg((ordered_sum("value", "ts", "event_id") / F.count("value")).alias("price"))
     entered = cal_ops.shift_session(cal_ops.next_open(e.drop("value"), cal, "ts"), cal, "entry_day", 3, "exit_day")
     priced = entered.join(px.select("user_id", F.col("day").alias("entry_day"), F.col("price").alias("entry")), ["user_id", "entry_day"], "left")
     priced = priced.join(px.select("user_id", F.col("day").alias("exit_day"), F.col("price").alias("exit")), ["user_id", "exit_day"], "left")
@@ -466,7 +466,7 @@ ct AS (SELECT day, b, g, avg(short) AS cs, count(*) AS controls FROM k WHERE rea
 SELECT k.user_id, k.day::VARCHAR AS day, floor(short * 1e6 + 0.5) / 1e6 AS short_gross, controls, floor((short - cs) * 1e6 + 0.5) / 1e6 AS effect FROM k LEFT JOIN ct USING (day, b, g) WHERE filed AND reason IS NULL""")
 def gap_fade_effect(spark, d):
     at = F.struct("ts", "event_id")
-    p = table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.min_by("value", at).alias("o"), F.max_by("value", at).alias("c"), F.sum("value").alias("t"), F.bool_or(F.col("event_type") == "signup").alias("filed"))
+    p = table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.min_by("value", at).alias("o"), F.max_by("value", at).alias("c"), ordered_sum("value", "ts", "event_id").alias("t"), F.bool_or(F.col("event_type") == "signup").alias("filed"))
     h = windows.rolling_median_rows(p, ["user_id"], ["day"], "t", 5, "med").withColumn("pc", F.lag("c").over(W.partitionBy("user_id").orderBy("day")))
     gap = F.try_divide("o", "pc") - 1
     bad_price = F.col("pc").isNull() | (F.col("pc") <= 0) | (F.col("o") <= 0)

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from epochlens.functions.scalars import ordered_sum
 from epochlens.operators import ledger, stats
 from epochlens.sources import feeds, tabular
 
@@ -74,3 +75,12 @@ def test_fills_are_dealt_out_once(spark):
     assert trades._jdf.queryExecution().sparkPlan().toString().count("Exchange") <= 1
     assert trades._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert [(r["buy_at"]["n"], r["sell_at"]["n"], r["quantity"]) for r in trades.orderBy("sell_at").collect()] == [(0, 2, 2.0), (1, 5, 2.0), (3, 8, 2.0)]
+
+
+def test_sums_in_order(spark):
+    """A sum on an edge doesn't hang on how its rows are dealt out."""
+    rows = [(0, 1e16), (1, 1.0), (2, -1e16), (3, None), (4, 1.0)]
+    for parts in (rows, rows[::-1], rows[2:] + rows[:2]):
+        df = spark.createDataFrame(parts, "n int, v double").repartition(3)
+        assert df.agg(ordered_sum("v", "n").alias("s")).first()["s"] == ((1e16 + 1.0) - 1e16) + 1.0
+    assert spark.createDataFrame([(0, None)], "n int, v double").agg(ordered_sum("v", "n").alias("s")).first()["s"] is None

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from epochlens.functions import orders
 from epochlens.functions.scalars import r6, wilson
 from epochlens.plans.registry import query, table
+from epochlens.session import materialised
 
 #: Six kinds of filings by orderkey: forms with their fields, with a blank field, with the end as a date; letters in rupees and dollars; and one without an amount.
 _FACTS_SQL = """
@@ -61,7 +62,7 @@ g AS (SELECT method, shown_own, count(*) AS n, count(*) FILTER (outcome = 'corre
 SELECT *, floor(greatest((p + z*z/(2*n)) / (1 + z*z/n) - z * sqrt(p*(1-p)/n + z*z/(4*n*n)) / (1 + z*z/n), 0) * 1e6 + 0.5) / 1e6 AS low FROM (SELECT *, amount / n AS p, 1.959963984540054 AS z FROM g)""".replace("SELECT *, floor", "SELECT * EXCLUDE (p, z), floor"))
 def order_win_scores(spark, d):
     """The rules' facts and those of a method that says nothing against labels, of which some differ; over all, and by whose proposal was shown."""
-    facts = _facts(spark, d).withColumn("label_method", F.lit("rules"))
+    facts = materialised(_facts(spark, d), "facts").withColumn("label_method", F.lit("rules"))  # they are asked three times
     k = F.col("k")
     labels = facts.where("k % 3 <> 1").select(
         "k", F.lit("labelled").alias("status"), F.lit("new_order").alias("kind"), F.when(k % 5 < 4, "rules").otherwise("other").alias("shown"), (F.col("amount") * F.when(k % 4 == 1, 1.02).otherwise(1.005)).alias("amount"), "currency",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from epochlens.functions.scalars import ordered_sum
@@ -84,3 +85,10 @@ def test_sums_in_order(spark):
         df = spark.createDataFrame(parts, "n int, v double").repartition(3)
         assert df.agg(ordered_sum("v", "n").alias("s")).first()["s"] == ((1e16 + 1.0) - 1e16) + 1.0
     assert spark.createDataFrame([(0, None)], "n int, v double").agg(ordered_sum("v", "n").alias("s")).first()["s"] is None
+
+
+def test_facts_of_order_wins_are_read_once(spark):
+    """Labels and predictions are made of facts written down, not of texts read again."""
+    from epochlens.plans import catalog
+
+    assert "ArrowEvalPython" not in plan_of(catalog.queries()["order_win_scores"](spark, SMALL))

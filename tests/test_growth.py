@@ -92,3 +92,64 @@ def test_facts_of_order_wins_are_read_once(spark):
     from epochlens.plans import catalog
 
     assert "ArrowEvalPython" not in plan_of(catalog.queries()["order_win_scores"](spark, SMALL))
+
+
+def test_waiting_filings_are_held_by_bucket():
+    """Many keys take one read and one write of the state and one timer, whichever of them are due."""
+    import pandas as pd
+
+    from epochlens.streaming.stateful import Waiting
+
+    class Handle:
+        def __init__(self):
+            self.rows, self.timers, self.calls = [], set(), 0
+
+        def getListState(self, name, schema):
+            return self
+
+        def exists(self):
+            return bool(self.rows)
+
+        def get(self):
+            self.calls += 1
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.calls += 1
+            self.rows = rows
+
+        def clear(self):
+            self.rows = []
+
+        def listTimers(self):
+            return iter(list(self.timers))
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.timers.discard(at)
+
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+        def getExpiryTimeInMs(self):
+            return self.now
+
+    handle, waiting = Handle(), Waiting(10, 100)
+    waiting.init(handle)
+    frame = lambda rows: pd.DataFrame(rows, columns=["key", "us", "kind", "security_id"])
+    go = lambda out: sorted(tuple(r) for part in out for r in part.itertuples(index=False))
+    first = [(k, k * 1_000_000 + 1, "filing", float(k) if k % 2 else None) for k in range(500)] + [(k, k * 1_000_000 + 5, "facts", None) for k in range(0, 500, 5)]
+    told = go(waiting.handleInputRows((0,), iter([frame(first[:300]), frame(first[300:])]), handle))
+    assert told == [(k, k * 1_000_000 + 5, "with_facts" if k % 2 else "dropped") for k in range(0, 500, 5)]
+    assert handle.calls <= 2 and len(handle.timers) == 1
+    assert min(handle.timers) == 11_001  # key 1 waits the longest; rounded up
+    handle.now = 200_001
+    over = go(waiting.handleExpiredTimer((0,), handle, handle))
+    assert over == [(k, (k + 10) * 1_000_000 + 1, "without_facts" if k % 2 else "dropped") for k in range(191) if k % 5]
+    assert len(handle.timers) == 1 and {r[0] for r in handle.rows} == set(range(91, 500))  # the others are forgotten
+    assert go(waiting.handleInputRows((0,), iter([frame([(100, 5, "filing", 7.0), (600, 3, "facts", None)])]), handle)) == []  # polled again; facts alone
+    handle.now = 10**9
+    assert len(go(waiting.handleExpiredTimer((0,), handle, handle))) == sum(1 for k in range(191, 500) if k % 5)
+    assert handle.rows == [] and not handle.timers

@@ -10,7 +10,8 @@ verified pair by pair. In a large one, of many near copies, its members are link
 fingerprints are within two bits exactly if they share a fingerprint that is within one bit of both, and at most 65 distinct
 fingerprints are within one bit of any, so that every group made that way is bounded and no pair is lost.
 
-``first_of_each`` drops near-duplicate texts by the same search over fingerprints of smallest shingle hashes.
+``first_of_each`` drops near-duplicate texts: this search gives its first candidates, the texts' shingles confirm them, and fingerprints of smallest shingle
+hashes find, beside it, what is alike but further than k bits apart.
 
 Equal fingerprints count once in all of this; copies come back at the end by a join on the fingerprint.
 
@@ -250,7 +251,7 @@ def smallest_hashes(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def shingle_prints(rows: DataFrame) -> DataFrame:
-    """rows (id, text) to id, t (digest of the text), n (distinct shingles), bits (one of each component) and keys (one of each part)."""
+    """rows (id, text) to id, t (digest of the text), fp (its SimHash, as ``fingerprints`` gives it), n (distinct shingles), bits (one of each component) and keys (one of each part)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,11 +264,12 @@ def shingle_prints(rows: DataFrame) -> DataFrame:
                 for k in range(PART_SIZE):
                     keys = mixed(keys * np.uint64(0xD6E8FEB86659FD93) + least[:, k * PARTS : (k + 1) * PARTS])
                 flat = pa.array(keys.ravel().view(np.int64))
+                prints = [majority_bits(shingle_hashes(folded_words(s), 3, 42)) for s in sources]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([hashlib.md5(s).digest() for s in sources], pa.binary()), pa.array(n), pa.array(bits), pa.ListArray.from_arrays(np.arange(len(sources) + 1, dtype=np.int32) * PARTS, flat)], ["id", "t", "n", "bits", "keys"]
+                    [part.column(0), pa.array([hashlib.md5(s).digest() for s in sources], pa.binary()), pa.array(prints, pa.int64()), pa.array(n), pa.array(bits), pa.ListArray.from_arrays(np.arange(len(sources) + 1, dtype=np.int32) * PARTS, flat)], ["id", "t", "fp", "n", "bits", "keys"]
                 )
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, t binary, n long, bits long, keys array<long>")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, t binary, fp long, n long, bits long, keys array<long>")
 
 
 def distinct_shingles(sources: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -403,10 +405,22 @@ def _across_families(entered: DataFrame) -> DataFrame:
     return pairs.unionByName(led).distinct()
 
 
+def _simhash_pairs(distinct: DataFrame, k: int = 2) -> DataFrame:
+    """Plausible pairs of texts whose SimHash fingerprints lie within k bits, by the generalised pigeonhole search: of the texts of one fingerprint one stands for all, and is paired with each of the others."""
+    texts_of = materialised(distinct.select("fp", F.struct("t", "n", "bits").alias("x")), "simhash")
+    heads = materialised(texts_of.groupBy("fp").agg(F.min("x").alias("head")), "heads")
+    fps = heads.select("fp")
+    found = links(fps, plan_parts(fps, k), k)
+    of = lambda side: heads.select(F.col("fp").alias(side), F.col("head").alias(f"_{side}"))
+    across = found.join(of("a"), "a").join(of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    return _ordered(texts_of.join(heads, "fp").select(F.col("head").alias("a"), F.col("x").alias("b")).unionByName(across))
+
+
 def near_duplicate_roots(rows: DataFrame, distinct: DataFrame) -> DataFrame:
-    """rows (id, t, text), distinct (t, id, n, bits, keys) to (node, root) of t, for every text that is near another.
+    """rows (id, t, text), distinct (t, id, fp, n, bits, keys) to (node, root) of t, for every text that is near another.
 
-    Texts meet in the groups of their parts' keys. First each member of a group is compared with the group's first one, which links the copies of
+    First the texts whose SimHash fingerprints are near, found by the search above; those that their shingles confirm are linked. What is as much alike and yet further apart in these bits
+    meets in the groups of its parts' keys. There each member of a group is compared with the group's first one, which links the copies of
     one text however many there are. Where this leaves members of a group apart, they are held against each other: all of them in a group of up to
     SMALL_GROUP, with LEADERS of them in a larger one. What is still apart in larger groups meets by the rarest of its shingles, which no two texts of the least similarity have all apart;
     each of them outside the largest family that shares one of these is held against all that do. Only where more than SMALL_GROUP are outside it do members again meet LEADERS of them alone.
@@ -426,7 +440,8 @@ def near_duplicate_roots(rows: DataFrame, distinct: DataFrame) -> DataFrame:
         tried, links = (new, found) if tried is None else (tried.unionByName(new), links.unionByName(found))
         return True
 
-    if not verified(_pairs_with_first(entered)):
+    any_near = verified(_simhash_pairs(distinct))
+    if not (verified(_pairs_with_first(entered)) or any_near):
         return distinct.select(F.col("t").alias("node"), F.col("t").alias("root")).where("false")
     roots = components(links)
     pairs, large = _pairs_within(_of_several_families(entered, roots))
@@ -445,15 +460,15 @@ def near_duplicate_roots(rows: DataFrame, distinct: DataFrame) -> DataFrame:
 def first_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs less the near-duplicates: of each group the row with the smallest id stays (one of equal rows). docs' columns stay as they are.
 
-    Near-duplicates are texts of which the sets of five-word shingles have a similarity of 0.8 at least, and what is linked through them. A
-    fingerprint of 64 bits over shingles doesn't tell such texts from others (it differs in ten bits on average), so here
-    the fingerprint's components are smallest hashes, parts are searched as above, and the shingles themselves decide.
+    Near-duplicates are texts of which the sets of five-word shingles have a similarity of 0.8 at least, and what is linked through them. The
+    SimHash search finds those of them whose fingerprints are near. Texts at 0.8 differ in ten of its bits on average, so that a second fingerprint, whose components are smallest hashes,
+    finds the others; the shingles themselves decide of both.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("t"), text.alias("text"))
     with small_batches(docs.sparkSession):
         prints = materialised(shingle_prints(rows.select("id", "text")), "prints")
-        distinct = materialised(prints.groupBy("t").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys")), "texts")
+        distinct = materialised(prints.groupBy("t").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys")), "texts")
         roots = near_duplicate_roots(rows, distinct)
     named = distinct.select("t", "id").join(roots.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
     least = named.groupBy("root").agg(F.min(F.struct(F.col("id"), F.col("t"))).alias("stays"))

@@ -493,3 +493,41 @@ def test_pipeline(spark, odd):
         now = stage(spark, now, SMALL)
         assert now.columns == odd.columns
     assert corpus_pipeline.STAGES[-1][1](spark, now, SMALL).count() <= len(TEXTS)
+
+
+def test_near_duplicate_stage_searches_by_simhash(spark, monkeypatch):
+    """The stage's first candidates are the pairs within two bits of SimHash, found by the pigeonhole plan; their shingles confirm them."""
+    r = random.Random(5)
+    texts = []
+    for _ in range(25):
+        words = [r.choice("abcdefghijklmnopqrstuvwxyz") + str(r.randrange(50)) for _ in range(400)]
+        other = list(words)
+        other[r.randrange(400)] = "new"
+        texts += [" ".join(words), " ".join(other)]
+    seen, real = [], simhash_dedup._simhash_pairs
+    monkeypatch.setattr(simhash_dedup, "_simhash_pairs", lambda distinct: (seen.append(distinct), real(distinct))[1])
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in simhash_dedup.first_of_each(docs).collect()) == list(range(0, 50, 2))
+    of = {bytes(x["t"]): x["fp"] for x in seen[0].collect()}
+    assert sorted(of.values()) == sorted(x["fp"] for x in simhash_dedup.fingerprints(docs).collect())
+    found = {frozenset((bytes(x["a"]), bytes(x["b"]))) for x in real(seen[0]).collect()}
+    near = {frozenset((a, b)) for a in of for b in of if a < b and ((of[a] ^ of[b]) & (2**64 - 1)).bit_count() <= 2}
+    assert near and found == near
+
+
+def test_pipeline_stages_give_python_small_batches(spark):
+    """A stage's result comes through Python in batches of BATCH_ROWS at most, though it is asked for after the stage has returned."""
+    import pyarrow as pa
+
+    import corpus_pipeline
+
+    names = [f"spark.sql.execution.arrow.{x}" for x in ("maxBytesPerBatch", "maxRecordsPerBatch")]
+    before = [spark.conf.get(n) for n in names]
+    try:
+        corpus_pipeline.pii_stage(spark, table(spark, SMALL, "documents"), SMALL)
+        sizes = spark.range(5000).coalesce(1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+        assert max(x["n"] for x in sizes) <= corpus_pipeline.BATCH_ROWS and sum(x["n"] for x in sizes) == 5000
+        assert spark.conf.get(names[0]).rstrip("bB") == str(corpus_pipeline.BATCH_BYTES)
+    finally:
+        for n, x in zip(names, before, strict=True):
+            spark.conf.set(n, x)

@@ -65,9 +65,15 @@ def health(rules: list[tuple[str, str, Column]], facts: DataFrame) -> DataFrame:
     return found.select("x.*").where("holds").drop("holds")
 
 
+#: Rows that one task flattens: of a larger table there are more tasks, not larger ones.
+ROWS_A_TASK = 250_000
+
+
 def flattened(rows: DataFrame, keys: list[str], name: str, values: list[str], exits: list[str]) -> DataFrame:
-    """One row for each key with a column for each value and exit: ret_d0, ret_d1, … ."""
-    return rows.groupBy(*keys).agg(*(F.first(F.when(F.col(name) == x, F.col(v)), ignorenulls=True).alias(f"{v}_{x}") for v in values for x in exits))
+    """One row for each key with a column for each value and exit: ret_d0, ret_d1, … ; of several values of one exit the smallest. Most keys have few rows, so that rows are dealt out as they are."""
+    parts = -(-rows.count() // ROWS_A_TASK)
+    dealt = rows.repartition(parts, *keys) if parts > 1 else rows
+    return dealt.groupBy(*keys).agg(*(F.min(F.when(F.col(name) == x, F.col(v))).alias(f"{v}_{x}") for v in values for x in exits))
 
 
 def overnight_split(days: DataFrame, by: list[str], *, opens: str, close: str, previous: str, weight: str) -> DataFrame:

@@ -153,3 +153,17 @@ def test_waiting_filings_are_held_by_bucket():
     handle.now = 10**9
     assert len(go(waiting.handleExpiredTimer((0,), handle, handle))) == sum(1 for k in range(191, 500) if k % 5)
     assert handle.rows == [] and not handle.timers
+
+
+def test_more_rows_are_flattened_by_more_tasks(spark, monkeypatch):
+    """One aggregation, whose tasks have so many rows each; of several values of an exit the smallest, nulls apart."""
+    from epochlens.operators import coverage
+
+    rows = [(k % 40, "d0" if k % 2 else "d1", None if k % 7 == 0 else float(k)) for k in range(200)] + [(99, "d5", 1.0)]
+    df = spark.createDataFrame(rows, "k int, e string, v double")
+    monkeypatch.setattr(coverage, "ROWS_A_TASK", 20)
+    out = coverage.flattened(df, ["k"], "e", ["v"], ["d0", "d1"])
+    plan = plan_of(out)
+    assert plan.count("Aggregate ") == 1 and "RepartitionByExpression [k#" in plan and ", 11" in plan
+    least = lambda k, e: min((v for a, b, v in rows if a == k and b == e and v is not None), default=None)
+    assert sorted(map(tuple, out.collect())) == [(k, least(k, "d0"), least(k, "d1")) for k in [*range(40), 99]]

@@ -47,8 +47,8 @@ def _clean(value: Column) -> Column:
     return F.btrim(F.regexp_replace(value, r"^(\d{1,2}|[a-z])[.)] ", ""), F.lit(_EDGE))
 
 
-def with_segments(rows: DataFrame, flat: str, out: str) -> DataFrame:
-    """rows with a struct of fields, each an array of the values after its labels, best wording first. flat: a column of text with single spaces.
+def with_segments(rows: DataFrame, flat: str, out: str, wanted: tuple[str, ...] = tuple(LABELS)) -> DataFrame:
+    """rows with a struct of the wanted fields, each an array of the values after its labels, best wording first. flat: a column of text with single spaces.
 
     Where a value ends is decided by the best wording found of each field. After a lesser wording, or the last label, a value has LONGEST_VALUE characters at most.
     """
@@ -73,9 +73,9 @@ def with_segments(rows: DataFrame, flat: str, out: str) -> DataFrame:
         longest = F.when(m["following"].isNull() | (m["rank"] > 0), F.lit(LONGEST_VALUE)).otherwise(whole)
         return F.struct(m["field"].alias("field"), _clean(F.substring(text, m["after"], F.greatest(F.least(whole, longest), F.lit(0)))).alias("value"))
 
-    rows = rows.withColumn("_values", F.transform("_cuts", value))
+    rows = rows.withColumn("_values", F.transform(F.filter("_cuts", lambda m: m["field"].isin(*wanted)), value))
     of = lambda field: F.transform(F.filter("_values", lambda v: v["field"] == field), lambda v: v["value"])
-    return rows.withColumn(out, F.struct(*(of(field).alias(field) for field in LABELS))).drop("_found", "_stops", "_cuts", "_values")
+    return rows.withColumn(out, F.struct(*(of(field).alias(field) for field in wanted))).drop("_found", "_stops", "_cuts", "_values")
 
 
 def _amounts_of_each(texts: Column) -> Column:
@@ -113,7 +113,7 @@ def order_wins(filings: DataFrame, text: str, filed: str) -> DataFrame:
     An empty or null text has no facts: method none. A repeat order is true or null, as a text never says that it is none.
     """
     flat = F.btrim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " "))
-    rows = with_segments(filings.withColumn("_flat", flat), "_flat", "_f")
+    rows = with_segments(filings.withColumn("_flat", flat), "_flat", "_f", ("counterparty", "awarded_by", "domestic", "period", "size"))
     flat, fields = F.col("_flat"), F.col("_f")
     sentences = F.filter(F.split(flat, r"(?<=[.;]) (?=[A-Z])"), lambda s: _has(s, ORDER_WORDS) & ~_has(s, OTHER_AMOUNTS))
     rows = rows.withColumn("_s", sentences).withColumn("_a", _amounts_of_each(F.concat(F.array(flat), fields["size"], F.col("_s"))))

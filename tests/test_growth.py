@@ -167,3 +167,25 @@ def test_more_rows_are_flattened_by_more_tasks(spark, monkeypatch):
     assert plan.count("Aggregate ") == 1 and "RepartitionByExpression [k#" in plan and ", 11" in plan
     least = lambda k, e: min((v for a, b, v in rows if a == k and b == e and v is not None), default=None)
     assert sorted(map(tuple, out.collect())) == [(k, least(k, "d0"), least(k, "d1")) for k in [*range(40), 99]]
+
+
+def test_amounts_are_tried_at_digits_only(monkeypatch):
+    """The pattern of amounts is tried where digits begin and at marks right before, not at every sign; what is found is what it finds anywhere."""
+    import re
+
+    from epochlens.functions import money
+
+    real, tries = money._AMOUNT, []
+
+    class Counted:
+        def match(self, text, at):
+            tries.append(at)
+            return real.match(text, at)
+
+    r = random.Random(2)
+    pieces = ["rs.", "Rupees", "INR", "₹", "us $", "$", "eur", " ", "  ", "1", "12", "1,234", "1, 200", "45.6", ".", ",", "-", " to ", "/-", "lakh", "crores", "million(s)", "x", "A", "only", "ſ", "K", "²", "٣"]
+    for text in ("".join(r.choices(pieces, k=r.randint(1, 14))) for _ in range(5000)):
+        assert [m.span() for m in money._figures(text)] == [m.span() for m in real.finditer(text)], text
+    monkeypatch.setattr(money, "_AMOUNT", Counted())
+    assert [x["amount"] for x in money.find_amounts("word " * 1000 + "Rs. 5 crore" + " word" * 1000)] == [5e7]
+    assert len(tries) < 10 and isinstance(real, re.Pattern)

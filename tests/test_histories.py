@@ -293,6 +293,23 @@ def test_live_matching_in_batches(spark):
     assert set(found) == {i for _, x, y in pairs for i in (x, y)}
 
 
+def test_live_matching_does_no_work_for_nothing(spark):
+    """State is cut into as many parts as are said, not the session's shuffle partitions, which stay as they are; a batch without candidates decides nothing."""
+    zero = datetime(2024, 1, 1)
+    rows = [(0, 1, zero), (1, 1, zero + timedelta(minutes=5)), (2, 2, zero + timedelta(days=1)), (3, 3, zero + timedelta(days=1))]
+    schema = "id long, k long, ts timestamp"
+    folder, target, checkpoint = (work_path(spark, x) for x in ("landing", "target", "checkpoint"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for part in (rows[:2], rows[2:]):
+        landed(spark, folder, part, schema)
+        stream = ingest.landing(spark, folder, spark.createDataFrame([], schema).schema)
+        stateful.match_live(stream.where("id % 2 = 0"), stream.where("id % 2 = 1"), target, checkpoint, by=["k"], ts="ts", key="id", max_gap_s=7200, parts=3)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert len([x for x in ingest._folders(spark, f"{checkpoint}/state/0") if x.isdigit()]) == 3
+    assert [x for x in ingest._folders(spark, f"{target}-nodes") if x.startswith("batch=")] == ["batch=0"]
+    assert sorted(map(tuple, stateful.partners(spark, target, "id").collect())) == [(0, 1), (1, 0)]
+
+
 # ---- studies, ordinary days, leaks
 
 

@@ -156,6 +156,38 @@ def test_gradient_follows_the_loss():
         assert (loss(flat + 1e-4 * way) - loss(flat - 1e-4 * way)) / 2e-4 == pytest.approx(float(g @ way), rel=0.01), name
 
 
+def test_every_id_sees_half_a_window():
+    """From the first window on, each id's chance hangs on the id half a window before it, wherever windows are cut."""
+    flat, classes = model_and_classes()
+    p, rng = lm_scoring.parts(flat), np.random.default_rng(8)
+    ids = rng.integers(0, 500, 3 * lm_scoring.WINDOW)
+
+    def last(x: np.ndarray) -> float:
+        long, short = lm_scoring.scores(p, np.concatenate([x, x[:-1]]), np.array([0, len(x), 2 * len(x) - 1]), classes)
+        return long - short
+
+    for n in range(lm_scoring.WINDOW + 1, len(ids) + 1):
+        other = ids[:n].copy()
+        at = n - 1 - lm_scoring.WINDOW // 2
+        other[at] = np.flatnonzero(classes.of != classes.of[ids[at]])[n % 50]
+        assert abs(last(ids[:n]) - last(other)) > 1e-5, n
+
+
+def test_space_of_batches_is_used_again():
+    """Batches of other sizes between two equal ones change nothing, and what was given stays as it was."""
+    flat, classes = model_and_classes()
+    p, rng = lm_scoring.parts(flat), np.random.default_rng(9)
+    batches = [(rng.integers(0, classes.n, (b, lm_scoring.WINDOW)), rng.integers(0, classes.n, (b, lm_scoring.WINDOW)), np.ones((b, lm_scoring.WINDOW), np.float32)) for b in (5, 128, 3)]
+    loss, first = lm_scoring.gradient(p, *batches[0])
+    held, kept = dict(lm_scoring._rooms), first.copy()
+    for x in batches[1:]:
+        lm_scoring.gradient(p, *x)
+    assert (first == kept).all()
+    again = lm_scoring.gradient(p, *batches[0])
+    assert again[0] == loss and (again[1] == kept).all()
+    assert held and lm_scoring.room("logits", 2, 3).base is lm_scoring._rooms["logits"]
+
+
 def test_start_is_the_frequency_of_pairs():
     """With pairs of low rank the model starts as their frequencies."""
     rng = np.random.default_rng(8)

@@ -35,6 +35,8 @@ from epochlens.llm.ngrams import Tokens, pair_hashes
 BITS, STEMS, KINDS, BLOCK = 18, (4, 6), 4, 1 << 13
 BUCKETS = 2 * KINDS << BITS
 MAX_LABELS = 200_000
+#: Pieces in which the models' counts come to the driver, some 5 MB each.
+PIECES = 8
 #: Counts added to both sides, standard errors off the log ratio, and what it must be below then.
 PRIOR, ERRORS, EFFECT = 4.0, 3.0, 0.7
 #: Cells of the generative models: tokens, then pairs; and how many occurrences of each cell the target model's prior weighs, on average.
@@ -88,7 +90,7 @@ def count_models(docs: DataFrame) -> np.ndarray:
     schema = "block int, n binary"
     parts = docs.mapInArrow(run, schema).repartition("block").mapInArrow(add, schema)
     out = np.zeros((2 * TOTAL // BLOCK, BLOCK), np.int64)
-    for r in parts.toLocalIterator():  # as many rows as there are blocks, whatever the number of texts
+    for r in parts.coalesce(PIECES).toLocalIterator():  # a job for each piece; as many rows as there are blocks, whatever the number of texts
         out[r["block"]] += np.frombuffer(r["n"], "<i8")
     return out.reshape(2, TOTAL)
 

@@ -531,3 +531,21 @@ def test_pipeline_stages_give_python_small_batches(spark):
     finally:
         for n, x in zip(names, before, strict=True):
             spark.conf.set(n, x)
+
+
+def test_counts_of_models_come_in_few_jobs(spark):
+    """Not a job for each shuffle partition."""
+    docs = spark.createDataFrame([(f"some words of text {k} and more", k % 3 == 0) for k in range(200)], "text string, target boolean")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    one = quality.count_models(docs)
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup("counts", "counts")
+    try:
+        many = quality.count_models(docs)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert (one == many).all() and one.any()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("counts")) <= 2 * quality.PIECES

@@ -89,6 +89,26 @@ def test_components_against_union_find(spark):
     assert found == {k: find(k) for k in root}
 
 
+@pytest.mark.parametrize("kind", ["long", "string", "binary"])
+def test_components_of_few_edges_need_no_rounds(spark, kind):
+    r = random.Random(2)
+    edges = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(80)] + [(2000, k) for k in range(2001, 2200)]
+    df = spark.createDataFrame(edges, "a long, b long").select(F.col("a").cast("string").cast(kind).alias("a"), F.col("b").cast("string").cast(kind).alias("b")).repartition(3)
+
+    def run(group, **args):
+        spark.sparkContext.setJobGroup(group, group)
+        found = graph.components(df, **args)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        return {(bytes(x) if kind == "binary" else x): (bytes(y) if kind == "binary" else y) for x, y in found.collect()}, jobs
+
+    by_rounds, many = run(f"rounds-{kind}", few=0)
+    at_once, some = run(f"few-{kind}")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert at_once == by_rounds
+    assert some <= 8 < many
+    assert graph.components(df.where("false")).count() == 0
+
+
 def test_calendar_weekend_session_is_special(spark):
     loaded = spark.createDataFrame([(date(2024, 1, d),) for d in (4, 5, 6, 9)], "day date")
     off = spark.createDataFrame([(date(2024, 1, 8),)], "day date")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,16 +27,30 @@ def ordered_sum(value: str, *order: str) -> Column:
     return F.when(F.size(held) > 0, F.aggregate(held, F.lit(0.0), lambda total, x: total + x["_v"]))
 
 
+def once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), with x worked out once, however often it is used."""
+    return F.transform(F.array(x), use)[0]
+
+
 def clean_text(x: Column) -> Column:
     """White space collapsed; texts that stand for no value are null."""
     flat = F.trim(F.regexp_replace(x, r"\s+", " "))
     return F.when(~F.lower(flat).isin(EMPTY), flat)
 
 
+def folded(record: Column) -> Column:
+    """The map with trimmed keys in lower case, for ``picked``."""
+    return F.transform_keys(record, lambda k, _: F.lower(F.trim(k)))
+
+
+def picked(record: Column, *keys: str) -> Column:
+    """First non-empty of several keys of a folded map, whatever their case."""
+    return F.coalesce(*(clean_text(F.try_element_at(record, F.lit(k.lower()))) for k in keys))
+
+
 def pick(record: Column, *keys: str) -> Column:
-    """First non-empty of several keys of a map, whatever their case."""
-    lower = F.transform_keys(record, lambda k, _: F.lower(F.trim(k)))
-    return F.coalesce(*(clean_text(F.try_element_at(lower, F.lit(k.lower()))) for k in keys))
+    """First non-empty of several keys of a map, whatever their case. Of many fields of a record: ``folded`` once, then ``picked``."""
+    return once(folded(record), lambda r: picked(r, *keys))
 
 
 def to_number(x: Column) -> Column:
@@ -47,17 +64,27 @@ def to_whole(x: Column) -> Column:
 
 
 def _titled(x: Column) -> Column:
-    return F.regexp_replace(F.initcap(F.lower(clean_text(x))), "T(?=[0-9])", "T")
+    return F.regexp_replace(F.initcap(F.lower(x)), "T(?=[0-9])", "T")
+
+
+def _like(layout: str) -> str:
+    """A pattern that all texts of a layout match: a layout that is tried in vain costs as much as many patterns."""
+    shapes = {"dd": r"\d\d", "MMM": r"\D+", "MM": r"\d\d", "yyyy": r"[+-]?\d{4,}", "HH": r"\d\d", "mm": r"\d\d", "ss": r"\d\d", "SSS": r"\d+", "'T'": "[Tt]", ".": r"\."}
+    return "^" + re.sub(r"dd|MMM|MM|yyyy|HH|mm|ss|SSS|'T'|\.", lambda m: shapes[m[0]], layout) + "$"
+
+
+def _read(x: Column, layouts: list[str]) -> list[Column]:
+    return [F.when(x.rlike(_like(f)), F.try_to_timestamp(_titled(x), F.lit(f))) for f in layouts]
 
 
 def parse_date(x: Column) -> Column:
-    return F.coalesce(*(F.to_date(F.try_to_timestamp(_titled(x), F.lit(f))) for f in DATE_FORMATS))
+    return once(clean_text(x), lambda t: F.coalesce(*(F.to_date(read) for read in _read(t, DATE_FORMATS))))
 
 
 def parse_exchange_time(x: Column) -> Column:
     """An instant: texts with an offset as they say, others in exchange time."""
-    offset = F.when(clean_text(x).rlike(r"([+-]\d\d:?\d\d|[Zz])$"), F.try_to_timestamp(clean_text(x)))
-    return F.coalesce(offset, *(F.to_utc_timestamp(F.try_to_timestamp(_titled(x), F.lit(f)), IST) for f in TIME_FORMATS))
+    offset = lambda t: F.when(t.rlike(r"([+-]\d\d:?\d\d|[Zz])$"), F.try_to_timestamp(t))
+    return once(clean_text(x), lambda t: F.coalesce(offset(t), *(F.to_utc_timestamp(read, IST) for read in _read(t, TIME_FORMATS))))
 
 
 def exchange_date(ts: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epochlens.functions import actions
-from epochlens.functions.scalars import clean_text, display_size, exchange_date, parse_date, parse_exchange_time, pick, signed_duration, to_number, to_whole
+from epochlens.functions.scalars import clean_text, display_size, exchange_date, folded, once, parse_date, parse_exchange_time, pick, picked, signed_duration, to_number, to_whole
 from epochlens.sources.tabular import RECORDS
 
 #: Rows of a page of the exchange's announcement search.
@@ -30,6 +30,11 @@ def _listed(payloads: DataFrame, records: Column, *more: Column) -> DataFrame:
     return payloads.select(*_carried(payloads), *more, F.posexplode(records).alias("place", "r"))
 
 
+def _folded(rows: DataFrame) -> DataFrame:
+    """The same with the keys of the records folded, once for all fields that are picked."""
+    return rows.withColumn("r", folded(F.col("r")))
+
+
 def _either(payload: Column) -> Column:
     """Records of a list, or of the list under ``data``."""
     inner = F.from_json(payload, f"data {RECORDS}")["data"]
@@ -38,44 +43,46 @@ def _either(payload: Column) -> Column:
 
 def paged_announcements(payloads: DataFrame, *, attachment_base: str) -> DataFrame:
     """Announcements that come in numbered pages: records without an id are left out; an event is dated by dissemination, else by the news' own time, else by submission."""
-    body = F.from_json("payload", f"Table {RECORDS}, Table1 {RECORDS}")
-    told = to_whole(pick(F.try_element_at(body["Table"], F.lit(1)), "TotalPageCnt"))
-    counted = F.greatest(F.lit(1).cast("long"), F.ceil(to_whole(pick(F.try_element_at(body["Table1"], F.lit(1)), "ROWCNT")) / PAGE_ROWS))
-    rows = _listed(payloads, body["Table"], F.coalesce(told, counted).alias("total_pages"))
-    r = F.col("r")
-    submitted, disseminated = parse_exchange_time(pick(r, "News_submission_dt")), parse_exchange_time(pick(r, "DissemDT"))
-    named = pick(r, "ATTACHMENTNAME")
-    size = to_whole(pick(r, "Fld_Attachsize"))
-    return rows.withColumn("source_id", pick(r, "NEWSID")).where("source_id is not null").select(
-        *_carried(payloads), "total_pages", "source_id", pick(r, "SCRIP_CD").alias("scrip_code"), pick(r, "SLONGNAME").alias("company"), pick(r, "CATEGORYNAME").alias("category"),
-        pick(r, "SUBCATNAME").alias("subcategory"), pick(r, "NEWSSUB").alias("subject"), pick(r, "HEADLINE").alias("details"), F.concat(F.lit(attachment_base), named).alias("attachment_url"),
-        F.when(named.isNotNull() & (size != 0), size).alias("attachment_size"), submitted.alias("submitted_ts"), disseminated.alias("disseminated_ts"),
-        F.coalesce(disseminated, parse_exchange_time(pick(r, "NEWS_DT", "DT_TM")), submitted).alias("event_ts"),
+    read = payloads.select(*_carried(payloads), F.from_json("payload", f"Table {RECORDS}, Table1 {RECORDS}").alias("_b"))
+    told = once(pick(F.try_element_at(F.col("_b.Table"), F.lit(1)), "TotalPageCnt"), to_whole)
+    counted = F.greatest(F.lit(1).cast("long"), F.ceil(once(pick(F.try_element_at(F.col("_b.Table1"), F.lit(1)), "ROWCNT"), to_whole) / PAGE_ROWS))
+    pages = read.withColumn("total_pages", F.coalesce(told, counted))
+    carried = [*_carried(payloads), "total_pages"]
+    rows, r = _folded(pages.select(*carried, F.explode("_b.Table").alias("r"))), F.col("r")
+    texts = {"source_id": "NEWSID", "scrip_code": "SCRIP_CD", "company": "SLONGNAME", "category": "CATEGORYNAME", "subcategory": "SUBCATNAME", "subject": "NEWSSUB", "details": "HEADLINE", "_named": "ATTACHMENTNAME"}
+    found = rows.select(
+        *carried, *(picked(r, key).alias(name) for name, key in texts.items()), to_whole(picked(r, "Fld_Attachsize")).alias("_size"),
+        parse_exchange_time(picked(r, "News_submission_dt")).alias("submitted_ts"), parse_exchange_time(picked(r, "DissemDT")).alias("disseminated_ts"), parse_exchange_time(picked(r, "NEWS_DT", "DT_TM")).alias("_told_ts"),
+    )
+    return found.where("source_id is not null").select(
+        *carried, *(c for c in texts if c != "_named"), F.concat(F.lit(attachment_base), "_named").alias("attachment_url"), F.when(F.col("_named").isNotNull() & (F.col("_size") != 0), F.col("_size")).alias("attachment_size"),
+        "submitted_ts", "disseminated_ts", F.coalesce("disseminated_ts", "_told_ts", "submitted_ts").alias("event_ts"),
     )
 
 
 def row_id(r: Column) -> Column:
-    """The record's own id, else one made of what it says."""
-    said = F.concat_ws("|", *(F.coalesce(pick(r, k), F.lit("")) for k in ("symbol", "an_dt", "desc", "attchmntFile")))
-    return F.coalesce(pick(r, "seq_id"), F.concat(F.lit("h:"), F.substring(F.sha1(said), 1, 20)))
+    """The folded record's own id, else one made of what it says."""
+    said = F.concat_ws("|", *(F.coalesce(picked(r, k), F.lit("")) for k in ("symbol", "an_dt", "desc", "attchmntFile")))
+    return F.coalesce(picked(r, "seq_id"), F.concat(F.lit("h:"), F.substring(F.sha1(said), 1, 20)))
 
 
 def listed_announcements(payloads: DataFrame) -> DataFrame:
     """Announcements that come as one list: an id of their own or one made of their content; drift tells a stated difference that the two times don't have."""
-    rows, r = _listed(payloads, _either(F.col("payload"))), F.col("r")
-    disseminated, received = parse_exchange_time(pick(r, "exchdisstime")), parse_exchange_time(pick(r, "an_dt", "sort_date"))
-    gap = F.unix_seconds(disseminated) - F.unix_seconds(received)
-    return rows.select(
-        *_carried(payloads), row_id(r).alias("source_id"), pick(r, "seq_id").isNull().alias("made_id"), pick(r, "symbol").alias("symbol"), pick(r, "sm_isin").alias("isin"), pick(r, "sm_name").alias("company"),
-        pick(r, "desc").alias("subject"), pick(r, "attchmntText").alias("details"), pick(r, "attchmntFile").alias("attachment_url"), display_size(pick(r, "attFileSize", "fileSize")).alias("attachment_size"),
-        received.alias("submitted_ts"), disseminated.alias("disseminated_ts"), F.coalesce(disseminated, received).alias("event_ts"),
-        F.coalesce(signed_duration(pick(r, "difference")) != gap, F.lit(False)).alias("drift"),
+    rows, r = _folded(_listed(payloads, _either(F.col("payload")))), F.col("r")
+    texts = {"symbol": "symbol", "isin": "sm_isin", "company": "sm_name", "subject": "desc", "details": "attchmntText", "attachment_url": "attchmntFile"}
+    found = rows.select(
+        *_carried(payloads), row_id(r).alias("source_id"), picked(r, "seq_id").isNull().alias("made_id"), *(picked(r, key).alias(name) for name, key in texts.items()), once(picked(r, "attFileSize", "fileSize"), display_size).alias("attachment_size"),
+        parse_exchange_time(picked(r, "an_dt", "sort_date")).alias("submitted_ts"), parse_exchange_time(picked(r, "exchdisstime")).alias("disseminated_ts"), once(picked(r, "difference"), signed_duration).alias("_stated"),
     )
+    gap = F.unix_seconds("disseminated_ts") - F.unix_seconds("submitted_ts")
+    return found.select(
+        *_carried(payloads), "source_id", "made_id", *texts, "attachment_size", "submitted_ts", "disseminated_ts", F.coalesce("disseminated_ts", "submitted_ts").alias("event_ts"), F.coalesce(F.col("_stated") != gap, F.lit(False)).alias("drift")
+    )
 
 
 def only_rows(payloads: DataFrame, known: DataFrame) -> DataFrame:
     """Each payload again as a list of those of its records whose id isn't in known (source_id), in their order: what is worth storing of a list that comes whole each time."""
-    rows = _listed(payloads, _either(F.col("payload"))).withColumn("source_id", row_id(F.col("r")))
+    rows = _listed(payloads, _either(F.col("payload"))).withColumn("_f", folded(F.col("r"))).withColumn("source_id", row_id(F.col("_f"))).drop("_f")
     new = rows.join(known.select("source_id").distinct(), "source_id", "left_anti")
     kept = new.groupBy(*_carried(payloads)).agg(F.sort_array(F.collect_list(F.struct("place", F.to_json("r").alias("r")))).alias("rs"))
     return kept.select(*_carried(payloads), F.concat(F.lit("["), F.array_join(F.transform("rs", lambda x: x["r"]), ","), F.lit("]")).alias("payload"))
@@ -130,8 +137,8 @@ def holidays(payloads: DataFrame) -> DataFrame:
     """Segment, day and description; a payload without the cash segment CM is no holiday list."""
     body = F.from_json("payload", f"map<string,{RECORDS}>")
     known = payloads.withColumn("_b", body).where(F.map_contains_key("_b", "CM"))
-    rows = known.select(*_carried(payloads), F.explode("_b").alias("segment", "rs")).select("*", F.explode("rs").alias("r")).drop("rs")
-    return rows.select(*_carried(payloads), "segment", parse_date(pick(F.col("r"), "tradingDate")).alias("day"), pick(F.col("r"), "description").alias("description")).where("day is not null")
+    rows = _folded(known.select(*_carried(payloads), F.explode("_b").alias("segment", "rs")).select("*", F.explode("rs").alias("r")).drop("rs"))
+    return rows.select(*_carried(payloads), "segment", parse_date(picked(F.col("r"), "tradingDate")).alias("day"), picked(F.col("r"), "description").alias("description")).where("day is not null")
 
 
 def symbol_changes(files: DataFrame, *, rows: str = "rows") -> DataFrame:
@@ -144,16 +151,16 @@ def symbol_changes(files: DataFrame, *, rows: str = "rows") -> DataFrame:
 
 def scrips(payloads: DataFrame) -> DataFrame:
     """The first record of each code; an ISIN of another shape is null."""
-    rows, r = _listed(payloads, F.from_json("payload", RECORDS)), F.col("r")
-    isin = F.upper(pick(r, "ISIN_NUMBER"))
-    found = rows.withColumn("code", pick(r, "SCRIP_CD")).where("code is not null")
+    rows, r = _folded(_listed(payloads, F.from_json("payload", RECORDS))), F.col("r")
+    isin = F.upper(picked(r, "ISIN_NUMBER"))
+    found = rows.withColumn("code", picked(r, "SCRIP_CD")).where("code is not null")
     first = found.groupBy(*_carried(payloads), "code").agg(F.min_by("r", "place").alias("r"))
-    return first.select(*_carried(payloads), "code", pick(r, "scrip_id").alias("symbol"), pick(r, "Scrip_Name").alias("name"), F.when(isin.rlike(ISIN), isin).alias("isin"), pick(r, "Status").alias("status"), pick(r, "GROUP").alias("scrip_group"), to_number(pick(r, "FACE_VALUE")).alias("face_value"))
+    return first.select(*_carried(payloads), "code", picked(r, "scrip_id").alias("symbol"), picked(r, "Scrip_Name").alias("name"), F.when(isin.rlike(ISIN), isin).alias("isin"), picked(r, "Status").alias("status"), picked(r, "GROUP").alias("scrip_group"), to_number(picked(r, "FACE_VALUE")).alias("face_value"))
 
 
 def corporate_actions(payloads: DataFrame) -> DataFrame:
-    rows, r = _listed(payloads, F.from_json("payload", RECORDS)), F.col("r")
-    found = rows.select(*_carried(payloads), F.upper(pick(r, "symbol")).alias("symbol"), pick(r, "series").alias("series"), pick(r, "isin").alias("isin"), pick(r, "subject").alias("subject"), parse_date(pick(r, "exDate")).alias("ex_date"), parse_date(pick(r, "recDate")).alias("record_date"), to_number(pick(r, "faceVal")).alias("face_value"))
+    rows, r = _folded(_listed(payloads, F.from_json("payload", RECORDS))), F.col("r")
+    found = rows.select(*_carried(payloads), F.upper(picked(r, "symbol")).alias("symbol"), picked(r, "series").alias("series"), picked(r, "isin").alias("isin"), picked(r, "subject").alias("subject"), parse_date(picked(r, "exDate")).alias("ex_date"), parse_date(picked(r, "recDate")).alias("record_date"), to_number(picked(r, "faceVal")).alias("face_value"))
     found = found.where("symbol is not null and subject is not null and ex_date is not null").withColumn("_a", actions.classify(F.col("subject")))
     return found.select("*", "_a.*").drop("_a")
 
@@ -163,9 +170,9 @@ def surveillance(payloads: DataFrame, lists: dict[str, tuple[str, str, str]]) ->
 
     def one(name: str, path: str, stage: str, time: str) -> DataFrame:
         records = F.from_json("payload", RECORDS) if not path else F.from_json(F.get_json_object("payload", f"$.{path}"), RECORDS)
-        rows, r = _listed(payloads, records), F.col("r")
-        since = F.coalesce(exchange_date(parse_exchange_time(pick(r, time))), parse_date(pick(r, time)))
-        return rows.select(*_carried(payloads), F.lit(name).alias("list_name"), F.upper(pick(r, "symbol")).alias("symbol"), pick(r, "isin").alias("isin"), pick(r, stage).alias("stage"), pick(r, "survCode").alias("code"), since.alias("since")).where("symbol is not null")
+        rows, r = _folded(_listed(payloads, records)), F.col("r")
+        since = F.coalesce(exchange_date(parse_exchange_time(picked(r, time))), parse_date(picked(r, time)))
+        return rows.select(*_carried(payloads), F.lit(name).alias("list_name"), F.upper(picked(r, "symbol")).alias("symbol"), picked(r, "isin").alias("isin"), picked(r, stage).alias("stage"), picked(r, "survCode").alias("code"), since.alias("since")).where("symbol is not null")
 
     found = [one(n, *x) for n, x in lists.items()]
     out = found[0]

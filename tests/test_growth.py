@@ -8,7 +8,7 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from epochlens.functions.scalars import ordered_sum
+from epochlens.functions.scalars import DATE_FORMATS, TIME_FORMATS, ordered_sum, parse_date, parse_exchange_time
 from epochlens.operators import ledger, stats
 from epochlens.sources import feeds, tabular
 
@@ -189,3 +189,45 @@ def test_amounts_are_tried_at_digits_only(monkeypatch):
     monkeypatch.setattr(money, "_AMOUNT", Counted())
     assert [x["amount"] for x in money.find_amounts("word " * 1000 + "Rs. 5 crore" + " word" * 1000)] == [5e7]
     assert len(tries) < 10 and isinstance(real, re.Pattern)
+
+
+@pytest.mark.parametrize(("reader", "body"), [("paged", '{"Table": [%s], "Table1": [{"ROWCNT": 120}]}'), ("listed", "[%s]")])
+def test_fields_of_a_record_are_folded_once(spark, reader, body):
+    """A record's keys are folded once, not for each field and for each layout of a time that is tried."""
+    record = '{"newsID": "N1", " Dissemdt ": "2024-01-15T10:00:00", "NEWS_DT": "15-01-2024 09:00:00", "seq_id": "7", "AN_DT": "15-Jan-2024 10:00:00", "exchDissTime": "15-Jan-2024 10:00:09", "difference": "00:00:08"}'
+    payloads = spark.createDataFrame([(body % record,)], "payload string")
+    found = feeds.paged_announcements(payloads, attachment_base="http://a/") if reader == "paged" else feeds.listed_announcements(payloads)
+    assert 1 <= plan_of(found).count("transform_keys(") <= 8
+    row = found.select("*", F.unix_seconds("event_ts").alias("s")).first()
+    if reader == "paged":
+        assert (row["source_id"], row["total_pages"], row["s"]) == ("N1", 3, 1705293000)
+    else:
+        assert (row["source_id"], row["s"], row["drift"]) == ("7", 1705293009, True)
+
+
+def test_more_announcements_make_more_pages(spark, monkeypatch):
+    """A page holds some rows, however many a day has."""
+    from epochlens.plans import feeds as plans
+
+    held = []
+    read = feeds.paged_announcements
+    monkeypatch.setattr(feeds, "PAGE_ROWS", 5)
+    monkeypatch.setattr(feeds, "paged_announcements", lambda pages, **k: held.append(pages) or read(pages, **k))
+    found = plans.source_paged_announcements(spark, SMALL)
+    sizes = [r["n"] for r in held[0].select(F.size(F.from_json("payload", "Table array<map<string,string>>")["Table"]).alias("n")).collect()]
+    events = spark.read.parquet(f"{SMALL}/events.parquet")
+    assert sum(sizes) == events.count() and max(sizes) <= 20 and len(sizes) > 100
+    assert found.count() == events.where("event_id % 17 <> 0").count()
+
+
+def test_dates_and_times_in_every_layout(spark):
+    """Each layout is read, in any case; texts that only begin like one, or hold days that don't exist, are null."""
+    at, one = F.timestamp_seconds(F.lit(1705315509)), spark.range(1)
+    for f in TIME_FORMATS:
+        for change in (F.col, F.upper, F.lower):
+            row = one.select(F.date_format(at, f).alias("t")).select(F.unix_seconds(parse_exchange_time(change("t"))).alias("s")).first()
+            assert row["s"] == 1705315509 - 19800 - (0 if "ss" in f else 9)
+    for f in DATE_FORMATS:
+        assert str(one.select(F.date_format(at, f).alias("t")).select(parse_date(F.concat(F.lit(" "), F.upper("t"), F.lit("\n"))).alias("d")).first()["d"]) == "2024-01-15"
+    odd = spark.createDataFrame([("2024-01-15T10:00:00+05:30", 1705293000), ("2024-01-15T04:30:00Z", 1705293000), ("2024-02-30 10:00:00", None), ("15-Foo-2024 10:00", None), ("15-01-2024", None), ("2024-01-15 10:00:00 x", None), ("--", None), (None, None)], "t string, s long")
+    assert all(r["s"] == r["found"] for r in odd.select("s", F.unix_seconds(parse_exchange_time(F.col("t"))).alias("found")).collect())

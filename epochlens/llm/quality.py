@@ -11,7 +11,8 @@ each) counts with its log ratio at the end of its confidence interval that is ne
 Every n-gram is counted in two buckets there and takes the ratio nearer to zero, so that it takes two collisions to blame it for others.
 Rejected are texts below the penalty that best parts the labelled targets from the other labelled rows; of the others k are drawn.
 
-The labels are used up to ``MAX_LABELS`` rows, those with the smallest hashes of their ids; every count and weight covers all rows.
+Every label counts, and every count and weight covers all rows. Up to ``SENT_LABELS`` labels are sent to all tasks; where there are more, rows meet
+them by shuffles: of the texts only those move that a bitmap of the targets' hashed ids doesn't rule out, and for the penalty's cut no text moves.
 
 Defined results: null, empty and blank texts have no n-gram, and weight and penalty 0; rows with a null id, and repeated rows, are weighed like any other (the same
 id has the same noise); without labelled targets nothing is known, weights are 0 and no row is rejected; keys are compared in steps of ``KEY_STEP``, and rows in the
@@ -34,7 +35,8 @@ from epochlens.llm.ngrams import Tokens, pair_hashes
 #: Bits of a bucket, bytes of the stems, kinds of n-grams, buckets (each kind has two tables) and bucket numbers that travel in one row.
 BITS, STEMS, KINDS, BLOCK = 18, (4, 6), 4, 1 << 13
 BUCKETS = 2 * KINDS << BITS
-MAX_LABELS = 200_000
+#: Labels that are sent to all tasks, 9 bytes each; and bits of the bitmap of ids where there are more.
+SENT_LABELS, ID_BITS = 200_000, 1 << 26
 #: Pieces in which the models' counts come to the driver, some 5 MB each.
 PIECES = 8
 #: Counts added to both sides, standard errors off the log ratio, and what it must be below then.
@@ -175,20 +177,59 @@ def best_cut(histogram: list[tuple[float, int, int]]) -> float:
     return float(cut)
 
 
-def _weighed(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, target: Column | None, carry: bool) -> tuple[DataFrame, float]:
-    """Rows with id, target, log_weight and penalty (and all of docs as a struct, row), written down; and the penalty that parts the labels best."""
+def _known(labels: DataFrame, id_col: str, target: Column | None) -> tuple[DataFrame, bool]:
+    """id, target of every labelled id, written down (an id whose rows disagree is no target), and whether they are few enough to be sent to all tasks."""
     target = target if target is not None else (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) != 1)
     known = labels.select(F.col(id_col).alias("id"), F.coalesce(target, F.lit(False)).alias("target")).where("id is not null").groupBy("id").agg(F.min("target").alias("target"))
-    known = F.broadcast(materialised(known.orderBy(F.xxhash64("id")).limit(MAX_LABELS), "labels"))  # 9 bytes each
+    known = materialised(known, "labels")
+    return known, known.count() <= SENT_LABELS
+
+
+def _hashed(id_col: Column) -> Column:
+    return F.pmod(F.xxhash64(id_col.cast("string")), F.lit(ID_BITS))
+
+
+def may_be_in(ids: DataFrame) -> Column:
+    """Whether the column id may be one of these ids: false of none of them, true of few others."""
+    bitmaps = ids.select(_hashed(F.col("id")).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+    held = np.zeros((ID_BITS // (1 << 15) + 2, 1 << 12), np.uint8)
+    for r in bitmaps.coalesce(PIECES).toLocalIterator():  # ID_BITS / 8 bytes in all, however many ids there are
+        held[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
+    shared = ids.sparkSession.sparkContext.broadcast(held)
+
+    @F.pandas_udf("boolean")
+    def holds(bucket: pd.Series, position: pd.Series) -> pd.Series:
+        return pd.Series((shared.value[bucket.to_numpy(), position.to_numpy() >> 3] >> (position.to_numpy() & 7).astype(np.uint8) & 1).astype(bool))
+
+    h = _hashed(F.col("id"))
+    return holds(F.bitmap_bucket_number(h), F.bitmap_bit_position(h))
+
+
+def _targets(rows: DataFrame, known: DataFrame, few: bool) -> DataFrame:
+    """text, target of all rows (id, text)."""
+    targets = known.where("target")
+    if few:
+        found = rows.join(F.broadcast(targets), "id", "left")
+    elif rows.schema["id"].dataType != known.schema["id"].dataType or rows.schema["id"].dataType.typeName() not in ("long", "integer", "short", "byte", "string"):
+        found = rows.join(targets, "id", "left")  # ids that are equal as other types need not be equal as texts
+    else:
+        asked = rows.withColumn("_may", F.col("id").isNotNull() & may_be_in(targets))
+        found = asked.where("_may").drop("_may").join(targets, "id", "left").unionByName(asked.where("not _may").drop("_may").withColumn("target", F.lit(None).cast("boolean")))
+    return found.select("text", F.coalesce("target", F.lit(False)).alias("target"))
+
+
+def _weighed(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, target: Column | None, carry: bool) -> tuple[DataFrame, float]:
+    """Rows with id, log_weight and penalty (and all of docs as a struct, row), written down; and the penalty that parts the labels best."""
+    known, few = _known(labels, id_col, target)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []))
-    rows = rows.join(known, "id", "left")
-    counts = count_models(rows.select("text", F.coalesce("target", F.lit(False)).alias("target")))
+    counts = count_models(_targets(rows.select("id", "text"), known, few))
     scored = rows.withColumn("w", weights_of(log_ratios(counts), generative_ratios(counts), docs.sparkSession, F.col("text"))).drop("text")
     scored = materialised(scored.select("*", "w.*").drop("w"), "weights")
     if not counts[1].any():
         return scored, float("-inf")
     edge = F.floor(F.greatest(F.least(F.col("penalty"), F.lit(100.0)), F.lit(-100.0)) / WEIGHT_STEP) * WEIGHT_STEP
-    histogram = scored.where("target is not null").groupBy(edge.alias("edge")).agg(F.count_if("target").alias("t"), F.count_if(~F.col("target")).alias("o")).collect()  # 4,001 rows at most
+    labelled = scored.select("id", "penalty").join(F.broadcast(known) if few else known, "id")
+    histogram = labelled.groupBy(edge.alias("edge")).agg(F.count_if("target").alias("t"), F.count_if(~F.col("target")).alias("o")).collect()  # 4,001 rows at most
     return scored, best_cut([(float(h["edge"]), h["t"], h["o"]) for h in histogram])
 
 

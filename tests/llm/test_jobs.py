@@ -549,3 +549,27 @@ def test_counts_of_models_come_in_few_jobs(spark):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert (one == many).all() and one.any()
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("counts")) <= 2 * quality.PIECES
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "decimal(20,0)"])
+def test_every_label_counts(spark, monkeypatch, kind):
+    """However few labels are sent to all tasks: models, weights and the cut are those of all labels."""
+    docs = table(spark, SMALL, "documents").select(F.when(F.col("doc_id") % 41 != 0, F.col("doc_id")).cast(kind).alias("doc_id"), "text")
+    docs = docs.unionByName(docs.where("doc_id % 5 = 0"))
+    labels = table(spark, SMALL, "labels").withColumn("doc_id", F.col("doc_id").cast("long"))
+    columns = ["id", "log_weight", "penalty", "kept", "drawn"]
+    result = lambda: sorted(map(repr, quality.resample(docs, labels, share=0.5).select(*columns).collect()))
+    whole, stage = result(), sorted(map(repr, quality.keep_drawn(docs, labels).collect()))
+    for name in ("SENT_LABELS", "MAX_LABELS"):
+        monkeypatch.setattr(quality, name, 20, raising=False)
+    assert result() == whole and sorted(map(repr, quality.keep_drawn(docs, labels).collect())) == stage
+
+
+def test_bitmap_of_ids_misses_none(spark, monkeypatch):
+    """True of every id asked for, and of few others; false of all where there are none."""
+    for bits in (1 << 26, 1 << 15):
+        monkeypatch.setattr(quality, "ID_BITS", bits)
+        ids = spark.range(0, 6000, 3)
+        found = spark.range(6000).select("id", quality.may_be_in(ids).alias("may")).collect()
+        assert all(r["may"] for r in found if r["id"] % 3 == 0) and sum(r["may"] for r in found) <= (2010 if bits > 1 << 20 else 3000)
+        assert not any(r["may"] for r in spark.range(100).select(quality.may_be_in(ids.where("false")).alias("may")).collect())
